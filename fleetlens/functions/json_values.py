@@ -18,23 +18,18 @@ def field(record: Column, name: str) -> Column:
     return F.try_variant_get(record, f"$.{name}", "variant")
 
 
+NUMBERS = ("bigint", "decimal", "double", "float")
+INTEGER = "bigint"
+
+
 def type_of(value: Column) -> Column:
-    """Kind: ``object, array, string, integer, number, boolean, null``; NULL when missing.
+    """Kind: ``object, array, string, bigint, decimal, double, boolean, void``; NULL when missing.
 
     JSON keeps ``5.0`` as a short decimal; a decimal without fraction counts as
     an integer from 19 digits on, where 64-bit integers end.
     """
-    schema = F.schema_of_variant(value)
-    digits = F.regexp_extract(schema, r"\ADECIMAL\(([0-9]+),0\)\z", 1).try_cast("int")
-    return (
-        F.when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "string")
-        .when((schema == "BIGINT") | (digits >= 19), "integer")
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "number")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-    )
+    schema = F.regexp_replace(F.schema_of_variant(value), r"\ADECIMAL\((?:19|[23][0-9]),0\)", "BIGINT")
+    return F.lower(F.regexp_extract(schema, r"\A[A-Z]+", 0))
 
 
 def is_object(record: Column) -> Column:
@@ -54,14 +49,14 @@ def string_or_empty(value: Column) -> Column:
 
 def float_or_zero(value: Column) -> Column:
     """The number, or 0.0 for any other type."""
-    number = F.when(type_of(value).isin("integer", "number"), F.try_variant_get(value, "$", "double"))
+    number = F.when(type_of(value).isin(*NUMBERS), F.try_variant_get(value, "$", "double"))
     return F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0))
 
 
 def normalize_id(value: Column) -> Column:
     """Stripped id from a string or integer; NULL for anything else or a blank."""
     as_text = strip(F.try_variant_get(value, "$", "string"))
-    return F.when(type_of(value).isin("string", "integer"), F.nullif(as_text, F.lit("")))
+    return F.when(type_of(value).isin("string", INTEGER), F.nullif(as_text, F.lit("")))
 
 
 def truthy(value: Column) -> Column:
@@ -69,7 +64,7 @@ def truthy(value: Column) -> Column:
     kind = type_of(value)
     return F.coalesce(
         F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-        .when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double") != 0)
+        .when(kind.isin(*NUMBERS), F.try_variant_get(value, "$", "double") != 0)
         .when(kind == "string", F.try_variant_get(value, "$", "string") != "")
         .when(kind == "array", F.size(F.try_variant_get(value, "$", "array<variant>")) > 0)
         .when(kind == "object", F.size(F.try_variant_get(value, "$", "map<string,variant>")) > 0),
