@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fleetlens.catalog.registry import ORACLES, QUERIES
 
-for _module in ("offers", "planning", "scalars", "fleet"):
+for _module in ("offers", "planning", "scalars", "fleet", "units", "state"):
     import_module(f"fleetlens.catalog.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
