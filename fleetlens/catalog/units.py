@@ -10,7 +10,7 @@ MARKED = "m AS (SELECT batch_id, unit_key FROM v_units WHERE shard_id % 3 = 0)"
 COST = """t AS (SELECT *, CASE WHEN submit_time = '' THEN 0 ELSE epoch_us(CASE WHEN complete_time = '' THEN TIMESTAMPTZ '2003-01-01 00:00:00+00' ELSE CAST(complete_time AS TIMESTAMPTZ) END) - epoch_us(CAST(submit_time AS TIMESTAMPTZ)) END AS us
  FROM (SELECT * REPLACE (CASE WHEN submit_time = '' THEN '' ELSE submit_time END AS submit_time) FROM v_jobs))"""
 COST = COST.replace("CAST(submit_time AS TIMESTAMPTZ)", "CAST(nullif(submit_time, '') AS TIMESTAMPTZ)").replace("CAST(complete_time AS TIMESTAMPTZ)", "CAST(nullif(complete_time, '') AS TIMESTAMPTZ)")
-MICROS = "CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(us AS DECIMAL(18,0))"
+MICROS = "CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(us AS DECIMAL(24,0))"
 
 
 def markers(v):
@@ -70,7 +70,7 @@ def batch_cost(v):
     return U.batch_cost(v.jobs, AS_OF)
 
 
-SPEND = """s AS (SELECT batch_id, CAST(sum(CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(epoch_us(TIMESTAMP '2003-01-01') - epoch_us(start_ts) AS DECIMAL(18,0))) AS DOUBLE) / CAST(3.6e9 AS DOUBLE) AS spent FROM v_units WHERE status IN ('deployed', 'running') GROUP BY batch_id)"""
+SPEND = """s AS (SELECT batch_id, CAST(sum(CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(epoch_us(TIMESTAMP '2003-01-01') - epoch_us(start_ts) AS DECIMAL(24,0))) AS DOUBLE) / CAST(3.6e9 AS DOUBLE) AS spent FROM v_units WHERE status IN ('deployed', 'running') GROUP BY batch_id)"""
 
 
 @query("current_spend", "units", oracle=f", {SPEND} SELECT * FROM s")

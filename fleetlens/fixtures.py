@@ -287,6 +287,22 @@ SELECT concat('shard_', CAST(event_id%40 AS STRING), '_i', CAST(event_id AS STRI
   '## dmesg tail ##', chr(10), event_type, chr(10)) AS raw
 FROM {events} WHERE event_type IN ('error', 'purchase')"""
 
+VIEWS["v_rule_docs"] = """
+SELECT concat('bkt', CAST(p_partkey AS STRING)) AS bucket, CASE p_partkey%11 WHEN 0 THEN '{}' WHEN 1 THEN '{"Rules": []}' WHEN 2 THEN '[]' ELSE
+  concat('{"Rules": [{"ID": "r', CAST(p_partkey AS STRING), '", "Status": "Enabled", "Filter": {"Prefix": "a/', CAST(p_size AS STRING), '/"}, "Expiration": {"Days": ', CAST(p_size AS STRING), '}}, ',
+  CASE p_partkey%3 WHEN 0 THEN '{"ID": "s", "Filter": "odd", "Transition": {"Days": 3}}' WHEN 1 THEN '{"ID": "s", "Status": "Disabled", "Filter": {}, "Expiration": {"Date": "2030"}}' ELSE '{"Status": "Enabled"}' END, ']}') END AS raw
+FROM {part}"""
+
+VIEWS["v_rules_now"] = """
+SELECT concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING)) AS bucket, CAST(p_partkey%8 AS INT) AS pos, concat('foreign', CAST(p_partkey AS STRING)) AS id,
+  'Enabled' AS status, concat('p', CAST(p_partkey%8 AS STRING), '/') AS prefix, CASE WHEN p_partkey%100 = 50 THEN p_size + 1 ELSE p_size END AS days, '{}' AS extra
+FROM {part} WHERE p_partkey%130 <> 64"""
+
+VIEWS["v_rules_then"] = """
+SELECT concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING)) AS bucket, CAST(p_partkey%8 AS INT) AS pos, concat('foreign', CAST(p_partkey AS STRING)) AS id,
+  'Enabled' AS status, concat('p', CAST(p_partkey%8 AS STRING), '/') AS prefix, p_size AS days, '{}' AS extra
+FROM {part}"""
+
 _BASE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|conversations)\}")
 
 

@@ -42,16 +42,18 @@ def running(
     specs: Sequence[Running],
     *,
     slice_seconds: int = DAY,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Add running values per key, ordered by ``ts`` then ``ties``.
 
     Keys must not be NULL. The slice window holds one row per key and time
-    slice, so its size depends on the time span and not on the row count.
+    slice, so its size depends on the time span and not on the row count. For a
+    numeric order give ``slice_by``, a non-decreasing function of it.
     """
     fold = {"sum": F.sum, "max": F.max}
-    cut = df.withColumn(
-        "_slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds)
-    ).select("*", *[s.value.alias(f"_v_{s.name}") for s in specs])
+    if slice_by is None:
+        slice_by = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds)
+    cut = df.withColumn("_slice", slice_by).select("*", *[s.value.alias(f"_v_{s.name}") for s in specs])
     slices = cut.groupBy(*keys, "_slice").agg(
         *[fold[s.kind](f"_v_{s.name}").alias(f"_t_{s.name}") for s in specs]
     )
