@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.registry import query
 from fleetlens.operators import units as U
 
-AS_OF = F.lit("2003-01-01T00:00:00+00:00")
 MARKED = "m AS (SELECT batch_id, unit_key FROM v_units WHERE shard_id % 3 = 0)"
 COST = """t AS (SELECT *, CASE WHEN submit_time = '' THEN 0 ELSE epoch_us(CASE WHEN complete_time = '' THEN TIMESTAMPTZ '2003-01-01 00:00:00+00' ELSE CAST(complete_time AS TIMESTAMPTZ) END) - epoch_us(CAST(submit_time AS TIMESTAMPTZ)) END AS us
  FROM (SELECT * REPLACE (CASE WHEN submit_time = '' THEN '' ELSE submit_time END AS submit_time) FROM v_jobs))"""
@@ -13,6 +12,10 @@ COST = COST.replace("CAST(submit_time AS TIMESTAMPTZ)", "CAST(nullif(submit_time
 MICROS = "CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(us AS DECIMAL(24,0))"
 
 
+def as_of():
+    return F.lit("2003-01-01T00:00:00+00:00")
+
+
 def markers(v):
     return v.units.where("shard_id % 3 = 0").select("batch_id", "unit_key")
 
@@ -62,12 +65,12 @@ def resume_plan(v):
 
 @query("job_cost", "jobs", oracle=f", {COST} SELECT unit_key, us / CAST(3.6e9 AS DOUBLE) AS hours, CAST({MICROS} AS DOUBLE) / CAST(3.6e9 AS DOUBLE) AS cost_usd FROM t")
 def job_cost(v):
-    return U.job_cost(v.jobs, AS_OF).select("unit_key", "hours", "cost_usd")
+    return U.job_cost(v.jobs, as_of()).select("unit_key", "hours", "cost_usd")
 
 
 @query("batch_cost", "jobs", oracle=f", {COST} SELECT batch_id, CAST(sum({MICROS}) AS DOUBLE) / CAST(3.6e9 AS DOUBLE) AS cost_usd, count(*) AS jobs FROM t GROUP BY batch_id")
 def batch_cost(v):
-    return U.batch_cost(v.jobs, AS_OF)
+    return U.batch_cost(v.jobs, as_of())
 
 
 SPEND = """s AS (SELECT batch_id, CAST(sum(CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(epoch_us(TIMESTAMP '2003-01-01') - epoch_us(start_ts) AS DECIMAL(24,0))) AS DOUBLE) / CAST(3.6e9 AS DOUBLE) AS spent FROM v_units WHERE status IN ('deployed', 'running') GROUP BY batch_id)"""
@@ -75,14 +78,14 @@ SPEND = """s AS (SELECT batch_id, CAST(sum(CAST(cost_per_hour AS DECIMAL(12,6))
 
 @query("current_spend", "units", oracle=f", {SPEND} SELECT * FROM s")
 def current_spend(v):
-    return U.current_spend(v.units, AS_OF)
+    return U.current_spend(v.units, as_of())
 
 
 @query("budget_status", "units", oracle=f""", {SPEND}, c AS (SELECT *, CAST(CAST(substr(batch_id, 2) AS INT) * 150000 AS DOUBLE) AS ceiling FROM s)
 SELECT batch_id, ceiling, CASE WHEN ceiling = 0 THEN 'unlimited' WHEN spent >= ceiling THEN 'exceeded' WHEN spent >= ceiling * 0.8 THEN 'warning' ELSE 'ok' END AS status FROM c""")
 def budget_status(v):
     ceiling = (F.substr("batch_id", F.lit(2)).cast("int") * 150000).cast("double")
-    rows = U.current_spend(v.units, AS_OF).withColumn("ceiling", ceiling)
+    rows = U.current_spend(v.units, as_of()).withColumn("ceiling", ceiling)
     return rows.select("batch_id", "ceiling", U.budget_status(F.col("spent"), F.col("ceiling")).alias("status"))
 
 
@@ -103,7 +106,7 @@ def archivable_batches(v):
 @query("archive_terminal", "settled_units", oracle=f""", {DONE}
 SELECT u.batch_id, u.unit_key, CASE WHEN d.units IS NOT NULL THEN u.batch_id || '_20030101_000000.json' END AS archive_name FROM v_settled_units u LEFT JOIN d USING (batch_id, kind)""")
 def archive_terminal(v):
-    return U.archive_terminal(v.settled_units, AS_OF).select("batch_id", "unit_key", "archive_name")
+    return U.archive_terminal(v.settled_units, as_of()).select("batch_id", "unit_key", "archive_name")
 
 
 @query("unit_current_state", "unit_events", oracle="""

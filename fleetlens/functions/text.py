@@ -8,17 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space plus the control separators Python also strips.
-_SPACE = r"[\s\x1C-\x1F]"
+SPACE = r"[\s\x1C-\x1F]"
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
 def has_space(text: Column) -> Column:
     """True when any white space occurs in ``text``."""
-    return text.rlike(f"(?U){_SPACE}")
+    return text.rlike(f"(?U){SPACE}")
 
 
 def full_match(text: Column, pattern: str) -> Column:

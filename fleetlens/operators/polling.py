@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens import constants as C
 from fleetlens.functions import json_values as J
 from fleetlens.operators.units import budget_status
 
 
+def event_time(df: DataFrame, name: str) -> Column:
+    """The time column as a timestamp; left untouched when it is one, so a watermark on it holds."""
+    column = F.col(name)
+    return column if isinstance(df.schema[name].dataType, T.TimestampType) else column.cast("timestamp")
+
+
 def snapshot(probe: Column) -> Column:
     """Struct ``complete, worker_dead, log_tail`` of a VARIANT probe answer; defaults when it is no object."""
     return F.struct(
@@ -122,7 +129,7 @@ def stuck_units(events: DataFrame, *, timeout_seconds: int = C.BOOT_TIMEOUT_SECO
 def spend_windows(spend: DataFrame, ceiling: float, *, width: str = "1 day") -> DataFrame:
     """Spend per batch and time window, the running total and its budget status."""
     amount = F.sum(F.col("amount").cast("decimal(18,6)")).alias("_amount")
-    windows = spend.groupBy("batch_id", F.window(F.col("ts").cast("timestamp"), width).alias("_w")).agg(amount)
+    windows = spend.groupBy("batch_id", F.window(event_time(spend, "ts"), width).alias("_w")).agg(amount)
     ordered = Window.partitionBy("batch_id").orderBy("_start")
     total = F.sum("_amount").over(ordered).cast("double")
     return (
@@ -148,7 +155,7 @@ def cycle_summary(actions: DataFrame, *, width: str = "1 hour") -> DataFrame:
     """Per poll cycle: completed and preempted units, and whether anything moved."""
     done, lost = F.col("action") == "complete", F.col("action") == "preempt"
     return (
-        actions.groupBy(F.window(F.col("ts").cast("timestamp"), width).alias("_w"))
+        actions.groupBy(F.window(event_time(actions, "ts"), width).alias("_w"))
         .agg(F.count_if(done).alias("terminal"), F.count_if(lost).alias("preempted"))
         .select(
             F.unix_seconds("_w.start").alias("cycle_start"),
