@@ -79,7 +79,8 @@ def price_summary(
     if listed is not None:
         passing = cheapest_per_type(passing, listed)
     priced = passing.where(F.col("dph_total").isNotNull() & (F.col("dph_total") != 0))
-    live = exact_median(priced, ["gpu_type"], "dph_total").select(
+    ceiling = float(thresholds.get("max_cost_per_hour", C.MAX_COST_PER_HOUR))
+    live = exact_median(priced, ["gpu_type"], "dph_total", bounds=(0.0, ceiling)).select(
         "gpu_type",
         F.col("count").alias("available_count"),
         F.col("min").alias("min_price_hr"),

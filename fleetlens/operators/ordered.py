@@ -99,42 +99,59 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, name: str = "ran
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, cells: int = 4096) -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, *, bounds: tuple[float, float] | None = None, cells: int = 4096
+) -> DataFrame:
     """Exact ``count, min, max, median`` of a double per key.
 
     Equal values are counted before any shuffle. A histogram of at most
     ``cells`` rows per key then finds the cells that hold the middle ranks, and
-    only the values of those cells are ordered.
+    only the values of those cells are ordered. ``bounds`` that all values
+    respect save the pass that looks for the range of each key.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    present = F.col(value).isNotNull()
+    for key in keys:
+        present = present & F.col(key).isNotNull()
+    ranged = df.where(present)
+    if bounds is None:
+        span = ranged.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        ranged = ranged.join(span, list(keys))
+        low, width = F.col("_lo"), F.col("_hi") - F.col("_lo")
+    else:
+        low, width = F.lit(bounds[0]), F.lit(bounds[1] - bounds[0])
+    cell = F.when(width > 0, F.floor((F.col(value) - low) / width * (cells - 1))).otherwise(F.lit(0))
+    # The explicit test keeps both readers of the counts on one shuffle: the join below would
+    # otherwise add it to one side only.
+    placed = (
+        ranged.withColumn("_cell", cell.cast("int"))
+        .where(F.col("_cell").isNotNull())
+        .groupBy(*keys, "_cell", value)
+        .agg(F.count("*").alias("_n"))
     )
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * (cells - 1))).otherwise(F.lit(0))
-    placed = counts.join(span, list(keys)).withColumn("_cell", cell.cast("int"))
-    up_to = Window.partitionBy(*keys).orderBy("_cell")
-    hist = placed.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"), F.max("_total").alias("_ct"))
-    lower, upper = F.floor((F.col("_ct") - 1) / 2), F.floor(F.col("_ct") / 2)
+    per_key = Window.partitionBy(*keys)
+    lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     middle = (
-        hist.withColumn("_end", F.sum("_cn").over(up_to))
+        placed.groupBy(*keys, "_cell")
+        .agg(F.sum("_n").alias("_cn"), F.min(value).alias("_cell_min"), F.max(value).alias("_cell_max"))
+        .withColumn("_end", F.sum("_cn").over(per_key.orderBy("_cell")))
         .withColumn("_start", F.col("_end") - F.col("_cn"))
+        .withColumn("_total", F.sum("_cn").over(per_key))
+        .withColumn("_min", F.min("_cell_min").over(per_key))
+        .withColumn("_max", F.max("_cell_max").over(per_key))
         .where((F.col("_start") <= upper) & (F.col("_end") > lower))
-        .select(*keys, "_cell", "_start")
+        .select(*keys, "_cell", "_start", "_total", "_min", "_max")
     )
     in_cell = Window.partitionBy(*keys, "_cell").orderBy(value)
-    end = F.col("_start") + F.sum("_n").over(in_cell)
-    lo_rank, hi_rank = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     return (
         placed.join(middle, [*keys, "_cell"])
-        .withColumn("_e", end)
+        .withColumn("_e", F.col("_start") + F.sum("_n").over(in_cell))
         .withColumn("_s", F.col("_e") - F.col("_n"))
-        .where((F.col("_s") <= hi_rank) & (F.col("_e") > lo_rank))
+        .where((F.col("_s") <= upper) & (F.col("_e") > lower))
         .groupBy(*keys)
         .agg(
             F.max("_total").alias("count"),
-            F.max("_lo").alias("min"),
-            F.max("_hi").alias("max"),
+            F.max("_min").alias("min"),
+            F.max("_max").alias("max"),
             ((F.min(value) + F.max(value)) / 2).alias("median"),
         )
     )
