@@ -89,5 +89,5 @@ def run_workload_query(v):
         work,
         health=shards.withColumn("healthy", F.col("shard_id") != 3),
         gates=shards.withColumn("open", F.col("shard_id") != 5),
-        block_rows=200,
+        block_rows=5_000,
     )

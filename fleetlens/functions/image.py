@@ -1,20 +1,23 @@
-"""Container image references: validation and repository."""
+"""Container image references: validation and repository.
+
+One regular expression validates a whole reference and captures its
+repository, so a row costs one match however many places ask for it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import full_match, has_space, strip
+from fleetlens.functions.text import SPACE, strip
 
 # The reference grammar and the digest lengths of registered algorithms.
 DIGEST = "[a-z0-9]+(?:[+._-][a-z0-9]+)*:[A-Za-z0-9=_-]+"
 DIGEST_HEX = {"sha256": 64, "sha512": 128, "blake3": 64}
 TAG = "[A-Za-z0-9_][A-Za-z0-9_.-]{0,127}"
-PATH_PART = "[a-z0-9]+(?:(?:[._]|__|-+)[a-z0-9]+)*"
 HOST_LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 MAX_HOST = 253
-MAX_PORT = 65_535
+PORT = "0*(?:[1-9][0-9]{0,3}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
 
 
 def _ipv6_pattern() -> str:
@@ -29,83 +32,46 @@ def _ipv6_pattern() -> str:
         forms.append(f"{head}::(?:{group}:){{{after}}}{tail}")
     forms.append(f"(?:(?:{group}:){{0,5}}{group})?::{group}")
     forms.append(f"(?:(?:{group}:){{0,6}}{group})?::")
-    return f"(?:{'|'.join(forms)})(?:%[^%]+)?"
+    return rf"(?:{'|'.join(forms)})(?:%[^%\]]+)?"
 
 
 IPV6 = _ipv6_pattern()
 
 
-def valid_digest(digest: Column) -> Column:
-    """Digest grammar, and lower-case hex of the right length for registered algorithms."""
-    algorithm = F.substring_index(digest, ":", 1)
-    ok = F.lit(True)
-    for name, length in DIGEST_HEX.items():
-        ok = F.when(algorithm == name, full_match(digest, f"{name}:[0-9a-f]{{{length}}}")).otherwise(ok)
-    return full_match(digest, DIGEST) & ok
-
-
-def valid_port(port: Column) -> Column:
-    """Decimal port from 1 to 65535."""
-    digits = F.regexp_replace(port, r"\A0+", "")
-    number = F.when(F.length(digits) <= 5, digits.try_cast("int"))
-    return full_match(port, "[0-9]+") & F.coalesce(number.between(1, MAX_PORT), F.lit(False))
-
-
-def valid_registry(registry: Column) -> Column:
-    """DNS name, IPv4 or bracketed IPv6 host with an optional port."""
-    inner = F.regexp_extract(registry, r"(?s)\A\[([^\]]*)\]", 1)
-    suffix = F.regexp_replace(registry, r"(?s)\A\[[^\]]*\]", "")
-    bracketed = (
-        registry.rlike(r"(?s)\A\[[^\]]*\]")
-        & full_match(inner, IPV6)
-        & ((suffix == "") | (suffix.startswith(":") & valid_port(F.substr(suffix, F.lit(2)))))
-    )
-    pieces = F.split(registry, ":")
-    host = F.get(pieces, F.lit(0))
-    host_ok = (host == "localhost") | (
-        (host != "")
-        & (F.length(host) <= MAX_HOST)
-        & F.forall(F.split(host, r"\."), lambda label: full_match(label, HOST_LABEL))
-    )
-    port_ok = F.when(F.size(pieces) == 1, True).when(
-        F.size(pieces) == 2, valid_port(F.get(pieces, F.lit(1)))
-    ).otherwise(False)
-    return F.when(registry.startswith("["), bracketed).otherwise(host_ok & port_ok)
-
-
-def valid_repository(repository: Column) -> Column:
-    """Registry (when the first part looks like one) and lower-case path parts."""
-    parts = F.split(repository, "/")
-    first = F.get(parts, F.lit(0))
-    has_registry = (F.size(parts) > 1) & (
-        (first == "localhost") | first.startswith("[") | first.contains(".") | first.contains(":")
-    )
-    rest = F.when(has_registry, F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    return (
-        F.forall(parts, lambda p: p != "")
-        & F.when(has_registry, valid_registry(first)).otherwise(True)
-        & F.forall(rest, lambda p: full_match(p, PATH_PART))
-    )
+def _path_pattern() -> str:
+    """Lower-case parts; inside a part single ``.`` or ``_``, ``__`` or dashes stand between letters.
+
+    Written as a character class and a scan for forbidden neighbours, because a
+    repeated group recurses on every repetition.
+    """
+    forbidden = r"\.[._-]|_[.-]|-[._]|___|//|[._-]/|/[._-]"
+    letters = "[a-z0-9._/-]*"
+    return rf"(?!{letters}?(?:{forbidden}))[a-z0-9](?:{letters}[a-z0-9])?"
+
+
+def _reference_pattern() -> str:
+    """The whole reference, with the repository as group 1.
+
+    A first part followed by a slash is a registry when it is ``localhost``, a
+    bracketed address or has a dot or a colon; it must be valid then.
+    """
+    host = rf"(?=[^/:]{{1,{MAX_HOST}}}[/:]){HOST_LABEL}(?:\.{HOST_LABEL})*"
+    dns = rf"(?:localhost(?=[/:])|(?=[^/]*[.:]){host})(?::{PORT})?"
+    address = rf"\[(?:{IPV6})\](?::{PORT})?"
+    bare = r"(?![^/]*\.[^/]*/)"
+    path = _path_pattern()
+    known = "|".join(f"{name}:[0-9a-f]{{{length}}}" for name, length in DIGEST_HEX.items())
+    digest = f"(?:{known}|(?!(?:{'|'.join(DIGEST_HEX)}):){DIGEST})"
+    repository = rf"(?:(?:{dns}|{address})/{path}|{bare}{path})"
+    return rf"(?U)\A{SPACE}*({repository})(?::{TAG})?(?:@{digest})?{SPACE}*\z"
+
+
+REFERENCE = _reference_pattern()
 
 
 def image_repository(image: Column) -> Column:
     """Repository of a valid reference without tag and digest, ``""`` for a malformed one."""
-    ref = strip(image)
-    pieces = F.split(ref, "@")
-    name = F.get(pieces, F.lit(0))
-    digest = F.get(pieces, F.lit(1))
-    tagged = name.rlike(r"(?s)\A.*:[^/:]*\z")
-    tag = F.regexp_extract(name, r"(?s)\A.*:([^/:]*)\z", 1)
-    repository = F.when(tagged, F.regexp_extract(name, r"(?s)\A(.*):[^/:]*\z", 1)).otherwise(name)
-    ok = (
-        (ref != "")
-        & ~has_space(ref)
-        & (F.size(pieces) <= 2)
-        & F.when(F.size(pieces) == 2, (name != "") & valid_digest(digest)).otherwise(True)
-        & F.when(tagged, full_match(tag, TAG)).otherwise(True)
-        & valid_repository(repository)
-    )
-    return F.when(ok, repository).otherwise("")
+    return F.regexp_extract(image, REFERENCE, 1)
 
 
 def images_from_flag(flag: Column) -> Column:

@@ -22,7 +22,7 @@ def verify_verdict(status_code: Column, body: Column) -> Column:
     """Struct ``verdict, error`` of one status request: ``gone, present, unknown``."""
     root = J.parse(body)
     status = J.field(root, "actual_status")
-    destroyed = (J.type_of(status) == "string") & (F.try_variant_get(status, "$", "string") == "destroyed")
+    destroyed = J.string(status) == "destroyed"
     readable = J.is_object(root)
     verdict = (
         F.when(status_code == 404, "gone")

@@ -13,7 +13,7 @@ from fleetlens import constants as C
 from fleetlens.functions import json_values as J
 from fleetlens.functions.image import image_repository
 from fleetlens.functions.scope import in_scope
-from fleetlens.functions.text import quoted, strip
+from fleetlens.functions.text import lookup, quoted, strip
 
 RECORD_FIELDS = ("instance_id", "label", "state", "image_uuid", "ownership_key", "gpu_model", "cost_per_hour", "started_at")
 
@@ -24,17 +24,17 @@ def list_documents(docs: DataFrame, raw: str = "raw") -> DataFrame:
     Returns the document columns with ``error`` (empty when fine) and
     ``records`` (array of VARIANT).
     """
-    root = docs.withColumn("_root", J.parse(F.col(raw)))
-    kind = J.type_of(F.col("_root"))
+    opened = docs.withColumn("_root", J.parse(F.col(raw))).withColumn("_records", J.elements(F.col("_root")))
+    kind = lookup(J.type_of(F.col("_root")), J.TYPE_NAMES, "value")
     error = (
-        F.when(F.col("_root").isNull(), "listing JSON is invalid")
-        .when(kind != "array", F.concat(F.lit("listing must be a list, got "), kind))
-        .otherwise("")
+        F.when(F.col("_records").isNotNull(), "")
+        .when(F.col("_root").isNull(), "listing JSON is invalid")
+        .otherwise(F.concat(F.lit("listing must be a list, got "), kind))
     )
-    return root.select(
+    return opened.select(
         *[c for c in docs.columns if c != raw],
         error.alias("error"),
-        F.coalesce(J.elements(F.col("_root")), F.array().cast("array<variant>")).alias("records"),
+        F.coalesce("_records", F.array().cast("array<variant>")).alias("records"),
     )
 
 
@@ -46,23 +46,33 @@ def explode_records(listings: DataFrame, records: str = "records") -> DataFrame:
 
 def open_pages(pages: DataFrame) -> DataFrame:
     """Check every page envelope: adds ``next_token``, ``records`` and ``error``."""
-    root = pages.withColumn("_root", J.parse(F.col("raw")))
-    token = J.field(F.col("_root"), "next_token")
-    token_kind = F.coalesce(J.type_of(token), F.lit("void"))
-    records = J.field(F.col("_root"), "instances")
-    text = F.try_variant_get(token, "$", "string")
+    parsed = pages.withColumn("_root", J.fields(J.parse(F.col("raw")), "instances", "next_token")).withColumn(
+        "_token", F.col("_root.next_token")
+    )
+    opened = J.computed_once(
+        parsed,
+        {
+            "records": J.elements(F.col("_root.instances")),
+            "_token_type": F.coalesce(J.type_of(F.col("_token")), F.lit(J.NULL)),
+            "_text": F.try_variant_get("_token", "$", "string"),
+            "_object": F.col("_root").isNotNull(),
+        },
+        keep=("listing_id", "page_no", "after_token"),
+    )
+    is_text = F.col("_token_type") == J.STRING
+    bad_token = (~is_text & (F.col("_token_type") != J.NULL)) | (is_text & (F.col("_text") == ""))
     error = (
-        F.when(~J.is_object(F.col("_root")), "page must be an object")
-        .when(F.coalesce(J.type_of(records), F.lit("")) != "array", "page has no instance list")
-        .when(~token_kind.isin("void", "string") | ((token_kind == "string") & (text == "")), "invalid page token")
+        F.when(~F.col("_object"), "page must be an object")
+        .when(F.col("records").isNull(), "page has no instance list")
+        .when(bad_token, "invalid page token")
         .otherwise("")
     )
-    return root.select(
+    return opened.select(
         "listing_id",
         "page_no",
         "after_token",
-        F.when(token_kind == "string", text).alias("next_token"),
-        J.elements(records).alias("records"),
+        F.when(is_text, F.col("_text")).alias("next_token"),
+        "records",
         error.alias("error"),
     )
 
@@ -115,27 +125,31 @@ def normalize_records(records: DataFrame, record: Column, *, provider: str = C.P
     ``reject`` is empty for a valid candidate. ``canonical_id`` is also set for
     records that fail later checks, since duplicates count those too.
     """
-    fields = (
-        records.withColumn("_r", record)
-        .withColumn("canonical_id", J.normalize_id(J.field(F.col("_r"), "id")))
-        .withColumn("_image", J.field(F.col("_r"), "image_uuid"))
-    )
-    image = J.string_or_empty(F.col("_image"))
-    typed = fields.select(
-        *records.columns,
-        J.is_object(F.col("_r")).alias("is_object"),
-        "canonical_id",
-        F.coalesce(J.type_of(F.col("_image")) == "string", F.lit(False)).alias("image_is_text"),
-        F.lit(provider).alias("provider"),
-        F.col("canonical_id").alias("instance_id"),
-        J.string_or_empty(J.field(F.col("_r"), "label")).alias("label"),
-        J.string_or_empty(J.field(F.col("_r"), "actual_status")).alias("state"),
-        image.alias("image_uuid"),
-        image.alias("ownership_key"),
-        J.string_or_empty(J.field(F.col("_r"), "gpu_name")).alias("gpu_model"),
-        J.float_or_zero(J.field(F.col("_r"), "dph_total")).alias("cost_per_hour"),
-        J.float_or_zero(J.field(F.col("_r"), "start_date")).alias("started_at"),
+    names = ("id", "image_uuid", "label", "actual_status", "gpu_name", "dph_total", "start_date")
+    fields = J.computed_once(
+        records.withColumn("_r", J.fields(record, *names)),
+        {
+            "is_object": F.col("_r").isNotNull(),
+            "canonical_id": J.normalize_id(F.col("_r.id")),
+            "_image": J.string(F.col("_r.image_uuid")),
+            "label": J.string_or_empty(F.col("_r.label")),
+            "state": J.string_or_empty(F.col("_r.actual_status")),
+            "gpu_model": J.string_or_empty(F.col("_r.gpu_name")),
+            "cost_per_hour": J.float_or_zero(F.col("_r.dph_total")),
+            "started_at": J.float_or_zero(F.col("_r.start_date")),
+        },
+        keep=tuple(records.columns),
     )
+    image = F.coalesce("_image", F.lit(""))
+    typed = fields.withColumns(
+        {
+            "image_is_text": F.col("_image").isNotNull(),
+            "provider": F.lit(provider),
+            "instance_id": F.col("canonical_id"),
+            "image_uuid": image,
+            "ownership_key": image,
+        }
+    ).drop("_image")
     reject = (
         F.when(~F.col("is_object"), "not an object")
         .when(F.col("canonical_id").isNull(), "invalid id")

@@ -35,7 +35,7 @@ def parse_rules(documents: DataFrame) -> DataFrame:
         F.coalesce(J.text(F.col("_rule"), "ID"), F.lit("")).alias("id"),
         J.text(F.col("_rule"), "Status").alias("status"),
         F.coalesce(F.try_variant_get("_rule", "$.Filter.Prefix", "string"), F.lit("")).alias("prefix"),
-        F.when(J.type_of(days) == J.INTEGER, F.try_variant_get(days, "$", "bigint")).alias("days"),
+        F.when(J.is_integer(days), F.try_variant_get(days, "$", "bigint")).alias("days"),
         F.to_json("_rule").alias("raw_rule"),
     )
 
@@ -251,7 +251,7 @@ def policy_error(bucket: Column, days_json: Column) -> Column:
     number = F.try_variant_get(days, "$", "decimal(38,0)")
     return (
         F.when(F.coalesce(strip(bucket), F.lit("")) == "", "bucket must be a non-empty string")
-        .when(F.coalesce(J.type_of(days), F.lit("")) != J.INTEGER, "expire_after_days must be an integer")
+        .when(~J.is_integer(days), "expire_after_days must be an integer")
         .when(number < 1, "expire_after_days must be >= 1")
         .otherwise("")
     )

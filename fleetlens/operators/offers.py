@@ -105,7 +105,7 @@ def offers_from_json(raw: Column) -> Column:
         "array<struct<id:bigint,machine_id:string,gpu_name:string,num_gpus:int,rentable:boolean,"
         "cuda_max_good:double,dph_total:double,inet_down:double,reliability:double>>"
     )
-    is_array = F.schema_of_variant(F.try_parse_json(raw)).startswith("ARRAY")
+    is_array = raw.rlike(r"\A\s*\[") & F.try_parse_json(raw).isNotNull()
     return F.when(is_array, F.from_json(raw, schema))
 
 

@@ -17,15 +17,29 @@ def event_time(df: DataFrame, name: str) -> Column:
     return column if isinstance(df.schema[name].dataType, T.TimestampType) else column.cast("timestamp")
 
 
+ANSWER = ("complete", "worker_dead", "log_tail")
+
+
 def snapshot(probe: Column) -> Column:
     """Struct ``complete, worker_dead, log_tail`` of a VARIANT probe answer; defaults when it is no object."""
+    return _normalised(J.fields(probe, *ANSWER))
+
+
+def _normalised(answer: Column) -> Column:
     return F.struct(
-        J.truthy(J.field(probe, "complete")).alias("complete"),
-        J.truthy(J.field(probe, "worker_dead")).alias("worker_dead"),
-        J.string_or_empty(J.field(probe, "log_tail")).alias("log_tail"),
+        J.truthy(answer["complete"]).alias("complete"),
+        J.truthy(answer["worker_dead"]).alias("worker_dead"),
+        J.string_or_empty(answer["log_tail"]).alias("log_tail"),
     )
 
 
+def with_snapshot(probes: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``_probe``, the snapshot of the JSON text in ``raw``; NULL where the text is NULL."""
+    parsed = probes.withColumn("_answer", J.fields(J.parse(F.col(raw)), *ANSWER))
+    once = J.computed_once(parsed, {"_snapshot": _normalised(F.col("_answer"))}, keep=tuple(probes.columns))
+    return once.withColumn("_probe", F.when(F.col(raw).isNotNull(), F.col("_snapshot"))).drop("_snapshot")
+
+
 def unit_action(marked: Column, probe: Column, marked_again: Column) -> Column:
     """Struct ``action, cause, detail``: ``complete, preempt`` or ``continue``.
 
@@ -60,7 +74,7 @@ def unit_actions(probes: DataFrame, markers: DataFrame, *, recheck_seconds: int
     order = F.struct("ts", "event_id")
     latest = probes.groupBy("unit_key").agg(F.max("ts").alias("ts"), F.max_by("raw", order).alias("_raw"))
     first_mark = markers.groupBy("unit_key").agg(F.min("marker_ts").alias("_mark"))
-    joined = latest.join(first_mark, "unit_key", "left").withColumn("_probe", snapshot(J.parse(F.col("_raw"))))
+    joined = with_snapshot(latest.join(first_mark, "unit_key", "left"), "_raw")
     marked = F.coalesce(F.col("_mark") <= F.col("ts"), F.lit(False))
     again = F.coalesce(F.col("_mark") <= F.col("ts") + F.make_interval(secs=F.lit(recheck_seconds)), F.lit(False))
     return joined.withColumn("_a", unit_action(marked, F.col("_probe"), again)).select("unit_key", "ts", "_a.*")
@@ -99,16 +113,14 @@ def follows_within(
 
 def dead_recheck(probes: DataFrame, markers: DataFrame, *, wait_seconds: int) -> DataFrame:
     """Every dead probe with its final action: a marker within the wait completes it, else preempt."""
-    dead = probes.withColumn("_p", snapshot(J.parse(F.col("raw")))).where(
-        F.col("_p.worker_dead") & ~F.col("_p.complete")
-    )
+    dead = with_snapshot(probes).where(F.col("_probe.worker_dead") & ~F.col("_probe.complete"))
     checked = follows_within(dead, markers, "unit_key", "ts", "marker_ts", wait_seconds)
     return checked.select(
         "event_id",
         "unit_key",
         "ts",
         F.when(F.col("followed"), "complete").otherwise("preempt").alias("action"),
-        F.when(~F.col("followed"), F.col("_p.log_tail")).alias("detail"),
+        F.when(~F.col("followed"), F.col("_probe.log_tail")).alias("detail"),
     )
 
 
@@ -169,7 +181,7 @@ def cycle_summary(actions: DataFrame, *, width: str = "1 hour") -> DataFrame:
 def probe_actions(probes: DataFrame, markers: DataFrame) -> DataFrame:
     """Action of every single probe, given whether its unit had a marker by then."""
     first_mark = markers.groupBy("unit_key").agg(F.min("marker_ts").alias("_mark"))
-    joined = probes.join(first_mark, "unit_key", "left").withColumn("_probe", snapshot(J.parse(F.col("raw"))))
+    joined = with_snapshot(probes).join(first_mark, "unit_key", "left")
     marked = F.coalesce(F.col("_mark") <= F.col("ts"), F.lit(False))
     return joined.withColumn("_a", unit_action(marked, F.col("_probe"), marked)).select(
         "event_id", "unit_key", "ts", "_a.*"

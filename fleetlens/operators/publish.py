@@ -8,48 +8,63 @@ from pyspark.sql import functions as F
 SHARD = ("batch_id", "shard_id")
 
 
+def _entries(outputs: DataFrame, completions: DataFrame) -> DataFrame:
+    """Top-level output entries without a completion marker, with ``is_dir``.
+
+    Outputs and markers meet in one aggregate, so the file list is reduced
+    before the only shuffle.
+    """
+    parts = F.split("rel_path", "/")
+    yes, no = F.lit(True), F.lit(False)
+    written = outputs.select(
+        *SHARD, F.get(parts, F.lit(0)).alias("entry"), (F.size(parts) > 1).alias("is_dir"), yes.alias("_out"), no.alias("_done")
+    )
+    done = completions.select(*SHARD, F.col("prediction").alias("entry"), yes.alias("is_dir"), no.alias("_out"), yes.alias("_done"))
+    return (
+        written.unionByName(done)
+        .groupBy(*SHARD, "entry", "is_dir")
+        .agg(F.max("_out").alias("_out"), F.max("_done").alias("_done"))
+        .where(F.col("_out") & ~F.col("_done"))
+        .select(*SHARD, "entry", "is_dir")
+    )
+
+
 def missing_predictions(outputs: DataFrame, completions: DataFrame, shard_markers: DataFrame) -> DataFrame:
     """Top-level output entries without proof of completion.
 
     Directories need their own completion marker. A flat file needs the shard
     marker and shows as ``FLAT:<name>``.
     """
-    parts = F.split("rel_path", "/")
-    entries = outputs.select(*SHARD, F.get(parts, F.lit(0)).alias("entry"), (F.size(parts) > 1).alias("_dir"))
-    directories = (
-        entries.where("_dir")
-        .select(*SHARD, "entry")
-        .distinct()
-        .join(completions.withColumnRenamed("prediction", "entry").select(*SHARD, "entry"), [*SHARD, "entry"], "left_anti")
-    )
-    flat = (
-        entries.where(~F.col("_dir"))
-        .select(*SHARD, "entry")
-        .distinct()
-        .join(shard_markers.select(*SHARD), list(SHARD), "left_anti")
-        .select(*SHARD, F.concat(F.lit("FLAT:"), "entry").alias("entry"))
-    )
-    return directories.unionByName(flat)
+    marked = shard_markers.select(*SHARD, F.lit(False).alias("is_dir"))
+    shown = F.when(F.col("is_dir"), F.col("entry")).otherwise(F.concat(F.lit("FLAT:"), "entry"))
+    return _entries(outputs, completions).join(marked, [*SHARD, "is_dir"], "left_anti").select(*SHARD, shown.alias("entry"))
 
 
 def upload_unresolved(
     shards: DataFrame, outputs: DataFrame, failures: DataFrame, completions: DataFrame, shard_markers: DataFrame
 ) -> DataFrame:
-    """Add ``unresolved`` to every shard: its uploads are not provably complete."""
-    def flag(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*SHARD).distinct().withColumn(name, F.lit(True))
-
-    missing = missing_predictions(outputs, completions, shard_markers)
-    evidence = shards
-    for df, name in ((failures, "_failed"), (outputs, "_outputs"), (shard_markers, "_marker"), (missing, "_missing")):
-        evidence = evidence.join(flag(df, name), list(SHARD), "left")
+    """``unresolved`` per shard of ``shards``: its uploads are not provably complete.
+
+    All evidence is tagged, united and reduced by shard in one aggregate.
+    """
+    tables = {
+        "shard": shards,
+        "failed": failures,
+        "output": outputs,
+        "marker": shard_markers,
+        "missing": _entries(outputs, completions),
+    }
+    tagged = None
+    for tag, table in tables.items():
+        rows = table.select(*SHARD, F.lit(tag).alias("_tag"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    has = {tag: F.max(F.col("_tag") == tag).alias(f"_{tag}") for tag in tables}
     unresolved = (
-        F.when(F.col("_failed").isNotNull(), True)
-        .when(F.col("_outputs").isNull(), False)
-        .when(F.col("_marker").isNotNull(), False)
-        .otherwise(F.col("_missing").isNotNull())
+        F.when(F.col("_failed"), True)
+        .when(~F.col("_output") | F.col("_marker"), False)
+        .otherwise(F.col("_missing"))
     )
-    return evidence.select(*shards.columns, unresolved.alias("unresolved"))
+    return tagged.groupBy(*SHARD).agg(*has.values()).where("_shard").select(*SHARD, unresolved.alias("unresolved"))
 
 
 def publish_code(evidence: DataFrame, *, full: bool) -> DataFrame:

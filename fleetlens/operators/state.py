@@ -25,34 +25,41 @@ def open_documents(docs: DataFrame) -> DataFrame:
     Adds ``schema_version`` (0 when missing), ``schema_error`` and the parsed
     columns the later steps share.
     """
-    parsed = docs.withColumn("root", J.parse(F.col("raw"))).withColumn("_kind", J.type_of(F.col("root")))
-    fields = ("schema_version", "shards", "jobs", "label", "label_scope")
-    opened = parsed.withColumns({f"_{f}": J.field(F.col("root"), f) for f in fields}).withColumns(
-        {f"_k_{f}": J.type_of(J.field(F.col("root"), f)) for f in fields}
-    )
-    version = F.try_variant_get("_schema_version", "$", "bigint")
+    root = F.col("root")
+    names = ("schema_version", "shards", "jobs", "label", "label_scope")
+    parsed = docs.withColumn("root", J.parse(F.col("raw"))).withColumn("_f", J.fields(root, *names))
+    parsed = parsed.withColumns({f"_{name}": F.col(f"_f.{name}") for name in names})
+    version = F.when(J.is_integer(F.col("_schema_version")), F.try_variant_get("_schema_version", "$", "bigint"))
 
     def bad_list(name: str) -> Column:
-        return ~F.coalesce(F.col(f"_k_{name}"), F.lit("void")).isin("void", "array")
+        value = F.col(f"_{name}")
+        return J.elements(value).isNull() & (J.type_of(value) != J.NULL)
 
     error = (
-        F.when(F.col("root").isNull(), "state JSON is invalid")
-        .when(F.col("_kind") != "object", "state JSON root must be an object")
-        .when(F.coalesce("_k_schema_version", F.lit(J.INTEGER)) != J.INTEGER, "schema_version must be an integer")
+        F.when(root.isNull(), "state JSON is invalid")
+        .when(F.col("_f").isNull(), "state JSON root must be an object")
+        .when(F.col("_schema_version").isNotNull() & ~J.is_integer(F.col("_schema_version")), "schema_version must be an integer")
         .when(
-            F.col("_k_schema_version").isNotNull() & ~F.coalesce(version.isin(0, C.SCHEMA_VERSION), F.lit(False)),
+            F.col("_schema_version").isNotNull() & ~F.coalesce(version.isin(0, C.SCHEMA_VERSION), F.lit(False)),
             "unsupported schema_version",
         )
         .when(bad_list("shards"), "persisted shards must be a list or null")
         .when(bad_list("jobs"), "persisted jobs must be a list or null")
         .otherwise("")
     )
-    units = F.concat(
-        F.coalesce(J.elements(F.col("_shards")), _empty()), F.coalesce(J.elements(F.col("_jobs")), _empty())
-    )
-    return opened.withColumns(
-        {"schema_version": F.coalesce(version, F.lit(0)), "schema_error": error, "_units": units}
-    )
+    shared = {
+        "schema_version": F.coalesce(version, F.lit(0)),
+        "schema_error": error,
+        "_keys": J.object_keys(root),
+        "_l_shards": J.elements(F.col("_shards")),
+        "_l_jobs": J.elements(F.col("_jobs")),
+    }
+    for name in ("label", "label_scope"):
+        value = F.col(f"_{name}")
+        shared[f"_{name}_text"] = J.string_or_empty(value)
+        shared[f"_{name}_true"] = J.truthy(value)
+        shared[f"_{name}_odd"] = J.string(value).isNull() & J.truthy(value)
+    return J.computed_once(parsed, shared, keep=(*docs.columns, "root"))
 
 
 def validate_schema(docs: DataFrame) -> DataFrame:
@@ -60,15 +67,6 @@ def validate_schema(docs: DataFrame) -> DataFrame:
     return open_documents(docs).select("path", "schema_version", F.col("schema_error").alias("error"))
 
 
-def _legacy_text(name: str) -> Column:
-    """String value of a legacy field; any falsy value is empty."""
-    return F.when(F.col(f"_k_{name}") == "string", F.try_variant_get(f"_{name}", "$", "string")).otherwise("")
-
-
-def _bad_legacy(name: str) -> Column:
-    return J.truthy(F.col(f"_{name}")) & (F.col(f"_k_{name}") != "string")
-
-
 def load_documents(docs: DataFrame) -> DataFrame:
     """Decide for every document: ``load, migrate, archive`` or ``reject`` with the error.
 
@@ -77,75 +75,80 @@ def load_documents(docs: DataFrame) -> DataFrame:
     rejected otherwise.
     """
     opened = open_documents(docs)
-    terminal = F.when(F.col("kind") == "job", F.array(*map(F.lit, C.JOB_TERMINAL))).otherwise(
-        F.array(*map(F.lit, C.SHARD_TERMINAL))
-    )
-    staged = opened.withColumns(
-        {
-            "_statuses": F.transform(
-                "_units",
-                lambda u: F.when(J.type_of(J.field(u, "status")) == "string", F.try_variant_get(u, "$.status", "string")),
-            ),
-            "_terminal": terminal,
-            "_label_text": _legacy_text("label"),
-            "_scope_text": _legacy_text("label_scope"),
-            "_keys": F.when(F.col("_kind") == "object", J.object_keys(F.col("root"))),
-        }
-    ).withColumns(
+    job = F.col("kind") == "job"
+
+    def either(for_jobs: tuple[str, ...], for_shards: tuple[str, ...]) -> Column:
+        return F.when(job, F.array(*map(F.lit, for_jobs))).otherwise(F.array(*map(F.lit, for_shards)))
+
+    legacy = F.col("schema_version") == 0
+    known = either(C.JOB_BATCH_FIELDS, C.SHARD_BATCH_FIELDS)
+    status = lambda u: J.string(J.field(u, "status"))
+    staged = J.computed_once(
+        opened.withColumns(
+            {
+                "_units": F.concat(F.coalesce("_l_shards", _empty()), F.coalesce("_l_jobs", _empty())),
+                "_terminal": either(C.JOB_TERMINAL, C.SHARD_TERMINAL),
+                "_own": F.coalesce(F.when(job, F.col("_l_jobs")).otherwise(F.col("_l_shards")), _empty()),
+            }
+        ),
         {
+            "_legacy": legacy,
             "_has_units": F.size("_units") > 0,
-            "_all_terminal": F.forall("_statuses", lambda s: F.coalesce(F.array_contains(F.col("_terminal"), s), F.lit(False))),
-            "_legacy": F.col("schema_version") == 0,
-            "_effective": F.when(F.col("_scope_text") != "", F.col("_scope_text")).otherwise(F.col("_label_text")),
-        }
+            "_all_terminal": F.forall(
+                "_units", lambda u: F.coalesce(F.array_contains(F.col("_terminal"), status(u)), F.lit(False))
+            ),
+            "_unknown_field": F.size(
+                F.array_except("_keys", F.when(legacy, F.array_append(known, F.lit("label"))).otherwise(known))
+            )
+            > 0,
+            "_unknown_unit": _bad_units("_own"),
+            "_effective": F.when(F.col("_label_scope_text") != "", F.col("_label_scope_text")).otherwise(F.col("_label_text")),
+            "units": F.col("_own"),
+            "_batch_id": F.try_variant_get("root", "$.batch_id", "string"),
+            "_stored_scope": F.try_variant_get("root", "$.label_scope", "string"),
+            "_stored_prefix": F.try_variant_get("root", "$.requested_label_prefix", "string"),
+        },
+        keep=(
+            "path", "kind", "schema_version", "schema_error",
+            "_label_text", "_label_scope_text", "_label_odd", "_label_scope_odd", "_label_scope_true",
+        ),
     )
     no_scope = "nonterminal state lacks a recoverable label scope"
-    migration_error = F.when(
-        F.col("_legacy"),
-        F.when(_bad_legacy("label") | _bad_legacy("label_scope"), "label fields must be strings")
-        .when((F.col("_effective") == "") & F.col("_has_units") & ~F.col("_all_terminal"), no_scope)
-        .when(
-            (F.col("_scope_text") != "") & (F.col("_label_text") != "") & (F.col("_scope_text") != F.col("_label_text")),
-            "label and label_scope disagree",
-        ),
+    is_legacy = F.col("_legacy")
+    live = F.col("_has_units") & ~F.col("_all_terminal")
+    disagree = (
+        (F.col("_label_scope_text") != "") & (F.col("_label_text") != "") & (F.col("_label_scope_text") != F.col("_label_text"))
     )
-    scope_missing = F.when(F.col("_legacy"), F.col("_effective") == "").otherwise(~J.truthy(F.col("_label_scope")))
-    homeless = scope_missing & F.col("_has_units")
-    known = F.when(F.col("kind") == "job", F.array(*map(F.lit, C.JOB_BATCH_FIELDS))).otherwise(
-        F.array(*map(F.lit, C.SHARD_BATCH_FIELDS))
+    migration_error = F.when(
+        is_legacy,
+        F.when(F.col("_label_odd") | F.col("_label_scope_odd"), "label fields must be strings")
+        .when((F.col("_effective") == "") & live, no_scope)
+        .when(disagree, "label and label_scope disagree"),
     )
-    known = F.when(F.col("_legacy"), F.array_append(known, "label")).otherwise(known)
-    own = F.when(F.col("kind") == "job", J.elements(F.col("_jobs"))).otherwise(J.elements(F.col("_shards")))
+    homeless = F.when(is_legacy, F.col("_effective") == "").otherwise(~F.col("_label_scope_true")) & F.col("_has_units")
     error = F.coalesce(
         F.nullif("schema_error", F.lit("")),
         migration_error,
-        F.when(homeless & ~F.col("_all_terminal"), no_scope),
-        F.when(homeless, ""),
-        F.when(F.size(F.array_except(F.col("_keys"), known)) > 0, "could not deserialize state"),
-        F.when(_bad_units("_own"), "could not deserialize units"),
+        F.when(homeless, F.when(live, no_scope).otherwise("")),
+        F.when(F.col("_unknown_field"), "could not deserialize state"),
+        F.when(F.col("_unknown_unit"), "could not deserialize units"),
         F.lit(""),
     )
-    decided = staged.withColumn("_own", F.coalesce(own, _empty())).withColumn("error", error)
     action = (
-        F.when(F.col("error") != "", "reject")
-        .when(homeless, "archive")
-        .when(F.col("_legacy"), "migrate")
-        .otherwise("load")
+        F.when(F.col("error") != "", "reject").when(homeless, "archive").when(is_legacy, "migrate").otherwise("load")
     )
-    stored_scope = F.try_variant_get("root", "$.label_scope", "string")
-    stored_prefix = F.try_variant_get("root", "$.requested_label_prefix", "string")
-    return decided.select(
+    scope = F.when(is_legacy, F.col("_effective")).otherwise(F.col("_stored_scope"))
+    prefix = F.when(is_legacy, recover_prefix(F.col("_effective"))).otherwise(F.col("_stored_prefix"))
+    return staged.withColumn("error", error).select(
         "path",
         "kind",
         "schema_version",
         action.alias("action"),
         "error",
-        F.coalesce(F.try_variant_get("root", "$.batch_id", "string"), F.lit("")).alias("batch_id"),
-        F.coalesce(F.when(F.col("_legacy"), F.col("_effective")).otherwise(stored_scope), F.lit("")).alias("label_scope"),
-        F.coalesce(
-            F.when(F.col("_legacy"), recover_prefix(F.col("_effective"))).otherwise(stored_prefix), F.lit("")
-        ).alias("requested_label_prefix"),
-        F.col("_own").alias("units"),
+        F.coalesce("_batch_id", F.lit("")).alias("batch_id"),
+        F.coalesce(scope, F.lit("")).alias("label_scope"),
+        F.coalesce(prefix, F.lit("")).alias("requested_label_prefix"),
+        "units",
     )
 
 
@@ -207,21 +210,19 @@ def load_lenient(docs: DataFrame) -> DataFrame:
     known = F.when(F.col("kind") == "job", F.array(*map(F.lit, C.JOB_BATCH_FIELDS))).otherwise(
         F.array(*map(F.lit, C.SHARD_BATCH_FIELDS))
     )
-    staged = (
-        parsed.withColumn("_own", own)
-        .withColumn("_own_kind", J.type_of(F.col("_own")))
-        .withColumn("_keys", F.when(J.is_object(F.col("root")), J.object_keys(F.col("root"))))
-        .withColumn("_elements", F.coalesce(J.elements(F.col("_own")), _empty()))
-    )
-    blank = F.col("_own_kind").isin("object", "string") & ~J.truthy(F.col("_own"))
+    staged = parsed.withColumn("_own", own).withColumn("_elements", J.elements(F.col("_own")))
+    blank = J.type_of(F.col("_own")).isin(J.OBJECT, J.STRING) & ~J.truthy(F.col("_own"))
     ok = (
-        (F.size(F.array_except("_keys", known)) == 0)
-        & (F.coalesce("_own_kind", F.lit("array")).isin("array") | blank)
-        & ~_bad_units("_elements")
+        (F.size(F.array_except(J.object_keys(F.col("root")), known)) == 0)
+        & (F.col("_own").isNull() | F.col("_elements").isNotNull() | blank)
+        & ~F.coalesce(_bad_units("_elements"), F.lit(False))
     )
-    return staged.select(
-        "path", F.coalesce(ok, F.lit(False)).alias("ok"), F.when(F.coalesce(ok, F.lit(False)), F.size("_elements")).alias("units")
+    judged = J.computed_once(
+        staged,
+        {"ok": F.coalesce(ok, F.lit(False)), "_n": F.coalesce(F.nullif(F.size("_elements"), F.lit(-1)), F.lit(0))},
+        keep=("path",),
     )
+    return judged.select("path", "ok", F.when(F.col("ok"), F.col("_n")).alias("units"))
 
 
 def migrate_documents(docs: DataFrame) -> DataFrame:

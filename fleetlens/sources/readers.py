@@ -57,9 +57,7 @@ def parse_calibration(lines: DataFrame, workload: str | Column, line: str = "val
     """Timing records of one workload; blank, corrupt and non-object lines are dropped."""
     text = strip(F.col(line))
     record = lines.where(text != "").withColumn("record", J.parse(text)).where(J.is_object(F.col("record")))
-    name = J.field(F.col("record"), "workload")
-    matches = (J.type_of(name) == "string") & (F.try_variant_get(name, "$", "string") == workload)
-    return record.where(matches)
+    return record.where(J.string(J.field(F.col("record"), "workload")) == workload)
 
 
 def load_calibration(spark: SparkSession, path: str, workload: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
-from fleetlens.functions import json_values as J
 from fleetlens.operators import health as H
 from fleetlens.operators import polling, units
 
@@ -20,9 +19,8 @@ TICK = "_tick"
 
 def unit_action_stream(probes: DataFrame) -> DataFrame:
     """Stateless action of each probe row ``unit_key, ts, event_id, raw, marked, marked_again``."""
-    probe = F.when(F.col("raw").isNotNull(), polling.snapshot(J.parse(F.col("raw"))))
     return (
-        probes.withColumn("_probe", probe)
+        polling.with_snapshot(probes)
         .withColumn("_a", polling.unit_action(F.col("marked"), F.col("_probe"), F.col("marked_again")))
         .select("event_id", "unit_key", "ts", "_a.*")
     )
@@ -43,9 +41,9 @@ def dead_recheck_stream(
     sources should send one now and then. The last filter reads the marker side
     too, so that the optimizer cannot move it below the join and the watermark.
     """
-    parsed = probes.withColumn("_p", polling.snapshot(J.parse(F.col("raw"))))
-    dead = parsed.where((F.col("unit_key") == tick) | (F.col("_p.worker_dead") & ~F.col("_p.complete"))).select(
-        "event_id", "unit_key", "ts", F.col("_p.log_tail").alias("log_tail")
+    is_dead = F.col("_probe.worker_dead") & ~F.col("_probe.complete")
+    dead = polling.with_snapshot(probes).where((F.col("unit_key") == tick) | is_dead).select(
+        "event_id", "unit_key", "ts", F.col("_probe.log_tail").alias("log_tail")
     )
     left = dead.withWatermark("ts", delay).alias("p")
     right = markers.select(F.col("unit_key").alias("mark_key"), "marker_ts").withWatermark("marker_ts", delay).alias("m")
