@@ -6,6 +6,7 @@ from fleetlens.catalog.registry import query
 from fleetlens.catalog.scalars import repository_cte
 from fleetlens.functions import json_values as J
 from fleetlens.operators import cleanup, fleet
+from fleetlens.plans.cleanup import cleanup_report
 from fleetlens.plans.sweep import sweep, sweep_totals
 
 SCOPE = "prod-e4da3b7fbbce"
@@ -271,3 +272,20 @@ def policy_outcomes(v):
 
     outcomes = cleanup.apply_policy(v.instances.select("provider", "instance_id"), destroy, provider="vastai")
     return outcomes.select("instance_id", "verdict", "refusal")
+
+
+@query("sweep_stream", "instances", "units", "destroy_log", oracle=f""", {dispatch_oracle('available', SWEEP)}
+SELECT i.listing_id, count(*) FILTER (verdict = 'destroyed') AS destroyed, count(*) FILTER (verdict = 'already_gone') AS already_gone, count(*) - count(*) FILTER (verdict IN ('destroyed', 'already_gone')) AS unresolved, count(*) AS candidates
+FROM g JOIN v_instances i USING (instance_id) GROUP BY i.listing_id""")
+def sweep_stream(v):
+    return cleanup.cleanup_totals(sweep_rows(v), ["listing_id"])
+
+
+@query("cleanup_report", "instances_raw", "units", "destroy_log", oracle=f""", {NORMAL}, {DESTROY},
+ cand AS (SELECT n.listing_id, n.cid, n.image_uuid, h.malformed FROM n JOIN h USING (listing_id) WHERE reject = '' AND duplicate_ids = 0 AND starts_with(label, 'prod-3f9a1b2c4d5e-') AND cid NOT IN (SELECT instance_id FROM v_units WHERE instance_id <> ''))
+SELECT cid AS instance_id, CASE WHEN malformed > 0 OR NOT starts_with(image_uuid, 'myorg/app1:') THEN 'ownership' END AS refusal, CASE WHEN malformed = 0 AND starts_with(image_uuid, 'myorg/app1:') THEN coalesce(dv.verdict, 'unknown') END AS verdict
+FROM cand LEFT JOIN dv ON dv.instance_id = cand.cid""")
+def cleanup_report_query(v):
+    owned = v.images.where("row_id = 1").select(F.lit("myorg/app1:9").alias("image"))
+    outcomes = cleanup_report(normalized(v), v.units, destroy_log(v), "prod-3f9a1b2c4d5e", owned=owned)
+    return outcomes.select("instance_id", "refusal", "verdict")

@@ -36,6 +36,16 @@ def estimate_report(v):
     return planning.estimate_report(v.workloads, prices, as_of="2024-01-01T00:00:00+00:00")
 
 
+@query("estimate_report_rows", "workloads", "offers", oracle=f", {PRICES}" + SCALE.format(kind="cloud_gpu_type") + """
+SELECT workload_id, n AS cloud_gpus, CASE WHEN n > 0 THEN t ELSE 'RTX_4090' END AS cloud_gpu_type, CASE WHEN n = 0 THEN 'local only' ELSE '' END AS notes, (SELECT count(*) FROM p) AS prices,
+ CASE WHEN wall >= 1 THEN CAST(CAST(floor(wall) AS INT) AS VARCHAR) || 'h ' || lpad(CAST(CAST(floor((wall - floor(wall)) * 60) AS INT) AS VARCHAR), 2, '0') || 'm' ELSE CAST(CAST(floor(wall * 60) AS INT) AS VARCHAR) || 'm' END AS wall_time_human FROM c""")
+def estimate_report_rows(v):
+    schema = "pricing array<struct<gpu_type: string>>, scaling_table array<struct<cloud_gpus: int, cloud_gpu_type: string, wall_time_human: string, notes: string>>"
+    doc = estimate_report(v).withColumn("d", F.from_json("document", schema))
+    rows = doc.select("workload_id", F.size("d.pricing").alias("prices"), F.explode("d.scaling_table").alias("r"))
+    return rows.select("workload_id", "prices", "r.*")
+
+
 @query("hybrid_split", "workloads", oracle=f""", a AS (SELECT *, CASE WHEN cloud_gpus = 0 OR mode = 'L' THEN 'L' WHEN mode = '' THEN 'H' ELSE mode END AS m,
    CAST(ceil(total_items * (CAST(1 AS DOUBLE) / (1 + cloud_gpus * {SPEED.format(c="cloud_gpu_type")}))) AS INT) AS cut FROM v_workloads),
  b AS (SELECT *, CASE m WHEN 'L' THEN total_items WHEN 'C' THEN 0 ELSE CASE WHEN cut = total_items AND total_items > 1 THEN total_items - 1 ELSE cut END END AS li FROM a)

@@ -7,6 +7,7 @@ from fleetlens.catalog.units import spend
 from fleetlens.functions import json_values as J
 from fleetlens.operators import polling as P
 from fleetlens.operators import units as U
+from fleetlens.plans.poll import poll_cycle
 
 SNAP = """j AS (SELECT *, raw::JSON AS d FROM v_probes),
  b AS (SELECT *, json_type(d) = 'OBJECT' AND coalesce(CASE json_type(d, '$.complete') WHEN 'BOOLEAN' THEN CAST(json_extract(d, '$.complete') AS BOOLEAN) WHEN 'VARCHAR' THEN json_extract_string(d, '$.complete') <> '' WHEN 'DOUBLE' THEN CAST(json_extract(d, '$.complete') AS DOUBLE) <> 0 END, false) AS complete,
@@ -71,3 +72,16 @@ def unit_verdict(v):
 SELECT unit_key, string_agg(line, chr(10) ORDER BY line_no) AS log_tail FROM (SELECT * FROM v_log_lines QUALIFY row_number() OVER (PARTITION BY unit_key ORDER BY line_no DESC) <= 3) GROUP BY unit_key""")
 def log_tail(v):
     return P.log_tail(v.log_lines)
+
+
+@query("poll_cycle", "probes", "markers", "units", oracle=f""", {SNAP}, l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY unit_key ORDER BY ts DESC, event_id DESC) = 1),
+ a AS (SELECT CAST(l.unit_key AS VARCHAR) AS unit_key, {ACTION.format(wait=0)} AS action FROM l LEFT JOIN m USING (unit_key)),
+ pc AS (SELECT u.*, CASE WHEN u.status IN ('deployed', 'running') THEN CASE a.action WHEN 'continue' THEN 'running' WHEN 'preempt' THEN 'preempted' WHEN 'complete' THEN CASE WHEN u.shard_id % 10 < 7 THEN 'completed' ELSE 'failed' END END END AS verdict FROM v_units u LEFT JOIN a USING (unit_key))
+SELECT unit_key, verdict, CASE WHEN verdict = 'completed' THEN 'downloaded' WHEN verdict = 'failed' OR (verdict = 'preempted' AND retry_count >= 2) THEN 'failed' WHEN verdict = 'preempted' THEN 'pending' ELSE status END AS status,
+ CASE WHEN verdict = 'preempted' AND retry_count < 2 THEN '' ELSE instance_id END AS instance_id, retry_count + CASE WHEN verdict IN ('failed', 'preempted') THEN 1 ELSE 0 END AS retry_count,
+ CASE WHEN verdict = 'failed' THEN 'collect_unit_results failed' WHEN verdict = 'preempted' AND retry_count >= 2 THEN 'worker died silently (retries exhausted)' ELSE '' END AS failure_reason FROM pc""")
+def poll_cycle_query(v):
+    probes = v.probes.withColumn("unit_key", F.col("unit_key").cast("string"))
+    markers = v.markers.withColumn("unit_key", F.col("unit_key").cast("string"))
+    cycle = poll_cycle(v.units, probes, markers, v.units.where("shard_id % 10 < 7"))
+    return cycle.select("unit_key", "verdict", "status", "instance_id", "retry_count", "failure_reason")

@@ -181,3 +181,16 @@ def sorted_lists(v):
 
     done = v.units.where("status = 'downloaded'").select("batch_id", "shard_id")
     return hashed_rank(done, ["batch_id"], "shard_id", "position").drop("group_size")
+
+
+@query("unit_hooks", "jobs", oracle="""
+SELECT batch_id, 'k/' || unit_key AS unit_key, batch_id || ' ' || machine_id AS unit_label, CASE WHEN status = 'pending' AND retry_count > 2 THEN 'hopeless' WHEN status = 'pending' THEN 'pending' WHEN instance_id <> '' THEN 'active' ELSE 'other' END AS class FROM v_jobs""")
+def unit_hooks(v):
+    waiting = F.col("status") == "pending"
+    hooked = U.with_hooks(
+        v.jobs,
+        key=F.concat(F.lit("k/"), "unit_key"),
+        label=F.concat_ws(" ", "batch_id", "machine_id"),
+        classes={"hopeless": waiting & (F.col("retry_count") > 2), "pending": waiting, "active": F.col("instance_id") != ""},
+    )
+    return hooked.select("batch_id", "unit_key", "unit_label", "class")

@@ -213,6 +213,22 @@ def enumerate_instances(normalized: DataFrame) -> DataFrame:
     )
 
 
+def judged_instances(normalized: DataFrame, owned: DataFrame | None) -> DataFrame:
+    """Enumerated candidates with the ``verification`` of their own record.
+
+    The same verdicts as enumerating and then verifying against the same
+    listing, where no candidate can be absent.
+    """
+    health = listing_health(normalized).where(~F.col("void")).select("listing_id", "provable")
+    candidates = with_ownership(
+        normalized.where(F.col("reject") == "").join(health, "listing_id"), owned, key="image_uuid"
+    )
+    verification = (
+        F.when(F.lit(owned is None), "disabled").when(F.col("provable") & F.col("owned"), "owned").otherwise("refused")
+    )
+    return candidates.select("listing_id", "provider", *RECORD_FIELDS, verification.alias("verification"))
+
+
 def owned_repositories(images: DataFrame, column: str = "image") -> DataFrame:
     """Distinct repositories of the owned images; malformed entries own nothing."""
     repository = image_repository(F.col(column)).alias("_repository")

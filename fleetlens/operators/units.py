@@ -330,3 +330,13 @@ def unit_verdict(action: Column, collected: Column) -> Column:
         .when(F.coalesce(collected, F.lit(False)), "completed")
         .otherwise("failed")
     )
+
+
+def with_hooks(units: DataFrame, *, key: Column, label: Column, classes: dict[str, Column]) -> DataFrame:
+    """Add ``unit_key, unit_label, class`` from the caller's expressions.
+
+    ``classes`` names conditions such as ``pending`` or ``active``; the first
+    that holds counts, and a unit none holds for is ``other``.
+    """
+    chosen = F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in classes.items()], F.lit("other"))
+    return units.withColumns({"unit_key": key, "unit_label": label, "class": chosen})

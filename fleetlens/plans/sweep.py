@@ -21,11 +21,14 @@ def sweep(
 ) -> DataFrame:
     """Outcome and severity of every in-scope instance that no live unit tracks.
 
-    ``verification`` (``instance_id, verification``) overrides the ownership
-    check on the candidate's own image.
+    Ownership is taken from ``verification`` (``instance_id, verification``) if
+    given, from a ``verification`` column of the instances if there is one, and
+    else checked on the instance's own image.
     """
     candidates = fleet.zombies(fleet.scope_filter(instances, *scopes), units)
-    if verification is None:
+    if verification is None and "verification" in candidates.columns:
+        judged = candidates
+    elif verification is None:
         judged = fleet.with_ownership(candidates, owned).withColumn(
             "verification", F.when(F.lit(owned is None), "disabled").when(F.col("owned"), "owned").otherwise("refused")
         )
