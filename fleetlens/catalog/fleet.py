@@ -18,7 +18,7 @@ NORMAL = """n0 AS (SELECT row_id, listing_id, CASE WHEN json_valid(raw_json) THE
    CASE WHEN json_type(j, '$.dph_total') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(json_extract_string(j, '$.dph_total') AS DOUBLE) ELSE 0 END AS cost,
    CASE WHEN json_type(j, '$.start_date') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(json_extract_string(j, '$.start_date') AS DOUBLE) ELSE 0 END AS started FROM n0),
  n AS (SELECT *, CASE WHEN NOT obj THEN 'not an object' WHEN cid IS NULL THEN 'invalid id' WHEN cost < 0 THEN 'invalid cost_per_hour' ELSE '' END AS reject FROM n1),
- h AS (SELECT listing_id, sum(c) AS records, sum(g) AS candidates, count(*) FILTER (cid IS NOT NULL AND c > 1) AS duplicate_ids, sum(b) AS malformed
+ h AS (SELECT listing_id, CAST(sum(c) AS BIGINT) AS records, CAST(sum(g) AS BIGINT) AS candidates, count(*) FILTER (cid IS NOT NULL AND c > 1) AS duplicate_ids, CAST(sum(b) AS BIGINT) AS malformed
    FROM (SELECT listing_id, cid, count(*) AS c, count(*) FILTER (reject = '') AS g, count(*) FILTER (NOT obj OR cid IS NULL OR NOT img_ok) AS b FROM n GROUP BY ALL) GROUP BY listing_id)"""
 
 
@@ -33,7 +33,7 @@ def own_images(v):
 
 @query("read_instances_list", "offer_json", oracle="""
 SELECT snapshot_id, CASE WHEN raw = 'not json' THEN 'listing JSON is invalid' WHEN starts_with(raw, '{') THEN 'listing must be a list, got object' ELSE '' END AS error,
- CASE WHEN raw = 'not json' OR starts_with(raw, '{') THEN 0 ELSE json_array_length(raw) END AS records FROM v_offer_json""")
+ CASE WHEN raw = 'not json' OR starts_with(raw, '{') THEN 0 ELSE CAST(json_array_length(raw) AS INT) END AS records FROM v_offer_json""")
 def read_instances_list(v):
     return fleet.list_documents(v.offer_json).select("snapshot_id", "error", F.size("records").alias("records"))
 
@@ -62,7 +62,7 @@ def read_instances_paged(v):
 
 
 @query("page_concat", "pages_raw", oracle=f""", {PAGES}
-SELECT listing_id, sum(json_array_length(d, '$.instances')) AS records FROM o JOIN verdict USING (listing_id) WHERE error = '' GROUP BY listing_id""")
+SELECT listing_id, CAST(sum(json_array_length(d, '$.instances')) AS BIGINT) AS records FROM o JOIN verdict USING (listing_id) WHERE error = '' GROUP BY listing_id""")
 def page_concat(v):
     return fleet.paged_records(fleet.open_pages(v.pages_raw)).groupBy("listing_id").agg(F.count("*").alias("records"))
 
@@ -144,7 +144,7 @@ def verify_ownership(v):
     row = F.col("row_id")
     wanted = F.when(row % 43 == 0, "  ").otherwise(F.concat(F.lit(" "), F.when(row % 5 == 0, row + 500000).otherwise(row).cast("string")))
     requests = v.images.select("row_id", (row - row % 16).alias("listing_id"), wanted.alias("instance_id"))
-    owned = v.images.where("row_id = 1").select(F.lit("myorg/app1:9").alias("image"))
+    owned = v.images.where(F.col("image").contains("myorg/app1:")).select("image")
     return fleet.verify_ownership(requests, normalized(v), owned).select("row_id", "verification")
 
 
@@ -286,6 +286,6 @@ def sweep_stream(v):
 SELECT cid AS instance_id, CASE WHEN malformed > 0 OR NOT starts_with(image_uuid, 'myorg/app1:') THEN 'ownership' END AS refusal, CASE WHEN malformed = 0 AND starts_with(image_uuid, 'myorg/app1:') THEN coalesce(dv.verdict, 'unknown') END AS verdict
 FROM cand LEFT JOIN dv ON dv.instance_id = cand.cid""")
 def cleanup_report_query(v):
-    owned = v.images.where("row_id = 1").select(F.lit("myorg/app1:9").alias("image"))
+    owned = v.images.where(F.col("image").contains("myorg/app1:")).select("image")
     outcomes = cleanup_report(normalized(v), v.units, destroy_log(v), "prod-3f9a1b2c4d5e", owned=owned)
     return outcomes.select("instance_id", "refusal", "verdict")

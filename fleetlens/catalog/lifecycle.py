@@ -62,7 +62,7 @@ def lifecycle_plan(v):
     return L.lifecycle_plan(v.rules, policies(v))
 
 
-@query("lifecycle_plan_remove", "rules", "policies", oracle=f", {WANTED}, {REMOVE}, {DIFF}, {prints('v_rules')} " + PLAN.format(op="remove", warn="0"))
+@query("lifecycle_plan_remove", "rules", "policies", oracle=f", {WANTED}, {REMOVE}, {DIFF}, {prints('v_rules')} " + PLAN.format(op="remove", warn="CAST(0 AS BIGINT)"))
 def lifecycle_plan_remove(v):
     return L.lifecycle_plan(v.rules, policies(v), operation="remove")
 

@@ -80,7 +80,7 @@ def chunks(v):
 
 
 @query("consolidate_chunks", "log_lines", oracle="""
-SELECT unit_key AS file_id, line_no AS chunk_index, octet_length(encode(line)) AS length, CAST(coalesce(sum(octet_length(encode(line))) OVER (PARTITION BY unit_key ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", md5(line) AS digest FROM v_log_lines""")
+SELECT unit_key AS file_id, line_no AS chunk_index, CAST(octet_length(encode(line)) AS INT) AS length, CAST(coalesce(sum(octet_length(encode(line))) OVER (PARTITION BY unit_key ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", md5(line) AS digest FROM v_log_lines""")
 def consolidate_chunks(v):
     return O.consolidate(chunks(v)).select("file_id", "chunk_index", "length", "offset", F.md5("content").alias("digest"))
 

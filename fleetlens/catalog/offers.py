@@ -83,7 +83,7 @@ def cheapest_gpu(v):
     return market.cheapest_type(market.price_summary(v.offers, TYPES))
 
 
-@query("top_offers", "offers", oracle=f"""SELECT *, {CANON} AS gpu_type, row_number() OVER (PARTITION BY gpu_name ORDER BY dph_total, offer_id, machine_id) AS rank
+@query("top_offers", "offers", oracle=f"""SELECT *, {CANON} AS gpu_type, CAST(row_number() OVER (PARTITION BY gpu_name ORDER BY dph_total, offer_id, machine_id) AS INT) AS rank
 FROM v_offers WHERE {PASSING} QUALIFY rank <= 20""")
 def top_offers(v):
     return market.cheapest_per_type(market.quality_filter(v.offers))

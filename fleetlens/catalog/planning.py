@@ -37,7 +37,7 @@ def estimate_report(v):
 
 
 @query("estimate_report_rows", "workloads", "offers", oracle=f", {PRICES}" + SCALE.format(kind="cloud_gpu_type") + """
-SELECT workload_id, n AS cloud_gpus, CASE WHEN n > 0 THEN t ELSE 'RTX_4090' END AS cloud_gpu_type, CASE WHEN n = 0 THEN 'local only' ELSE '' END AS notes, (SELECT count(*) FROM p) AS prices,
+SELECT workload_id, n AS cloud_gpus, CASE WHEN n > 0 THEN t ELSE 'RTX_4090' END AS cloud_gpu_type, CASE WHEN n = 0 THEN 'local only' ELSE '' END AS notes, CAST((SELECT count(*) FROM p) AS INT) AS prices,
  CASE WHEN wall >= 1 THEN CAST(CAST(floor(wall) AS INT) AS VARCHAR) || 'h ' || lpad(CAST(CAST(floor((wall - floor(wall)) * 60) AS INT) AS VARCHAR), 2, '0') || 'm' ELSE CAST(CAST(floor(wall * 60) AS INT) AS VARCHAR) || 'm' END AS wall_time_human FROM c""")
 def estimate_report_rows(v):
     schema = "pricing array<struct<gpu_type: string>>, scaling_table array<struct<cloud_gpus: int, cloud_gpu_type: string, wall_time_human: string, notes: string>>"

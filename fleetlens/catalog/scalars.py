@@ -141,7 +141,7 @@ def prefixes_overlap(v):
 
 
 @query("runtime_hours", "jobs", oracle="""
-, t AS (SELECT *, CASE WHEN submit_time <> '' THEN epoch_us(CAST(submit_time AS TIMESTAMPTZ)) END AS s, CASE WHEN complete_time <> '' THEN epoch_us(CAST(complete_time AS TIMESTAMPTZ)) ELSE epoch_us(TIMESTAMPTZ '2003-01-01 00:00:00+00') END AS e FROM v_jobs)
+, t AS (SELECT *, CASE WHEN submit_time <> '' THEN epoch_us(CAST(submit_time || CASE WHEN length(submit_time) = 19 THEN '+00:00' ELSE '' END AS TIMESTAMPTZ)) END AS s, CASE WHEN complete_time <> '' THEN epoch_us(CAST(complete_time AS TIMESTAMPTZ)) ELSE epoch_us(TIMESTAMPTZ '2003-01-01 00:00:00+00') END AS e FROM v_jobs)
 SELECT batch_id, unit_key, CASE WHEN submit_time = '' THEN 0 ELSE (e - s) / CAST(3.6e9 AS DOUBLE) END AS hours FROM t""")
 def runtime_hours(v):
     hours = fmt.runtime_hours(F.col("submit_time"), F.col("complete_time"), F.lit("2003-01-01T00:00:00+00:00"))

@@ -46,6 +46,6 @@ def read_batch_state(v):
 
 @query("read_batch_state_lenient", "state_docs", oracle=f""", {SCHEMA}
 , b AS (SELECT *, json_type(d) = 'OBJECT' AND coalesce(json_type(d, '$.shards'), 'ARRAY') = 'ARRAY' AND NOT contains(raw, 'colour') AND NOT contains(raw, '"shards": [{{"status"') AND NOT contains(raw, '["x"]') AND NOT contains(raw, '"jobs"') AS fine FROM s)
-SELECT path, coalesce(fine, false) AS ok, CASE WHEN fine THEN coalesce(json_array_length(d, '$.shards'), 0) END AS units FROM b""")
+SELECT path, coalesce(fine, false) AS ok, CAST(CASE WHEN fine THEN coalesce(json_array_length(d, '$.shards'), 0) END AS INT) AS units FROM b""")
 def read_batch_state_lenient(v):
     return state.load_lenient(v.state_docs)

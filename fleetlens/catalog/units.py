@@ -8,7 +8,9 @@ from fleetlens.operators import units as U
 MARKED = "m AS (SELECT batch_id, unit_key FROM v_units WHERE shard_id % 3 = 0)"
 COST = """t AS (SELECT *, CASE WHEN submit_time = '' THEN 0 ELSE epoch_us(CASE WHEN complete_time = '' THEN TIMESTAMPTZ '2003-01-01 00:00:00+00' ELSE CAST(complete_time AS TIMESTAMPTZ) END) - epoch_us(CAST(submit_time AS TIMESTAMPTZ)) END AS us
  FROM (SELECT * REPLACE (CASE WHEN submit_time = '' THEN '' ELSE submit_time END AS submit_time) FROM v_jobs))"""
-COST = COST.replace("CAST(submit_time AS TIMESTAMPTZ)", "CAST(nullif(submit_time, '') AS TIMESTAMPTZ)").replace("CAST(complete_time AS TIMESTAMPTZ)", "CAST(nullif(complete_time, '') AS TIMESTAMPTZ)")
+ZONED = "CAST(CASE WHEN length({c}) = 19 THEN {c} || '+00:00' ELSE nullif({c}, '') END AS TIMESTAMPTZ)"
+for _column in ("submit_time", "complete_time"):
+    COST = COST.replace(f"CAST({_column} AS TIMESTAMPTZ)", ZONED.format(c=_column))
 MICROS = "CAST(cost_per_hour AS DECIMAL(12,6)) * CAST(us AS DECIMAL(24,0))"
 
 

@@ -31,7 +31,10 @@ def cost_text(cloud_gpus: Column, low: Column, high: Column) -> Column:
 
 def instant(text: Column) -> Column:
     """ISO-8601 text as a timestamp; a text without zone is UTC, a bad one NULL."""
-    return F.when(text != "", text.try_cast("timestamp"))
+    zoned = text.rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2}(?::?[0-9]{2})?)\z")
+    dated = text.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    full = F.when(zoned, text).when(dated, F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    return F.when(text != "", full.try_cast("timestamp"))
 
 
 def micros_between(start: Column, end: Column) -> Column:

@@ -51,8 +51,13 @@ def test_deviation_unit_without_claim_has_an_error_text(spark):
 
 
 def test_deviation_naive_time_is_utc(spark):
-    got = evaluate(spark, ["2024-01-01T10:00:00", "2024-01-01T12:00:00+02:00"], lambda x: F.unix_seconds(fmt.instant(x)))
-    assert got[0] == got[1]
+    texts = ["2024-01-01T10:00:00", "2024-01-01T12:00:00+02:00", "2024-01-01 10:00:00", "2024-01-01T10:00:00Z", "2024-01-01", "", "soon"]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = evaluate(spark, texts, lambda x: F.unix_seconds(fmt.instant(x)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [1704103200] * 4 + [1704067200, None, None]
 
 
 def test_deviation_duplicate_keys_and_nan_are_malformed(spark):
