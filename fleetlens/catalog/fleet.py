@@ -116,12 +116,12 @@ def destroy_eligibility(v):
     return v.instances.select("instance_id", fleet.eligibility_error(F.col("state")).alias("error"))
 
 
-@query("provider_match", "instances", oracle="SELECT provider, count(*) AS n, CASE WHEN provider <> 'vastai' THEN 'provider_mismatch' END AS refusal FROM v_instances GROUP BY provider")
+@query("provider_match", "instances", oracle="SELECT provider, count(*) AS n, CASE WHEN provider <> 'market' THEN 'provider_mismatch' END AS refusal FROM v_instances GROUP BY provider")
 def provider_match(v):
     outcome = cleanup.apply_policy(
         v.instances.select("provider"),
         lambda c: c.withColumns({"verdict": F.lit("destroyed"), "refusal": F.lit(None).cast("string"), "error": F.lit("")}),
-        provider="vastai",
+        provider="market",
     )
     return outcome.groupBy("provider", "refusal").agg(F.count("*").alias("n"))
 
@@ -198,7 +198,7 @@ def dispatch_oracle(credentials, where="true"):
     }[credentials]
     return f"""{repository_cte('v_instances', 'image_uuid')}, {DESTROY},
  q AS (SELECT rp.*, dv.verdict, CASE WHEN instance_id % 9 = 0 THEN 'absent' WHEN repository = 'myorg/app' THEN 'owned' ELSE 'refused' END AS verification FROM (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM rp) rp LEFT JOIN (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM dv) dv USING (instance_id) WHERE {where}),
- f AS (SELECT CAST(instance_id AS VARCHAR) AS instance_id, CASE WHEN provider <> 'vastai' THEN 'provider_mismatch' WHEN state IN ('', 'destroyed') THEN 'ineligible_state' WHEN verification = 'refused' THEN 'ownership' END AS refusal, {outcome} AS outcome FROM q),
+ f AS (SELECT CAST(instance_id AS VARCHAR) AS instance_id, CASE WHEN provider <> 'market' THEN 'provider_mismatch' WHEN state IN ('', 'destroyed') THEN 'ineligible_state' WHEN verification = 'refused' THEN 'ownership' END AS refusal, {outcome} AS outcome FROM q),
  g AS (SELECT instance_id, refusal, CASE WHEN refusal IS NULL THEN outcome END AS verdict FROM f)"""
 
 
@@ -262,15 +262,15 @@ def sweep_totals_query(v):
 
 
 @query("policy_outcomes", "instances", "destroy_log", oracle=f""", {DESTROY}
-SELECT i.instance_id, CASE WHEN i.provider = 'vastai' THEN CASE WHEN dv.verdict = 'destroyed' THEN 'destroyed' WHEN CAST(i.instance_id AS BIGINT) % 2 = 0 THEN dv.verdict ELSE 'unknown' END END AS verdict,
- CASE WHEN i.provider <> 'vastai' THEN 'provider_mismatch' END AS refusal FROM v_instances i JOIN dv USING (instance_id)""")
+SELECT i.instance_id, CASE WHEN i.provider = 'market' THEN CASE WHEN dv.verdict = 'destroyed' THEN 'destroyed' WHEN CAST(i.instance_id AS BIGINT) % 2 = 0 THEN dv.verdict ELSE 'unknown' END END AS verdict,
+ CASE WHEN i.provider <> 'market' THEN 'provider_mismatch' END AS refusal FROM v_instances i JOIN dv USING (instance_id)""")
 def policy_outcomes(v):
     def destroy(candidates):
         runs = cleanup.destroy_verdict(destroy_log(v)).select("instance_id", "verdict")
         detail = F.when(F.col("verdict") == "destroyed", "").when(F.col("instance_id").cast("bigint") % 2 == 0, "detail").otherwise("")
         return candidates.join(runs, "instance_id").withColumns({"refusal": F.lit(None).cast("string"), "error": detail})
 
-    outcomes = cleanup.apply_policy(v.instances.select("provider", "instance_id"), destroy, provider="vastai")
+    outcomes = cleanup.apply_policy(v.instances.select("provider", "instance_id"), destroy, provider="market")
     return outcomes.select("instance_id", "verdict", "refusal")
 
 

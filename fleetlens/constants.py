@@ -23,8 +23,9 @@ MAX_TEMP_C = 90
 BOOT_TIMEOUT_SECONDS = 300
 BUDGET_WARNING_SHARE = 0.8
 
-# Enumerations.
-PROVIDERS = ("vastai", "runpod", "local")
+# Enumerations. The first provider is the marketplace of this deployment; all of
+# them can be replaced through the parameters of the operators.
+PROVIDERS = ("market", "runpod", "local")
 TERMINAL_INSTANCE_STATES = ("destroyed",)
 SHARD_TERMINAL = ("downloaded", "destroyed", "failed")
 JOB_TERMINAL = ("completed", "downloaded", "failed")

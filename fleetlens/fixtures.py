@@ -71,7 +71,7 @@ SELECT o_orderkey - o_orderkey % 5 AS listing_id, CAST(o_orderkey % 5 AS INT) AS
 FROM {orders}"""
 
 VIEWS["v_instances"] = """
-SELECT o_orderkey - o_orderkey % 64 AS listing_id, CASE o_orderkey % 41 WHEN 0 THEN 'runpod' ELSE 'vastai' END AS provider, CAST(o_orderkey AS STRING) AS instance_id,
+SELECT o_orderkey - o_orderkey % 64 AS listing_id, CASE o_orderkey % 41 WHEN 0 THEN 'runpod' ELSE 'market' END AS provider, CAST(o_orderkey AS STRING) AS instance_id,
   concat(substr('prodstagdevx',CAST(1+4*(o_custkey%3) AS INT),4),'-',substr(md5(CAST(o_custkey%10 AS STRING)),1,12),'-',substr(md5(CAST(o_orderkey AS STRING)),1,12)) AS label,
   CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'P' THEN 'loading' ELSE 'destroyed' END AS state,
   CASE o_orderkey%6 WHEN 0 THEN 'myorg/app:1.0' WHEN 1 THEN 'myorg/app:latest' WHEN 2 THEN 'registry.local:5000/myorg/app:1.0'

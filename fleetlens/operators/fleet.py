@@ -6,6 +6,8 @@ so one verdict per listing is an aggregate and never a collected list.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +167,7 @@ def _bad_number(value: Column) -> Column:
     return ~F.coalesce((value >= 0) & (value < float("inf")), F.lit(False))
 
 
-def candidate_error(started_at: Column) -> Column:
+def candidate_error(started_at: Column, providers: Sequence[str] = C.PROVIDERS) -> Column:
     """First broken candidate rule over the candidate columns, ``""`` when none."""
     texts = [F.col(c).isNull() for c in ("label", "state", "image_uuid", "ownership_key", "gpu_model")]
     any_null = texts[0]
@@ -173,7 +175,7 @@ def candidate_error(started_at: Column) -> Column:
         any_null = any_null | t
     ident = F.col("instance_id")
     return (
-        F.when(~F.coalesce(F.col("provider").isin(*C.PROVIDERS), F.lit(False)), "unknown provider")
+        F.when(~F.coalesce(F.col("provider").isin(*providers), F.lit(False)), "unknown provider")
         .when(~F.coalesce((ident != "") & (ident == strip(ident)), F.lit(False)), "invalid id")
         .when(any_null, "text field is not a string")
         .when(_bad_number(F.col("cost_per_hour")), "invalid cost_per_hour")

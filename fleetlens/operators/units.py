@@ -254,6 +254,7 @@ def spend_crossings(
     return totals.join(moments, key, "left")
 
 
+# Deployment gates in their order, with the text of a failure.
 GATES = {
     "boot_ok": "Boot timeout",
     "gpu_ok": "GPU verification failed",

@@ -194,9 +194,9 @@ def candidates(spark, rows):
 
 
 CASES = [
-    ("runpod", "1", "running", "owned", "destroyed"), ("vastai", "2", "", "owned", "destroyed"), ("vastai", "3", "destroyed", "owned", "destroyed"),
-    ("vastai", "4", "running", "refused", "destroyed"), ("vastai", "5", "running", "owned", "destroyed"), ("vastai", "6", "running", "absent", "leaked"),
-    ("vastai", "7", "running", "disabled", "unknown"), ("vastai", "8", "running", "owned", None),
+    ("runpod", "1", "running", "owned", "destroyed"), ("market", "2", "", "owned", "destroyed"), ("market", "3", "destroyed", "owned", "destroyed"),
+    ("market", "4", "running", "refused", "destroyed"), ("market", "5", "running", "owned", "destroyed"), ("market", "6", "running", "absent", "leaked"),
+    ("market", "7", "running", "disabled", "unknown"), ("market", "8", "running", "owned", None),
 ]
 
 
@@ -218,7 +218,7 @@ def test_dispatch(spark, credentials, want):
 
 def test_sweep_counts_a_gone_instance_apart(spark):
     instances = spark.createDataFrame(
-        [("vastai", str(i), "prod-3f9a1b2c4d5e-x" if i < 4 else "prodevil-1", "running", "myorg/app") for i in range(6)],
+        [("market", str(i), "prod-3f9a1b2c4d5e-x" if i < 4 else "prodevil-1", "running", "myorg/app") for i in range(6)],
         "provider string, instance_id string, label string, state string, ownership_key string",
     )
     units = spark.createDataFrame([("0",)], "instance_id string")
@@ -232,7 +232,7 @@ def test_sweep_counts_a_gone_instance_apart(spark):
 
 
 def test_policy_function_results_are_checked(spark):
-    frame = spark.createDataFrame([("vastai", str(i)) for i in range(4)] + [("runpod", "9")], "provider string, instance_id string")
+    frame = spark.createDataFrame([("market", str(i)) for i in range(4)] + [("runpod", "9")], "provider string, instance_id string")
 
     def destroy(c):
         n = F.col("instance_id").cast("int")
@@ -244,7 +244,7 @@ def test_policy_function_results_are_checked(spark):
             }
         )
 
-    got = cleanup.apply_policy(frame, destroy, provider="vastai")
+    got = cleanup.apply_policy(frame, destroy, provider="market")
     assert values(got, "instance_id", "verdict", "refusal") == [
         ("0", "destroyed", None), ("1", "leaked", None), ("2", "unknown", None), ("3", "unknown", None), ("9", None, "provider_mismatch"),
     ]
