@@ -243,7 +243,7 @@ def with_ownership(instances: DataFrame, owned: DataFrame | None, *, key: str =
         return instances.withColumn("owned", F.lit(True))
     known = owned_repositories(owned).withColumn("_hit", F.lit(True))
     return (
-        instances.withColumn("_repository", F.coalesce(image_repository(F.col(key)), F.lit("")))
+        instances.withColumn("_repository", image_repository(F.col(key)))
         .join(known, "_repository", "left")
         .withColumn("owned", F.coalesce("_hit", F.lit(False)))
         .select(*instances.columns, "owned")

@@ -68,17 +68,16 @@ def remaining_items(items: DataFrame, done_items: DataFrame, keys: Sequence[str]
 def resume_plan(units: DataFrame, instances: DataFrame) -> DataFrame:
     """What to do with each active unit after a restart: ``reconnect, preempt`` or ``skip``."""
     live = instances.select("instance_id").distinct().withColumn("_live", F.lit(True))
-    return (
-        in_class(units, "active")
+    active = in_class(units, "active")
+    unset = F.coalesce("instance_id", F.lit("")) == ""
+    placed = (
+        active.where(~unset)
         .join(live, "instance_id", "left")
-        .withColumn(
-            "action",
-            F.when(F.coalesce("instance_id", F.lit("")) == "", "skip")
-            .when(F.col("_live").isNotNull(), "reconnect")
-            .otherwise("preempt"),
-        )
-        .select(*units.columns, "action")
+        .withColumn("action", F.when(F.col("_live").isNotNull(), "reconnect").otherwise("preempt"))
     )
+    # Units without an instance share one key; they stay out of the join.
+    skipped = active.where(unset).withColumn("action", F.lit("skip"))
+    return placed.select(*units.columns, "action").unionByName(skipped)
 
 
 def _money_micros(rate: Column, micros: Column) -> Column:

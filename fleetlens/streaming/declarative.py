@@ -64,6 +64,7 @@ def dead_recheck_stream(
             F.when(found, "complete").otherwise("preempt").alias("action"),
             F.when(~found, F.col("log_tail")).alias("detail"),
         )
+        .dropDuplicatesWithinWatermark(["event_id"])
     )
 
 

@@ -133,6 +133,19 @@ def test_verification(spark):
     assert off.select("verification").distinct().collect() == [("disabled",)]
 
 
+def test_judged_instances_agree_with_enumerating_and_verifying(spark):
+    listings = {
+        "ok": [record(1), record(2, image="other/x:1"), record(3, dph_total=-1)], "image": [record(1), record(2, image=None)],
+        "shape": [record(1), '"x"'], "twice": [record(1), record("1"), record(2)],
+    }
+    rows, policy = normalized(spark, listings), owned(spark, "myorg/app")
+    listed = fleet.enumerate_instances(rows)
+    for chosen in (policy, None):
+        want = fleet.verify_ownership(listed.select("listing_id", "instance_id"), rows, chosen)
+        got = fleet.judged_instances(rows, chosen)
+        assert values(got, "listing_id", "instance_id", "verification") == values(want, "listing_id", "instance_id", "verification")
+
+
 def test_unset_instance_ids_track_nothing(spark):
     instances = spark.createDataFrame([("1",), ("",), ("2",)], "instance_id string")
     units = spark.createDataFrame([("",), (None,), ("2",)], "instance_id string")
