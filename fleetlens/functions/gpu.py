@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
-from fleetlens.functions.text import SPACE, lookup, strip
+from fleetlens.functions.text import lookup, strip
 
 
 def market_name(gpu_type: Column) -> Column:
@@ -45,20 +45,21 @@ def version_at_least(have: Column, need: Column) -> Column:
     return parts(have) >= parts(need)
 
 
-def _padded(pattern: str) -> str:
-    return rf"(?U)\A{SPACE}*({pattern}){SPACE}*\z"
-
-
 def safe_int(text: Column) -> Column:
-    """Non-negative integer reading, 0 when unreadable."""
-    digits = F.regexp_extract(text, _padded("[0-9]+"), 1)
-    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Non-negative integer reading without a sign, 0 when unreadable."""
+    trimmed = strip(text)
+    number = F.when(~trimmed.startswith("+"), F.greatest(trimmed.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def ecc_count(text: Column) -> Column:
     """ECC error count; not-available and unreadable values count as 0."""
-    digits = F.regexp_extract(text, _padded("[+-]?[0-9]+(?:_[0-9]+)*"), 1)
-    return F.coalesce(F.replace(digits, F.lit("_"), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    trimmed = strip(text)
+    grouped = F.regexp_extract(trimmed, r"\A[+-]?[0-9]+(?:_[0-9]+)+\z", 0)
+    number = F.when(trimmed.contains("_"), F.replace(grouped, F.lit("_"), F.lit("")).try_cast("bigint")).otherwise(
+        trimmed.try_cast("bigint")
+    )
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def telemetry(csv_line: Column, *, min_memory_mib: int = 0) -> Column:

@@ -7,18 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the control separators Python also strips.
+# The characters Python's ``str.strip`` removes; as a class for patterns, ASCII controls suffice
+# next to Unicode-aware ``\\s``.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\s\x1C-\x1F]"
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
-
-
-def has_space(text: Column) -> Column:
-    """True when any white space occurs in ``text``."""
-    return text.rlike(f"(?U){SPACE}")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def full_match(text: Column, pattern: str) -> Column:

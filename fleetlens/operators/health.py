@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions import gpu
+from fleetlens.functions.json_values import computed_once
 
 
 def gpu_health(
@@ -15,22 +16,16 @@ def gpu_health(
     """Add ``breach`` (first broken limit, NULL when fine) and ``healthy``; an unreadable line is healthy."""
     reading = gpu.telemetry(F.col(line), min_memory_mib=min_memory_mib)
     limit = gpu.breach(F.col("_reading"), min_memory_mib=min_memory_mib, max_temp_c=max_temp_c)
-    return (
-        telemetry.withColumn("_reading", reading)
-        .withColumn("breach", limit)
-        .withColumn("healthy", F.col("breach").isNull())
-        .drop("_reading")
+    judged = computed_once(
+        telemetry.withColumn("_reading", reading), {"breach": limit}, keep=tuple(telemetry.columns)
     )
+    return judged.withColumn("healthy", F.col("breach").isNull())
 
 
 def first_unhealthy(health: DataFrame) -> DataFrame:
     """The first unhealthy reading per instance."""
-    order = F.struct("ts", "event_id")
-    return (
-        health.where(~F.col("healthy"))
-        .groupBy("instance_id")
-        .agg(F.min("ts").alias("ts"), F.min_by("event_id", order).alias("event_id"), F.min_by("breach", order).alias("breach"))
-    )
+    first = F.min(F.struct("ts", "event_id", "breach")).alias("_first")
+    return health.where(~F.col("healthy")).groupBy("instance_id").agg(first).select("instance_id", "_first.*")
 
 
 def vram_gate(readings: DataFrame, *, raw: str = "raw", min_mib: int = C.MIN_VRAM_MIB) -> DataFrame:

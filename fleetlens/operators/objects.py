@@ -59,9 +59,11 @@ def batch_manifest(objects: DataFrame, root: str) -> DataFrame:
 
 def latest_markers(markers: DataFrame, keys: Sequence[str] = ("unit_key",)) -> DataFrame:
     """One marker per key, the latest written; marking twice changes nothing else."""
-    order = F.struct("marker_ts", "event_id")
-    return markers.groupBy(*keys).agg(
-        F.max("marker_ts").alias("marker_ts"), F.max_by("worker_id", order).alias("worker_id"), F.count("*").alias("writes")
+    last = F.max(F.struct("marker_ts", "event_id", "worker_id")).alias("_last")
+    return (
+        markers.groupBy(*keys)
+        .agg(last, F.count("*").alias("writes"))
+        .select(*keys, "_last.marker_ts", "_last.worker_id", "writes")
     )
 
 

@@ -71,8 +71,8 @@ def unit_actions(probes: DataFrame, markers: DataFrame, *, recheck_seconds: int
     marker_ts``. A marker up to ``recheck_seconds`` after the probe still counts
     as the second read.
     """
-    order = F.struct("ts", "event_id")
-    latest = probes.groupBy("unit_key").agg(F.max("ts").alias("ts"), F.max_by("raw", order).alias("_raw"))
+    last = F.max(F.struct("ts", "event_id", "raw")).alias("_last")
+    latest = probes.groupBy("unit_key").agg(last).select("unit_key", "_last.ts", F.col("_last.raw").alias("_raw"))
     first_mark = markers.groupBy("unit_key").agg(F.min("marker_ts").alias("_mark"))
     joined = with_snapshot(latest.join(first_mark, "unit_key", "left"), "_raw")
     marked = F.coalesce(F.col("_mark") <= F.col("ts"), F.lit(False))

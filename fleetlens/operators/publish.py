@@ -102,11 +102,12 @@ def prediction_status(log: DataFrame) -> DataFrame:
     status = F.when(outcome == "uploaded", "ok").when(failed, "failed").otherwise("absent")
     last_failure = F.max(F.when(failed, order))
     last_success = F.max(F.when(outcome == "uploaded", order))
-    return log.groupBy(*SHARD, "prediction").agg(
-        F.max_by(status, order).alias("status"),
-        F.max_by("files_uploaded", order).alias("uploaded"),
+    last = F.max(F.struct("ts", "event_id", status.alias("status"), F.col("files_uploaded").alias("uploaded")))
+    runs = log.groupBy(*SHARD, "prediction").agg(
+        last.alias("_last"),
         (last_failure.isNotNull() & (last_success.isNull() | (last_failure > last_success))).alias("open_failures"),
     )
+    return runs.select(*SHARD, "prediction", "_last.status", "_last.uploaded", "open_failures")
 
 
 def open_failure_rows(failures: DataFrame, statuses: DataFrame, sentinel: str = "SENTINEL_WRITE_FAILED") -> DataFrame:
