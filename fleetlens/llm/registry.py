@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import fingerprint, hostrules, idfiles, jaccard, language, mixing, packing
-from fleetlens.llm.tables import documents, held_out
+from fleetlens.llm import fingerprint, hostrules, idfiles, jaccard, language, mixing, packing, pii, quality, rollup
+from fleetlens.llm.tables import documents, fresh_path, held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,49 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every document at a Jaccard similarity of 0.8 over five-word shingles."""
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "n_links", "n_set_links")
+
+
+@query
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out fold."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels, train_fold=~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those the boosted trees add."""
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs))
+
+
+#: Two tokenizer versions that SQL can express: words, and runs of ASCII letters, digits and other visible characters.
+COUNTERS = {"words-1": r"[^\x20\x09-\x0D]+", "runs-2": r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"}
+
+
+@query
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after four batches over all documents, one of them sent twice.
+
+    All documents arrive counted by words-1; those in English are revised to runs-2; documents whose
+    text another document with a lower id has are deleted; the revision is sent again.
+    """
+    ledger = rollup.Ledger(spark, fresh_path(spark, "rollup"))
+    counts = {v: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)) for v, p in COUNTERS.items()}
+    docs = documents(spark, sf_dir)
+    counted = stored(
+        docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), *[c.alias(f"n_{v[:-2]}") for v, c in counts.items()]),
+        "token-counts",
+    )
+    old, new = map(F.lit, COUNTERS)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    copies = counted.join(first, "text_key").where(F.col("doc_id") > F.col("first_id"))
+    revision = rollup.changes(counted.where(english), "revise", new, F.col("n_runs"), old, F.col("n_words"))
+    version, tokens = F.when(english, new).otherwise(old), F.when(english, F.col("n_runs")).otherwise(F.col("n_words"))
+    ledger.apply("load", rollup.changes(counted, "insert", old, F.col("n_words")))
+    ledger.apply("revise-en", revision)
+    ledger.apply("drop-copies", rollup.changes(copies, "delete", version, tokens))
+    ledger.apply("revise-en", revision)
+    return ledger.totals()
