@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import fingerprint, hostrules, idfiles, jaccard, language, mixing, packing, pii, quality, rollup
+from fleetlens.llm import fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, pii, quality, rollup
 from fleetlens.llm.tables import documents, fresh_path, held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
