@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Members and shingles that one side of a block comparison holds, about.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
+#: Most ids of a member filter.
+FILTER_IDS = 1 << 24
 
 
 def plan_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -151,8 +154,48 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", row_id().alias("row_id"), "text").mapInArrow(_sketch(n, bands, rows), schema)
 
 
-def _sets(n: int):
+@dataclass
+class Members:
+    """A Bloom filter over ids: ``words`` of 64 bits."""
+
+    words: np.ndarray
+
+    def probably(self, ids: np.ndarray) -> np.ndarray:
+        found = np.ones(len(ids), bool)
+        for place in self.places(ids, len(self.words) * 64):
+            found &= (self.words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return found
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+        h = mixed(ids.astype(np.int64).view(np.uint64) * _FACTOR)
+        return [((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 18, 36)]
+
+
+def _member_words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(np.concatenate(Members.places(batch.column("rep").to_numpy(), bits)))
+            word, first = np.unique(place >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first) if len(place) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word, pa.int64()), "bits": pa.array(value.view(np.int64), pa.int64())})
+
+    return run
+
+
+def member_filter(ids: DataFrame, count: int) -> Members:
+    """A filter over the column ``rep`` with about ten bits per id; its words are what reaches the driver."""
+    bits = 1 << max(16, (10 * count - 1).bit_length())
+    words = np.zeros(bits // 64, np.uint64)
+    rows = ids.mapInArrow(_member_words(bits), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Members(words)
+
+
+def _sets(n: int, wanted: Members | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if wanted is not None:
+            batches = (b.filter(pa.array(wanted.probably(b.column("rep").to_numpy()))) for b in batches)
         for batch, texts in blocks(batches):
             sets = shingle_sets(texts, n)
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "set_key": pa.array(map(set_key, sets), pa.string()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
@@ -260,6 +303,21 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Shingle sets of the wanted rows and of some more.
+
+    Texts are chosen by a filter of ``wanted`` where they are read, so that no text is shuffled. The filter is made
+    for at most ``FILTER_IDS`` ids (20 MB of bits); beyond that the texts meet the ids in a join.
+    """
+    texts = docs.select(row_id().alias("rep"), "text")
+    count = wanted.count()
+    if count <= FILTER_IDS:
+        chosen = _sets(n, member_filter(wanted, count))
+    else:
+        texts, chosen = texts.join(wanted, "rep", "left_semi"), _sets(n, None)
+    return texts.mapInArrow(chosen, "rep bigint, set_key string, shingles binary")
+
+
 def join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_id, class_id, copy_of, n_links, n_set_links."""
     bands, rows = plan_bands(threshold, recall)
@@ -286,11 +344,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float =
         F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("b.shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"),
     )
     members = stored(placed.join(first, ["band", "key"]).select("band", "key", "rep", "set_key", "n_blocks"), "buckets")
-    wanted = members.select("rep").distinct()
-    sets = (
-        docs.select(row_id().alias("rep"), "text").join(wanted, "rep", "left_semi")
-        .mapInArrow(_sets(n), "rep bigint, set_key string, shingles binary").dropDuplicates(["rep", "set_key"])
-    )
+    sets = _candidate_sets(docs, members.select("rep").distinct(), n).dropDuplicates(["rep", "set_key"])
     rows_of = sets.join(classes.select("rep", "set_key", "copies", "bands"), ["rep", "set_key"])
     own = F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
