@@ -16,7 +16,7 @@ from fleetlens.catalog import QUERIES
 from fleetlens.session import build_session
 
 HEADLINE = (
-    "read_offers", "offer_quality_filter", "price_summary", "price_summary_listed", "top_offers", "estimate",
+    "read_offers", "offer_quality_filter", "price_summary", "top_offers", "estimate",
     "scaling_table", "assign_offers", "hybrid_split", "assign_items_to_shards", "read_instances_paged",
     "normalize_instances", "enumerate_instances", "owned_instances", "verify_ownership", "zombie_candidates",
     "cleanup_dispatch", "sweep_report", "destroy_verdict", "read_batch_state", "migrate_state_v0", "batch_cost",

@@ -45,7 +45,7 @@ PAGES = """j AS (SELECT *, CASE WHEN json_valid(raw) THEN raw::JSON END AS d FRO
  l AS (SELECT *, lag(nt) OVER (PARTITION BY listing_id ORDER BY page_no) AS pt, lag(page_no) OVER (PARTITION BY listing_id ORDER BY page_no) AS pp, count(*) OVER (PARTITION BY listing_id, nt) AS same FROM o),
  c AS (SELECT listing_id, count(*) AS pages, arg_min(e, page_no) FILTER (e <> '') AS fe, bool_or(nt IS NOT NULL AND same > 1) AS rep,
    bool_or(CASE WHEN page_no = 0 THEN after_token <> '' ELSE pp IS DISTINCT FROM page_no - 1 OR after_token IS DISTINCT FROM pt END) OR count(*) FILTER (nt IS NULL) <> 1 OR (max({'p': page_no, 't': nt})).t IS NOT NULL AS broken FROM l GROUP BY listing_id),
- verdict AS (SELECT listing_id, pages, CASE WHEN fe IS NOT NULL THEN fe WHEN rep THEN 'invalid page token' WHEN pages > 1000 THEN 'too many pages' WHEN broken THEN 'broken page chain' ELSE '' END AS error FROM c)"""
+ verdict AS (SELECT listing_id, pages, CASE WHEN fe IS NOT NULL THEN fe WHEN rep THEN 'invalid page token' WHEN broken THEN 'broken page chain' ELSE '' END AS error FROM c)"""
 
 
 @query("page_chain", "pages_raw", oracle=f", {PAGES} SELECT listing_id, pages, error, error = '' AS ok FROM verdict")
@@ -79,8 +79,11 @@ def normalize_id(v):
 
 
 @query("valid_candidate", "instances", oracle="""
-SELECT instance_id, CASE WHEN k % 61 = 0 THEN 'unknown provider' WHEN k % 59 = 0 THEN 'invalid id' WHEN k % 47 = 0 THEN 'text field is not a string' WHEN k % 43 = 0 OR k % 53 = 0 OR k % 37 = 0 THEN 'invalid cost_per_hour' ELSE '' END AS error
-FROM (SELECT *, CAST(instance_id AS BIGINT) AS k FROM v_instances)""")
+, k AS (SELECT *, CAST(instance_id AS BIGINT) AS k FROM v_instances),
+ c AS (SELECT instance_id AS key, state, image_uuid, CASE WHEN k % 61 = 0 THEN 'nowhere' ELSE provider END AS provider, CASE WHEN k % 59 = 0 THEN ' ' || instance_id ELSE instance_id END AS id, CASE WHEN k % 47 <> 0 THEN label END AS label,
+  CASE WHEN k % 43 = 0 THEN CAST('nan' AS DOUBLE) WHEN k % 53 = 0 THEN CAST('inf' AS DOUBLE) WHEN k % 37 = 0 THEN -1 ELSE cost_per_hour END AS cost, epoch(CAST(started_at AS TIMESTAMP)) AS started FROM k)
+SELECT key AS instance_id, CASE WHEN provider IS NULL OR provider NOT IN ('market', 'runpod', 'local') THEN 'unknown provider' WHEN id IS NULL OR id = '' OR id <> trim(id) THEN 'invalid id'
+ WHEN label IS NULL OR state IS NULL OR image_uuid IS NULL THEN 'text field is not a string' WHEN cost IS NULL OR isnan(cost) OR isinf(cost) OR cost < 0 THEN 'invalid cost_per_hour' WHEN started IS NULL OR started < 0 THEN 'invalid started_at' ELSE '' END AS error FROM c""")
 def valid_candidate(v):
     k = F.col("instance_id").cast("bigint")
     rows = v.instances.withColumns({"_key": F.col("instance_id"), "ownership_key": F.col("image_uuid"), "gpu_model": F.lit("")}).withColumns(
@@ -111,12 +114,12 @@ def scope_filter(v):
 
 
 @query("destroy_eligibility", "instances", oracle="""
-SELECT instance_id, CASE state WHEN '' THEN 'empty state' WHEN 'destroyed' THEN 'state ''destroyed'' is terminal (already destroyed)' ELSE '' END AS error FROM v_instances""")
+SELECT instance_id, CASE state WHEN '' THEN 'empty state' WHEN 'destroyed' THEN 'state ''destroyed'' is final' ELSE '' END AS error FROM v_instances""")
 def destroy_eligibility(v):
     return v.instances.select("instance_id", fleet.eligibility_error(F.col("state")).alias("error"))
 
 
-@query("provider_match", "instances", oracle="SELECT provider, count(*) AS n, CASE WHEN provider <> 'market' THEN 'provider_mismatch' END AS refusal FROM v_instances GROUP BY provider")
+@query("provider_match", "instances", oracle="SELECT provider, count(*) AS n, CASE WHEN provider IS DISTINCT FROM 'market' THEN 'provider_mismatch' END AS refusal FROM v_instances GROUP BY provider")
 def provider_match(v):
     outcome = cleanup.apply_policy(
         v.instances.select("provider"),
@@ -127,7 +130,7 @@ def provider_match(v):
 
 
 @query("zombie_candidates", "instances", "units", oracle=f"""
-SELECT i.instance_id, i.label, i.state FROM v_instances i WHERE starts_with(label, '{SCOPE}-') AND NOT EXISTS (SELECT 1 FROM v_units u WHERE u.instance_id = i.instance_id AND u.instance_id <> '')""")
+SELECT i.instance_id, i.label, i.state FROM v_instances i WHERE starts_with(label, '{SCOPE}-') AND NOT EXISTS (SELECT 1 FROM v_units u WHERE u.instance_id = i.instance_id AND u.status IN ('deployed', 'running'))""")
 def zombie_candidates(v):
     return fleet.zombies(fleet.scope_filter(v.instances, SCOPE), v.units).select("instance_id", "label", "state")
 
@@ -170,16 +173,17 @@ def verify_verdict(v):
     return v.verify_log.select("row_id", verdict.alias("r")).select("row_id", "r.verdict", "r.error")
 
 
-DESTROY = """a AS (SELECT *, split_part(delete_statuses, ',', 1) AS s1, split_part(delete_statuses, ',', 2) AS s2, split_part(delete_statuses, ',', 3) AS s3 FROM v_destroy_log),
- b AS (SELECT *, CASE WHEN s1 IN ('200', '204') THEN 1 WHEN s2 IN ('200', '204') THEN 2 ELSE 3 END AS stop_at FROM a),
- c AS (SELECT *, CASE WHEN stop_at >= 3 AND s3 NOT IN ('raise', '') THEN 3 WHEN stop_at >= 2 AND s2 NOT IN ('raise', '') THEN 2 WHEN s1 <> 'raise' THEN 1 ELSE 0 END AS att,
-   CASE WHEN stop_at >= 3 AND s3 NOT IN ('none', '') THEN try_cast(s3 AS INT) WHEN stop_at >= 2 AND s2 NOT IN ('none', '') THEN try_cast(s2 AS INT) WHEN s1 <> 'none' THEN try_cast(s1 AS INT) ELSE stop_status END AS ls FROM b),
- dv AS (SELECT instance_id, stop_error, CASE WHEN stop_error IS NOT NULL THEN 0 ELSE att END AS attempts, CASE WHEN stop_error IS NULL THEN ls END AS last_status,
+DESTROY = """a AS (SELECT *, string_split(delete_statuses, ',') AS s FROM v_destroy_log),
+ b AS (SELECT *, s[1:coalesce(list_min(list_filter(range(1, len(s) + 1), lambda i: s[i] IN ('200', '204'))), len(s))] AS used FROM a),
+ c AS (SELECT *, coalesce(list_max(list_filter(range(1, len(used) + 1), lambda i: used[i] <> 'raise')), 0) AS att, list_filter(used, lambda x: x <> 'none') AS spoken FROM b),
+ e AS (SELECT *, CASE WHEN len(spoken) = 0 THEN stop_status ELSE try_cast(spoken[-1] AS INT) END AS ls FROM c),
+ dv AS (SELECT instance_id, run_at, stop_error, CAST(CASE WHEN stop_error IS NOT NULL THEN 0 ELSE att END AS INT) AS attempts, CASE WHEN stop_error IS NULL THEN ls END AS last_status,
    CASE WHEN stop_error IS NOT NULL THEN 'unknown' WHEN verify1 = 'gone' THEN CASE WHEN att = 0 THEN 'unknown' WHEN ls IN (200, 204) THEN 'destroyed' ELSE 'leaked' END
      WHEN verify1 = 'present' AND verify2 = 'gone' AND att > 0 THEN 'destroyed' ELSE 'unknown' END AS verdict,
    CASE WHEN stop_error IS NOT NULL THEN NULL WHEN verify1 = 'gone' THEN CASE WHEN att = 0 THEN 'no delete attempt returned' END
      WHEN verify1 = 'present' THEN CASE WHEN verify2 = 'gone' THEN CASE WHEN att = 0 THEN 'no delete attempt returned' END WHEN verify2 = 'raise' THEN verify2_error ELSE coalesce(verify2_error, verify1_error, 'verify returned PRESENT') END
-     ELSE verify1_error END AS verify_error FROM c)"""
+     ELSE verify1_error END AS verify_error FROM e),
+ dl AS (SELECT * FROM dv QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY run_at DESC) = 1)"""
 
 
 def destroy_log(v):
@@ -197,15 +201,17 @@ def dispatch_oracle(credentials, where="true"):
         "absent": "CASE WHEN verification = 'absent' THEN 'already_gone' ELSE 'cli_attempted' END",
     }[credentials]
     return f"""{repository_cte('v_instances', 'image_uuid')}, {DESTROY},
- q AS (SELECT rp.*, dv.verdict, CASE WHEN instance_id % 9 = 0 THEN 'absent' WHEN repository = 'myorg/app' THEN 'owned' ELSE 'refused' END AS verification FROM (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM rp) rp LEFT JOIN (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM dv) dv USING (instance_id) WHERE {where}),
- f AS (SELECT CAST(instance_id AS VARCHAR) AS instance_id, CASE WHEN provider <> 'market' THEN 'provider_mismatch' WHEN state IN ('', 'destroyed') THEN 'ineligible_state' WHEN verification = 'refused' THEN 'ownership' END AS refusal, {outcome} AS outcome FROM q),
+ q AS (SELECT rp.*, dv.verdict, CASE WHEN instance_id % 17 = 0 THEN NULL WHEN instance_id % 9 = 0 THEN 'absent' WHEN repository = 'myorg/app' THEN 'owned' ELSE 'refused' END AS verification FROM (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM rp) rp LEFT JOIN (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM dl) dv USING (instance_id) WHERE {where}),
+ f AS (SELECT CAST(instance_id AS VARCHAR) AS instance_id, CASE WHEN provider IS DISTINCT FROM 'market' THEN 'provider_mismatch' WHEN state IN ('', 'destroyed') THEN 'ineligible_state' WHEN verification IS NULL OR verification = 'refused' THEN 'ownership' END AS refusal, {outcome} AS outcome FROM q),
  g AS (SELECT instance_id, refusal, CASE WHEN refusal IS NULL THEN outcome END AS verdict FROM f)"""
 
 
 def judged(v):
     owned = fleet.with_ownership(v.instances, own_images(v), key="image_uuid")
-    verification = F.when(F.col("instance_id").cast("bigint") % 9 == 0, "absent").when(F.col("owned"), "owned").otherwise("refused")
-    runs = cleanup.destroy_verdict(destroy_log(v)).withColumnRenamed("verdict", "destroy_verdict")
+    number = F.col("instance_id").cast("bigint")
+    known = F.when(number % 9 == 0, "absent").when(F.col("owned"), "owned").otherwise("refused")
+    verification = F.when(number % 17 != 0, known)
+    runs = cleanup.destroy_verdict(cleanup.latest_runs(destroy_log(v))).withColumnRenamed("verdict", "destroy_verdict")
     return owned.withColumn("verification", verification).join(runs, "instance_id", "left")
 
 
@@ -241,7 +247,7 @@ def outcome_severity(v):
     return v.outcomes.select("row_id", cleanup.severity(F.col("verdict"), F.col("refusal")).alias("severity"))
 
 
-SWEEP = f"""starts_with(label, '{SCOPE}-') AND NOT EXISTS (SELECT 1 FROM v_units u WHERE u.instance_id = CAST(rp.instance_id AS VARCHAR) AND u.instance_id <> '')"""
+SWEEP = f"""starts_with(label, '{SCOPE}-') AND NOT EXISTS (SELECT 1 FROM v_units u WHERE u.instance_id = CAST(rp.instance_id AS VARCHAR) AND u.status IN ('deployed', 'running'))"""
 
 
 def sweep_rows(v):
@@ -263,10 +269,10 @@ def sweep_totals_query(v):
 
 @query("policy_outcomes", "instances", "destroy_log", oracle=f""", {DESTROY}
 SELECT i.instance_id, CASE WHEN i.provider = 'market' THEN CASE WHEN dv.verdict = 'destroyed' THEN 'destroyed' WHEN CAST(i.instance_id AS BIGINT) % 2 = 0 THEN dv.verdict ELSE 'unknown' END END AS verdict,
- CASE WHEN i.provider <> 'market' THEN 'provider_mismatch' END AS refusal FROM v_instances i JOIN dv USING (instance_id)""")
+ CASE WHEN i.provider IS DISTINCT FROM 'market' THEN 'provider_mismatch' END AS refusal FROM v_instances i JOIN dl dv USING (instance_id)""")
 def policy_outcomes(v):
     def destroy(candidates):
-        runs = cleanup.destroy_verdict(destroy_log(v)).select("instance_id", "verdict")
+        runs = cleanup.destroy_verdict(cleanup.latest_runs(destroy_log(v))).select("instance_id", "verdict")
         detail = F.when(F.col("verdict") == "destroyed", "").when(F.col("instance_id").cast("bigint") % 2 == 0, "detail").otherwise("")
         return candidates.join(runs, "instance_id").withColumns({"refusal": F.lit(None).cast("string"), "error": detail})
 
@@ -282,9 +288,9 @@ def sweep_stream(v):
 
 
 @query("cleanup_report", "instances_raw", "units", "destroy_log", oracle=f""", {NORMAL}, {DESTROY},
- cand AS (SELECT n.listing_id, n.cid, n.image_uuid, h.malformed FROM n JOIN h USING (listing_id) WHERE reject = '' AND duplicate_ids = 0 AND starts_with(label, 'prod-3f9a1b2c4d5e-') AND cid NOT IN (SELECT instance_id FROM v_units WHERE instance_id <> ''))
+ cand AS (SELECT n.listing_id, n.cid, n.image_uuid, h.malformed FROM n JOIN h USING (listing_id) WHERE reject = '' AND duplicate_ids = 0 AND starts_with(label, 'prod-3f9a1b2c4d5e-') AND cid NOT IN (SELECT instance_id FROM v_units WHERE status IN ('deployed', 'running')))
 SELECT cid AS instance_id, CASE WHEN malformed > 0 OR NOT starts_with(image_uuid, 'myorg/app1:') THEN 'ownership' END AS refusal, CASE WHEN malformed = 0 AND starts_with(image_uuid, 'myorg/app1:') THEN coalesce(dv.verdict, 'unknown') END AS verdict
-FROM cand LEFT JOIN dv ON dv.instance_id = cand.cid""")
+FROM cand LEFT JOIN dl dv ON dv.instance_id = cand.cid""")
 def cleanup_report_query(v):
     owned = v.images.where(F.col("image").contains("myorg/app1:")).select("image")
     outcomes = cleanup_report(normalized(v), v.units, destroy_log(v), "prod-3f9a1b2c4d5e", owned=owned)

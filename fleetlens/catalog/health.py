@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.registry import query
 from fleetlens.operators import health
 from fleetlens.operators.workload import run_workload
+from fleetlens.session import scratch_folder
 from fleetlens.sources import readers, writers
 
 READ = r"""c AS (SELECT *, string_split(trim(csv_line), ',') AS p FROM v_gpu_telemetry),
@@ -53,7 +54,11 @@ def append_timing(v):
 SELECT batch_id, unit_key, status, '2024-01-01T00:00:00.000000Z' AS updated_at, CAST(7 AS BIGINT) AS version FROM v_units""")
 def write_batch_state(v):
     as_of = F.lit("2024-01-01T00:00:00+00:00")
-    return writers.state_snapshot(v.units.select("batch_id", "unit_key", "status"), 7, as_of)
+    units = v.units.select("batch_id", "unit_key", "status")
+    folder = scratch_folder(v.spark, "state")
+    for version, rows in ((6, units.where("status = 'pending'")), (7, units)):
+        writers.write_state(rows, rows.select("batch_id").distinct(), folder, version, as_of)
+    return writers.read_state(v.spark, folder)[0]
 
 
 @query("read_diagnostics", "diagnostics", oracle=r"""
@@ -65,16 +70,21 @@ def read_diagnostics(v):
     return readers.parse_diagnostics(v.diagnostics)
 
 
-@query("collect_outputs", "outputs", oracle="SELECT batch_id, shard_id, rel_path, split_part(rel_path, '/', 1) AS entry FROM v_outputs WHERE regexp_full_match(rel_path, '.*\\.bin')")
+@query("collect_outputs", "outputs", oracle="SELECT batch_id, CAST(sum(octet_length(encode(rel_path)) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM v_outputs GROUP BY batch_id")
 def collect_outputs(v):
-    kept = v.outputs.where(F.col("rel_path").endswith(".bin"))
-    return kept.withColumn("entry", F.get(F.split("rel_path", "/"), F.lit(0)))
+    """The outputs as files of a folder tree, a folder per batch, collected with their content."""
+    folder = scratch_folder(v.spark, "outputs")
+    v.outputs.selectExpr("rel_path AS value", "batch_id").write.partitionBy("batch_id").text(folder)
+    files = readers.collect_outputs(v.spark, folder, "*.txt")
+    batch = F.regexp_extract("rel_path", r"\Abatch_id=([^/]*)/", 1).alias("batch_id")
+    lines = F.regexp_count(F.decode("content", "UTF-8"), F.lit("\n"))
+    return files.groupBy(batch).agg(F.sum("size").alias("bytes"), F.sum(lines).alias("lines"))
 
 
 @query("run_workload", "items", oracle="""
 , s AS (SELECT batch_id, CAST(substr(item_id, 2) AS BIGINT) % 8 AS shard_id, item_id FROM v_items)
-SELECT batch_id, shard_id, CASE WHEN shard_id = 3 THEN 1 WHEN shard_id = 5 THEN 3 WHEN bool_or(item_id = 'p17') THEN 1 ELSE 0 END AS exit_code, CASE WHEN shard_id IN (3, 5) THEN 0 ELSE count(*) END AS items,
- CASE WHEN shard_id = 3 THEN 'GPU unhealthy' WHEN shard_id = 5 THEN 'preflight gate closed' WHEN bool_or(item_id = 'p17') THEN 'ValueError: poisoned item' ELSE '' END AS error, shard_id NOT IN (3, 5) AND NOT bool_or(item_id = 'p17') AS completed FROM s GROUP BY batch_id, shard_id""")
+SELECT batch_id, shard_id, CASE WHEN shard_id = 3 THEN 1 WHEN shard_id = 5 THEN 3 WHEN bool_or(item_id = 'p17') THEN 1 WHEN bool_or(item_id = 'p23') THEN -9 ELSE 0 END AS exit_code, CASE WHEN shard_id IN (3, 5) THEN 0 ELSE count(*) END AS items,
+ CASE WHEN shard_id = 3 THEN 'GPU unhealthy' WHEN shard_id = 5 THEN 'preflight gate closed' WHEN bool_or(item_id = 'p17') THEN 'ValueError: poisoned item' ELSE '' END AS error, shard_id NOT IN (3, 5) AND NOT bool_or(item_id IN ('p17', 'p23')) AS completed FROM s GROUP BY batch_id, shard_id""")
 def run_workload_query(v):
     items = v.items.withColumn("shard_id", F.substr("item_id", F.lit(2)).cast("bigint") % 8)
     shards = items.select("batch_id", "shard_id").distinct()
@@ -82,7 +92,7 @@ def run_workload_query(v):
     def work(block):
         if (block["item_id"] == "p17").any():
             raise ValueError("poisoned item")
-        return 0
+        return -9 if (block["item_id"] == "p23").any() else 0
 
     return run_workload(
         items,

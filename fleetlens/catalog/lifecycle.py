@@ -6,7 +6,7 @@ from fleetlens.catalog.registry import query
 from fleetlens.operators import lifecycle as L
 
 WANTED = """w AS (SELECT bucket, 'project/batches/' AS canonical_prefix, 'fleetlens-expire-' || substr(sha256(bucket || chr(0) || 'project/batches/'), 1, 12) AS rule_id, CAST(days_json AS INT) AS days FROM v_policies)"""
-TEXT = "concat_ws('|', id, status, prefix, coalesce(CAST(days AS VARCHAR), ''), extra)"
+TEXT = "CAST(to_json({'id': id, 'status': status, 'prefix': prefix, 'days': CAST(days AS BIGINT), 'extra': extra}) AS VARCHAR)"
 
 
 def prints(src, name="fp"):
@@ -32,9 +32,12 @@ def policies(v):
 @query("read_lifecycle_rules", "rule_docs", oracle="""
 , r AS (SELECT bucket, CAST(i AS INT) AS pos, json_extract(raw, '$.Rules[' || i || ']') AS r FROM (SELECT *, unnest(range(CAST(coalesce(json_array_length(CASE WHEN json_type(raw) = 'OBJECT' THEN json_extract(raw, '$.Rules') END), 0) AS BIGINT))) AS i FROM v_rule_docs))
 SELECT bucket, pos, coalesce(json_extract_string(r, '$.ID'), '') AS id, json_extract_string(r, '$.Status') AS status, coalesce(CASE WHEN json_type(r, '$.Filter') = 'OBJECT' THEN json_extract_string(r, '$.Filter.Prefix') END, '') AS prefix,
- CAST(json_extract(r, '$.Expiration.Days') AS BIGINT) AS days, contains(CAST(r AS VARCHAR), 'Transition') AS keeps_unknown FROM r""")
+ TRY_CAST(CASE WHEN json_type(r, '$.Expiration.Days') IN ('UBIGINT', 'BIGINT') THEN json_extract_string(r, '$.Expiration.Days') END AS BIGINT) AS days,
+ '{' || array_to_string(list_sort(list_concat(
+  list_transform(list_filter(json_keys(r), lambda k: NOT ((k IN ('ID', 'Status') AND json_type(r, '$.' || k) = 'VARCHAR') OR (k IN ('Filter', 'Expiration') AND json_type(r, '$.' || k) = 'OBJECT'))), lambda k: '"' || k || '":' || CAST(json_extract(r, '$.' || k) AS VARCHAR)),
+  CASE WHEN json_type(r, '$.Expiration') = 'OBJECT' AND len(list_filter(json_keys(r, '$.Expiration'), lambda k: k <> 'Days')) > 0 THEN ['"Expiration":{' || array_to_string(list_transform(list_filter(json_keys(r, '$.Expiration'), lambda k: k <> 'Days'), lambda k: '"' || k || '":' || CAST(json_extract(r, '$.Expiration.' || k) AS VARCHAR)), ',') || '}'] ELSE [] END)), ',') || '}' AS extra FROM r""")
 def read_lifecycle_rules(v):
-    return L.parse_rules(v.rule_docs).withColumn("keeps_unknown", F.col("raw_rule").contains("Transition")).drop("raw_rule")
+    return L.parse_rules(v.rule_docs)
 
 
 @query("rules_fingerprint", "rules", oracle=f", {prints('v_rules')} SELECT * FROM fp")
@@ -42,7 +45,7 @@ def rules_fingerprint(v):
     return L.fingerprints(v.rules)
 
 
-@query("overlapping_rules", "rules", "policies", oracle=f""", {WANTED}, {OVERLAP} SELECT *, 'Overlapping foreign rule ''' || foreign_id || ''' (prefix=''' || foreign_prefix || ''') may expire objects earlier than the managed rule' AS warning FROM ov""")
+@query("overlapping_rules", "rules", "policies", oracle=f""", {WANTED}, {OVERLAP} SELECT *, 'rule ''' || foreign_id || ''' of prefix ''' || foreign_prefix || ''' overlaps and may expire objects first' AS warning FROM ov""")
 def overlapping_rules(v):
     return L.overlapping_rules(v.rules, policies(v))
 

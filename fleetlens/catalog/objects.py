@@ -35,7 +35,7 @@ def batch_progress(v):
     return O.batch_progress(v.objects, ROOT)
 
 
-@query("done_shards", "objects", oracle=f", {PARSED} SELECT DISTINCT bucket, batch_id, shard_id FROM p WHERE area = 'done' AND shard_id IS NOT NULL")
+@query("done_shards", "objects", oracle=f", {PARSED} SELECT bucket, batch_id, shard_id, row_number() OVER (PARTITION BY bucket, batch_id ORDER BY shard_id) AS position FROM (SELECT DISTINCT bucket, batch_id, shard_id FROM p WHERE area = 'done' AND shard_id IS NOT NULL)")
 def done_shards(v):
     return O.done_shards(v.objects, ROOT)
 
@@ -63,18 +63,28 @@ def expiring_summary(v):
     return O.expiring_summary(v.bucket_objects, v.rules)
 
 
-@query("chunk_order", "objects", oracle=f", {PARSED} SELECT key, CAST(regexp_extract(rest, '_chunk_([0-9]+)', 1) AS BIGINT) AS chunk_index FROM p WHERE area = 'chunk'")
+@query("chunk_order", "objects", oracle=f""", {PARSED}, k AS (SELECT bucket, key, regexp_replace(key, '_chunk_[0-9]+[^/]*$', '') AS file, CAST(regexp_extract(rest, '_chunk_([0-9]+)', 1) AS BIGINT) AS chunk_index FROM p WHERE area = 'chunk')
+SELECT file, key, chunk_index, row_number() OVER (PARTITION BY bucket, file ORDER BY chunk_index, key) AS position FROM k""")
 def chunk_order(v):
-    return O.chunk_order(v.objects, ROOT).select("key", "chunk_index").orderBy("chunk_index")
+    return O.chunk_order(v.objects, ROOT).select("file", "key", "chunk_index", "position")
 
 
-@query("chunk_plan", "file_sizes", oracle="""
+PLAN = """
 , g AS (SELECT *, coalesce(max(size) OVER (PARTITION BY file_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM v_file_sizes)
-SELECT file_id, event_id, row_number() OVER (PARTITION BY file_id ORDER BY ts, event_id) - 1 AS chunk_index, seen AS "offset", size - seen AS length FROM g WHERE size > seen""")
+SELECT file_id, event_id, row_number() OVER (PARTITION BY file_id ORDER BY ts, event_id) - 1 AS chunk_index, seen AS "offset", size - seen AS length FROM g WHERE size > seen"""
+
+
+@query("chunk_plan", "file_sizes", oracle=PLAN)
 def chunk_plan(v):
     return O.chunk_plan(v.file_sizes)
 
 
+@query("chunk_stream", "file_sizes", oracle=PLAN)
+def chunk_stream(v):
+    """The batch form of ``streaming.stateful.chunk_stream``."""
+    return O.chunk_plan(v.file_sizes)
+
+
 def chunks(v):
     return v.log_lines.selectExpr("unit_key AS file_id", "line_no AS chunk_index", "encode(line, 'UTF-8') AS content")
 

@@ -8,7 +8,7 @@ from fleetlens.operators import offers as market
 from fleetlens.operators import planning
 from fleetlens.plans.estimate import estimate
 
-PRICES = f"""p AS (SELECT {CANON} AS gpu_type, min(dph_total) AS lo, max(dph_total) AS hi, median(dph_total) AS mid FROM v_offers WHERE {PASSING} AND dph_total <> 0 GROUP BY ALL)"""
+PRICES = f"""p AS (SELECT {CANON} AS gpu_type, min(dph_total) AS lo, max(dph_total) AS hi, median(dph_total) AS mid, count(*) AS cnt FROM v_offers WHERE {PASSING} AND dph_total <> 0 GROUP BY ALL)"""
 SPEED = "CAST(CASE {c} WHEN 'RTX_3090' THEN 0.77 WHEN 'RTX_5090' THEN 1.43 ELSE 1 END AS DOUBLE)"
 STATIC = "CAST(CASE {c} WHEN 'RTX_3090' THEN 0.15 WHEN 'RTX_4090' THEN 0.32 WHEN 'RTX_5090' THEN 0.60 ELSE 0.30 END AS DOUBLE)"
 SCALE = f""", w AS (SELECT workload_id, work_hours, {{kind}} AS t, unnest([0, 2, 4, 8, 16]) AS n FROM v_workloads),
@@ -30,8 +30,33 @@ def estimate_query(v):
     return estimate(v.offers, v.workloads.select("workload_id", "work_hours", asked))
 
 
-@query("estimate_report")
+def places(value, n):
+    return f"CAST(round(CAST({value} AS DECIMAL(28,12)), {n}) AS DECIMAL(18,{n}))"
+
+
+PRICING = f"""q AS (SELECT string_agg(concat_ws(':', w.gpu_type, coalesce(cnt, 0), {places("coalesce(lo, CAST(fb AS DOUBLE))", 3)}, {places("coalesce(hi, CAST(fb AS DOUBLE))", 3)}, {places("coalesce(mid, CAST(fb AS DOUBLE))", 3)}), ',' ORDER BY ord) AS pricing
+ FROM (VALUES (0, 'RTX_3090', 0.15), (1, 'RTX_4090', 0.32), (2, 'RTX_5090', 0.60)) w(ord, gpu_type, fb) LEFT JOIN p ON p.gpu_type = w.gpu_type)"""
+LOW, HIGH = places("wall * n * lo", 2), places("wall * n * hi", 2)
+
+
+@query("estimate_report", "workloads", "offers", oracle=f", {PRICES}" + SCALE.format(kind="cloud_gpu_type") + f""", {PRICING}
+SELECT workload_id, n AS cloud_gpus, CASE WHEN n > 0 THEN t ELSE 'RTX_4090' END AS cloud_gpu_type, CAST({places("wall", 3)} AS DOUBLE) AS wall_time_hours, CAST({LOW} AS DOUBLE) AS cloud_cost_min, CAST({HIGH} AS DOUBLE) AS cloud_cost_max,
+ CASE WHEN n = 0 THEN '$0.00' WHEN abs(wall * n * lo - wall * n * hi) < 0.01 THEN '$' || {LOW} ELSE '$' || {LOW} || '-$' || {HIGH} END AS cost_display, pricing FROM c, q""")
 def estimate_report(v):
+    """The documents, read back: one row per scaling row with the prices as text."""
+    schema = """pricing array<struct<gpu_type: string, available_count: bigint, min_price_hr: double, max_price_hr: double, median_price_hr: double>>,
+     scaling_table array<struct<cloud_gpus: int, cloud_gpu_type: string, wall_time_hours: double, cloud_cost_min: double, cloud_cost_max: double, cost_display: string>>"""
+    doc = report_documents(v).withColumn("d", F.from_json("document", schema))
+
+    def price(p):
+        shown = [p[c].cast("decimal(18,3)").cast("string") for c in ("min_price_hr", "max_price_hr", "median_price_hr")]
+        return F.concat_ws(":", p["gpu_type"], p["available_count"].cast("string"), *shown)
+
+    pricing = F.array_join(F.transform("d.pricing", price), ",").alias("pricing")
+    return doc.select("workload_id", pricing, F.inline("d.scaling_table"))
+
+
+def report_documents(v):
     prices = market.price_summary(v.offers)
     return planning.estimate_report(v.workloads, prices, as_of="2024-01-01T00:00:00+00:00")
 
@@ -41,7 +66,7 @@ SELECT workload_id, n AS cloud_gpus, CASE WHEN n > 0 THEN t ELSE 'RTX_4090' END
  CASE WHEN wall >= 1 THEN CAST(CAST(floor(wall) AS INT) AS VARCHAR) || 'h ' || lpad(CAST(CAST(floor((wall - floor(wall)) * 60) AS INT) AS VARCHAR), 2, '0') || 'm' ELSE CAST(CAST(floor(wall * 60) AS INT) AS VARCHAR) || 'm' END AS wall_time_human FROM c""")
 def estimate_report_rows(v):
     schema = "pricing array<struct<gpu_type: string>>, scaling_table array<struct<cloud_gpus: int, cloud_gpu_type: string, wall_time_human: string, notes: string>>"
-    doc = estimate_report(v).withColumn("d", F.from_json("document", schema))
+    doc = report_documents(v).withColumn("d", F.from_json("document", schema))
     rows = doc.select("workload_id", F.size("d.pricing").alias("prices"), F.explode("d.scaling_table").alias("r"))
     return rows.select("workload_id", "prices", "r.*")
 

@@ -8,6 +8,7 @@ from fleetlens.functions import json_values as J
 from fleetlens.operators import polling as P
 from fleetlens.operators import units as U
 from fleetlens.plans.poll import poll_cycle
+from fleetlens.streaming import declarative
 
 SNAP = """j AS (SELECT *, raw::JSON AS d FROM v_probes),
  b AS (SELECT *, json_type(d) = 'OBJECT' AND coalesce(CASE json_type(d, '$.complete') WHEN 'BOOLEAN' THEN CAST(json_extract(d, '$.complete') AS BOOLEAN) WHEN 'VARCHAR' THEN json_extract_string(d, '$.complete') <> '' WHEN 'DOUBLE' THEN CAST(json_extract(d, '$.complete') AS DOUBLE) <> 0 END, false) AS complete,
@@ -22,10 +23,21 @@ def progress_snapshot(v):
     return v.probes.select("event_id", P.snapshot(J.parse(F.col("raw"))).alias("s")).select("event_id", "s.*")
 
 
-@query("unit_action_stream", "probes", "markers", oracle=f""", {SNAP}, l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY unit_key ORDER BY ts DESC, event_id DESC) = 1),
+@query("unit_action_stream", "probes", "markers", oracle=f""", {SNAP}, a AS (SELECT b.*, {ACTION.format(wait=3600)} AS action FROM b LEFT JOIN m USING (unit_key))
+SELECT event_id, unit_key, ts, action, CASE WHEN action = 'preempt' THEN 'worker_died' END AS cause, CASE WHEN action = 'preempt' THEN log_tail END AS detail FROM a""")
+def unit_action_stream(v):
+    first = v.markers.groupBy("unit_key").agg(F.min("marker_ts").alias("mark"))
+    again = F.col("ts") + F.make_interval(secs=F.lit(3600))
+    read = v.probes.join(first, "unit_key", "left").withColumns(
+        {"marked": F.coalesce(F.col("mark") <= F.col("ts"), F.lit(False)), "marked_again": F.coalesce(F.col("mark") <= again, F.lit(False))}
+    )
+    return declarative.unit_action_stream(read)
+
+
+@query("unit_actions", "probes", "markers", oracle=f""", {SNAP}, l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY unit_key ORDER BY ts DESC, event_id DESC) = 1),
  a AS (SELECT l.*, {ACTION.format(wait=3600)} AS action FROM l LEFT JOIN m USING (unit_key))
 SELECT unit_key, ts, action, CASE WHEN action = 'preempt' THEN 'worker_died' END AS cause, CASE WHEN action = 'preempt' THEN log_tail END AS detail FROM a""")
-def unit_action_stream(v):
+def unit_actions(v):
     return P.unit_actions(v.probes, v.markers, recheck_seconds=3600)
 
 
@@ -79,7 +91,7 @@ def log_tail(v):
  pc AS (SELECT u.*, CASE WHEN u.status IN ('deployed', 'running') THEN CASE a.action WHEN 'continue' THEN 'running' WHEN 'preempt' THEN 'preempted' WHEN 'complete' THEN CASE WHEN u.shard_id % 10 < 7 THEN 'completed' ELSE 'failed' END END END AS verdict FROM v_units u LEFT JOIN a USING (unit_key))
 SELECT unit_key, verdict, CASE WHEN verdict = 'completed' THEN 'downloaded' WHEN verdict = 'failed' OR (verdict = 'preempted' AND retry_count >= 2) THEN 'failed' WHEN verdict = 'preempted' THEN 'pending' ELSE status END AS status,
  CASE WHEN verdict = 'preempted' AND retry_count < 2 THEN '' ELSE instance_id END AS instance_id, retry_count + CASE WHEN verdict IN ('failed', 'preempted') THEN 1 ELSE 0 END AS retry_count,
- CASE WHEN verdict = 'failed' THEN 'collect_unit_results failed' WHEN verdict = 'preempted' AND retry_count >= 2 THEN 'worker died silently (retries exhausted)' ELSE '' END AS failure_reason FROM pc""")
+ CASE WHEN verdict = 'failed' THEN 'results are incomplete' WHEN verdict = 'preempted' AND retry_count >= 2 THEN 'worker died silently (retries exhausted)' ELSE '' END AS failure_reason FROM pc""")
 def poll_cycle_query(v):
     probes = v.probes.withColumn("unit_key", F.col("unit_key").cast("string"))
     markers = v.markers.withColumn("unit_key", F.col("unit_key").cast("string"))

@@ -6,6 +6,7 @@ from fleetlens.catalog.registry import query
 from fleetlens.functions import fmt, gpu, image, json_values, keys, prefixes, scope
 from fleetlens.operators import planning
 
+# The public grammar of image references.
 LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 PORT = ":(?:[1-9][0-9]{0,3}|[1-5][0-9]{4}|6[0-4][0-9]{3})"
 PART = "[a-z0-9]+(?:(?:[._]|__|-+)[a-z0-9]+)*"
@@ -149,7 +150,7 @@ def runtime_hours(v):
 
 
 @query("foreign_rule_warning", "rules", oracle="""
-SELECT bucket, pos, 'Overlapping foreign rule ''' || id || ''' (prefix=''' || prefix || ''') may expire objects earlier than the managed rule' AS warning FROM v_rules""")
+SELECT bucket, pos, 'rule ''' || id || ''' of prefix ''' || prefix || ''' overlaps and may expire objects first' AS warning FROM v_rules""")
 def foreign_rule_warning(v):
     return v.rules.select("bucket", "pos", prefixes.foreign_rule_warning(F.col("id"), F.col("prefix")).alias("warning"))
 

@@ -24,15 +24,13 @@ def validate_state_schema(v):
     return state.validate_schema(v.state_docs).select("path", "error")
 
 
-@query("migrate_state_v0", "state_docs", oracle=f", {LOAD} SELECT path, action, err AS error, eff AS label_scope, CASE WHEN ver = 0 THEN regexp_replace(eff, '-[0-9a-f]{{12}}$', '') ELSE '' END AS requested_label_prefix FROM w WHERE e = ''")
+@query("migrate_state_v0", "state_docs", oracle=f", {LOAD} SELECT path, action, err AS error, CASE WHEN e = '' THEN eff END AS label_scope, CASE WHEN e = '' THEN regexp_replace(eff, '-[0-9a-f]{{12}}$', '') END AS requested_label_prefix FROM w WHERE ver = 0 OR e <> ''")
 def migrate_state_v0(v):
-    loaded = state.load_documents(v.state_docs).where(
-        ~F.col("error").isin(
-            "state JSON is invalid", "state JSON root must be an object", "schema_version must be an integer",
-            "unsupported schema_version", "persisted shards must be a list or null", "persisted jobs must be a list or null",
-        )
+    migrated = state.migrate_documents(v.state_docs)
+    known = F.col("schema_error") == ""
+    return migrated.select(
+        "path", "action", "error", *[F.when(known, F.col(c)).alias(c) for c in ("label_scope", "requested_label_prefix")]
     )
-    return loaded.select("path", "action", "error", "label_scope", "requested_label_prefix")
 
 
 @query("read_batch_state", "state_docs", oracle=f""", {LOAD}

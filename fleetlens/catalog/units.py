@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import query
 from fleetlens.operators import units as U
+from fleetlens.operators.ordered import positions
+from fleetlens.session import scratch_folder
+from fleetlens.sources import writers
+from fleetlens.streaming import declarative
 
 MARKED = "m AS (SELECT batch_id, unit_key FROM v_units WHERE shard_id % 3 = 0)"
 COST = """t AS (SELECT *, CASE WHEN submit_time = '' THEN 0 ELSE epoch_us(CASE WHEN complete_time = '' THEN TIMESTAMPTZ '2003-01-01 00:00:00+00' ELSE CAST(complete_time AS TIMESTAMPTZ) END) - epoch_us(CAST(submit_time AS TIMESTAMPTZ)) END AS us
@@ -91,9 +95,9 @@ def budget_status(v):
     return rows.select("batch_id", "ceiling", U.budget_status(F.col("spent"), F.col("ceiling")).alias("status"))
 
 
-@query("status_counts", "units", oracle="SELECT batch_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in U.STATUSES) + " FROM v_units GROUP BY batch_id")
+@query("status_counts", "settled_units", oracle="SELECT batch_id, status, count(*) AS units FROM v_settled_units GROUP BY ALL")
 def status_counts(v):
-    return U.status_counts(v.units)
+    return U.status_counts(v.settled_units)
 
 
 DONE = """d AS (SELECT batch_id, kind, count(*) AS units FROM v_settled_units GROUP BY ALL
@@ -106,20 +110,32 @@ def archivable_batches(v):
 
 
 @query("archive_terminal", "settled_units", oracle=f""", {DONE}
-SELECT u.batch_id, u.unit_key, CASE WHEN d.units IS NOT NULL THEN u.batch_id || '_20030101_000000.json' END AS archive_name FROM v_settled_units u LEFT JOIN d USING (batch_id, kind)""")
+SELECT u.batch_id, u.unit_key, CASE WHEN d.units IS NOT NULL THEN kind || '_' || u.batch_id || '_20030101_000000.json' END AS archive_name FROM v_settled_units u LEFT JOIN d USING (batch_id, kind)""")
 def archive_terminal(v):
-    return U.archive_terminal(v.settled_units, as_of()).select("batch_id", "unit_key", "archive_name")
+    kept, archived = U.split_archived(U.archive_terminal(v.settled_units, as_of()))
+    folder = scratch_folder(v.spark, "archive")
+    writers.write_archive(archived, folder)
+    gone = writers.read_archive(v.spark, folder).select("batch_id", "unit_key", "archive_name")
+    return gone.unionByName(kept.select("batch_id", "unit_key", F.lit(None).cast("string").alias("archive_name")))
 
 
-@query("unit_current_state", "unit_events", oracle="""
+STATE = """
 SELECT unit_key, CASE arg_max(event, (ts, event_id)) WHEN 'deployed' THEN 'deployed' WHEN 'failed' THEN 'failed' WHEN 'completed' THEN 'downloaded' ELSE 'pending' END AS status,
  coalesce(arg_max(CASE WHEN event = 'deployed' THEN instance_id ELSE '' END, (ts, event_id)) FILTER (event IN ('deployed', 'preempted')), '') AS instance_id,
  coalesce(arg_max(cost_per_hour, (ts, event_id)) FILTER (event = 'deployed'), 0) AS cost_per_hour, coalesce(arg_max(reason, (ts, event_id)) FILTER (event = 'failed'), '') AS failure_reason,
- count(*) FILTER (event IN ('failed', 'preempted')) AS retry_count FROM v_unit_events GROUP BY unit_key""")
+ count(*) FILTER (event IN ('failed', 'preempted')) AS retry_count FROM v_unit_events GROUP BY unit_key"""
+
+
+@query("unit_current_state", "unit_events", oracle=STATE)
 def unit_current_state(v):
     return U.current_state(v.unit_events)
 
 
+@query("unit_state_stream", "unit_events", oracle=STATE)
+def unit_state_stream(v):
+    return declarative.unit_state_stream(v.unit_events)
+
+
 RETRIES = """r AS (SELECT *, coalesce(sum(CASE WHEN event IN ('failed', 'preempted') THEN 1 ELSE 0 END) OVER (PARTITION BY unit_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM v_unit_events)"""
 
 
@@ -157,7 +173,7 @@ def deploy_gate(v):
     return U.deploy_gate(v.deploy_attempts).select("unit_key", "attempt", "error")
 
 
-@query("deploy_outcome", "deploy_attempts", "units", oracle=f""", {GATE}, f AS (SELECT unit_key, min(attempt) FILTER (error = '') AS success_attempt, arg_min(machine_id, attempt) FILTER (error = '') AS machine_id, arg_max(error, attempt) AS last FROM e WHERE attempt < 3 GROUP BY unit_key)
+@query("deploy_outcome", "deploy_attempts", "units", oracle=f""", {GATE}, f AS (SELECT unit_key, min(attempt) FILTER (error = '') AS success_attempt, arg_min(machine_id, attempt) FILTER (error = '') AS machine_id, arg_max(error, attempt) AS last FROM e GROUP BY unit_key)
 SELECT u.shard_id AS unit_key, success_attempt IS NOT NULL AS success, success_attempt, machine_id, CASE WHEN success_attempt IS NOT NULL THEN '' ELSE coalesce(last, 'No GPU offers available') END AS error FROM v_units u LEFT JOIN f ON f.unit_key = u.shard_id""")
 def deploy_outcome(v):
     return U.deploy_outcome(v.deploy_attempts, v.units.select(F.col("shard_id").alias("unit_key")))
@@ -172,17 +188,15 @@ def file_set_difference(v):
 
 
 @query("critical_files", "outputs", "required_files", oracle=f""", {NAMES}
-SELECT shard_id, count(*) AS files, max(coalesce(m, 0)) AS missing, CASE WHEN max(coalesce(m, 0)) > 0 THEN 0 ELSE count(*) END AS accepted_files FROM n LEFT JOIN (SELECT shard_id, count(*) AS m FROM x GROUP BY shard_id) y USING (shard_id) GROUP BY shard_id""")
+SELECT shard_id, coalesce(c, 0) AS files, coalesce(m, 0) AS missing, CASE WHEN m > 0 THEN 0 ELSE c END AS accepted_files
+FROM (SELECT shard_id, count(*) AS c FROM n GROUP BY shard_id) z FULL JOIN (SELECT shard_id, count(*) AS m FROM x GROUP BY shard_id) y USING (shard_id)""")
 def critical_files(v):
     return U.critical_files(v.required_files, v.outputs)
 
 
-@query("sorted_lists", "units", oracle="SELECT batch_id, shard_id, row_number() OVER (PARTITION BY batch_id ORDER BY substr(md5(CAST(shard_id AS VARCHAR)), 1, 3), shard_id) AS position FROM v_units WHERE status = 'downloaded'")
+@query("sorted_lists", "units", oracle="SELECT batch_id, shard_id, row_number() OVER (PARTITION BY batch_id ORDER BY shard_id) AS position FROM v_units WHERE status = 'downloaded'")
 def sorted_lists(v):
-    from fleetlens.operators.ordered import hashed_rank
-
-    done = v.units.where("status = 'downloaded'").select("batch_id", "shard_id")
-    return hashed_rank(done, ["batch_id"], "shard_id", "position").drop("group_size")
+    return positions(v.units.where("status = 'downloaded'").select("batch_id", "shard_id"), ["batch_id"], "shard_id")
 
 
 @query("unit_hooks", "jobs", oracle="""

@@ -15,8 +15,6 @@ MIN_NETWORK_MBPS = 800.0
 MIN_RELIABILITY = 0.995
 OFFERS_PER_QUERY = 20
 DEFAULT_CUDA = "12.4"
-MAX_LISTING_PAGES = 1000
-DEPLOY_RETRIES = 3
 UNIT_RETRIES = 2
 MIN_VRAM_MIB = 20_000
 MAX_TEMP_C = 90
@@ -50,7 +48,7 @@ SEVERITY = {
     "provider_mismatch": "info",
 }
 SUCCESS_STATUS = (200, 204)
-DELETE_ATTEMPTS = 3
+CLEARED_VERIFICATIONS = ("owned", "absent", "disabled")
 
 # State document fields.
 SCHEMA_VERSION = 1

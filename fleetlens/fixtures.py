@@ -31,14 +31,14 @@ FROM {orders}"""
 
 VIEWS["v_images"] = """
 SELECT o_orderkey AS row_id, CASE o_orderkey % 24
-  WHEN 0 THEN 'nginx' WHEN 1 THEN 'library/nginx:latest' WHEN 2 THEN concat('nginx@sha256:', md5(CAST(o_orderkey AS STRING)), md5(CAST(o_custkey AS STRING)))
-  WHEN 3 THEN concat('nginx@sha256:', md5(CAST(o_orderkey AS STRING))) WHEN 4 THEN 'registry.local:5000/myorg/app:1.0'
-  WHEN 5 THEN 'docker.io/library/nginx:latest' WHEN 6 THEN '[::1]:5000/myorg/app:1.0' WHEN 7 THEN 'localhost/myorg/app:1.0'
-  WHEN 8 THEN 'myorg/my__app:1.0' WHEN 9 THEN 'my.org/app_v1.2-beta:1.0' WHEN 10 THEN '' WHEN 11 THEN ' '
-  WHEN 12 THEN 'bad!tag' WHEN 13 THEN 'nginx:bad!tag' WHEN 14 THEN 'registry:abc/myorg/app' WHEN 15 THEN 'registry:99999/myorg/app'
-  WHEN 16 THEN 'registry..invalid/myorg/app' WHEN 17 THEN '-leading-hyphen/myorg/app' WHEN 18 THEN 'myORG/app'
-  WHEN 19 THEN 'myorg/app@digest@sha256:abc' WHEN 20 THEN concat('  myorg/app', CAST(o_custkey % 9 AS STRING), ':2  ')
-  WHEN 21 THEN 'nginx@SHA256:abc' WHEN 22 THEN concat('org/app', CAST(o_custkey AS STRING), '@custom+alg:AbC_=') ELSE 'a//b' END AS image
+  WHEN 0 THEN 'solver' WHEN 1 THEN 'library/solver:stable' WHEN 2 THEN concat('solver@sha256:', md5(CAST(o_orderkey AS STRING)), md5(CAST(o_custkey AS STRING)))
+  WHEN 3 THEN concat('solver@sha256:', md5(CAST(o_orderkey AS STRING))) WHEN 4 THEN 'hub.internal:8443/myorg/app:1.0'
+  WHEN 5 THEN 'docker.io/library/solver' WHEN 6 THEN '[::1]:8443/myorg/app:1.0' WHEN 7 THEN 'localhost/team/render:7'
+  WHEN 8 THEN 'team/ray__tracer:7' WHEN 9 THEN 'te.am/ray_v3.1-rc:7' WHEN 10 THEN '' WHEN 11 THEN '   '
+  WHEN 12 THEN 'worse?name' WHEN 13 THEN 'solver:worse?tag' WHEN 14 THEN 'hub:x1y/team/render' WHEN 15 THEN 'hub:70000/team/render'
+  WHEN 16 THEN 'hub..broken/team/render' WHEN 17 THEN '_under/team/render' WHEN 18 THEN 'Team/render'
+  WHEN 19 THEN 'team/render@one@sha256:00' WHEN 20 THEN concat('  myorg/app', CAST(o_custkey % 9 AS STRING), ':2  ')
+  WHEN 21 THEN 'solver@SHA512:00' WHEN 22 THEN concat('org/app', CAST(o_custkey AS STRING), '@blake3+b64:Zz-9_=') ELSE 'team//render' END AS image
 FROM {orders}"""
 
 VIEWS["v_docker_images"] = """
@@ -68,10 +68,13 @@ SELECT o_orderkey - o_orderkey % 5 AS listing_id, CAST(o_orderkey % 5 AS INT) AS
   concat('{"instances": [{"id": ', CAST(o_orderkey * 2 AS STRING), '}, {"id": ', CAST(o_orderkey * 2 + 1 AS STRING), '}], "next_token": ',
   CASE WHEN o_orderkey % 5 = 4 THEN 'null' WHEN o_orderkey % 229 = 6 THEN '""' WHEN o_orderkey % 233 = 8 THEN '17'
     WHEN o_orderkey % 239 = 1 THEN 'null' ELSE concat('"t', CAST(o_orderkey AS STRING), '"') END, '}') END AS raw
-FROM {orders}"""
+FROM {orders}
+UNION ALL SELECT -1, CAST(o_orderkey AS INT), CASE WHEN o_orderkey = 0 THEN '' ELSE concat('t', CAST(o_orderkey - 1 AS STRING)) END,
+  concat('{"instances": [{"id": ', CAST(o_orderkey AS STRING), '}], "next_token": ', CASE WHEN o_orderkey = 1199 THEN 'null' ELSE concat('"t', CAST(o_orderkey AS STRING), '"') END, '}')
+FROM {orders} WHERE o_orderkey < 1200"""
 
 VIEWS["v_instances"] = """
-SELECT o_orderkey - o_orderkey % 64 AS listing_id, CASE o_orderkey % 41 WHEN 0 THEN 'runpod' ELSE 'market' END AS provider, CAST(o_orderkey AS STRING) AS instance_id,
+SELECT o_orderkey - o_orderkey % 64 AS listing_id, CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 'runpod' ELSE 'market' END AS provider, CAST(o_orderkey AS STRING) AS instance_id,
   concat(substr('prodstagdevx',CAST(1+4*(o_custkey%3) AS INT),4),'-',substr(md5(CAST(o_custkey%10 AS STRING)),1,12),'-',substr(md5(CAST(o_orderkey AS STRING)),1,12)) AS label,
   CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'P' THEN 'loading' ELSE 'destroyed' END AS state,
   CASE o_orderkey%6 WHEN 0 THEN 'myorg/app:1.0' WHEN 1 THEN 'myorg/app:latest' WHEN 2 THEN 'registry.local:5000/myorg/app:1.0'
@@ -84,7 +87,7 @@ VIEWS["v_units"] = """
 SELECT concat('b',CAST(o_custkey%20 AS STRING)) AS batch_id, 'shard' AS kind, CAST(o_orderkey AS STRING) AS unit_key, o_orderkey AS shard_id,
   CASE o_orderkey%7 WHEN 0 THEN 'pending' WHEN 1 THEN 'deployed' WHEN 2 THEN 'running' WHEN 3 THEN 'downloaded'
     WHEN 4 THEN 'destroyed' WHEN 5 THEN 'failed' ELSE 'running' END AS status,
-  CASE WHEN o_orderkey%7 IN (1,2,6) THEN CAST(o_orderkey AS STRING) ELSE '' END AS instance_id,
+  CASE WHEN o_orderkey%7 <> 0 THEN CAST(o_orderkey AS STRING) ELSE '' END AS instance_id,
   o_orderkey%4 AS retry_count, CAST(o_orderkey*37%500 AS DOUBLE)/1000 AS cost_per_hour, o_orderdate AS start_ts
 FROM {orders}"""
 
@@ -101,7 +104,7 @@ FROM {orders}"""
 VIEWS["v_settled_units"] = """
 SELECT concat('s',CAST(o_custkey AS STRING)) AS batch_id, CASE o_custkey%2 WHEN 0 THEN 'shard' ELSE 'job' END AS kind, CAST(o_orderkey AS STRING) AS unit_key,
   CASE WHEN o_custkey%5 = 0 THEN CASE o_orderkey%4 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'failed' WHEN 2 THEN 'destroyed' ELSE 'completed' END
-    WHEN o_custkey%5 = 1 THEN 'downloaded' WHEN o_orderkey%50 = 0 THEN NULL WHEN o_orderkey%3 = 0 THEN 'running' ELSE 'failed' END AS status
+    WHEN o_custkey%5 = 1 THEN 'downloaded' WHEN o_orderkey%50 = 0 THEN NULL WHEN o_orderkey%50 = 1 THEN 'paused' WHEN o_orderkey%3 = 0 THEN 'running' ELSE 'failed' END AS status
 FROM {orders}"""
 
 VIEWS["v_unit_events"] = """
@@ -139,8 +142,8 @@ FROM {documents}"""
 VIEWS["v_rules"] = """
 SELECT concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING)) AS bucket, CAST(p_partkey%8 AS INT) AS pos,
   CASE WHEN p_partkey%8=3 THEN concat('fleetlens-expire-', substr({sha256:concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING), chr(0), 'project/batches/'):sha256},1,12))
-    WHEN p_partkey%8=7 THEN concat('fleetlens-expire-other', CAST(p_partkey AS STRING)) ELSE concat('foreign', CAST(p_partkey AS STRING)) END AS id,
-  CASE WHEN p_partkey%5=0 THEN 'Disabled' ELSE 'Enabled' END AS status,
+    WHEN p_partkey%8=7 THEN concat('fleetlens-expire-other', CAST(p_partkey AS STRING)) WHEN p_partkey%8=5 THEN concat('a|b', CAST(p_partkey AS STRING)) ELSE concat('foreign', CAST(p_partkey AS STRING)) END AS id,
+  CASE WHEN p_partkey%5=0 THEN 'Disabled' WHEN p_partkey%23=0 THEN NULL ELSE 'Enabled' END AS status,
   CASE p_partkey%8 WHEN 0 THEN 'project/' WHEN 1 THEN concat('project/batches/b',CAST(p_size%20 AS STRING),'/') WHEN 2 THEN 'project/bat'
     WHEN 3 THEN CASE WHEN p_partkey%3=0 THEN 'project/batches/' WHEN p_partkey%3=1 THEN 'project/elsewhere/' ELSE 'project/batches/' END
     WHEN 4 THEN 'archive/' WHEN 5 THEN '' WHEN 6 THEN concat('project/batches/b1/shard_',CAST(p_size AS STRING)) ELSE 'project/batches/own/' END AS prefix,
@@ -197,15 +200,16 @@ SELECT l_orderkey AS unit_key, l_linenumber-1 AS attempt, min(l_suppkey) AS mach
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
 
 VIEWS["v_destroy_log"] = """
-SELECT CAST(o_orderkey AS STRING) AS instance_id, CASE o_orderkey%9 WHEN 0 THEN NULL ELSE 200 END AS stop_status,
+SELECT CAST(o_orderkey AS STRING) AS instance_id, 1 AS run_at, CASE o_orderkey%9 WHEN 0 THEN NULL ELSE 200 END AS stop_status,
   CASE WHEN o_orderkey%13=0 THEN 'ConnectionError: reset' END AS stop_error,
-  CASE o_orderkey%7 WHEN 0 THEN '200' WHEN 1 THEN '503,503,200' WHEN 2 THEN '503,503,503' WHEN 3 THEN 'raise,raise,204'
+  CASE o_orderkey%7 WHEN 0 THEN '200' WHEN 1 THEN '503,503,200' WHEN 2 THEN CASE WHEN o_orderkey%2=0 THEN '503,503,503,200' ELSE '503,503,503' END WHEN 3 THEN 'raise,raise,204'
     WHEN 4 THEN 'raise,raise,raise' WHEN 5 THEN '503,raise,none' ELSE 'none,none,none' END AS delete_statuses,
   CASE o_orderkey%5 WHEN 0 THEN 'gone' WHEN 1 THEN 'present' WHEN 2 THEN 'unknown' WHEN 3 THEN 'raise' ELSE 'present' END AS verify1,
   CASE o_orderkey%5 WHEN 2 THEN 'HTTP 500' WHEN 3 THEN 'Timeout: slow' END AS verify1_error,
   CASE o_orderkey%4 WHEN 0 THEN 'gone' WHEN 1 THEN 'present' WHEN 2 THEN 'raise' ELSE 'unknown' END AS verify2,
   CASE o_orderkey%4 WHEN 2 THEN 'Timeout: slower' WHEN 3 THEN 'HTTP 502' END AS verify2_error
-FROM {orders}"""
+FROM {orders}
+UNION ALL SELECT CAST(o_orderkey AS STRING), 2, 200, NULL, '503,raise,503,503,204', 'gone', NULL, 'gone', NULL FROM {orders} WHERE o_orderkey%6=0"""
 
 VIEWS["v_verify_log"] = """
 SELECT o_orderkey AS row_id, CASE o_orderkey%6 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN NULL ELSE 200 END AS status_code,
@@ -243,7 +247,8 @@ FROM {events}"""
 
 VIEWS["v_required_files"] = """
 SELECT DISTINCT l_orderkey AS shard_id, CASE l_linenumber WHEN 1 THEN 'part-1.bin' WHEN 2 THEN 'part-2.bin' ELSE 'summary.json' END AS name
-FROM {lineitem} WHERE l_linenumber<=2 OR l_orderkey%10=0"""
+FROM {lineitem} WHERE l_linenumber<=2 OR l_orderkey%10=0
+UNION ALL SELECT o_orderkey + 100000000, 'summary.json' FROM {orders} WHERE o_orderkey%29=0"""
 
 VIEWS["v_state_docs"] = """
 SELECT concat('state/', CAST(o_orderkey AS STRING), '.json') AS path, 'shard' AS kind, CASE o_orderkey%31
@@ -294,13 +299,15 @@ SELECT concat('bkt', CAST(p_partkey AS STRING)) AS bucket, CASE p_partkey%11 WHE
 FROM {part}"""
 
 VIEWS["v_rules_now"] = """
-SELECT concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING)) AS bucket, CAST(p_partkey%8 AS INT) AS pos, concat('foreign', CAST(p_partkey AS STRING)) AS id,
-  'Enabled' AS status, concat('p', CAST(p_partkey%8 AS STRING), '/') AS prefix, CASE WHEN p_partkey%100 = 50 THEN p_size + 1 ELSE p_size END AS days, '{}' AS extra
+SELECT concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING)) AS bucket, CAST(p_partkey%8 AS INT) AS pos,
+  concat('foreign', CAST(p_partkey AS STRING), CASE WHEN p_partkey%90=20 THEN '|b' ELSE '' END) AS id,
+  CASE WHEN p_partkey%90=40 THEN '' ELSE 'Enabled' END AS status, concat('p', CAST(p_partkey%8 AS STRING), '/') AS prefix,
+  CASE WHEN p_partkey%100 = 50 THEN p_size + 1 ELSE p_size END AS days, '{}' AS extra
 FROM {part} WHERE p_partkey%130 <> 64"""
 
 VIEWS["v_rules_then"] = """
 SELECT concat('bkt', CAST(p_partkey - p_partkey%8 AS STRING)) AS bucket, CAST(p_partkey%8 AS INT) AS pos, concat('foreign', CAST(p_partkey AS STRING)) AS id,
-  'Enabled' AS status, concat('p', CAST(p_partkey%8 AS STRING), '/') AS prefix, p_size AS days, '{}' AS extra
+  CASE WHEN p_partkey%90=20 THEN 'b|Enabled' WHEN p_partkey%90=40 THEN NULL ELSE 'Enabled' END AS status, concat('p', CAST(p_partkey%8 AS STRING), '/') AS prefix, p_size AS days, '{}' AS extra
 FROM {part}"""
 
 _BASE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|conversations)\}")

@@ -16,8 +16,13 @@ def hours_text(hours: Column) -> Column:
 
 
 def money(amount: Column) -> Column:
-    """Dollars with two places."""
-    return F.format_string("$%.2f", amount)
+    """Dollars with two places, rounded half up on twelve decimal places."""
+    return F.concat(F.lit("$"), rounded(amount, 2).cast("string"))
+
+
+def rounded(amount: Column, places: int) -> Column:
+    """A double rounded as a decimal number; NULL where it is none."""
+    return F.round(amount.try_cast("decimal(28,12)"), places)
 
 
 def cost_text(cloud_gpus: Column, low: Column, high: Column) -> Column:

@@ -41,9 +41,9 @@ def prefixes_overlap(a: Column, b: Column) -> Column:
 def foreign_rule_warning(rule_id: Column, prefix: Column) -> Column:
     """Text for a foreign rule that can expire managed objects early."""
     return F.concat(
-        F.lit("Overlapping foreign rule "),
+        F.lit("rule "),
         quoted(rule_id),
-        F.lit(" (prefix="),
+        F.lit(" of prefix "),
         quoted(prefix),
-        F.lit(") may expire objects earlier than the managed rule"),
+        F.lit(" overlaps and may expire objects first"),
     )

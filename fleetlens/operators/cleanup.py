@@ -18,6 +18,10 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+def _named(value: Column) -> Column:
+    return F.coalesce(quoted(value), F.lit("unknown"))
+
+
 def verify_verdict(status_code: Column, body: Column) -> Column:
     """Struct ``verdict, error`` of one status request: ``gone, present, unknown``."""
     root = J.parse(body)
@@ -40,22 +44,28 @@ def verify_verdict(status_code: Column, body: Column) -> Column:
     return F.struct(verdict.alias("verdict"), error.alias("error"))
 
 
-def destroy_verdict(
-    log: DataFrame, *, max_attempts: int = C.DELETE_ATTEMPTS, verify_after_resurrection: bool = True
-) -> DataFrame:
+def latest_runs(log: DataFrame) -> DataFrame:
+    """The last destroy run of each instance by ``run_at``; equal times are told apart by the other columns."""
+    rest = [c for c in log.columns if c not in ("instance_id", "run_at")]
+    last = F.max(F.struct("run_at", *rest)).alias("_run")
+    return log.groupBy("instance_id").agg(last).select("instance_id", "_run.*")
+
+
+def destroy_verdict(log: DataFrame, *, verify_after_resurrection: bool = True) -> DataFrame:
     """Fold one destroy run per row into ``verdict, attempts, last_status, verify_error``.
 
     ``delete_statuses`` is an array of status texts, ``raise`` for a failed call
-    and ``none`` for an answer without status. A run whose deletes all failed is
-    ``unknown`` even if the instance is gone, as no attempt can be credited.
+    and ``none`` for an answer without status; the whole log counts up to its
+    first success. A run whose deletes all failed is ``unknown`` even if the
+    instance is gone, as no attempt can be credited. ``run_at`` is kept where the
+    log has it.
     """
-    tried = F.slice("delete_statuses", 1, max_attempts)
     success = [str(s) for s in C.SUCCESS_STATUS]
-    first_hit = F.array_min(F.array(*[F.nullif(F.array_position(F.col("_tried"), s), F.lit(0)) for s in success]))
-    steps = log.withColumn("_tried", tried).withColumn("_hit", first_hit)
-    used = F.when(F.col("_hit").isNotNull(), F.slice(F.col("_tried"), F.lit(1), F.col("_hit").cast("int"))).otherwise(
-        F.col("_tried")
-    )
+    first_hit = F.array_min(F.array(*[F.nullif(F.array_position(F.col("delete_statuses"), s), F.lit(0)) for s in success]))
+    steps = log.withColumn("_hit", first_hit)
+    used = F.when(
+        F.col("_hit").isNotNull(), F.slice(F.col("delete_statuses"), F.lit(1), F.col("_hit").cast("int"))
+    ).otherwise(F.col("delete_statuses"))
     steps = steps.withColumn("_used", used)
     answered = F.transform("_used", lambda x, i: F.when(x != "raise", i + 1).otherwise(0))
     spoken = F.filter("_used", lambda x: x != "none")
@@ -94,6 +104,7 @@ def destroy_verdict(
     stopped = F.col("stop_error").isNull()
     return steps.select(
         "instance_id",
+        *[c for c in log.columns if c == "run_at"],
         verdict.alias("verdict"),
         F.when(stopped, F.col("_attempts")).otherwise(0).cast("int").alias("attempts"),
         F.when(stopped, F.col("_last")).alias("last_status"),
@@ -108,13 +119,14 @@ def dispatch(candidates: DataFrame, *, provider: str = C.PROVIDERS[0], credentia
     Needs ``provider, instance_id, state, verification`` and the destroy
     columns ``destroy_verdict, attempts, last_status, verify_error, stop_error``
     (NULL where no run was logged). ``credentials`` is ``available``, ``absent``
-    or ``disabled``.
+    or ``disabled``. The rule fails closed: an unknown provider is a mismatch and
+    an unknown verification is refused.
     """
     ineligible = eligibility_error(F.col("state"))
     ident = quoted(F.col("instance_id"))
-    mismatch = F.col("provider") != provider
+    mismatch = ~F.col("provider").eqNullSafe(F.lit(provider))
     disabled = F.lit(credentials == "disabled")
-    refused = F.col("verification") == "refused"
+    refused = ~F.coalesce(F.col("verification").isin(*C.CLEARED_VERIFICATIONS), F.lit(False))
     refusal = (
         F.when(mismatch, "provider_mismatch")
         .when(ineligible != "", "ineligible_state")
@@ -124,7 +136,7 @@ def dispatch(candidates: DataFrame, *, provider: str = C.PROVIDERS[0], credentia
     if credentials == "absent":
         verdict = F.when(F.col("verification") == "absent", "already_gone").otherwise("cli_attempted")
         detail = F.when(F.col("verification") == "absent", "").otherwise(
-            "CLI fallback ran; destruction not confirmed via REST"
+            "command line was used; no answer confirms the destruction"
         )
     else:
         verdict = F.coalesce("destroy_verdict", F.lit("unknown"))
@@ -136,11 +148,11 @@ def dispatch(candidates: DataFrame, *, provider: str = C.PROVIDERS[0], credentia
     error = (
         F.when(
             mismatch,
-            F.concat(F.lit("candidate "), ident, F.lit(" belongs to provider "), quoted(F.col("provider")), F.lit(f"; cleanup policy expects '{provider}'")),
+            F.concat(F.lit("candidate "), ident, F.lit(" is of provider "), _named(F.col("provider")), F.lit(f", this clean-up is for '{provider}'")),
         )
         .when(ineligible != "", ineligible)
-        .when(disabled, "credentials explicitly empty")
-        .when(refused, F.concat(F.lit("ownership check refused "), ident))
+        .when(disabled, "credentials are switched off")
+        .when(refused, F.concat(F.lit("ownership of "), ident, F.lit(" is not proved")))
         .otherwise(detail)
     )
     return candidates.withColumns(
@@ -208,7 +220,8 @@ def apply_policy(
     Outcomes that break the rules become ``unknown``; candidates of another
     provider are refused without reaching the function.
     """
-    mine = destroy(candidates.where(F.col("provider") == provider))
+    own = F.col("provider").eqNullSafe(F.lit(provider))
+    mine = destroy(candidates.where(own))
     broken = F.size(outcome_violations(F.col("verdict"), F.col("refusal"), F.col("error"))) > 0
     checked = mine.withColumns(
         {
@@ -217,11 +230,11 @@ def apply_policy(
             "error": F.when(broken, "destroy function returned an invalid result").otherwise(F.col("error")),
         }
     )
-    others = candidates.where(F.col("provider") != provider).withColumns(
+    others = candidates.where(~own).withColumns(
         {
             "verdict": _none(),
             "refusal": F.lit("provider_mismatch"),
-            "error": F.concat(F.lit("belongs to provider "), quoted(F.col("provider"))),
+            "error": F.concat(F.lit("is of provider "), _named(F.col("provider"))),
         }
     )
     return checked.unionByName(others)

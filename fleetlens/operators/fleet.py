@@ -16,6 +16,7 @@ from fleetlens.functions import json_values as J
 from fleetlens.functions.image import image_repository
 from fleetlens.functions.scope import in_scope
 from fleetlens.functions.text import lookup, quoted, strip
+from fleetlens.operators.units import in_class
 
 RECORD_FIELDS = ("instance_id", "label", "state", "image_uuid", "ownership_key", "gpu_model", "cost_per_hour", "started_at")
 
@@ -79,8 +80,8 @@ def open_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_chain(opened: DataFrame, *, max_pages: int = C.MAX_LISTING_PAGES) -> DataFrame:
-    """One verdict per listing: envelopes, token order, end and page limit."""
+def page_chain(opened: DataFrame) -> DataFrame:
+    """One verdict per listing: envelopes, token order and end, however many pages it has."""
     previous = opened.select(
         "listing_id", (F.col("page_no") + 1).alias("page_no"), F.col("next_token").alias("_expected"), F.lit(True).alias("_linked")
     )
@@ -106,16 +107,15 @@ def page_chain(opened: DataFrame, *, max_pages: int = C.MAX_LISTING_PAGES) -> Da
     reason = (
         F.when(F.col("_bad"), F.col("_first_error"))
         .when(F.coalesce("_repeated", F.lit(False)), "invalid page token")
-        .when(F.col("pages") > max_pages, "too many pages")
         .when(F.col("_broken") | (F.col("_ends") != 1) | F.col("_last").isNotNull(), "broken page chain")
         .otherwise("")
     )
     return verdict.select("listing_id", "pages", reason.alias("error"), (reason == "").alias("ok"))
 
 
-def paged_records(opened: DataFrame, *, max_pages: int = C.MAX_LISTING_PAGES) -> DataFrame:
+def paged_records(opened: DataFrame) -> DataFrame:
     """Records of all pages of the listings whose chain holds."""
-    sound = page_chain(opened, max_pages=max_pages).where("ok").select("listing_id")
+    sound = page_chain(opened).where("ok").select("listing_id")
     return opened.join(sound, "listing_id", "left_semi").select(
         "listing_id", "page_no", F.posexplode("records").alias("pos", "record")
     )
@@ -294,9 +294,13 @@ def scope_filter(instances: DataFrame, *scopes: str, adjacent: bool = False) ->
 
 
 def zombies(instances: DataFrame, units: DataFrame) -> DataFrame:
-    """Instances no live unit tracks."""
-    tracked = units.where(F.col("instance_id") != "").select("instance_id")
-    return instances.join(tracked, "instance_id", "left_anti")
+    """Instances no live unit tracks; the id that a finished or failed unit keeps does not count.
+
+    Where both sides name a provider, an id counts for its own provider only.
+    """
+    keys = ["instance_id", *(c for c in ("provider",) if c in units.columns and c in instances.columns)]
+    tracked = in_class(units, "active").where(F.col("instance_id") != "").select(*keys)
+    return instances.join(tracked, keys, "left_anti")
 
 
 def eligibility_error(state: Column) -> Column:
@@ -305,7 +309,7 @@ def eligibility_error(state: Column) -> Column:
         F.when(F.coalesce(state, F.lit("")) == "", "empty state")
         .when(
             state.isin(*C.TERMINAL_INSTANCE_STATES),
-            F.concat(F.lit("state "), quoted(state), F.lit(" is terminal (already destroyed)")),
+            F.concat(F.lit("state "), quoted(state), F.lit(" is final")),
         )
         .otherwise("")
     )

@@ -24,7 +24,8 @@ PARTS = 4
 def parse_rules(documents: DataFrame) -> DataFrame:
     """Rules of configuration documents ``bucket, raw`` in order; no rules, no rows.
 
-    Typed fields stand beside ``raw_rule``, which keeps the unknown ones.
+    ``extra`` is the JSON object of what the typed columns do not hold, with its
+    keys in order, so the rows go straight to the planners and the writer.
     """
     rules = J.elements(J.field(F.col("_root"), "Rules"))
     rows = documents.withColumn("_root", J.parse(F.col("raw"))).select("bucket", F.posexplode(rules).alias("pos", "_rule"))
@@ -36,14 +37,50 @@ def parse_rules(documents: DataFrame) -> DataFrame:
         J.text(F.col("_rule"), "Status").alias("status"),
         F.coalesce(F.try_variant_get("_rule", "$.Filter.Prefix", "string"), F.lit("")).alias("prefix"),
         F.when(J.is_integer(days), F.try_variant_get(days, "$", "bigint")).alias("days"),
-        F.to_json("_rule").alias("raw_rule"),
+        _other_fields(F.col("_rule")).alias("extra"),
     )
 
 
+def _other_fields(rule: Column) -> Column:
+    """JSON object of the fields of a rule that ``parse_rules`` has no column for."""
+
+    def entries(value: Column, *typed: tuple[str, Column]) -> Column:
+        """Sorted ``"key":json`` texts of an object without its typed fields."""
+        taken = F.array_compact(F.array(*[F.when(known, F.lit(name)) for name, known in typed]))
+        pairs = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        rest = F.filter(pairs, lambda e: ~F.array_contains(taken, e["key"]))
+        return F.array_sort(F.transform(rest, lambda e: F.concat(_json_text(e["key"]), F.lit(":"), F.to_json(e["value"]))))
+
+    def is_text(value: Column) -> Column:
+        return F.coalesce(J.type_of(value) == J.STRING, F.lit(False))
+
+    def inner(name: str, field: str, known: Column) -> Column:
+        """One entry with what is left of a nested object; nothing when nothing is left."""
+        left = entries(J.field(rule, name), (field, known))
+        return F.when(F.size(left) > 0, F.concat(F.lit(f'"{name}":{{'), F.array_join(left, ","), F.lit("}")))
+
+    days = J.field(rule, "Expiration.Days")
+    nested = {
+        "Filter": ("Prefix", is_text(J.field(rule, "Filter.Prefix"))),
+        "Expiration": ("Days", J.is_integer(days)),
+    }
+    typed = [("ID", is_text(J.field(rule, "ID"))), ("Status", is_text(J.field(rule, "Status")))]
+    objects = [(name, J.is_object(J.field(rule, name))) for name in nested]
+    own = F.coalesce(entries(rule, *typed, *objects), F.array().cast("array<string>"))
+    parts = F.array_compact(F.array(*[inner(name, *known) for name, known in nested.items()]))
+    return F.concat(F.lit("{"), F.array_join(F.array_sort(F.concat(own, parts)), ","), F.lit("}"))
+
+
+def _json_text(value: Column) -> Column:
+    """A string as JSON, quotes included."""
+    listed = F.to_json(F.array(value))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def rule_text() -> Column:
-    """Canonical text of a rule row without its position."""
-    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "status", "prefix", "days", "extra")]
-    return F.concat_ws("|", *shown)
+    """Text of a rule row without its position; different rows have different texts, NULL is not ``''``."""
+    fields = F.struct("id", "status", "prefix", F.col("days").cast("bigint").alias("days"), "extra")
+    return F.to_json(fields, {"ignoreNullFields": "false"})
 
 
 def fingerprints(rules: DataFrame) -> DataFrame:
@@ -142,10 +179,10 @@ def lifecycle_plan(rules: DataFrame, policies: DataFrame, *, operation: str = "a
     prints = fingerprints(rules)
     last = rules.groupBy("bucket").agg(F.max("pos").alias("_last"))
     same = (
-        (F.col("status") == "Enabled")
-        & (F.col("prefix") == F.col("canonical_prefix"))
+        F.col("status").eqNullSafe(F.lit("Enabled"))
+        & F.col("prefix").eqNullSafe(F.col("canonical_prefix"))
         & F.col("rule_days").eqNullSafe(F.col("days"))
-        & (F.col("extra") == "{}")
+        & F.col("extra").eqNullSafe(F.lit("{}"))
     )
     matches = (
         _managed_matches(rules, wanted.select("bucket", "rule_id", "canonical_prefix", "days"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import basename, chunk_index, parse_key, safe_path
-from fleetlens.operators.ordered import DAY, Running, running
+from fleetlens.operators.ordered import DAY, Running, positions, running
 
 CHUNKS_PER_SLICE = 4096
 
@@ -43,9 +43,9 @@ def batch_progress(objects: DataFrame, root: str) -> DataFrame:
 
 
 def done_shards(objects: DataFrame, root: str) -> DataFrame:
-    """Shards with a DONE object; unreadable shard directories are ignored."""
+    """Shards with a DONE object and their place in the sorted list of the batch; unreadable directories are ignored."""
     done = parsed(objects, root).where((F.col("area") == "done") & F.col("shard_id").isNotNull())
-    return done.select("bucket", "batch_id", "shard_id").distinct()
+    return positions(done.select("bucket", "batch_id", "shard_id").distinct(), ["bucket", "batch_id"], "shard_id")
 
 
 def batch_manifest(objects: DataFrame, root: str) -> DataFrame:
@@ -101,9 +101,12 @@ def expiring_summary(objects: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def chunk_order(objects: DataFrame, root: str) -> DataFrame:
-    """Chunk objects with their numeric index."""
+    """Chunk objects with their file, numeric index and place in the file's order; equal indices go by key."""
     chunks = parsed(objects, root).where(F.col("area") == "chunk")
-    return chunks.withColumn("chunk_index", chunk_index(F.col("name")))
+    numbered = chunks.withColumn("file", F.regexp_replace("key", r"_chunk_[0-9]+[^/]*\z", "")).withColumn(
+        "chunk_index", chunk_index(F.col("name"))
+    )
+    return positions(numbered, ["bucket", "file"], "chunk_index", ties=["key"])
 
 
 def chunk_plan(sizes: DataFrame, *, slice_seconds: int = DAY) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions import gpu
-from fleetlens.operators.ordered import exact_median
+from fleetlens.operators.ordered import Running, exact_median, running
 
 OFFER_ORDER = ("dph_total", "offer_id", "machine_id")
+#: Slices per dollar of the machine ranks, and first characters of a key that make a slice of the unit ranks.
+PRICE_SLICES, KEY_SLICE = 10_000, 4
 
 
 def quality_filter(
@@ -66,18 +68,10 @@ def with_fallback(wanted: DataFrame, live: DataFrame) -> DataFrame:
 def price_summary(
     offers: DataFrame,
     gpu_types: Sequence[str] = C.GPU_TYPES,
-    *,
-    listed: int | None = None,
     **thresholds: object,
 ) -> DataFrame:
-    """Price statistics per asked GPU type.
-
-    ``listed=None`` reads the whole market; ``listed=20`` reads what one market
-    query returns, the cheapest offers only.
-    """
+    """Price statistics per asked GPU type over the whole market."""
     passing = quality_filter(offers, gpu_types, **thresholds)
-    if listed is not None:
-        passing = cheapest_per_type(passing, listed)
     priced = passing.where(F.col("dph_total").isNotNull() & (F.col("dph_total") != 0))
     ceiling = float(thresholds.get("max_cost_per_hour", C.MAX_COST_PER_HOUR))
     live = exact_median(priced, ["gpu_type"], "dph_total", bounds=(0.0, ceiling)).select(
@@ -120,52 +114,36 @@ def parse_offers(answers: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def assign(
-    units: DataFrame,
-    offers: DataFrame,
-    *,
-    key: str = "unit_key",
-    max_retries: int = C.DEPLOY_RETRIES,
-) -> DataFrame:
+def assign(units: DataFrame, offers: DataFrame, *, key: str = "unit_key") -> DataFrame:
     """Give each deployable unit an offer of its GPU type, cheapest machine first.
 
-    A unit looks at the first ``max_retries`` offers only, since a machine that
-    another unit holds still costs an attempt. The n-th unit therefore gets the
-    n-th distinct machine among them. An offer without a machine id can serve
-    any number of units. ``units`` and ``offers`` carry ``gpu_type``.
+    The n-th unit by ``key`` gets the n-th distinct machine by the machine's best
+    offer. An offer without a machine id can serve any number of units, so the
+    cheapest such offer ends the list and takes all units that are left. ``units``
+    and ``offers`` carry ``gpu_type``. Both ranks are cut into slices (of price, of
+    the key's first characters), so that no task orders a whole GPU type.
     """
-    seen = cheapest_per_type(offers, max_retries)
-    first = Window.partitionBy("gpu_type", "machine_id").orderBy("rank")
-    slots = (
-        seen.withColumn("_copy", F.row_number().over(first))
-        .where(F.col("_copy") == 1)
-    )
-    open_offer = slots.where(F.col("machine_id") == "").select(
-        "gpu_type", F.col("rank").alias("_open_rank"), F.col("offer_id").alias("_open_offer")
-    )
-    in_type = Window.partitionBy("gpu_type").orderBy("rank")
+    best = F.min(F.struct(*OFFER_ORDER)).alias("_best")
+    machines = offers.withColumn("machine_id", F.coalesce("machine_id", F.lit(""))).groupBy("gpu_type", "machine_id").agg(best)
+    open_offer = machines.where(F.col("machine_id") == "").select("gpu_type", F.col("_best").alias("_open"))
     closed = (
-        slots.where(F.col("machine_id") != "")
+        machines.where(F.col("machine_id") != "")
         .join(open_offer, "gpu_type", "left")
-        .where(F.col("_open_rank").isNull() | (F.col("rank") < F.col("_open_rank")))
-        .withColumn("_slot", F.row_number().over(in_type))
-        .select("gpu_type", "_slot", "offer_id", "machine_id")
-    )
-    by_key = Window.partitionBy("gpu_type").orderBy(key)
-    leading = (
-        units.select("gpu_type", key)
-        .withColumn("_slot", F.row_number().over(by_key))
-        .where(F.col("_slot") <= max_retries)
-        .join(closed, ["gpu_type", "_slot"])
-        .drop("_slot")
+        .where(F.col("_open").isNull() | (F.col("_best") < F.col("_open")))
+        .select("gpu_type", "_best.*")
     )
-    known = seen.select("gpu_type").distinct().withColumn("_listed", F.lit(True))
+    one = [Running("_slot", "sum", F.lit(1))]
+    slots = running(
+        closed, ["gpu_type"], "dph_total", OFFER_ORDER[1:], one, slice_by=F.floor(F.col("dph_total") * PRICE_SLICES)
+    ).select("gpu_type", "_slot", "offer_id", "machine_id")
+    numbered = running(units, ["gpu_type"], key, [], one, slice_by=F.substring(F.col(key).cast("string"), 1, KEY_SLICE))
+    known = offers.select("gpu_type").distinct().withColumn("_listed", F.lit(True))
     placed = (
-        units.join(leading, ["gpu_type", key], "left")
+        numbered.join(slots, ["gpu_type", "_slot"], "left")
         .join(open_offer, "gpu_type", "left")
         .join(known, "gpu_type", "left")
     )
-    offer = F.coalesce("offer_id", "_open_offer")
+    offer = F.coalesce("offer_id", "_open.offer_id")
     return placed.select(
         *units.columns,
         offer.alias("offer_id"),

@@ -99,6 +99,12 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, name: str = "ran
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: str, *, ties: Sequence[str] = (), slice_size: int = 4096, name: str = "position") -> DataFrame:
+    """Add a 1-based position per key in the order of the number ``order``, by slices of its value."""
+    placed = running(df, keys, order, list(ties), [Running(name, "sum", F.lit(1))], slice_by=F.floor(F.col(order) / slice_size))
+    return placed.withColumn(name, F.col(name).cast("bigint"))
+
+
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, *, bounds: tuple[float, float] | None = None, cells: int = 4096
 ) -> DataFrame:

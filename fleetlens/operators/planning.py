@@ -126,10 +126,10 @@ def estimate_report(
     row = F.struct(
         "cloud_gpus",
         "cloud_gpu_type",
-        F.round("wall_time_hours", 3).alias("wall_time_hours"),
+        fmt.rounded(F.col("wall_time_hours"), 3).cast("double").alias("wall_time_hours"),
         fmt.hours_text(F.col("wall_time_hours")).alias("wall_time_human"),
-        F.round("cloud_cost_min", 2).alias("cloud_cost_min"),
-        F.round("cloud_cost_max", 2).alias("cloud_cost_max"),
+        fmt.rounded(F.col("cloud_cost_min"), 2).cast("double").alias("cloud_cost_min"),
+        fmt.rounded(F.col("cloud_cost_max"), 2).cast("double").alias("cloud_cost_max"),
         fmt.cost_text(F.col("cloud_gpus"), F.col("cloud_cost_min"), F.col("cloud_cost_max")).alias("cost_display"),
         "notes",
         "feasible",
@@ -139,9 +139,9 @@ def estimate_report(
         "ord",
         "gpu_type",
         "available_count",
-        F.round("min_price_hr", 3).alias("min_price_hr"),
-        F.round("max_price_hr", 3).alias("max_price_hr"),
-        F.round("median_price_hr", 3).alias("median_price_hr"),
+        fmt.rounded(F.col("min_price_hr"), 3).cast("double").alias("min_price_hr"),
+        fmt.rounded(F.col("max_price_hr"), 3).cast("double").alias("max_price_hr"),
+        fmt.rounded(F.col("median_price_hr"), 3).cast("double").alias("median_price_hr"),
     )
     pricing = prices.agg(
         F.transform(F.sort_array(F.collect_list(price)), lambda p: p.dropFields("ord")).alias("pricing")

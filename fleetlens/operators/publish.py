@@ -115,7 +115,8 @@ def open_failure_rows(failures: DataFrame, statuses: DataFrame, sentinel: str =
     cleared = statuses.where((F.col("status") == "ok") & ~F.col("open_failures")).select(
         *SHARD, F.col("prediction").alias("name")
     )
-    named = failures.where(F.col("name") != sentinel).join(cleared, [*SHARD, "name"], "left_anti")
-    return named.unionByName(failures.where(F.col("name") == sentinel))
+    is_sentinel = F.col("name").eqNullSafe(F.lit(sentinel))
+    named = failures.where(~is_sentinel).join(cleared, [*SHARD, "name"], "left_anti")
+    return named.unionByName(failures.where(is_sentinel))
 
 

@@ -143,6 +143,7 @@ def load_documents(docs: DataFrame) -> DataFrame:
         "path",
         "kind",
         "schema_version",
+        "schema_error",
         action.alias("action"),
         "error",
         F.coalesce("_batch_id", F.lit("")).alias("batch_id"),
@@ -226,5 +227,5 @@ def load_lenient(docs: DataFrame) -> DataFrame:
 
 
 def migrate_documents(docs: DataFrame) -> DataFrame:
-    """Version-0 documents with their action and recovered identity."""
-    return load_documents(docs).where((F.col("schema_version") == 0) | (F.col("action") == "reject"))
+    """Version-0 documents with their action and recovered identity, and the documents whose shape or version is refused."""
+    return load_documents(docs).where((F.col("schema_version") == 0) | (F.col("schema_error") != ""))

@@ -12,7 +12,6 @@ from fleetlens.functions import fmt
 from fleetlens.functions.keys import basename
 from fleetlens.operators.ordered import DAY, Running, running
 
-STATUSES = ("pending", "deployed", "deploying", "running", "completed", "downloaded", "destroyed", "failed")
 MICRO_HOUR = 3.6e9
 
 
@@ -122,8 +121,8 @@ def budget_status(spent: Column, ceiling: Column) -> Column:
 
 
 def status_counts(units: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
-    """Units per status, one column each."""
-    return units.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    """Units per status, whatever the statuses are; one row each."""
+    return units.groupBy(*keys, "status").agg(F.count("*").alias("units"))
 
 
 def archivable(units: DataFrame) -> DataFrame:
@@ -140,13 +139,20 @@ def archivable(units: DataFrame) -> DataFrame:
 
 
 def archive_terminal(units: DataFrame, as_of: Column) -> DataFrame:
-    """Add ``archive_name`` to units of finished batches; the others stay with NULL."""
-    done = archivable(units).select(
-        "batch_id", "kind", F.concat("batch_id", F.lit("_"), fmt.archive_suffix(as_of), F.lit(".json")).alias("archive_name")
-    )
+    """Add ``archive_name`` to units of finished batches; the others stay with NULL.
+
+    The name holds the kind, since a shard batch and a job batch may share an id.
+    """
+    name = F.concat("kind", F.lit("_"), "batch_id", F.lit("_"), fmt.archive_suffix(as_of), F.lit(".json"))
+    done = archivable(units).select("batch_id", "kind", name.alias("archive_name"))
     return units.join(done, ["batch_id", "kind"], "left")
 
 
+def split_archived(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The units that stay, and those that go to an archive, of ``archive_terminal``'s result."""
+    return named.where(F.col("archive_name").isNull()).drop("archive_name"), named.where(F.col("archive_name").isNotNull())
+
+
 def is_loss(event: Column) -> Column:
     """Events that raise the retry count."""
     return event.isin("failed", "preempted")
@@ -273,15 +279,13 @@ def deploy_gate(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("error", error)
 
 
-def deploy_outcome(
-    attempts: DataFrame, units: DataFrame | None = None, *, max_retries: int = C.DEPLOY_RETRIES, key: str = "unit_key"
-) -> DataFrame:
-    """First successful attempt per unit, else the last error.
+def deploy_outcome(attempts: DataFrame, units: DataFrame | None = None, *, key: str = "unit_key") -> DataFrame:
+    """First successful attempt per unit, else the last error, over all logged attempts.
 
     With ``units`` given, units without any attempt are reported as having had
     no offers.
     """
-    gated = deploy_gate(attempts.where(F.col("attempt") < max_retries))
+    gated = deploy_gate(attempts)
     success = F.col("error") == ""
     outcome = gated.groupBy(key).agg(
         F.min(F.when(success, F.col("attempt"))).alias("success_attempt"),
@@ -310,14 +314,15 @@ def missing_files(required: DataFrame, collected: DataFrame, key: str = "shard_i
 def critical_files(required: DataFrame, collected: DataFrame, key: str = "shard_id") -> DataFrame:
     """Per unit: files collected, required names missing, and the files that count.
 
-    Any missing name voids the whole result of the unit.
+    Any missing name voids the whole result of the unit. A unit that should have
+    delivered and did not is a row with 0 files.
     """
     missing = missing_files(required, collected, key).groupBy(key).agg(F.count("*").alias("missing"))
     return (
         collected.groupBy(key)
         .agg(F.count("*").alias("files"))
-        .join(missing, key, "left")
-        .withColumn("missing", F.coalesce("missing", F.lit(0)).cast("bigint"))
+        .join(missing, key, "full_outer")
+        .withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("files", "missing")})
         .withColumn("accepted_files", F.when(F.col("missing") > 0, 0).otherwise(F.col("files")).cast("bigint"))
     )
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORKLOAD_RESULT = "batch_id string, shard_id bigint, exit_code int, items bigint, error string"
+WORKLOAD_RESULT = "batch_id string, shard_id bigint, block bigint, exit_code int, items bigint, error string"
 
 
 def run_workload(
@@ -24,7 +24,9 @@ def run_workload(
 
     ``items`` has ``batch_id, shard_id`` and the item columns. ``work`` gets a
     block of a shard's items and returns an exit code (None means 0); an
-    exception counts as 1 and never stops the other blocks. A shard is cut into
+    exception counts as 1 and never stops the other blocks. Any code but 0 fails
+    the shard, whose code is that of its first failing block; the distinct error
+    texts of all blocks are joined. A shard is cut into
     blocks of about ``block_rows`` by item hash, so a large shard runs in many
     tasks. ``health`` (``batch_id, shard_id, healthy``) is checked first, then
     ``gates`` (``batch_id, shard_id, open``); shards that fail them do not run.
@@ -50,7 +52,7 @@ def run_workload(
         except Exception as exc:
             code, error = 1, f"{type(exc).__name__}: {exc}"
         return pd.DataFrame(
-            {"batch_id": [key[0]], "shard_id": [key[1]], "exit_code": [code], "items": [len(block)], "error": [error]}
+            {"batch_id": [key[0]], "shard_id": [key[1]], "block": [key[2]], "exit_code": [code], "items": [len(block)], "error": [error]}
         )
 
     ran = (
@@ -58,7 +60,11 @@ def run_workload(
         .groupBy(*keys, "_block")
         .applyInPandas(run_block, WORKLOAD_RESULT)
         .groupBy(*keys)
-        .agg(F.max("exit_code").alias("exit_code"), F.sum("items").alias("items"), F.max("error").alias("error"))
+        .agg(
+            F.coalesce(F.min_by("exit_code", F.when(F.col("exit_code") != 0, F.col("block"))), F.lit(0)).alias("exit_code"),
+            F.sum("items").alias("items"),
+            F.array_join(F.array_sort(F.collect_set(F.nullif("error", F.lit("")))), "; ").alias("error"),
+        )
     )
     refused = gated.where(~(F.col("healthy") & F.col("open"))).select(
         *keys,

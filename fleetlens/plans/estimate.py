@@ -17,8 +17,7 @@ def estimate(
     counts: Sequence[int] = (0, 2, 4, 8, 16),
     *,
     gpu_types: Sequence[str] = C.GPU_TYPES,
-    listed: int | None = None,
 ) -> DataFrame:
     """Scaling rows for every workload at market prices; the cheapest type where none is asked."""
-    prices = market.price_summary(offers, gpu_types, listed=listed)
+    prices = market.price_summary(offers, gpu_types)
     return planning.scaling_table(workloads, prices, counts, cheapest=market.cheapest_type(prices))

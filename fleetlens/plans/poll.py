@@ -40,7 +40,7 @@ def poll_cycle(
     done = F.when(F.col("kind") == "job", "completed").otherwise("downloaded")
     failed = (F.col("verdict") == "failed") | (lost & ~again)
     failure = (
-        F.when(F.col("verdict") == "failed", "collect_unit_results failed")
+        F.when(F.col("verdict") == "failed", "results are incomplete")
         .when(lost & exhausted, F.concat(reason, F.lit(" (retries exhausted)")))
         .when(lost & fatal, F.concat(reason, F.lit(" (fatal)")))
         .otherwise("")

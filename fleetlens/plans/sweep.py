@@ -23,7 +23,8 @@ def sweep(
 
     Ownership is taken from ``verification`` (``instance_id, verification``) if
     given, from a ``verification`` column of the instances if there is one, and
-    else checked on the instance's own image.
+    else checked on the instance's own image. Of several destroy runs of an
+    instance the latest by ``run_at`` counts, so an instance has one outcome.
     """
     candidates = fleet.zombies(fleet.scope_filter(instances, *scopes), units)
     if verification is None and "verification" in candidates.columns:
@@ -36,7 +37,8 @@ def sweep(
         judged = candidates.join(verification.select("instance_id", "verification"), "instance_id", "left").withColumn(
             "verification", F.coalesce("verification", F.lit("refused"))
         )
-    runs = cleanup.destroy_verdict(destroy_log).withColumnRenamed("verdict", "destroy_verdict")
+    last = cleanup.latest_runs(destroy_log) if "run_at" in destroy_log.columns else destroy_log
+    runs = cleanup.destroy_verdict(last).withColumnRenamed("verdict", "destroy_verdict")
     outcomes = cleanup.dispatch(judged.join(runs, "instance_id", "left"), provider=provider, credentials=credentials)
     return outcomes.withColumn("severity", cleanup.severity(F.col("verdict"), F.col("refusal")))
 

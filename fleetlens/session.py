@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: Shuffle partitions before adaptive execution merges the small ones.
+INITIAL_PARTITIONS = 20_000
+
+
 def build_session(
     app_name: str = "fleetlens",
     *,
@@ -30,6 +35,9 @@ def build_session(
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+    if master is None and shuffle_partitions is None:
+        # Adaptive execution only merges partitions, so a cluster starts with many.
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(INITIAL_PARTITIONS))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory is not None:
@@ -38,14 +46,21 @@ def build_session(
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Return the shared folder for stream checkpoints.
+    """Return the shared folder for stream checkpoints, which the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    go without the setting; it then gets a fresh temporary folder.
+    There is no fallback: a folder that is new at every start would lose the progress of a stream.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="fleetlens-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return configured.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """Return a fresh path for tables of one query, in the shared folder.
+
+    Only a session in one process (``local[n]``) may go without ``spark.checkpoint.dir``.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+        return f"{tempfile.mkdtemp(prefix='fleetlens-')}/{label}"
+    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"

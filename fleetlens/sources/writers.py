@@ -49,6 +49,10 @@ def read_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{root}/units/v={version}"), spark.read.parquet(f"{root}/batches/v={version}")
 
 
+#: Rules that share a file; a bucket with more is written by several tasks.
+RULES_PER_FILE = 100_000
+
+
 def rule_writes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per bucket: rules to write, and ``delete`` instead of ``put`` when none remain."""
     kept = after.groupBy("bucket").agg(F.count("*").alias("rules"))
@@ -70,7 +74,7 @@ def write_rules(before: DataFrame, after: DataFrame, path: str) -> None:
     emptied = rule_writes(before, after).where(F.col("action") == "delete").select("bucket")
     rows = after.unionByName(emptied, allowMissingColumns=True)
     (
-        rows.repartition("bucket")
+        rows.repartition("bucket", F.floor(F.col("pos") / RULES_PER_FILE))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -83,6 +87,16 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("pos").isNotNull())
 
 
+def write_archive(archived: DataFrame, path: str) -> None:
+    """Add the units of ``units.split_archived`` to the archive, one folder per archive name."""
+    archived.write.mode("append").partitionBy("archive_name").parquet(path)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """All archived units with their archive's name."""
+    return spark.read.parquet(path)
+
+
 def write_documents(documents: DataFrame, path: str, column: str = "document") -> None:
     """Write JSON documents, one per line."""
     documents.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

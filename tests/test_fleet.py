@@ -70,15 +70,15 @@ def page(instances=(), token=None):
         ([("", page([], "a")), ("b", page())], "broken page chain"),
         ([("", page([], "a"))], "broken page chain"),
         ([("", page()), ("", page())], "broken page chain"),
-        ([("", page([], "a")), ("a", page([], "b")), ("b", page([], "c")), ("c", page())], "too many pages"),
+        ([("", page([{"id": 1}], "t0")), *((f"t{i}", page([], f"t{i + 1}")) for i in range(1100)), ("t1100", page())], ""),
     ],
 )
 def test_page_chain(spark, pages, error):
     rows = [("L", n, after, raw) for n, (after, raw) in enumerate(pages)]
     opened = fleet.open_pages(spark.createDataFrame(rows, "listing_id string, page_no int, after_token string, raw string"))
-    got = fleet.page_chain(opened, max_pages=3).first()
+    got = fleet.page_chain(opened).first()
     assert (got.error, got.ok) == (error, error == "")
-    assert (fleet.paged_records(opened, max_pages=3).count() > 0) == (error == "" and "id" in pages[0][1])
+    assert (fleet.paged_records(opened).count() > 0) == (error == "" and "id" in pages[0][1])
 
 
 def test_listing_root_must_be_a_list(spark):
@@ -148,19 +148,28 @@ def test_judged_instances_agree_with_enumerating_and_verifying(spark):
 
 def test_unset_instance_ids_track_nothing(spark):
     instances = spark.createDataFrame([("1",), ("",), ("2",)], "instance_id string")
-    units = spark.createDataFrame([("",), (None,), ("2",)], "instance_id string")
+    units = spark.createDataFrame([("", "running"), (None, "running"), ("2", "running")], "instance_id string, status string").withColumn("kind", F.lit("shard"))
     assert values(fleet.zombies(instances, units), "instance_id") == [("",), ("1",)]
 
 
+def test_finished_units_track_nothing(spark):
+    instances = spark.createDataFrame([("market", str(i)) for i in range(6)], "provider string, instance_id string")
+    states = ["running", "downloaded", "failed", "destroyed", "pending", "deployed"]
+    units = spark.createDataFrame([("shard", str(i), s) for i, s in enumerate(states)], "kind string, instance_id string, status string")
+    assert values(fleet.zombies(instances, units), "instance_id") == [("1",), ("2",), ("3",), ("4",)]
+    elsewhere = units.withColumn("provider", F.when(F.col("instance_id") == "0", "runpod").otherwise("market"))
+    assert values(fleet.zombies(instances, elsewhere), "instance_id") == [("0",), ("1",), ("2",), ("3",), ("4",)]
+
+
 DESTROY = "instance_id string, stop_status int, stop_error string, delete_statuses array<string>, verify1 string, verify1_error string, verify2 string, verify2_error string"
 
 
-def brute_force_destroy(stop_status, stop_error, deletes, v1, e1, v2, e2, max_attempts=3):
+def brute_force_destroy(stop_status, stop_error, deletes, v1, e1, v2, e2):
     """The protocol step by step."""
     if stop_error:
         return ("unknown", 0, None, None)
     attempts, last = 0, stop_status
-    for n, status in enumerate(deletes[:max_attempts], 1):
+    for n, status in enumerate(deletes, 1):
         if status == "raise":
             last = None
             continue
@@ -210,15 +219,16 @@ CASES = [
     ("runpod", "1", "running", "owned", "destroyed"), ("market", "2", "", "owned", "destroyed"), ("market", "3", "destroyed", "owned", "destroyed"),
     ("market", "4", "running", "refused", "destroyed"), ("market", "5", "running", "owned", "destroyed"), ("market", "6", "running", "absent", "leaked"),
     ("market", "7", "running", "disabled", "unknown"), ("market", "8", "running", "owned", None),
+    (None, "9a", "running", "owned", "destroyed"), ("market", "9b", "running", None, "destroyed"), ("market", "9c", "running", "odd", "destroyed"),
 ]
 
 
 @pytest.mark.parametrize(
     ("credentials", "want"),
     [
-        ("available", ["provider_mismatch", "ineligible_state", "ineligible_state", "ownership", "destroyed", "leaked", "unknown", "unknown"]),
-        ("absent", ["provider_mismatch", "ineligible_state", "ineligible_state", "ownership", "cli_attempted", "already_gone", "cli_attempted", "cli_attempted"]),
-        ("disabled", ["provider_mismatch", "ineligible_state", "ineligible_state"] + ["credentials_disabled"] * 5),
+        ("available", ["provider_mismatch", "ineligible_state", "ineligible_state", "ownership", "destroyed", "leaked", "unknown", "unknown", "provider_mismatch", "ownership", "ownership"]),
+        ("absent", ["provider_mismatch", "ineligible_state", "ineligible_state", "ownership", "cli_attempted", "already_gone", "cli_attempted", "cli_attempted", "provider_mismatch", "ownership", "ownership"]),
+        ("disabled", ["provider_mismatch", "ineligible_state", "ineligible_state"] + ["credentials_disabled"] * 5 + ["provider_mismatch"] + ["credentials_disabled"] * 2),
     ],
 )
 def test_dispatch(spark, credentials, want):
@@ -234,7 +244,7 @@ def test_sweep_counts_a_gone_instance_apart(spark):
         [("market", str(i), "prod-3f9a1b2c4d5e-x" if i < 4 else "prodevil-1", "running", "myorg/app") for i in range(6)],
         "provider string, instance_id string, label string, state string, ownership_key string",
     )
-    units = spark.createDataFrame([("0",)], "instance_id string")
+    units = spark.createDataFrame([("shard", "0", "running")], "kind string, instance_id string, status string")
     log = spark.createDataFrame([], DESTROY)
     answers = spark.createDataFrame([("1", "absent"), ("2", "owned")], "instance_id string, verification string")
     outcomes = sweep(instances, units, log, "prod-3f9a1b2c4d5e", verification=answers, credentials="absent")
@@ -244,8 +254,16 @@ def test_sweep_counts_a_gone_instance_apart(spark):
     assert tuple(sweep_totals(outcomes).first()) == (0, 1, 2, 3)
 
 
+def test_sweep_takes_the_last_run_of_an_instance(spark):
+    instances = spark.createDataFrame([("market", "1", "prod-3f9a1b2c4d5e-x", "running", "a")], "provider string, instance_id string, label string, state string, ownership_key string")
+    units = spark.createDataFrame([], "kind string, instance_id string, status string")
+    runs = [("1", 200, None, ["503"], "unknown", "HTTP 500", "unknown", None, 1), ("1", 200, None, ["503"] * 3 + ["200"], "gone", None, "gone", None, 2)]
+    outcomes = sweep(instances, units, spark.createDataFrame(runs, DESTROY + ", run_at int"), "prod-3f9a1b2c4d5e")
+    assert values(outcomes, "instance_id", "verdict", "attempts") == [("1", "destroyed", 4)]
+
+
 def test_policy_function_results_are_checked(spark):
-    frame = spark.createDataFrame([("market", str(i)) for i in range(4)] + [("runpod", "9")], "provider string, instance_id string")
+    frame = spark.createDataFrame([("market", str(i)) for i in range(4)] + [("runpod", "9"), (None, "99")], "provider string, instance_id string")
 
     def destroy(c):
         n = F.col("instance_id").cast("int")
@@ -259,7 +277,7 @@ def test_policy_function_results_are_checked(spark):
 
     got = cleanup.apply_policy(frame, destroy, provider="market")
     assert values(got, "instance_id", "verdict", "refusal") == [
-        ("0", "destroyed", None), ("1", "leaked", None), ("2", "unknown", None), ("3", "unknown", None), ("9", None, "provider_mismatch"),
+        ("0", "destroyed", None), ("1", "leaked", None), ("2", "unknown", None), ("3", "unknown", None), ("9", None, "provider_mismatch"), ("99", None, "provider_mismatch"),
     ]
 
 

@@ -40,12 +40,6 @@ def test_price_summary_uses_the_exact_median_and_falls_back(spark):
     assert got["H200"][2:] == (0, 0.3, 0.3, 0.3)
 
 
-def test_listed_prices_see_the_cheapest_offers_only(spark):
-    rows = [offer(i, 0.01 * (i + 1)) for i in range(40)]
-    row = market.price_summary(spark.createDataFrame(rows, OFFERS), ["RTX_4090"], listed=20).first()
-    assert row.available_count == 20 and row.max_price_hr == 0.2
-
-
 def test_exact_median_with_a_hot_key_and_ties(spark):
     rng = random.Random(5)
     rows = [("hot", rng.choice([1.0, 2.0, 2.5])) for _ in range(3000)] + [(f"k{rng.randint(0, 40)}", rng.uniform(-5, 5)) for _ in range(900)]
@@ -111,18 +105,18 @@ def test_fewer_items_than_shards(spark):
 
 def assign(spark, offers, n_units, **kwargs):
     frame = spark.createDataFrame(offers, OFFERS).withColumn("gpu_type", F.lit("RTX_4090"))
-    units = spark.createDataFrame([(f"u{i:02d}", "RTX_4090") for i in range(n_units)], "unit_key string, gpu_type string")
+    units = spark.createDataFrame([(f"u{i:03d}", "RTX_4090") for i in range(n_units)], "unit_key string, gpu_type string")
     return [(r.unit_key, r.offer_id, r.error) for r in market.assign(units, frame, **kwargs).orderBy("unit_key").collect()]
 
 
-def brute_force_assign(offers, n_units, max_retries):
-    ordered = sorted(offers, key=lambda o: (o[6], o[0], o[1]))[:max_retries]
+def brute_force_assign(offers, n_units):
+    ordered = sorted(offers, key=lambda o: (o[6], o[0], o[1]))
     taken, out = set(), []
     for i in range(n_units):
         got = next((o for o in ordered if not o[1] or o[1] not in taken), None)
         if got is not None and got[1]:
             taken.add(got[1])
-        out.append((f"u{i:02d}", got[0] if got else None, "" if got else "no unclaimed offer"))
+        out.append((f"u{i:03d}", got[0] if got else None, "" if got else "no unclaimed offer"))
     return out
 
 
@@ -130,7 +124,13 @@ def test_assign_equals_one_unit_after_the_other(spark):
     rng = random.Random(11)
     for trial in range(6):
         offers = [offer(i, rng.choice([0.1, 0.2, 0.3]), machine=rng.choice(["a", "b", "c", "d", "" if trial % 2 else "e"])) for i in range(12)]
-        assert assign(spark, offers, 9, max_retries=5) == brute_force_assign(offers, 9, 5)
+        assert assign(spark, offers, 9) == brute_force_assign(offers, 9)
+
+
+def test_assign_uses_every_machine(spark):
+    offers = [offer(i, 0.1 + 0.001 * (i % 40), machine=f"m{i}") for i in range(300)]
+    got = assign(spark, offers, 250)
+    assert got == brute_force_assign(offers, 250) and not any(error for _, _, error in got)
 
 
 def test_assign_without_offers_of_the_type(spark):

@@ -10,38 +10,38 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import fmt, gpu, image, json_values, keys, prefixes, scope, text
 
-HEX64, HEX128 = "0" * 64, "0" * 128
+HEX64, HEX128 = "5" * 64, "5" * 128
 VALID_IMAGES = {
-    "nginx": "nginx",
-    "library/nginx": "library/nginx",
-    "nginx:1.27": "nginx",
-    "library/nginx:latest": "library/nginx",
-    f"nginx@sha256:{HEX64}": "nginx",
-    f"nginx@sha512:{HEX128}": "nginx",
-    f"nginx@blake3:{HEX64}": "nginx",
-    f"nginx:1.2@sha256:{HEX64}": "nginx",
-    "nginx@custom+alg:AbC_=-": "nginx",
-    "registry.local:5000/myorg/app:1.0": "registry.local:5000/myorg/app",
-    "docker.io/library/nginx:latest": "docker.io/library/nginx",
-    "[::1]:5000/myorg/app:1.0": "[::1]:5000/myorg/app",
-    "[fe80::1%eth0]/app": "[fe80::1%eth0]/app",
-    "localhost/myorg/app:1.0": "localhost/myorg/app",
-    "localhost:80/app": "localhost:80/app",
-    "myorg/my__app:1.0": "myorg/my__app",
-    "my.org/app_v1.2-beta:1.0": "my.org/app_v1.2-beta",
-    "myorg/my_app:1.0": "myorg/my_app",
-    "a---b/c": "a---b/c",
-    "  nginx:1 \t\n": "nginx",
-    "nginx:5000": "nginx",
-    "10.0.0.1:005000/app": "10.0.0.1:005000/app",
+    "solver": "solver",
+    "team/solver": "team/solver",
+    "solver:2024.06": "solver",
+    "team/solver:nightly": "team/solver",
+    f"solver@sha256:{HEX64}": "solver",
+    f"solver@sha512:{HEX128}": "solver",
+    f"solver@blake2:{HEX64}": "solver",
+    f"solver:9@sha256:{HEX64}": "solver",
+    "solver@mine+b64.v2:Xy9_=-": "solver",
+    "hub.internal:8443/team/render:7": "hub.internal:8443/team/render",
+    "docker.io/team/solver": "docker.io/team/solver",
+    "[fe80::2]:8443/team/render:7": "[fe80::2]:8443/team/render",
+    "[fe80::2%en1]/render": "[fe80::2%en1]/render",
+    "localhost/team/render": "localhost/team/render",
+    "localhost:9/render:7": "localhost:9/render",
+    "team/ray__tracer:7": "team/ray__tracer",
+    "te.am/ray_v3.1-rc:7": "te.am/ray_v3.1-rc",
+    "team/ray_tracer": "team/ray_tracer",
+    "x----y/z": "x----y/z",
+    "\t solver:3 \n": "solver",
+    "solver:8443": "solver",
+    "192.168.7.9:00443/render": "192.168.7.9:00443/render",
 }
 BAD_IMAGES = [
-    "", " ", "bad!tag", "nginx:bad!tag", "nginx:" + "a" * 129, "nginx@" + "0" * 64, "nginx@sha256:" + "a" * 63,
-    "nginx@sha256:" + "Z" * 64, f"nginx@SHA256:{HEX64}", f"nginx@Sha256:{HEX64}", "nginx@sha256:" + "G" * 64,
-    "registry:abc/myorg/app", "registry:99999/myorg/app", "registry:0/app", "registry..invalid/myorg/app",
-    "-leading-hyphen/myorg/app", "myORG/app", "nginx@" + "a" * 200, "myorg/app@digest@sha256:abc", "a b", "a//b", "/a",
-    "a/", "[::1]x/app", "[::1/app", "[1:2]/app", "nginx:", "x.y:1:2/app", "a" * 64 + ".b/app", "nginx\n:1", "@sha256:" + HEX64,
-    "a_.b/c", ("a." * 130) + "b/app",
+    "", "\t", "worse?name", "solver:worse?tag", "solver:" + "t" * 129, "solver@" + "5" * 64, "solver@sha256:" + "5" * 63,
+    "solver@sha256:" + "Y" * 64, f"solver@SHA256:{HEX64}", f"solver@sHa512:{HEX128}", "solver@sha256:" + "5" * 65,
+    "hub:x1y/team/render", "hub:70000/team/render", "hub:0/render", "hub..broken/team/render",
+    "-dash/team/render", "_under/team/render", "Team/render", "solver@" + "q" * 70, "team/render@one@sha256:00", "two words",
+    "team//render", "/render", "render/", "[fe80::2]y/render", "[fe80::2/render", "[7:8]/render", "solver:", "h.k:3:4/render",
+    "h" * 64 + ".k/render", "solver\n:3", "@sha256:" + HEX64, "h_.k/render", ("h." * 130) + "k/render",
 ]
 
 

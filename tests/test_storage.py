@@ -251,7 +251,34 @@ def test_file_readers(spark, folder):
 
     write(folder, "rules/bkt.json", json.dumps({"Rules": [{"ID": "r", "Filter": {"Prefix": "p/"}, "Expiration": {"Days": 3}, "X": 1}]}))
     row = readers.read_lifecycle_rules(spark, f"{folder}/rules").first()
-    assert (row.bucket, row.id, row.prefix, row.days, json.loads(row.raw_rule)["X"]) == ("bkt", "r", "p/", 3, 1)
+    assert (row.bucket, row.id, row.prefix, row.days, row.extra) == ("bkt", "r", "p/", 3, '{"X":1}')
+
+
+def test_rules_from_reading_to_writing(spark, folder):
+    raw = [{"ID": "a|b", "Status": "c", "Filter": {"Prefix": "x/", "Tag": {"k": "v"}}, "Expiration": {"Days": 3, "Z": [1]}}, {"ID": 7, "Filter": "odd", "Expiration": {"Days": 1.5}}]
+    write(folder, "in/bkt.json", json.dumps({"Rules": raw}))
+    rules = readers.read_lifecycle_rules(spark, f"{folder}/in")
+    assert values(rules, "pos", "id", "days", "extra") == [
+        (0, "a|b", 3, '{"Expiration":{"Z":[1]},"Filter":{"Tag":{"k":"v"}}}'),
+        (1, "7", None, '{"Expiration":{"Days":1.5},"Filter":"odd","ID":7}'),
+    ]
+    policies = spark.createDataFrame([("bkt", "p/q", 9)], "bucket string, raw_prefix string, days int")
+    after = L.rules_after(rules, policies)
+    writers.write_rules(rules, after, f"{folder}/out")
+    stored = writers.read_rules(spark, f"{folder}/out")
+    assert stored.count() == 3
+    assert L.post_write_check(after, stored).first().verified
+    assert L.plan_freshness(L.lifecycle_plan(stored, policies), stored).first().fresh
+    assert L.lifecycle_plan(stored, policies).first().no_op
+
+
+def test_different_rules_never_compare_equal(spark):
+    schema = "bucket string, pos int, id string, status string, prefix string, days int, extra string"
+    pairs = [(("a|b", "c"), ("a", "b|c")), (("a", None), ("a", "")), (('a","status":"b', "c"), ("a", "b"))]
+    for left, right in pairs:
+        one, two = (spark.createDataFrame([("b", 0, *r, "p/", 1, "{}")], schema) for r in (left, right))
+        assert not L.rules_equal(one, two).first().equal
+        assert L.fingerprints(one).first().fingerprint != L.fingerprints(two).first().fingerprint
 
 
 def test_inventory_and_outputs(spark, folder):

@@ -1,5 +1,6 @@
 """Streams against their batch forms."""
 
+import pytest
 from conftest import drain, stream_of, values
 from pyspark.sql import functions as F
 
@@ -144,12 +145,18 @@ def test_sweep_stream_writes_the_report_of_each_listing(spark, views, folder):
     assert got.select("run").distinct().count() >= 2
 
 
-def test_sweep_stream_can_skip_cycles(spark, views, folder):
-    listing = views.instances.drop("started_at")
+def test_sweep_stream_chooses_listings_by_their_cycle(spark, views, folder):
+    listing = views.instances.drop("started_at").withColumn("cycle", F.col("instance_id").cast("bigint") % 3)
     stream = stream_of(spark, listing, folder, "instance_id")
-    query = start_sweep(stream, lambda df: df.select("instance_id"), f"{folder}/out", every=2, checkpoint=f"{folder}/cp")
+    query = start_sweep(stream, lambda df: df.select("instance_id"), f"{folder}/out", only=F.col("cycle") == 1, checkpoint=f"{folder}/cp")
     query.awaitTermination(120)
-    assert {r.run for r in spark.read.parquet(f"{folder}/out").select("run").distinct().collect()} == {0, 2}
+    assert values(spark.read.parquet(f"{folder}/out"), "instance_id") == values(listing.where("cycle = 1"), "instance_id")
+
+
+def test_a_sweep_needs_a_checkpoint_folder(spark, views, folder):
+    stream = stream_of(spark, views.instances.drop("started_at"), folder, "instance_id")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        start_sweep(stream, lambda df: df, f"{folder}/out")
 
 
 def test_probe_parse_matches_snapshot_defaults(spark):

@@ -16,7 +16,8 @@ UNIT = "batch_id string, kind string, unit_key string, status string, instance_i
 
 
 def test_status_classes(spark):
-    rows = [("shard", s) for s in units.STATUSES] + [("job", s) for s in units.STATUSES] + [("job", "odd")]
+    known = ("pending", "deployed", "deploying", "running", "completed", "downloaded", "destroyed", "failed")
+    rows = [("shard", s) for s in known] + [("job", s) for s in known] + [("job", "odd")]
     got = spark.createDataFrame(rows, "k string, s string").select(units.status_class(F.col("k"), F.col("s")).alias("c")).collect()
     assert [r.c for r in got] == [
         "pending", "active", "other", "active", "other", "done", "done", "failed",
@@ -85,19 +86,19 @@ def test_classifier_may_be_a_pandas_function(spark):
 
 def test_deploy_attempts(spark):
     rows = [("a", 0, "m1", True, True, False, True, True), ("a", 1, "m2", True, True, True, True, True), ("a", 2, "m3", False, True, True, True, True),
-            ("b", 0, "m1", True, False, False, True, True), ("b", 1, "m2", True, True, True, True, None), ("b", 5, "m9", True, True, True, True, True)]
+            ("b", 0, "m1", True, False, False, True, True), ("b", 1, "m2", True, True, True, True, None), ("d", 0, "m1", False, False, False, False, False), ("d", 3, "m9", True, True, True, True, True)]
     frame = spark.createDataFrame(rows, "unit_key string, attempt int, machine_id string, boot_ok boolean, gpu_ok boolean, files_ok boolean, env_ok boolean, launch_ok boolean")
-    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "unit_key string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "unit_key string")
     assert values(units.deploy_outcome(frame, asked), "unit_key", "success", "success_attempt", "machine_id", "error") == [
-        ("a", True, 1, "m2", ""), ("b", False, None, None, "Worker launch failed (attempt 2)"), ("c", False, None, None, "No GPU offers available"),
+        ("a", True, 1, "m2", ""), ("b", False, None, None, "Worker launch failed (attempt 2)"), ("c", False, None, None, "No GPU offers available"), ("d", True, 3, "m9", ""),
     ]
 
 
 def test_one_missing_file_voids_the_unit(spark):
-    required = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "shard_id long, name string")
+    required = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (4, "a")], "shard_id long, name string")
     collected = spark.createDataFrame([(1, "x/a"), (1, "y/c"), (2, "deep/er/a"), (3, "z")], "shard_id long, rel_path string")
-    assert values(units.missing_files(required, collected), "shard_id", "name") == [(1, "b")]
-    assert values(units.critical_files(required, collected), "shard_id", "files", "missing", "accepted_files") == [(1, 2, 1, 0), (2, 1, 0, 1), (3, 1, 0, 1)]
+    assert values(units.missing_files(required, collected), "shard_id", "name") == [(1, "b"), (4, "a")]
+    assert values(units.critical_files(required, collected), "shard_id", "files", "missing", "accepted_files") == [(1, 2, 1, 0), (2, 1, 0, 1), (3, 1, 0, 1), (4, 0, 1, 0)]
 
 
 # (first marker read, probe, second marker read) -> action; None is a failed read or probe
@@ -217,6 +218,32 @@ def test_lenient_loading_skips_corrupt_documents(spark):
     assert [ok for _, ok in got] == [False, False, False, False, True, False, True, True, False, False, True, True, False]
 
 
+def test_any_code_of_a_block_fails_the_shard(spark):
+    items = spark.createDataFrame([("b", 0, f"i{n}") for n in range(600)], "batch_id string, shard_id long, item_id string")
+
+    def work(block):
+        if "i7" in set(block["item_id"]):
+            raise ValueError("seven")
+        if "i11" in set(block["item_id"]):
+            raise ValueError("eleven")
+        return -9 if "i5" in set(block["item_id"]) else 0
+
+    got = run_workload(items, work, block_rows=2).first()
+    assert (got.items, got.error, got.completed) == (600, "ValueError: eleven; ValueError: seven", False) and got.exit_code in (1, -9)
+    assert run_workload(items, lambda b: -9 if "i5" in set(b["item_id"]) else 0, block_rows=50).first().exit_code == -9
+
+
+def test_statuses_are_counted_whatever_they_are(spark):
+    rows = spark.createDataFrame([("b", "paused"), ("b", "paused"), ("b", None), ("b", "failed")], "batch_id string, status string")
+    assert values(units.status_counts(rows), "status", "units") == [("failed", 1), ("paused", 2), (None, 1)]
+
+
+def test_migration_returns_refused_shapes_but_no_current_rejects(spark):
+    raws = ["{bad", '{"schema_version": 2}', json.dumps({"schema_version": 1, "label_scope": SCOPE, "extra": 1}), json.dumps({"label": SCOPE})]
+    got = state.migrate_documents(documents(spark, raws))
+    assert values(got, "path", "action") == [("0", "reject"), ("1", "reject"), ("3", "migrate")]
+
+
 def test_workload_codes_and_block_size(spark):
     items = spark.createDataFrame([("b", s, f"i{n}") for s, size in ((0, 900), (1, 5), (2, 5), (3, 5), (4, 5)) for n in range(size)], "batch_id string, shard_id long, item_id string")
     health = spark.createDataFrame([("b", 2, False)], "batch_id string, shard_id long, healthy boolean")
