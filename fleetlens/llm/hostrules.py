@@ -5,9 +5,11 @@ three-word windows, in numpy over blocks of whole texts; words and lines are tol
 dictionary encoding, so equality is exact. The narrow measures are stored in the shared folder.
 
 Rules judge each document. Failures are summed per (host, rule) before any shuffle. Over all hosts, a beta
-prior is fitted per rule by moments: with m and v the mean and variance of the hosts' rates, its
-weight is m (1 - m) / v - 1 pseudo-documents, held within ``weight_bounds``. A host's shrunk rate is
-(failures + weight * m) / (documents + weight): a host with two documents is judged by the corpus, one
+prior is fitted per rule by moments that allow for unequal hosts: with n documents and rate p of each of k
+hosts, N documents and rate m of all, the share of variance that lies between hosts is
+r = (sum n (p - m)^2 / (m (1 - m)) - (k - 1)) / (N - sum n^2 / N - (k - 1)), and the prior weighs 1 / r - 1
+pseudo-documents, held within ``weight_bounds``. A host's shrunk rate is
+(failures + weight * m) / (documents + weight): a host with one document is judged by the corpus, one
 with a million by itself. A host whose shrunk rate of a rule is above ``host_limit`` has a bad
 verdict for that rule, and all its documents go. Elsewhere a document goes when it fails ``base`` or a rule by itself.
 
@@ -118,26 +120,36 @@ def rules() -> dict[str, Column]:
     }
 
 
+def beta_prior(k: int, total: float, squares: float, failures: float, spread: float, bounds: tuple[float, float]) -> tuple[float, float]:
+    """Mean and weight of the prior from sums over hosts; ``spread`` is the sum of failures^2 / documents."""
+    low, high = bounds
+    m = failures / total if total else 0.0
+    room = total - squares / total - (k - 1) if total else 0.0
+    if not 0 < m < 1 or room <= 0:
+        return m, high
+    between = ((spread - total * m * m) / (m * (1 - m)) - (k - 1)) / room
+    return m, (high if between <= 0 else min(high, max(low, 1 / between - 1)))
+
+
 def host_rates(judged: DataFrame, names: list[str], *, host_limit: float, weight_bounds: tuple[float, float]) -> DataFrame:
     """Per host: documents, shrunk rate and verdict of each rule."""
     sums = [F.sum(F.col(f"fails_{r}").cast("bigint")).alias(f"n_{r}") for r in names]
     hosts = stored(judged.groupBy("host").agg(F.count("*").alias("n_docs"), *sums), "host-sums")
-    parts = []
+    n = F.col("n_docs").cast("double")
+    parts = [F.count("*").alias("k"), F.sum(n).alias("N"), F.sum(n * n).alias("n2")]
     for r in names:
-        rate = F.col(f"n_{r}") / F.col("n_docs")
-        parts += [F.avg(rate).alias(f"m_{r}"), F.var_samp(rate).alias(f"v_{r}")]
-    prior = hosts.agg(*parts).first()
-    low, high = weight_bounds
+        f = F.col(f"n_{r}").cast("double")
+        parts += [F.sum(f).alias(f"f_{r}"), F.sum(f * f / n).alias(f"f2_{r}")]
+    all_hosts = hosts.agg(*parts).first()
     columns = [F.col("host"), F.col("n_docs").alias("host_docs")]
     for r in names:
-        m, v = (prior[f"m_{r}"] or 0.0), prior[f"v_{r}"]
-        weight = min(high, max(low, m * (1 - m) / v - 1)) if v else high
+        m, weight = beta_prior(all_hosts.k, all_hosts.N, all_hosts.n2, all_hosts[f"f_{r}"], all_hosts[f"f2_{r}"], weight_bounds)
         shrunk = (F.col(f"n_{r}") + F.lit(weight * m)) / (F.col("n_docs") + F.lit(weight))
         columns += [shrunk.alias(f"rate_{r}"), (shrunk > host_limit).alias(f"bad_{r}")]
     return hosts.select(*columns)
 
 
-def judge(docs: DataFrame, *, host: str = "source", host_limit: float = 0.5, weight_bounds: tuple[float, float] = (1.0, 1000.0)) -> DataFrame:
+def judge(docs: DataFrame, *, host: str = "source", host_limit: float = 0.5, weight_bounds: tuple[float, float] = (2.0, 1000.0)) -> DataFrame:
     """Measures, rule failures, host verdicts and ``kept`` of every row."""
     checks = rules()
     judged = stored(measure(docs, host), "host-measures").withColumns({f"fails_{r}": c for r, c in checks.items()})

@@ -372,10 +372,10 @@ def join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float =
 
 
 def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: one per class, whole and with all columns."""
-    kept = joined.where(F.col("row_id") == F.col("class_id")).groupBy(F.col("row_id").alias("_id")).agg(F.count("*").alias("_n"))
+    """The rows of ``docs`` that stand for their class: one per class, whole and with all columns (not ``_row_id``, ``_rows``)."""
+    kept = joined.where(F.col("row_id") == F.col("class_id")).groupBy(F.col("row_id").alias("_row_id")).agg(F.count("*").alias("_rows"))
     kept = stored(kept, "kept")
-    rows = docs.withColumn("_id", row_id()).join(kept, "_id")
-    if kept.where("_n > 1").limit(1).count():
-        rows = rows.dropDuplicates(["_id"])
+    rows = docs.withColumn("_row_id", row_id()).join(kept, "_row_id")
+    if kept.where("_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_row_id"])
     return rows.select(*docs.columns)

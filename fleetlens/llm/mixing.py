@@ -13,8 +13,8 @@ broadcast up to a counted bound and joined with salt beyond it.
 Edge cases: a NULL source is a source of its own; a NULL or empty text has no characters; a source
 without any characters keeps rate 1 when its weight is positive; sources that ``weights`` does not
 name have ``default_weight``; a weight of 0 removes the source; rows with an equal ``doc_id`` get
-equal counts; a NULL ``doc_id`` hashes like an empty one; further columns are kept; an empty table
-gives an empty result.
+equal counts; a NULL ``doc_id`` hashes like an empty one; further columns are kept, but ``copy`` and
+``shuffle_key`` are replaced and names with ``_mix_`` are taken; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,18 +65,21 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float, bud
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float], *, default_weight: float = 1.0, budget: float | None = None, seed: int = 0
+    docs: DataFrame, weights: dict[str, float], *, default_weight: float = 1.0, budget: float | None = None, seed: int = 0, small_sources: int = 10_000
 ) -> DataFrame:
     """Documents repeated to the target mixture in random order, with ``copy`` (from 0) and ``shuffle_key``."""
-    rated = join_stats(docs, rates(docs, weights, default_weight, budget), "source")
-    pieces = F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1))
-    part = F.col("rate") / pieces
+    docs = docs.drop("copy", "shuffle_key")
+    by_source = rates(docs, weights, default_weight, budget).withColumnRenamed("rate", "_mix_rate")
+    rated = join_stats(docs, by_source, "source", small=small_sources)
+    rate = F.col("_mix_rate")
+    pieces = F.greatest(F.ceil(rate / PART).cast("int"), F.lit(1))
+    part = rate / pieces
     counts = F.transform(
         F.sequence(F.lit(1), pieces), lambda i: poisson_quantile(uniform(F.lit(seed), F.col("doc_id"), i), part)
     )
-    count = F.when(F.col("rate") > 0, F.aggregate(counts, F.lit(0), lambda a, c: a + c)).otherwise(F.lit(0))
-    counted = rated.withColumn("_n", count).where(F.col("_n") > 0)
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    count = F.when(rate > 0, F.aggregate(counts, F.lit(0), lambda a, c: a + c)).otherwise(F.lit(0))
+    counted = rated.withColumn("_mix_count", count).where(F.col("_mix_count") > 0)
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_count") - 1)))
     keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")))
     dealt = keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
     return dealt.select(*docs.columns, "copy", "shuffle_key")

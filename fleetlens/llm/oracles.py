@@ -49,8 +49,9 @@ judged AS (
     5 * n_dup_lines > greatest(n_words, 10) AS f3, word_chars > 15 * n_words AS f4 FROM measured),
 long AS (SELECT r, source, k, [f1, f2, f3, f4][k] AS f FROM judged, unnest([1, 2, 3, 4]) AS t(k)),
 hosts AS (SELECT source, k, count(*) AS n, sum(CAST(f AS INT)) AS bad FROM long GROUP BY source, k),
-moments AS (SELECT k, avg(bad / n) AS m, var_samp(bad / n) AS v FROM hosts GROUP BY k),
-priors AS (SELECT k, m, CASE WHEN v IS NULL OR v = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) END AS w FROM moments),
+sums AS (SELECT k, count(*) AS hosts, sum(n) AS t, sum(CAST(n AS DOUBLE) * n) AS n2, sum(bad) / sum(n) AS m, sum(CAST(bad AS DOUBLE) * bad / n) AS f2 FROM hosts GROUP BY k),
+shares AS (SELECT k, m, t - n2 / t - (hosts - 1) AS room, CASE WHEN m > 0 AND m < 1 THEN (f2 - t * m * m) / (m * (1 - m)) - (hosts - 1) END AS b FROM sums),
+priors AS (SELECT k, m, CASE WHEN b IS NULL OR room <= 0 OR b <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, room / b - 1)) END AS w FROM shares),
 verdicts AS (SELECT source, bool_or((bad + w * m) / (n + w) > 0.5) AS bad_host FROM hosts JOIN priors USING (k) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed, NOT (f1 OR f2 OR f3 OR f4 OR bad_host) AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source

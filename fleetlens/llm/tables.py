@@ -60,21 +60,18 @@ def join_stats(df: DataFrame, stats: DataFrame, key: str, *, small: int = 10_000
 
     Up to ``small`` stats rows, counted first, are broadcast. Beyond that the stats are copied
     ``salts`` times and both sides meet on (key, salt), so that a hot key spreads over the salts.
+    The names of the stats, ``_stats_key``, ``_left_salt`` and ``_right_salt`` must not be in ``df``.
     """
     taken = [c for c in stats.columns if c != key]
-    right = stats.withColumnRenamed(key, "_key")
+    right = stats.withColumnRenamed(key, "_stats_key")
+    same = F.col(key).eqNullSafe(F.col("_stats_key"))
     if stats.count() <= small:
-        joined = df.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), "left")
+        joined = df.join(F.broadcast(right), same, "left")
     else:
-        left = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-            "_salt", F.col("_salt").cast("bigint")
-        )
-        joined = left.join(
-            right.withColumnRenamed("_salt", "_salt_r"),
-            F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt_r")),
-            "left",
-        )
+        hashed = F.xxhash64(*[c for c, t in df.dtypes if t in ("bigint", "int", "string")])
+        left = df.withColumn("_left_salt", F.pmod(hashed, F.lit(salts)))
+        right = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        joined = left.join(right, same & (F.col("_left_salt") == F.col("_right_salt")), "left")
     return joined.select(*df.columns, *taken)
 
 
