@@ -62,7 +62,7 @@ def spend_monitor_stream(v):
     return P.spend_windows(spend(v), 250.0)
 
 
-@query("progress_stream", "markers", oracle="SELECT worker_id, count(DISTINCT unit_key) AS completed FROM v_markers GROUP BY worker_id")
+@query("progress_stream", "markers", oracle="SELECT batch_id, shard_id, count(DISTINCT unit_key) AS completed FROM v_markers GROUP BY batch_id, shard_id")
 def progress_stream(v):
     return P.marker_progress(v.markers)
 

@@ -124,7 +124,7 @@ SELECT event_id, user_id AS unit_key, ts, concat('i', CAST(event_id%70 AS STRING
 FROM {events} WHERE event_type<>'signup'"""
 
 VIEWS["v_markers"] = """
-SELECT event_id, user_id AS unit_key, ts AS marker_ts, concat('w', CAST(event_id%5 AS STRING)) AS worker_id FROM {events} WHERE event_type='signup'"""
+SELECT event_id, user_id AS unit_key, ts AS marker_ts, concat('w', CAST(event_id%5 AS STRING)) AS worker_id, concat('b', CAST(user_id%3 AS STRING)) AS batch_id, user_id%17 AS shard_id FROM {events} WHERE event_type='signup'"""
 
 VIEWS["v_objects"] = """
 SELECT 'bkt' AS bucket, doc_id, CASE WHEN doc_id%67=0 THEN concat('project/batches/b',CAST(doc_id%20 AS STRING),'/shard_x/DONE')

@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
+#: Rows from which a slice is cut again, parts it is cut into at most, and slices that are cut at most.
+#: The slices cut are the largest ones, so a slice left whole holds less than 1 / HEAVY_SLICES of all rows.
+HEAVY_ROWS, HEAVY_PARTS, HEAVY_SLICES = 200_000, 512, 200
+#: Sampled rows per cut.
+_PER_CUT = 8
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,40 @@ def _combine(kind: str, left: Column, right: Column) -> Column:
     return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
 
 
+def split_heavy(df: DataFrame, slice_keys: Sequence[str], order: Sequence[str], *, rows: int | None = None) -> DataFrame:
+    """Add ``_part``: 0 in most slices, and the place among the quantiles of ``order`` in the heavy ones.
+
+    The heaviest slices are found by counts and a top-k, a hash sample of their rows gives the cuts, and
+    the cuts (at most ``HEAVY_SLICES * HEAVY_PARTS`` tuples) are broadcast, so the rows are not shuffled
+    for this.
+    """
+    limit = HEAVY_ROWS if rows is None else rows
+    heavy = (
+        df.groupBy(*slice_keys)
+        .agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > limit)
+        .orderBy(F.desc("_rows"), *slice_keys)
+        .limit(HEAVY_SLICES)
+    )
+    place = F.struct(*order)
+    parts = F.least(F.ceil(F.col("_rows") / limit), F.lit(HEAVY_PARTS))
+    every = F.greatest(F.floor(F.col("_rows") / (parts * _PER_CUT)), F.lit(1))
+    sample = (
+        df.select(*slice_keys, *[c for c in order if c not in slice_keys])
+        .join(F.broadcast(heavy), list(slice_keys))
+        .where(F.pmod(F.xxhash64(*order), every) == 0)
+        .groupBy(*slice_keys)
+        .agg(F.sort_array(F.collect_list(place)).alias("_seen"))
+    )
+    cuts = sample.select(*slice_keys, F.filter("_seen", lambda x, i: i % _PER_CUT == _PER_CUT - 1).alias("_cuts"))
+    return (
+        df.join(F.broadcast(cuts), list(slice_keys), "left")
+        .withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0)))
+        .withColumn("_part", F.greatest("_part", F.lit(0)))
+        .drop("_cuts")
+    )
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,6 +82,7 @@ def running(
     *,
     slice_seconds: int = DAY,
     slice_by: Column | None = None,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Add running values per key, ordered by ``ts`` then ``ties``.
 
@@ -54,20 +94,21 @@ def running(
     if slice_by is None:
         slice_by = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds)
     cut = df.withColumn("_slice", slice_by).select("*", *[s.value.alias(f"_v_{s.name}") for s in specs])
-    slices = cut.groupBy(*keys, "_slice").agg(
+    cut = split_heavy(cut, [*keys, "_slice"], [ts, *ties], rows=heavy_rows)
+    slices = cut.groupBy(*keys, "_slice", "_part").agg(
         *[fold[s.kind](f"_v_{s.name}").alias(f"_t_{s.name}") for s in specs]
     )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_slice", "_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = slices.select(
-        *keys, "_slice", *[fold[s.kind](f"_t_{s.name}").over(before).alias(f"_b_{s.name}") for s in specs]
+        *keys, "_slice", "_part", *[fold[s.kind](f"_t_{s.name}").over(before).alias(f"_b_{s.name}") for s in specs]
     )
-    inner = Window.partitionBy(*keys, "_slice").orderBy(ts, *ties)
-    scanned = cut.join(bases, [*keys, "_slice"], "left")
+    inner = Window.partitionBy(*keys, "_slice", "_part").orderBy(ts, *ties)
+    scanned = cut.join(bases, [*keys, "_slice", "_part"], "left")
     out = {}
     for s in specs:
         frame = inner.rowsBetween(Window.unboundedPreceding, 0 if s.include_current else -1)
         out[s.name] = _combine(s.kind, F.col(f"_b_{s.name}"), fold[s.kind](f"_v_{s.name}").over(frame))
-    scratch = ["_slice", *[f"_v_{s.name}" for s in specs], *[f"_b_{s.name}" for s in specs]]
+    scratch = ["_slice", "_part", *[f"_v_{s.name}" for s in specs], *[f"_b_{s.name}" for s in specs]]
     return scanned.withColumns(out).drop(*scratch)
 
 
@@ -80,22 +121,24 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, name: str = "ran
     """Add a 1-based rank per key in the order (hash slice, ident), and the key's row count.
 
     The slices are even whatever the key sizes are, so a key with most of the
-    rows is still ranked by up to 4096 tasks.
+    rows is still ranked by 4096 tasks, and by more where a slice is heavy.
     """
     cut = df.withColumn("_slice", hash_slice(F.col(ident)))
-    slices = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*keys).orderBy("_slice")
+    cut = split_heavy(cut, [*keys, "_slice"], [ident])
+    slices = cut.groupBy(*keys, "_slice", "_part").agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy(*keys).orderBy("_slice", "_part")
     bases = slices.select(
         *keys,
         "_slice",
+        "_part",
         F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
     )
-    inner = Window.partitionBy(*keys, "_slice").orderBy(ident)
+    inner = Window.partitionBy(*keys, "_slice", "_part").orderBy(ident)
     return (
-        cut.join(bases, [*keys, "_slice"])
+        cut.join(bases, [*keys, "_slice", "_part"])
         .withColumn(name, F.col("_base") + F.row_number().over(inner))
-        .drop("_slice", "_base")
+        .drop("_slice", "_part", "_base")
     )
 
 
@@ -105,45 +148,48 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, *, ties: Sequence[
     return placed.withColumn(name, F.col(name).cast("bigint"))
 
 
-def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, *, bounds: tuple[float, float] | None = None, cells: int = 4096
-) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, cells: int = 4096, accuracy: int = 10_000) -> DataFrame:
     """Exact ``count, min, max, median`` of a double per key.
 
-    Equal values are counted before any shuffle. A histogram of at most
-    ``cells`` rows per key then finds the cells that hold the middle ranks, and
-    only the values of those cells are ordered. ``bounds`` that all values
-    respect save the pass that looks for the range of each key.
+    Equal values are counted before any shuffle. Approximate quantiles on both sides of the middle, whose rank
+    error is at most a part in ``accuracy``, bracket the median by rank, so neither outliers nor a wide
+    range matter. A histogram of at most ``cells`` rows per key over the bracket then finds the cells that
+    hold the middle ranks, and only the values of those cells are ordered.
     """
     present = F.col(value).isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
-    ranged = df.where(present)
-    if bounds is None:
-        span = ranged.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        ranged = ranged.join(span, list(keys))
-        low, width = F.col("_lo"), F.col("_hi") - F.col("_lo")
-    else:
-        low, width = F.lit(bounds[0]), F.lit(bounds[1] - bounds[0])
-    cell = F.when(width > 0, F.floor((F.col(value) - low) / width * (cells - 1))).otherwise(F.lit(0))
-    # The explicit test keeps both readers of the counts on one shuffle: the join below would
-    # otherwise add it to one side only.
+    near = 2 / accuracy
+    counted = df.where(present).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    span = (
+        df.where(present)
+        .groupBy(*keys)
+        .agg(
+            F.percentile_approx(value, [max(0.0, 0.5 - near), min(1.0, 0.5 + near)], accuracy).alias("_q"),
+            F.count("*").alias("_total"),
+            F.min(value).alias("_min"),
+            F.max(value).alias("_max"),
+        )
+        .select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "_total", "_min", "_max")
+    )
+    width = F.col("_hi") - F.col("_lo")
+    inside = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * (cells - 1))).otherwise(F.lit(0))
+    # Values below the bracket are one cell before all others; those above do not count.
+    cell = F.when(F.col(value) < F.col("_lo"), F.lit(-1)).when(F.col(value) <= F.col("_hi"), inside.cast("int"))
     placed = (
-        ranged.withColumn("_cell", cell.cast("int"))
+        counted.join(span.select(*keys, "_lo", "_hi"), list(keys))
+        .withColumn("_cell", cell)
         .where(F.col("_cell").isNotNull())
-        .groupBy(*keys, "_cell", value)
-        .agg(F.count("*").alias("_n"))
+        .select(*keys, "_cell", value, "_n")
     )
     per_key = Window.partitionBy(*keys)
     lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     middle = (
         placed.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cn"), F.min(value).alias("_cell_min"), F.max(value).alias("_cell_max"))
+        .agg(F.sum("_n").alias("_cn"))
         .withColumn("_end", F.sum("_cn").over(per_key.orderBy("_cell")))
         .withColumn("_start", F.col("_end") - F.col("_cn"))
-        .withColumn("_total", F.sum("_cn").over(per_key))
-        .withColumn("_min", F.min("_cell_min").over(per_key))
-        .withColumn("_max", F.max("_cell_max").over(per_key))
+        .join(span.select(*keys, "_total", "_min", "_max"), list(keys))
         .where((F.col("_start") <= upper) & (F.col("_end") > lower))
         .select(*keys, "_cell", "_start", "_total", "_min", "_max")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,10 +159,14 @@ def spend_windows(spend: DataFrame, ceiling: float, *, width: str = "1 day") ->
     )
 
 
-def marker_progress(markers: DataFrame) -> DataFrame:
-    """Distinct completed units per worker."""
-    distinct = markers.select("worker_id", "unit_key").distinct()
-    return distinct.groupBy("worker_id").agg(F.count("*").alias("completed"))
+#: Keys of progress: a shard of a batch.
+PROGRESS = ("batch_id", "shard_id")
+
+
+def marker_progress(markers: DataFrame, by: Sequence[str] = PROGRESS) -> DataFrame:
+    """Distinct completed units per shard and batch."""
+    distinct = markers.select(*by, "unit_key").distinct()
+    return distinct.groupBy(*by).agg(F.count("*").alias("completed"))
 
 
 def cycle_summary(actions: DataFrame, *, width: str = "1 hour") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions import fmt
 from fleetlens.functions.keys import basename
-from fleetlens.operators.ordered import DAY, Running, running
+from fleetlens.operators.ordered import DAY, Running, running, split_heavy
 
 MICRO_HOUR = 3.6e9
 
@@ -230,17 +230,18 @@ def spend_crossings(
 
     ``spend`` has ``batch_id, ts, event_id, amount`` with non-negative amounts.
     Only the one or two time slices in which a batch crosses are ordered row by
-    row; all others are sums.
+    row, in parts where they are heavy; all others are sums.
     """
     money = F.col("amount").cast("decimal(18,6)")
     cut = spend.withColumn("_slice", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_seconds)).withColumn(
         "_money", money
     )
+    cut = split_heavy(cut, [key, "_slice"], ["ts", "event_id"])
     limits = {"warning_at": ceiling * C.BUDGET_WARNING_SHARE, "exceeded_at": ceiling}
     marks = {name: F.lit(value).cast("decimal(18,6)") for name, value in limits.items()}
-    upto = Window.partitionBy(key).orderBy("_slice")
+    upto = Window.partitionBy(key).orderBy("_slice", "_part")
     slices = (
-        cut.groupBy(key, "_slice")
+        cut.groupBy(key, "_slice", "_part")
         .agg(F.sum("_money").alias("_sum"))
         .withColumn("_end", F.sum("_sum").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_sum"))
@@ -248,9 +249,9 @@ def spend_crossings(
     crosses = F.lit(False)
     for mark in marks.values():
         crosses = crosses | ((F.col("_start") < mark) & (F.col("_end") >= mark))
-    inner = Window.partitionBy(key, "_slice").orderBy("ts", "event_id")
+    inner = Window.partitionBy(key, "_slice", "_part").orderBy("ts", "event_id")
     moments = (
-        cut.join(slices.where(crosses).select(key, "_slice", "_start"), [key, "_slice"])
+        cut.join(slices.where(crosses).select(key, "_slice", "_part", "_start"), [key, "_slice", "_part"])
         .withColumn("_run", F.col("_start") + F.sum("_money").over(inner))
         .groupBy(key)
         .agg(*[F.min(F.when(F.col("_run") >= mark, F.col("ts"))).alias(name) for name, mark in marks.items()])

@@ -7,6 +7,8 @@ mode where only one works.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,18 +91,20 @@ def spend_window_stream(spend: DataFrame, *, width: str = "1 day", delay: str =
     )
 
 
-def distinct_markers_stream(markers: DataFrame, *, delay: str = "1 hour") -> DataFrame:
-    """Each marker once, for the writes of one marker that lie within ``delay``."""
-    return markers.withWatermark("marker_ts", delay).dropDuplicatesWithinWatermark(["worker_id", "unit_key"])
+def distinct_markers_stream(markers: DataFrame, *, by: Sequence[str] = polling.PROGRESS, delay: str = "1 hour") -> DataFrame:
+    """Each marker once, however late it is written again; the state keeps one row per marker."""
+    return markers.withWatermark("marker_ts", delay).dropDuplicates([*by, "unit_key"])
 
 
-def progress_stream(markers: DataFrame, *, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Distinct completed units per worker and time window (append mode)."""
+def progress_stream(
+    markers: DataFrame, *, by: Sequence[str] = polling.PROGRESS, width: str = "1 day", delay: str = "1 hour"
+) -> DataFrame:
+    """Units completed for the first time, per shard and batch (or ``by``) and time window (append mode)."""
     return (
-        distinct_markers_stream(markers, delay=delay)
-        .groupBy(F.window("marker_ts", width), "worker_id")
+        distinct_markers_stream(markers, by=by, delay=delay)
+        .groupBy(F.window("marker_ts", width), *by)
         .agg(F.count("*").alias("completed"))
-        .select(F.col("window.start").alias("window_start"), "worker_id", "completed")
+        .select(F.col("window.start").alias("window_start"), *by, "completed")
     )
 
 

@@ -1,61 +1,93 @@
-"""Streams whose state needs code: retries, stuck units and chunks.
+"""Streams whose state needs code: retries, stuck units, chunks and running spend.
 
-State is one small row per key. The rows of a key within a micro-batch are put
-in event order; rows of later micro-batches count as later.
+Rows of a key wait in its state until the watermark has passed them and are then folded in event order, so
+rows may come in any order within ``delay`` and the result is the batch operator's. A state without waiting
+rows is dropped after ``forget`` of silence; a key that comes back later starts anew.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens import constants as C
+from fleetlens.operators.units import budget_status
 
 VERDICT_SCHEMA = "event_id long, unit_key string, retries_before long, verdict string, failure_reason string"
 STUCK_SCHEMA = "event_id long, unit_key string, ts timestamp, reason string"
 CHUNK_SCHEMA = "file_id string, event_id long, chunk_index long, offset long, length long"
+SPEND_SCHEMA = "batch_id string, window_start timestamp, micros long, total_micros long"
+_STATE = "folded string, waiting string"
+_YEAR = "365 days"
 
 
-def _in_order(batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(batches)
-    return pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")
+def _folded(
+    source: DataFrame, key: str, schema: str, delay: str, forget: str, fold: Callable[[str, pd.DataFrame, dict], tuple[pd.DataFrame, dict]]
+) -> DataFrame:
+    """Apply ``fold(key, rows in order, state)`` to the rows the watermark has passed.
+
+    ``source`` has the key, ``ts``, ``event_id`` and the columns to fold; ``fold`` gets ``at`` (microseconds)
+    in place of ``ts`` and returns output rows and the new state.
+    """
+    keep_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    timed = source.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
+    columns = [c for c in timed.columns if c not in (key, "ts")]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        folded, waiting = (json.loads(x) for x in state.get) if state.exists else ({}, [])
+        frames = [pd.DataFrame(waiting, columns=columns)] if waiting else []
+        if not state.hasTimedOut:
+            frames += [b[columns] for b in batches]
+        rows = pd.concat(frames) if frames else pd.DataFrame(columns=columns)
+        mark = state.getCurrentWatermarkMs()
+        passed = rows["at"].astype("int64") <= mark * 1000
+        out = pd.DataFrame(columns=names)
+        if passed.any():
+            ready = rows[passed].sort_values(["at", "event_id"], kind="stable", ignore_index=True)
+            out, folded = fold(group[0], ready, folded)
+            folded["last"] = max(int(ready["at"].iloc[-1]), folded.get("last", 0))
+        rest = rows[~passed]
+        if len(rest):
+            state.update((json.dumps(folded), rest.to_json(orient="values")))
+            state.setTimeoutTimestamp(max(mark + 1, -(-int(rest["at"].min()) // 1000)))
+        elif folded and folded.get("due", folded["last"] // 1000 + keep_ms) >= mark:
+            state.update((json.dumps(folded), "[]"))
+            state.setTimeoutTimestamp(max(mark + 1, folded.get("due", folded["last"] // 1000 + keep_ms)))
+        elif state.exists:
+            state.remove()
+        yield out[names]
+
+    return timed.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def retry_verdict_stream(
-    events: DataFrame, *, max_retries: int = C.UNIT_RETRIES, fatal_pattern: str | None = None
+    events: DataFrame, *, max_retries: int = C.UNIT_RETRIES, fatal_pattern: str | None = None, delay: str = "10 minutes", forget: str = _YEAR
 ) -> DataFrame:
-    """Verdict on each instance loss, as the losses arrive (append mode).
+    """Verdict on each instance loss once the watermark has passed it (append mode).
 
     Reasons that match ``fatal_pattern`` are fatal.
     """
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        retries = state.get[0] if state.exists else 0
-        out = []
-        for row in _in_order(batches).itertuples():
-            if row.event == "preempted":
-                if retries >= max_retries:
-                    verdict, why = "failed", f"{row.reason} (retries exhausted)"
-                elif row.fatal:
-                    verdict, why = "failed", f"{row.reason} (fatal)"
-                else:
-                    verdict, why = "preempted", ""
-                out.append((row.event_id, key[0], retries, verdict, why))
-            retries += 1
-        state.update((retries,))
-        yield pd.DataFrame(out, columns=["event_id", "unit_key", "retries_before", "verdict", "failure_reason"])
+
+    def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+        before = state.get("retries", 0) + np.arange(len(rows))
+        exhausted, fatal = before >= max_retries, rows["fatal"].to_numpy(bool)
+        why = np.where(exhausted, rows["reason"] + " (retries exhausted)", np.where(fatal, rows["reason"] + " (fatal)", ""))
+        verdict = np.where(exhausted | fatal, "failed", "preempted")
+        out = pd.DataFrame({"event_id": rows["event_id"], "unit_key": key, "retries_before": before, "verdict": verdict, "failure_reason": why})
+        return out[rows["event"] == "preempted"], {"retries": state.get("retries", 0) + len(rows)}
 
     fatal = F.col("reason").rlike(fatal_pattern) if fatal_pattern else F.lit(False)
     losses = events.where(F.col("event").isin("failed", "preempted")).select(
-        F.col("unit_key").cast("string").alias("unit_key"), "event_id", "ts", "event", "reason", fatal.alias("fatal")
-    )
-    return losses.groupBy("unit_key").applyInPandasWithState(
-        fold, VERDICT_SCHEMA, "retries long", "append", GroupStateTimeout.NoTimeout
+        F.col("unit_key").cast("string").alias("unit_key"), "event_id", "ts", "event", "reason", F.coalesce(fatal, F.lit(False)).alias("fatal")
     )
+    return _folded(losses, "unit_key", VERDICT_SCHEMA, delay, forget, fold)
 
 
 def stuck_unit_stream(
@@ -63,64 +95,96 @@ def stuck_unit_stream(
 ) -> DataFrame:
     """Deployments that nothing followed within the timeout (append mode).
 
-    The timeout runs on event time from the deployment's own time stamp.
+    Every deployment sends a second row of its own a timeout later. When the watermark has passed that row,
+    all events within the timeout have been folded, and the deployment is stuck if none of them came.
     """
-    reason = f"timed out after {timeout_seconds} seconds"
     limit = timeout_seconds * 1_000_000
 
-    def rows(key: tuple, pending: list, at: int) -> list[tuple]:
-        return [(event_id, key[0], pd.Timestamp(at, unit="us"), reason) for event_id in pending]
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, at = [], 0
-        if state.exists:
-            at, text = state.get
-            pending = json.loads(text)
-        out = []
-        if state.hasTimedOut:
-            out, pending = rows(key, pending, at), []
-        else:
-            for row in _in_order(batches).itertuples():
-                now = row.ts.value // 1_000
-                if pending and now > at:
-                    if now - at > limit:
-                        out += rows(key, pending, at)
-                    pending = []
-                if row.event == event:
-                    pending, at = [*pending, int(row.event_id)], now
-        if pending:
-            due = (at + limit) // 1_000 + 1
-            if due <= state.getCurrentWatermarkMs():
-                out += rows(key, pending, at)
-                state.remove()
-            else:
-                state.update((at, json.dumps(pending)))
-                state.setTimeoutTimestamp(due)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "unit_key", "ts", "reason"])
+    def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+        """The state keeps the times of the last timeout's real events."""
+        real = rows.loc[~rows["check"].astype(bool), "at"].to_numpy(np.int64)
+        seen = np.concatenate([np.array(state.get("seen", []), np.int64), real])
+        checks = rows[rows["check"].astype(bool)]
+        started = checks["at"].to_numpy(np.int64) - limit
+        following = np.searchsorted(seen, started, "right")
+        until = np.append(seen, np.iinfo(np.int64).max)[following]
+        stuck = until > started + limit
+        out = pd.DataFrame(
+            {
+                "event_id": checks["event_id"].to_numpy()[stuck],
+                "unit_key": key,
+                "ts": pd.to_datetime(started[stuck], unit="us"),
+                "reason": f"timed out after {timeout_seconds} seconds",
+            }
+        )
+        last = int(rows["at"].iloc[-1])
+        recent = np.unique(seen[seen >= last - limit]).tolist()
+        return out, {"seen": recent, "due": last // 1000 + timeout_seconds * 1000 + 1}
 
     source = events.select(F.col("unit_key").cast("string").alias("unit_key"), "event_id", "ts", "event")
-    return (
-        source.withWatermark("ts", delay)
-        .groupBy("unit_key")
-        .applyInPandasWithState(watch, STUCK_SCHEMA, "at long, pending string", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    later = F.col("ts") + F.make_interval(secs=F.lit(timeout_seconds))
+    rows = source.select(
+        "unit_key",
+        "event_id",
+        F.explode(
+            F.when(
+                F.col("event") == event,
+                F.array(F.struct(F.col("ts").alias("ts"), F.lit(False).alias("check")), F.struct(later.alias("ts"), F.lit(True).alias("check"))),
+            ).otherwise(F.array(F.struct(F.col("ts").alias("ts"), F.lit(False).alias("check"))))
+        ).alias("e"),
+    ).select("unit_key", "event_id", F.col("e.ts").alias("ts"), F.col("e.check").alias("check"))
+    return _folded(rows, "unit_key", STUCK_SCHEMA, delay, _YEAR, fold)
+
+
+def chunk_stream(sizes: DataFrame, *, delay: str = "10 minutes", forget: str = _YEAR) -> DataFrame:
+    """Chunks of growing files once the watermark has passed the observed size (append mode)."""
+
+    def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+        size = rows["bytes"].to_numpy(np.int64)
+        start = state.get("offset", 0)
+        seen = np.maximum.accumulate(np.concatenate([[start], size]))
+        grown = size > seen[:-1]
+        index = state.get("chunks", 0) + np.arange(int(grown.sum()))
+        out = pd.DataFrame({"file_id": key, "event_id": rows["event_id"].to_numpy()[grown], "chunk_index": index, "offset": seen[:-1][grown], "length": size[grown] - seen[:-1][grown]})
+        return out, {"offset": int(seen[-1]), "chunks": int(state.get("chunks", 0) + grown.sum())}
 
+    source = sizes.select("file_id", "event_id", "ts", F.col("size").alias("bytes"))
+    return _folded(source, "file_id", CHUNK_SCHEMA, delay, forget, fold)
 
-def chunk_stream(sizes: DataFrame) -> DataFrame:
-    """Chunks of growing files as their sizes are observed (append mode)."""
-    def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        offset, index = state.get if state.exists else (0, 0)
-        out = []
-        for row in _in_order(batches).itertuples():
-            if row.bytes > offset:
-                out.append((key[0], row.event_id, index, offset, row.bytes - offset))
-                offset, index = int(row.bytes), index + 1
-        state.update((offset, index))
-        yield pd.DataFrame(out, columns=["file_id", "event_id", "chunk_index", "offset", "length"])
 
-    source = sizes.select("file_id", "event_id", "ts", F.col("size").alias("bytes"))
-    return source.groupBy("file_id").applyInPandasWithState(
-        emit, CHUNK_SCHEMA, "offset long, chunk_index long", "append", GroupStateTimeout.NoTimeout
+def spend_status_stream(spend: DataFrame, ceiling: float, *, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Per batch and closed window: spend, running total and budget status (append mode).
+
+    The state of a batch is its total and one sum per open window, however many rows they get.
+    """
+    width_ms = int(pd.Timedelta(width).total_seconds() * 1000)
+
+    def total(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, open_windows = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
+        for rows in () if state.hasTimedOut else batches:
+            for start, micros in rows.groupby("start_ms")["micros"].sum().items():
+                open_windows[str(start)] = open_windows.get(str(start), 0) + int(micros)
+        mark = state.getCurrentWatermarkMs()
+        closed = sorted(int(w) for w in open_windows if int(w) + width_ms <= mark)
+        sums = np.array([open_windows.pop(str(w)) for w in closed], np.int64)
+        state.update((int(before + sums.sum()), json.dumps(open_windows)))
+        if open_windows:
+            state.setTimeoutTimestamp(max(mark + 1, min(map(int, open_windows)) + width_ms))
+        starts = pd.to_datetime(np.array(closed, np.int64), unit="ms")
+        yield pd.DataFrame({"batch_id": group[0], "window_start": starts, "micros": sums, "total_micros": before + np.cumsum(sums)})
+
+    micros = (F.col("amount").cast("decimal(18,6)") * 1_000_000).cast("bigint").alias("micros")
+    rows = spend.withWatermark("ts", delay).select(
+        "batch_id", "ts", (F.unix_millis("ts") - F.pmod(F.unix_millis("ts"), F.lit(width_ms))).alias("start_ms"), micros
+    )
+    summed = rows.groupBy("batch_id").applyInPandasWithState(
+        total, SPEND_SCHEMA, "total long, windows string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    whole = F.col("total_micros") / 1e6
+    return summed.select(
+        "batch_id",
+        F.unix_seconds("window_start").alias("window_start"),
+        (F.col("micros") / 1e6).alias("spent"),
+        whole.alias("total"),
+        budget_status(whole, F.lit(ceiling)).alias("status"),
     )

@@ -5,7 +5,8 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordered import Running, hashed_rank, running
+from fleetlens.operators import ordered
+from fleetlens.operators.ordered import Running, exact_median, hashed_rank, positions, running, split_heavy
 
 
 def events(spark, n=4000):
@@ -49,3 +50,52 @@ def test_hashed_rank_counts_each_key_without_gaps(spark):
     check = ranked.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.max("group_size").alias("size"))
     for r in check.collect():
         assert (r.lo, r.hi, r.d, r["size"]) == (1, r.n, r.n, r.n)
+
+
+def burst(spark, n=3000):
+    """All events of one key inside one second, a third of them at one instant."""
+    rng = random.Random(7)
+    rows = [("hot", pd.Timestamp("2024-01-01") + pd.Timedelta(microseconds=rng.choice([5, rng.randint(0, 999_999)])), i, rng.randint(0, 9)) for i in range(n)]
+    rows += [("cold", pd.Timestamp("2024-01-01"), n + i, 1) for i in range(10)]
+    frame = pd.DataFrame(rows, columns=["k", "ts", "id", "v"])
+    return frame, spark.createDataFrame(frame)
+
+
+def test_a_burst_is_cut_into_small_window_groups(spark):
+    frame, df = burst(spark)
+    cut = split_heavy(df.withColumn("_slice", F.lit(0)), ["k", "_slice"], ["ts", "id"], rows=100)
+    sizes = cut.groupBy("k", "_slice", "_part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 400 and sizes.where("k = 'cold'").count() == 1
+    got = running(df, ["k"], "ts", ["id"], [Running("total", "sum", F.col("v"))], heavy_rows=100).toPandas().sort_values("id").reset_index(drop=True)
+    want = frame.sort_values(["k", "ts", "id"]).copy()
+    want["total"] = want.groupby("k")["v"].cumsum()
+    assert (got["total"] == want.sort_values("id").reset_index(drop=True)["total"]).all()
+
+
+def test_heavy_slices_keep_ranks_and_crossings(spark, monkeypatch):
+    from fleetlens.operators import units
+
+    frame, df = burst(spark)
+    spend = df.selectExpr("k AS batch_id", "ts", "id AS event_id", "CAST(v AS DOUBLE) AS amount")
+    want = units.spend_crossings(spend, 5000.0).orderBy("batch_id").collect()
+    ranks = hashed_rank(df, ["k"], "id").select("id", "rank").orderBy("id").collect()
+    monkeypatch.setattr(ordered, "HEAVY_ROWS", 50)
+    assert units.spend_crossings(spend, 5000.0).orderBy("batch_id").collect() == want
+    assert hashed_rank(df, ["k"], "id").select("id", "rank").orderBy("id").collect() == ranks
+
+
+def test_positions_follow_the_number(spark):
+    rng = random.Random(3)
+    rows = [("a" if rng.random() < 0.8 else "b", rng.choice([5, -3, 10**6, i]), i) for i in range(500)]
+    got = {r.id: r.position for r in positions(spark.createDataFrame(rows, "k string, n long, id long"), ["k"], "n", ties=["id"]).collect()}
+    for key in "ab":
+        own = sorted((n, i) for k, n, i in rows if k == key)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_median_with_outliers_reads_few_values_in_order(spark):
+    rng = random.Random(1)
+    rows = [("k", rng.uniform(0, 1)) for _ in range(2001)] + [("k", 1e300), ("k", float("inf")), ("k", -1e300), ("one", 4.0), ("two", 1.0), ("two", 2.0)]
+    got = {r.k: r.median for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    values = sorted(v for k, v in rows if k == "k")
+    assert got == {"k": (values[1001] + values[1002]) / 2 if len(values) % 2 == 0 else values[len(values) // 2], "one": 4.0, "two": 1.5}

@@ -1,5 +1,7 @@
 """Streams against their batch forms."""
 
+from types import SimpleNamespace
+
 import pytest
 from conftest import drain, stream_of, values
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from fleetlens.catalog.units import spend
 from fleetlens.functions import json_values as J
 from fleetlens.operators import health, objects, polling, units
 from fleetlens.plans.sweep import sweep
+from fleetlens.session import checkpoint_root
 from fleetlens.streaming import declarative as D
 from fleetlens.streaming import stateful as S
 from fleetlens.streaming.sweep import start_sweep
@@ -48,14 +51,22 @@ def test_unit_state_stream_ends_at_batch_state(spark, views, folder):
     assert values(got, *columns) == values(units.current_state(views.unit_events), *columns)
 
 
+def shuffled(df, last):
+    """Order that spreads the rows over the micro-batches; the tick row stays the last one."""
+    return F.when(F.col("event_id") == last, F.lit(2**62)).otherwise(F.xxhash64("event_id") / 4)
+
+
 def test_retry_verdict_stream_equals_batch(spark, views, folder):
-    events = timed(views.unit_events, "ts")
-    got = drain(S.retry_verdict_stream(stream_of(spark, events, folder, "ts"), fatal_pattern="memory"), folder, "append", "retries")
+    events = timed(views.unit_events, "ts").withColumn("unit_key", F.col("unit_key").cast("string"))
+    events = events.unionByName(last_tick(spark, events.schema, unit_key=D.TICK, ts=far(), event="failed", event_id=-1, reason=""))
     want = units.retry_verdicts(
         views.unit_events, classify=lambda r: F.when(r.contains("memory"), "fatal").otherwise("retry")
     )
     columns = ("event_id", "retries_before", "verdict", "failure_reason")
-    assert values(got, *columns) == values(want, *columns)
+    in_order = S.retry_verdict_stream(stream_of(spark, events, folder + "/a", "ts"), fatal_pattern="memory")
+    assert values(drain(in_order, folder + "/a", "append", "retries"), *columns) == values(want, *columns)
+    mixed = S.retry_verdict_stream(stream_of(spark, events, folder + "/b", shuffled(events, -1)), fatal_pattern="memory", delay="4000 days")
+    assert values(drain(mixed, folder + "/b", "append", "retries_mixed"), *columns) == values(want, *columns)
 
 
 def test_dead_recheck_stream_equals_batch(spark, views, folder):
@@ -75,11 +86,25 @@ def test_dead_recheck_stream_equals_batch(spark, views, folder):
 def test_stuck_unit_stream_equals_batch(spark, views, folder):
     events = timed(views.unit_events, "ts").select("event_id", F.col("unit_key").cast("string"), "ts", "event")
     events = events.unionByName(last_tick(spark, events.schema, unit_key=D.TICK, ts=far(), event="completed", event_id=-1))
-    stream = S.stuck_unit_stream(stream_of(spark, events, folder, "ts"), timeout_seconds=43200)
-    got = drain(stream, folder, "append", "stuck")
     want = polling.stuck_units(views.unit_events, timeout_seconds=43200)
+    stream = S.stuck_unit_stream(stream_of(spark, events, folder + "/a", "ts"), timeout_seconds=43200)
+    got = drain(stream, folder + "/a", "append", "stuck")
     assert values(got, "event_id", "reason") == values(want, "event_id", "reason")
     assert got.count() > 20
+    mixed = S.stuck_unit_stream(stream_of(spark, events, folder + "/b", shuffled(events, -1)), timeout_seconds=43200, delay="4000 days")
+    assert values(drain(mixed, folder + "/b", "append", "stuck_mixed"), "event_id") == values(want, "event_id")
+
+
+def test_an_event_older_than_the_last_one_settles_a_deployment(spark, folder):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(1, "u", at(0), "deployed"), (2, "u", at(100), "deployed"), (3, "u", at(30), "running"), (4, "u", at(70), "running"), (5, "u", at(5), "running")]
+    rows += [(-1, D.TICK, far(), "running")]
+    events = spark.createDataFrame(rows, "event_id long, unit_key string, ts timestamp, event string")
+    order = F.when(F.col("event_id") < 0, 99).otherwise(F.col("event_id"))
+    stream = S.stuck_unit_stream(stream_of(spark, events, folder, order, parts=6), timeout_seconds=600, delay="3 hours")
+    assert values(drain(stream, folder, "append", "older"), "event_id") == [(2,)]
 
 
 def test_spend_monitor_stream_ends_at_batch_total(spark, views, folder):
@@ -99,12 +124,24 @@ def test_spend_window_stream_equals_batch(spark, views, folder):
 
 
 def test_progress_stream_counts_a_marker_once(spark, views, folder):
-    once = timed(views.markers, "marker_ts").select("worker_id", "unit_key", "marker_ts", "event_id")
+    """Also one that is written again long after the watermark."""
+    once = timed(views.markers, "marker_ts").select("batch_id", "shard_id", "unit_key", "marker_ts", "event_id")
     twice = once.unionByName(once.withColumn("event_id", F.col("event_id") + 100000))
-    twice = twice.unionByName(last_tick(spark, twice.schema, worker_id=D.TICK, marker_ts=far(), unit_key=-1, event_id=-1))
-    stream = D.progress_stream(stream_of(spark, twice, folder, "marker_ts"), width="3650 days", delay="400 days")
-    got = drain(stream, folder, "append", "progress").groupBy("worker_id").agg(F.sum("completed").alias("completed"))
-    assert values(got, "worker_id", "completed") == values(polling.marker_progress(views.markers), "worker_id", "completed")
+    twice = twice.unionByName(once.withColumns({"event_id": F.col("event_id") + 200000, "marker_ts": F.col("marker_ts") + F.expr("INTERVAL 900 DAYS")}))
+    twice = twice.unionByName(last_tick(spark, twice.schema, batch_id=D.TICK, shard_id=-1, marker_ts=far(), unit_key=-1, event_id=-1))
+    stream = D.progress_stream(stream_of(spark, twice, folder, "marker_ts"))
+    got = drain(stream, folder, "append", "progress").groupBy("batch_id", "shard_id").agg(F.sum("completed").alias("completed"))
+    columns = ("batch_id", "shard_id", "completed")
+    assert values(got, *columns) == values(polling.marker_progress(views.markers), *columns)
+
+
+def test_spend_status_stream_equals_batch(spark, views, folder):
+    rows = timed(spend(views), "ts")
+    rows = rows.unionByName(last_tick(spark, rows.schema, batch_id=D.TICK, ts=far(), event_id=-1, amount=0.0))
+    got = drain(S.spend_status_stream(stream_of(spark, rows, folder, "ts"), 25.0), folder, "append", "spend_status")
+    rounded = [F.round(c, 6).alias(c) for c in ("spent", "total")]
+    shown = lambda df: values(df.select("batch_id", "window_start", "status", *rounded), "batch_id", "window_start", "spent", "total", "status")
+    assert shown(got) == shown(polling.spend_windows(spend(views), 25.0))
 
 
 def test_gpu_health_stream_reports_each_instance_once(spark, views, folder):
@@ -126,9 +163,12 @@ def test_cycle_summary_stream_equals_batch(spark, views, folder):
 
 def test_chunk_stream_equals_batch(spark, views, folder):
     rows = timed(views.file_sizes, "ts")
-    got = drain(S.chunk_stream(stream_of(spark, rows, folder, "ts")), folder, "append", "chunks")
+    rows = rows.unionByName(last_tick(spark, rows.schema, file_id=D.TICK, ts=far(), event_id=-1, size=0))
     columns = ("file_id", "event_id", "chunk_index", "offset", "length")
-    assert values(got, *columns) == values(objects.chunk_plan(views.file_sizes), *columns)
+    want = values(objects.chunk_plan(views.file_sizes), *columns)
+    assert values(drain(S.chunk_stream(stream_of(spark, rows, folder + "/a", "ts")), folder + "/a", "append", "chunks"), *columns) == want
+    mixed = S.chunk_stream(stream_of(spark, rows, folder + "/b", shuffled(rows, -1)), delay="4000 days")
+    assert values(drain(mixed, folder + "/b", "append", "chunks_mixed"), *columns) == want
 
 
 def test_sweep_stream_writes_the_report_of_each_listing(spark, views, folder):
@@ -153,10 +193,10 @@ def test_sweep_stream_chooses_listings_by_their_cycle(spark, views, folder):
     assert values(spark.read.parquet(f"{folder}/out"), "instance_id") == values(listing.where("cycle = 1"), "instance_id")
 
 
-def test_a_sweep_needs_a_checkpoint_folder(spark, views, folder):
-    stream = stream_of(spark, views.instances.drop("started_at"), folder, "instance_id")
+def test_a_stream_needs_a_checkpoint_folder():
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
     with pytest.raises(RuntimeError, match="checkpoint"):
-        start_sweep(stream, lambda df: df, f"{folder}/out")
+        checkpoint_root(unset)
 
 
 def test_probe_parse_matches_snapshot_defaults(spark):
