@@ -69,7 +69,7 @@ SELECT o_orderkey - o_orderkey % 5 AS listing_id, CAST(o_orderkey % 5 AS INT) AS
   CASE WHEN o_orderkey % 5 = 4 THEN 'null' WHEN o_orderkey % 229 = 6 THEN '""' WHEN o_orderkey % 233 = 8 THEN '17'
     WHEN o_orderkey % 239 = 1 THEN 'null' ELSE concat('"t', CAST(o_orderkey AS STRING), '"') END, '}') END AS raw
 FROM {orders}
-UNION ALL SELECT -1, CAST(o_orderkey AS INT), CASE WHEN o_orderkey = 0 THEN '' ELSE concat('t', CAST(o_orderkey - 1 AS STRING)) END,
+UNION ALL SELECT -1 - o_orderkey % 1, CAST(o_orderkey AS INT), CASE WHEN o_orderkey = 0 THEN '' ELSE concat('t', CAST(o_orderkey - 1 AS STRING)) END,
   concat('{"instances": [{"id": ', CAST(o_orderkey AS STRING), '}], "next_token": ', CASE WHEN o_orderkey = 1199 THEN 'null' ELSE concat('"t', CAST(o_orderkey AS STRING), '"') END, '}')
 FROM {orders} WHERE o_orderkey < 1200"""
 

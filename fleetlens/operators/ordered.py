@@ -148,50 +148,40 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, *, ties: Sequence[
     return placed.withColumn(name, F.col(name).cast("bigint"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, cells: int = 4096, accuracy: int = 10_000) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, cells: int = 256) -> DataFrame:
     """Exact ``count, min, max, median`` of a double per key.
 
-    Equal values are counted before any shuffle. Approximate quantiles on both sides of the middle, whose rank
-    error is at most a part in ``accuracy``, bracket the median by rank, so neither outliers nor a wide
-    range matter. A histogram of at most ``cells`` rows per key over the bracket then finds the cells that
-    hold the middle ranks, and only the values of those cells are ordered.
+    Equal values are counted before any shuffle. Approximate quantiles of the distinct values cut them into
+    ``cells`` of about equal size, so neither outliers nor a wide range matter. The counts of the cells then tell which
+    of them hold the middle ranks, and only the values of those cells are ordered.
     """
     present = F.col(value).isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
-    near = 2 / accuracy
     counted = df.where(present).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = (
-        df.where(present)
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(value, [max(0.0, 0.5 - near), min(1.0, 0.5 + near)], accuracy).alias("_q"),
-            F.count("*").alias("_total"),
-            F.min(value).alias("_min"),
-            F.max(value).alias("_max"),
-        )
-        .select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "_total", "_min", "_max")
+    span = counted.groupBy(*keys).agg(
+        F.percentile_approx(value, [i / cells for i in range(1, cells)], 20 * cells).alias("_cuts"),
+        F.sum("_n").alias("_total"),
+        F.min(value).alias("_min"),
+        F.max(value).alias("_max"),
     )
-    width = F.col("_hi") - F.col("_lo")
-    inside = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * (cells - 1))).otherwise(F.lit(0))
-    # Values below the bracket are one cell before all others; those above do not count.
-    cell = F.when(F.col(value) < F.col("_lo"), F.lit(-1)).when(F.col(value) <= F.col("_hi"), inside.cast("int"))
+    # The explicit test keeps all readers of the counts on one shuffle: the join below would
+    # otherwise add it to one side only.
     placed = (
-        counted.join(span.select(*keys, "_lo", "_hi"), list(keys))
-        .withColumn("_cell", cell)
+        counted.join(span, list(keys))
+        .withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
         .where(F.col("_cell").isNotNull())
-        .select(*keys, "_cell", value, "_n")
+        .drop("_cuts")
     )
     per_key = Window.partitionBy(*keys)
     lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     middle = (
         placed.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cn"))
+        .agg(F.sum("_n").alias("_cn"), F.max("_total").alias("_total"))
         .withColumn("_end", F.sum("_cn").over(per_key.orderBy("_cell")))
         .withColumn("_start", F.col("_end") - F.col("_cn"))
-        .join(span.select(*keys, "_total", "_min", "_max"), list(keys))
         .where((F.col("_start") <= upper) & (F.col("_end") > lower))
-        .select(*keys, "_cell", "_start", "_total", "_min", "_max")
+        .select(*keys, "_cell", "_start")
     )
     in_cell = Window.partitionBy(*keys, "_cell").orderBy(value)
     return (
