@@ -33,6 +33,11 @@ def offer_quality_filter(v):
     return market.quality_filter(v.offers)
 
 
+@query("offers_for_image", "offers", oracle=f"SELECT *, {CANON} AS gpu_type FROM v_offers WHERE {PASSING} AND cuda_max_good >= 12.8")
+def offers_for_image(v):
+    return market.quality_filter(v.offers, image="team/trainer:2.3-cuda-12.8")
+
+
 @query("gpu_name_map", "workloads", oracle="""SELECT cloud_gpu_type, replace(cloud_gpu_type, 'RTX_', 'RTX ') AS market_name, count(*) AS n
 FROM v_workloads GROUP BY cloud_gpu_type""")
 def gpu_name_map(v):

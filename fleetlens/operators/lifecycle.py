@@ -114,35 +114,42 @@ def with_identity(policies: DataFrame) -> DataFrame:
     )
 
 
-def overlapping_rules(rules: DataFrame, policies: DataFrame) -> DataFrame:
-    """Foreign rules whose prefix covers or lies under a managed prefix, with the warning.
-
-    The managed prefix is compared without its last slash. Overlap means one
-    text starts with the other, so each side is cut to the lengths the other
-    side uses in that bucket and joined on equality.
-    """
+def _sides(rules: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Managed prefixes without their last slash, and the foreign rules with a prefix."""
     managed = with_identity(policies).where(F.col("error") == "").select(
         "bucket", "canonical_prefix", "rule_id", F.regexp_replace("canonical_prefix", r"/\z", "").alias("_bare")
     )
     foreign = rules.where((F.col("prefix") != "") & ~F.startswith("id", F.lit(C.RULE_FAMILY))).select(
         "bucket", "pos", F.col("id").alias("foreign_id"), F.col("prefix").alias("foreign_prefix")
     )
+    return managed, foreign
+
+
+def _heads(side: DataFrame, text: str, other: DataFrame, other_text: str, longer: bool) -> DataFrame:
+    """Rows of ``side`` with ``_head``: their text cut to each length that the other side uses in the bucket."""
+    lengths = other.groupBy("bucket").agg(F.collect_set(F.length(other_text)).alias("_lengths"))
+    size = F.length(text)
+    fits = F.filter("_lengths", lambda n: (n < size) if longer else (n <= size))
+    return (
+        side.join(lengths, "bucket")
+        .withColumn("_len", F.explode(fits))
+        .withColumn("_head", F.substr(text, F.lit(1), F.col("_len")))
+        .drop("_lengths", "_len")
+    )
 
-    def cut(side: DataFrame, text: str, other: DataFrame, other_text: str, longer: bool) -> DataFrame:
-        lengths = other.groupBy("bucket").agg(F.collect_set(F.length(other_text)).alias("_lengths"))
-        size = F.length(text)
-        fits = F.filter("_lengths", lambda n: (n < size) if longer else (n <= size))
-        return (
-            side.join(lengths, "bucket")
-            .withColumn("_len", F.explode(fits))
-            .withColumn("_head", F.substr(text, F.lit(1), F.col("_len")))
-            .drop("_lengths", "_len")
-        )
 
-    wider = cut(managed, "_bare", foreign, "foreign_prefix", longer=False).join(
+def overlapping_rules(rules: DataFrame, policies: DataFrame) -> DataFrame:
+    """Foreign rules whose prefix covers or lies under a managed prefix, with the warning.
+
+    The managed prefix is compared without its last slash. Overlap means one
+    text starts with the other, so each side is cut to the lengths the other
+    side uses in that bucket and joined on equality.
+    """
+    managed, foreign = _sides(rules, policies)
+    wider = _heads(managed, "_bare", foreign, "foreign_prefix", longer=False).join(
         foreign.withColumn("_head", F.col("foreign_prefix")), ["bucket", "_head"]
     )
-    narrower = cut(foreign, "foreign_prefix", managed, "_bare", longer=True).join(
+    narrower = _heads(foreign, "foreign_prefix", managed, "_bare", longer=True).join(
         managed.withColumn("_head", F.col("_bare")), ["bucket", "_head"]
     )
     columns = ("bucket", "canonical_prefix", "pos", "foreign_id", "foreign_prefix")
@@ -150,6 +157,20 @@ def overlapping_rules(rules: DataFrame, policies: DataFrame) -> DataFrame:
     return both.withColumn("warning", P.foreign_rule_warning(F.col("foreign_id"), F.col("foreign_prefix")))
 
 
+def overlap_counts(rules: DataFrame, policies: DataFrame) -> DataFrame:
+    """``bucket, canonical_prefix, warnings``: overlapping foreign rules, counted per prefix before any join."""
+    managed, foreign = _sides(rules, policies)
+    prefixes = foreign.groupBy("bucket", "foreign_prefix").agg(F.count("*").alias("_n"))
+    wider = _heads(managed, "_bare", prefixes, "foreign_prefix", longer=False).join(
+        prefixes.withColumnRenamed("foreign_prefix", "_head"), ["bucket", "_head"]
+    )
+    under = _heads(prefixes, "foreign_prefix", managed, "_bare", longer=True).groupBy("bucket", "_head").agg(F.sum("_n").alias("_n"))
+    narrower = managed.withColumn("_head", F.col("_bare")).join(under, ["bucket", "_head"])
+    columns = ("bucket", "canonical_prefix", "_n")
+    both = wider.select(*columns).unionByName(narrower.select(*columns))
+    return both.groupBy("bucket", "canonical_prefix").agg(F.sum("_n").alias("warnings"))
+
+
 def _managed_matches(rules: DataFrame, policies: DataFrame) -> DataFrame:
     return policies.join(
         rules.select("bucket", F.col("id").alias("rule_id"), "pos", "status", "prefix", F.col("days").alias("rule_days"), "extra"),
@@ -194,7 +215,7 @@ def lifecycle_plan(rules: DataFrame, policies: DataFrame, *, operation: str = "a
             F.max(F.col("rule_days").isNull() | (F.col("prefix") != F.col("canonical_prefix"))).alias("_collides"),
         )
     )
-    warned = overlapping_rules(rules, policies).groupBy("bucket", "canonical_prefix").agg(F.count("*").alias("_warnings"))
+    warned = overlap_counts(rules, policies).withColumnRenamed("warnings", "_warnings")
     joined = (
         wanted.join(prints, "bucket", "left")
         .join(last, "bucket", "left")

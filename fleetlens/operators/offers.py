@@ -21,17 +21,22 @@ def quality_filter(
     gpu_types: Sequence[str] = C.GPU_TYPES,
     *,
     cuda: str = C.DEFAULT_CUDA,
+    image: str | None = None,
     max_cost_per_hour: float = C.MAX_COST_PER_HOUR,
     min_network_mbps: float = C.MIN_NETWORK_MBPS,
     min_reliability: float = C.MIN_RELIABILITY,
 ) -> DataFrame:
-    """Offers that satisfy the market query for the wanted GPU types."""
+    """Offers that satisfy the market query for the wanted GPU types.
+
+    With ``image`` the needed CUDA version is the one its name tells.
+    """
+    needed = F.lit(float(cuda)) if image is None else gpu.cuda_version(F.lit(image)).cast("double")
     names = [C.GPU_MARKET_NAME.get(t, t) for t in gpu_types]
     return offers.where(
         F.col("gpu_name").isin(names)
         & (F.col("num_gpus") == 1)
         & F.col("rentable")
-        & (F.col("cuda_max_good") >= float(cuda))
+        & (F.col("cuda_max_good") >= needed)
         & (F.col("dph_total") <= max_cost_per_hour)
         & (F.col("inet_down") >= min_network_mbps)
         & (F.col("reliability") >= min_reliability)

@@ -17,7 +17,11 @@ def estimate(
     counts: Sequence[int] = (0, 2, 4, 8, 16),
     *,
     gpu_types: Sequence[str] = C.GPU_TYPES,
+    image: str | None = None,
 ) -> DataFrame:
-    """Scaling rows for every workload at market prices; the cheapest type where none is asked."""
-    prices = market.price_summary(offers, gpu_types)
+    """Scaling rows for every workload at market prices; the cheapest type where none is asked.
+
+    ``image`` is the workload's container image; only offers that run its CUDA version count then.
+    """
+    prices = market.price_summary(offers, gpu_types, image=image)
     return planning.scaling_table(workloads, prices, counts, cheapest=market.cheapest_type(prices))

@@ -25,6 +25,21 @@ def read_offers(spark: SparkSession, path: str) -> DataFrame:
     return offers.parse_offers(_whole_files(spark, path))
 
 
+def read_offer_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Offers of JSON lines, one offer each; large files are read by many tasks."""
+    lines = spark.read.text(path).select(F.concat(F.lit("["), F.col("value"), F.lit("]")).alias("raw"))
+    return offers.parse_offers(lines)
+
+
+def read_instance_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Candidates and rejects of JSON lines ``{"listing_id": ..., "record": {...}}``; large listings are read by many tasks."""
+    lines = spark.read.text(path).withColumn("_line", J.fields(J.parse(F.col("value")), "listing_id", "record"))
+    records = lines.where(F.col("_line").isNotNull()).select(
+        F.try_variant_get("_line.listing_id", "$", "string").alias("listing_id"), F.col("_line.record").alias("record")
+    )
+    return fleet.normalize_records(records, F.col("record"))
+
+
 def read_instance_lists(spark: SparkSession, path: str) -> DataFrame:
     """Candidates and rejects of whole-listing files, one listing per file."""
     listings = fleet.list_documents(_whole_files(spark, path).withColumnRenamed("path", "listing_id"))

@@ -40,6 +40,16 @@ def test_price_summary_uses_the_exact_median_and_falls_back(spark):
     assert got["H200"][2:] == (0, 0.3, 0.3, 0.3)
 
 
+def test_the_image_sets_the_cuda_version(spark):
+    from fleetlens.plans.estimate import estimate
+
+    rows = [offer(1, 0.2), offer(2, 0.1)]
+    market_rows = spark.createDataFrame(rows, OFFERS).withColumn("cuda_max_good", F.when(F.col("offer_id") == 1, 12.8).otherwise(12.4))
+    work = spark.createDataFrame([(1, 10.0, "RTX_4090")], "workload_id long, work_hours double, cloud_gpu_type string")
+    cost = lambda **kw: estimate(market_rows, work, [1], **kw).first().cloud_cost_min
+    assert (cost(), cost(image="a/b:cuda-12.8"), cost(image="a/b:1")) == (0.5, 1.0, 0.5)
+
+
 def test_exact_median_with_a_hot_key_and_ties(spark):
     rng = random.Random(5)
     rows = [("hot", rng.choice([1.0, 2.0, 2.5])) for _ in range(3000)] + [(f"k{rng.randint(0, 40)}", rng.uniform(-5, 5)) for _ in range(900)]

@@ -238,6 +238,11 @@ def test_file_readers(spark, folder):
     write(folder, "lists/b.json", "{}")
     assert values(readers.read_instance_lists(spark, f"{folder}/lists"), "reject") == [("",), ("not an object",)]
 
+    write(folder, "lines/a.jsonl", '{"id": 1, "machine_id": 9, "dph_total": 0.5}\n{"id": 2}\nnot json\n')
+    assert values(readers.read_offer_lines(spark, f"{folder}/lines"), "offer_id", "machine_id") == [(1, "9"), (2, "")]
+    write(folder, "records/a.jsonl", '{"listing_id": "L", "record": {"id": 7}}\n{"listing_id": "L", "record": "x"}\n[1]\n')
+    assert values(readers.read_instance_lines(spark, f"{folder}/records"), "listing_id", "instance_id", "reject") == [("L", "7", ""), ("L", None, "not an object")]
+
     pages = [{"listing_id": "L", "page_no": 0, "after_token": "", "raw": json.dumps({"instances": [{"id": 1}], "next_token": "a"})}, {"listing_id": "L", "page_no": 1, "after_token": "a", "raw": json.dumps({"instances": [{"id": 2}], "next_token": None})}]
     write(folder, "pages/p.jsonl", "\n".join(json.dumps(p) for p in pages))
     assert values(readers.read_instance_pages(spark, f"{folder}/pages"), "instance_id") == [("1",), ("2",)]
