@@ -196,5 +196,5 @@ def neighbours(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
     spread = keyed.withColumn("at", F.explode(places("key"))).select(
         "doc_id", "text", "key", F.floor(F.col("at") / 2).alias("part"), (F.col("at") % 2 == 1).alias("ahead")
     )
-    dealt = spread.repartition(partitions(spark), "part").sortWithinPartitions("part", "ahead", F.desc("key"), "text")
+    dealt = spread.repartitionById(partitions(spark), F.pmod("part", F.lit(partitions(spark))).cast("int")).sortWithinPartitions("part", "ahead", F.desc("key"), "text")
     return dealt.select("part", "ahead", "doc_id", "text").mapInArrow(_compare, COMPARED)
