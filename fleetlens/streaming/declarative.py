@@ -16,9 +16,6 @@ from fleetlens import constants as C
 from fleetlens.operators import health as H
 from fleetlens.operators import polling, units
 
-TICK = "_tick"
-
-
 def unit_action_stream(probes: DataFrame) -> DataFrame:
     """Stateless action of each probe row ``unit_key, ts, event_id, raw, marked, marked_again``."""
     return (
@@ -33,43 +30,6 @@ def unit_state_stream(events: DataFrame) -> DataFrame:
     return units.current_state(events)
 
 
-def dead_recheck_stream(
-    probes: DataFrame, markers: DataFrame, *, wait: str, delay: str = "10 minutes", tick: str = TICK
-) -> DataFrame:
-    """Dead probes with ``complete`` when a marker comes within ``wait``, else ``preempt`` (append mode).
-
-    A row dropped before the join cannot move the watermark, so rows of the unit
-    ``tick`` pass the filter on both sides and are dropped afterwards. Both
-    sources should send one now and then. The last filter reads the marker side
-    too, so that the optimizer cannot move it below the join and the watermark.
-    """
-    is_dead = F.col("_probe.worker_dead") & ~F.col("_probe.complete")
-    dead = polling.with_snapshot(probes).where((F.col("unit_key") == tick) | is_dead).select(
-        "event_id", "unit_key", "ts", F.col("_probe.log_tail").alias("log_tail")
-    )
-    left = dead.withWatermark("ts", delay).alias("p")
-    right = markers.select(F.col("unit_key").alias("mark_key"), "marker_ts").withWatermark("marker_ts", delay).alias("m")
-    near = (
-        (F.col("p.unit_key") == F.col("m.mark_key"))
-        & (F.col("m.marker_ts") >= F.col("p.ts"))
-        & (F.col("m.marker_ts") <= F.col("p.ts") + F.expr(f"INTERVAL {wait}"))
-    )
-    found = F.col("marker_ts").isNotNull()
-    unit_after_join = F.coalesce(F.when(found, F.col("unit_key")), F.col("unit_key"))
-    return (
-        left.join(right, near, "left_outer")
-        .where(unit_after_join != tick)
-        .select(
-            "event_id",
-            "unit_key",
-            "ts",
-            F.when(found, "complete").otherwise("preempt").alias("action"),
-            F.when(~found, F.col("log_tail")).alias("detail"),
-        )
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
-
-
 def spend_monitor_stream(spend: DataFrame, ceiling: float | Column) -> DataFrame:
     """Running spend and budget status per batch (update mode)."""
     limit = F.lit(ceiling) if isinstance(ceiling, (int, float)) else ceiling

@@ -1,4 +1,4 @@
-"""Streams whose state needs code: retries, stuck units, chunks and running spend.
+"""Streams whose state needs code: retries, stuck units, rechecks, chunks and running spend.
 
 Rows of a key wait in its state until the watermark has passed them and are then folded in event order, so
 rows may come in any order within ``delay`` and the result is the batch operator's. A state without waiting
@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens import constants as C
+from fleetlens.operators.polling import with_snapshot
 from fleetlens.operators.units import budget_status
 
 VERDICT_SCHEMA = "event_id long, unit_key string, retries_before long, verdict string, failure_reason string"
 STUCK_SCHEMA = "event_id long, unit_key string, ts timestamp, reason string"
+RECHECK_SCHEMA = "event_id long, unit_key string, ts timestamp, action string, detail string"
 CHUNK_SCHEMA = "file_id string, event_id long, chunk_index long, offset long, length long"
 SPEND_SCHEMA = "batch_id string, window_start timestamp, micros long, total_micros long"
 _STATE = "folded string, waiting string"
@@ -33,10 +35,12 @@ def _folded(
     """Apply ``fold(key, rows in order, state)`` to the rows the watermark has passed.
 
     ``source`` has the key, ``ts``, ``event_id`` and the columns to fold; ``fold`` gets ``at`` (microseconds)
-    in place of ``ts`` and returns output rows and the new state.
+    in place of ``ts`` and returns output rows and the new state. A source may bring ``at`` itself for rows that
+    are due later than their event time; the watermark follows ``ts`` alone.
     """
     keep_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
-    timed = source.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
+    timed = source if "at" in source.columns else source.withColumn("at", F.unix_micros("ts"))
+    timed = timed.withWatermark("ts", delay)
     columns = [c for c in timed.columns if c not in (key, "ts")]
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -90,52 +94,87 @@ def retry_verdict_stream(
     return _folded(losses, "unit_key", VERDICT_SCHEMA, delay, forget, fold)
 
 
+def _due(timeout_seconds: int) -> Column:
+    """Microseconds of the event time and a timeout."""
+    return F.unix_micros("ts") + F.lit(timeout_seconds * 1_000_000)
+
+
 def stuck_unit_stream(
     events: DataFrame, *, timeout_seconds: int = C.BOOT_TIMEOUT_SECONDS, delay: str = "10 minutes", event: str = "deployed"
 ) -> DataFrame:
     """Deployments that nothing followed within the timeout (append mode).
 
-    Every deployment sends a second row of its own a timeout later. When the watermark has passed that row,
-    all events within the timeout have been folded, and the deployment is stuck if none of them came.
+    Every deployment brings a second row that is due a timeout later. When the watermark has passed it, all
+    events within the timeout have been folded, and the deployment is stuck if none of them came.
     """
     limit = timeout_seconds * 1_000_000
 
     def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
         """The state keeps the times of the last timeout's real events."""
-        real = rows.loc[~rows["check"].astype(bool), "at"].to_numpy(np.int64)
-        seen = np.concatenate([np.array(state.get("seen", []), np.int64), real])
-        checks = rows[rows["check"].astype(bool)]
-        started = checks["at"].to_numpy(np.int64) - limit
-        following = np.searchsorted(seen, started, "right")
-        until = np.append(seen, np.iinfo(np.int64).max)[following]
+        is_check = rows["check"].to_numpy(bool)
+        seen = np.concatenate([np.array(state.get("seen", []), np.int64), rows["at"].to_numpy(np.int64)[~is_check]])
+        started = rows["at"].to_numpy(np.int64)[is_check] - limit
+        until = np.append(seen, np.iinfo(np.int64).max)[np.searchsorted(seen, started, "right")]
         stuck = until > started + limit
         out = pd.DataFrame(
             {
-                "event_id": checks["event_id"].to_numpy()[stuck],
+                "event_id": rows["event_id"].to_numpy()[is_check][stuck],
                 "unit_key": key,
                 "ts": pd.to_datetime(started[stuck], unit="us"),
                 "reason": f"timed out after {timeout_seconds} seconds",
             }
         )
         last = int(rows["at"].iloc[-1])
-        recent = np.unique(seen[seen >= last - limit]).tolist()
-        return out, {"seen": recent, "due": last // 1000 + timeout_seconds * 1000 + 1}
+        return out, {"seen": np.unique(seen[seen >= last - limit]).tolist(), "due": (last + limit) // 1000 + 1}
 
     source = events.select(F.col("unit_key").cast("string").alias("unit_key"), "event_id", "ts", "event")
-    later = F.col("ts") + F.make_interval(secs=F.lit(timeout_seconds))
-    rows = source.select(
-        "unit_key",
-        "event_id",
-        F.explode(
-            F.when(
-                F.col("event") == event,
-                F.array(F.struct(F.col("ts").alias("ts"), F.lit(False).alias("check")), F.struct(later.alias("ts"), F.lit(True).alias("check"))),
-            ).otherwise(F.array(F.struct(F.col("ts").alias("ts"), F.lit(False).alias("check"))))
-        ).alias("e"),
-    ).select("unit_key", "event_id", F.col("e.ts").alias("ts"), F.col("e.check").alias("check"))
+    own = F.struct(F.unix_micros("ts").alias("at"), F.lit(False).alias("check"))
+    check = F.struct(_due(timeout_seconds).alias("at"), F.lit(True).alias("check"))
+    both = F.when(F.col("event") == event, F.array(own, check)).otherwise(F.array(own))
+    rows = source.select("unit_key", "event_id", "ts", F.explode(both).alias("e")).select("unit_key", "event_id", "ts", "e.at", "e.check")
     return _folded(rows, "unit_key", STUCK_SCHEMA, delay, _YEAR, fold)
 
 
+def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Dead probes with ``complete`` when a marker comes within the wait, else ``preempt`` (append mode).
+
+    Probes and markers are one stream of rows, a probe due a wait after it was made, so no probe is paired with
+    every marker. ``delay`` covers how far one source may lag behind the other.
+    """
+    limit = wait_seconds * 1_000_000
+
+    def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+        """The state keeps the times of the last wait's markers."""
+        is_probe, at = rows["check"].to_numpy(bool), rows["at"].to_numpy(np.int64)
+        seen = np.concatenate([np.array(state.get("seen", []), np.int64), at[~is_probe]])
+        started = at[is_probe] - limit
+        found = np.append(seen, np.iinfo(np.int64).max)[np.searchsorted(seen, started, "left")] <= started + limit
+        out = pd.DataFrame(
+            {
+                "event_id": rows["event_id"].to_numpy()[is_probe],
+                "unit_key": key,
+                "ts": pd.to_datetime(started, unit="us"),
+                "action": np.where(found, "complete", "preempt"),
+                "detail": np.where(found, None, rows["log_tail"].to_numpy(object)[is_probe]),
+            }
+        )
+        last = int(at[-1])
+        return out, {"seen": np.unique(seen[seen >= last - limit]).tolist(), "due": (last + limit) // 1000 + 1}
+
+    dead = with_snapshot(probes).where(F.col("_probe.worker_dead") & ~F.col("_probe.complete"))
+    key = F.col("unit_key").cast("string").alias("unit_key")
+    checks = dead.select(key, "event_id", "ts", _due(wait_seconds).alias("at"), F.lit(True).alias("check"), F.col("_probe.log_tail").alias("log_tail"))
+    marks = markers.select(
+        key,
+        F.lit(-1).cast("bigint").alias("event_id"),
+        F.col("marker_ts").alias("ts"),
+        F.unix_micros("marker_ts").alias("at"),
+        F.lit(False).alias("check"),
+        F.lit(None).cast("string").alias("log_tail"),
+    )
+    return _folded(checks.unionByName(marks), "unit_key", RECHECK_SCHEMA, delay, _YEAR, fold)
+
+
 def chunk_stream(sizes: DataFrame, *, delay: str = "10 minutes", forget: str = _YEAR) -> DataFrame:
     """Chunks of growing files once the watermark has passed the observed size (append mode)."""
 

@@ -17,6 +17,10 @@ from fleetlens.streaming import stateful as S
 from fleetlens.streaming.sweep import start_sweep
 
 
+#: A unit whose row lies far after all others, to move the watermark past them.
+TICK = "_tick"
+
+
 def timed(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
 
@@ -58,7 +62,7 @@ def shuffled(df, last):
 
 def test_retry_verdict_stream_equals_batch(spark, views, folder):
     events = timed(views.unit_events, "ts").withColumn("unit_key", F.col("unit_key").cast("string"))
-    events = events.unionByName(last_tick(spark, events.schema, unit_key=D.TICK, ts=far(), event="failed", event_id=-1, reason=""))
+    events = events.unionByName(last_tick(spark, events.schema, unit_key=TICK, ts=far(), event="failed", event_id=-1, reason=""))
     want = units.retry_verdicts(
         views.unit_events, classify=lambda r: F.when(r.contains("memory"), "fatal").otherwise("retry")
     )
@@ -72,11 +76,11 @@ def test_retry_verdict_stream_equals_batch(spark, views, folder):
 def test_dead_recheck_stream_equals_batch(spark, views, folder):
     probes = timed(views.probes, "ts").withColumn("unit_key", F.col("unit_key").cast("string"))
     marks = timed(views.markers, "marker_ts").withColumn("unit_key", F.col("unit_key").cast("string"))
-    probes = probes.unionByName(last_tick(spark, probes.schema, unit_key=D.TICK, ts=far(), raw="{}", event_id=-1))
-    marks = marks.unionByName(last_tick(spark, marks.schema, unit_key=D.TICK, marker_ts=far(), event_id=-1))
+    probes = probes.unionByName(last_tick(spark, probes.schema, unit_key=TICK, ts=far(), raw="{}", event_id=-1))
+    marks = marks.unionByName(last_tick(spark, marks.schema, unit_key=TICK, marker_ts=far(), event_id=-1))
     left = stream_of(spark, probes, folder + "/p", "ts")
     right = stream_of(spark, marks, folder + "/m", "marker_ts")
-    stream = D.dead_recheck_stream(left, right, wait="12 HOURS", delay="40 days")
+    stream = S.dead_recheck_stream(left, right, wait_seconds=43200, delay="40 days")
     got = drain(stream, folder, "append", "rechecks")
     want = polling.dead_recheck(views.probes, views.markers, wait_seconds=43200)
     assert values(got, "event_id", "action", "detail") == values(want, "event_id", "action", "detail")
@@ -85,7 +89,7 @@ def test_dead_recheck_stream_equals_batch(spark, views, folder):
 
 def test_stuck_unit_stream_equals_batch(spark, views, folder):
     events = timed(views.unit_events, "ts").select("event_id", F.col("unit_key").cast("string"), "ts", "event")
-    events = events.unionByName(last_tick(spark, events.schema, unit_key=D.TICK, ts=far(), event="completed", event_id=-1))
+    events = events.unionByName(last_tick(spark, events.schema, unit_key=TICK, ts=far(), event="completed", event_id=-1))
     want = polling.stuck_units(views.unit_events, timeout_seconds=43200)
     stream = S.stuck_unit_stream(stream_of(spark, events, folder + "/a", "ts"), timeout_seconds=43200)
     got = drain(stream, folder + "/a", "append", "stuck")
@@ -95,12 +99,20 @@ def test_stuck_unit_stream_equals_batch(spark, views, folder):
     assert values(drain(mixed, folder + "/b", "append", "stuck_mixed"), "event_id") == values(want, "event_id")
 
 
+def test_a_timeout_longer_than_the_delay_drops_nothing(spark, views, folder):
+    events = timed(views.unit_events, "ts").select("event_id", (F.col("unit_key") % 5).cast("string").alias("unit_key"), "ts", "event")
+    want = polling.stuck_units(events, timeout_seconds=7200)
+    events = events.unionByName(last_tick(spark, events.schema, unit_key=TICK, ts=far(), event="completed", event_id=-1))
+    stream = S.stuck_unit_stream(stream_of(spark, events, folder, "ts", parts=12), timeout_seconds=7200, delay="1 second")
+    assert values(drain(stream, folder, "append", "long_timeout"), "event_id") == values(want, "event_id")
+
+
 def test_an_event_older_than_the_last_one_settles_a_deployment(spark, folder):
     import datetime
 
     at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
     rows = [(1, "u", at(0), "deployed"), (2, "u", at(100), "deployed"), (3, "u", at(30), "running"), (4, "u", at(70), "running"), (5, "u", at(5), "running")]
-    rows += [(-1, D.TICK, far(), "running")]
+    rows += [(-1, TICK, far(), "running")]
     events = spark.createDataFrame(rows, "event_id long, unit_key string, ts timestamp, event string")
     order = F.when(F.col("event_id") < 0, 99).otherwise(F.col("event_id"))
     stream = S.stuck_unit_stream(stream_of(spark, events, folder, order, parts=6), timeout_seconds=600, delay="3 hours")
@@ -116,7 +128,7 @@ def test_spend_monitor_stream_ends_at_batch_total(spark, views, folder):
 
 def test_spend_window_stream_equals_batch(spark, views, folder):
     rows = timed(spend(views), "ts")
-    rows = rows.unionByName(last_tick(spark, rows.schema, batch_id=D.TICK, ts=far(), event_id=-1, amount=0.0))
+    rows = rows.unionByName(last_tick(spark, rows.schema, batch_id=TICK, ts=far(), event_id=-1, amount=0.0))
     stream = D.spend_window_stream(stream_of(spark, rows, folder, "ts"))
     got = drain(stream, folder, "append", "spend_windows").select("batch_id", F.unix_seconds("window_start").alias("w"), "spent")
     want = polling.spend_windows(spend(views), 1.0).select("batch_id", F.col("window_start").alias("w"), "spent")
@@ -128,7 +140,7 @@ def test_progress_stream_counts_a_marker_once(spark, views, folder):
     once = timed(views.markers, "marker_ts").select("batch_id", "shard_id", "unit_key", "marker_ts", "event_id")
     twice = once.unionByName(once.withColumn("event_id", F.col("event_id") + 100000))
     twice = twice.unionByName(once.withColumns({"event_id": F.col("event_id") + 200000, "marker_ts": F.col("marker_ts") + F.expr("INTERVAL 900 DAYS")}))
-    twice = twice.unionByName(last_tick(spark, twice.schema, batch_id=D.TICK, shard_id=-1, marker_ts=far(), unit_key=-1, event_id=-1))
+    twice = twice.unionByName(last_tick(spark, twice.schema, batch_id=TICK, shard_id=-1, marker_ts=far(), unit_key=-1, event_id=-1))
     stream = D.progress_stream(stream_of(spark, twice, folder, "marker_ts"))
     got = drain(stream, folder, "append", "progress").groupBy("batch_id", "shard_id").agg(F.sum("completed").alias("completed"))
     columns = ("batch_id", "shard_id", "completed")
@@ -137,7 +149,7 @@ def test_progress_stream_counts_a_marker_once(spark, views, folder):
 
 def test_spend_status_stream_equals_batch(spark, views, folder):
     rows = timed(spend(views), "ts")
-    rows = rows.unionByName(last_tick(spark, rows.schema, batch_id=D.TICK, ts=far(), event_id=-1, amount=0.0))
+    rows = rows.unionByName(last_tick(spark, rows.schema, batch_id=TICK, ts=far(), event_id=-1, amount=0.0))
     got = drain(S.spend_status_stream(stream_of(spark, rows, folder, "ts"), 25.0), folder, "append", "spend_status")
     rounded = [F.round(c, 6).alias(c) for c in ("spent", "total")]
     shown = lambda df: values(df.select("batch_id", "window_start", "status", *rounded), "batch_id", "window_start", "spent", "total", "status")
@@ -163,7 +175,7 @@ def test_cycle_summary_stream_equals_batch(spark, views, folder):
 
 def test_chunk_stream_equals_batch(spark, views, folder):
     rows = timed(views.file_sizes, "ts")
-    rows = rows.unionByName(last_tick(spark, rows.schema, file_id=D.TICK, ts=far(), event_id=-1, size=0))
+    rows = rows.unionByName(last_tick(spark, rows.schema, file_id=TICK, ts=far(), event_id=-1, size=0))
     columns = ("file_id", "event_id", "chunk_index", "offset", "length")
     want = values(objects.chunk_plan(views.file_sizes), *columns)
     assert values(drain(S.chunk_stream(stream_of(spark, rows, folder + "/a", "ts")), folder + "/a", "append", "chunks"), *columns) == want
