@@ -104,8 +104,8 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     old, new = map(F.lit, COUNTERS)
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    copies = counted.join(first, "text_key").where(F.col("doc_id") > F.col("first_id"))
+    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    copies = counted.where(F.col("doc_id").isNotNull()).join(first, ["text_key", "doc_id"], "left_anti")
     revision = rollup.changes(counted.where(english), "revise", new, F.col("n_runs"), old, F.col("n_words"))
     version, tokens = F.when(english, new).otherwise(old), F.when(english, F.col("n_runs")).otherwise(F.col("n_words"))
     ledger.apply("load", rollup.changes(counted, "insert", old, F.col("n_words")))
