@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import mixed, partitions
+from fleetlens.llm.tables import map_texts, mixed, partitions
 
 BINS, EMPTY = 128, 0xFFFF
 _SYMBOLS = re.compile(r"\S{1,8}\s?|\s").findall
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = [to_text(fingerprint(t or "")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "fingerprint": pa.array(prints, pa.string())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id bigint, fingerprint string")
 
 
 COMPARED = (
@@ -197,4 +197,4 @@ def neighbours(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
         "doc_id", "text", "key", F.floor(F.col("at") / 2).alias("part"), (F.col("at") % 2 == 1).alias("ahead")
     )
     dealt = spread.repartitionById(partitions(spark), F.pmod("part", F.lit(partitions(spark))).cast("int")).sortWithinPartitions("part", "ahead", F.desc("key"), "text")
-    return dealt.select("part", "ahead", "doc_id", "text").mapInArrow(_compare, COMPARED)
+    return map_texts(dealt.select("part", "ahead", "doc_id", "text"), _compare, COMPARED)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import blocks, bytes_of, join_stats, mixed, stored
+from fleetlens.llm.tables import blocks, bytes_of, join_stats, map_texts, mixed, stored
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -106,7 +106,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """``doc_id``, ``host`` and the measures of every row."""
     schema = "doc_id bigint, host string, " + ", ".join(f"{m} bigint" for m in MEASURES)
-    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(_measure, schema)
+    return map_texts(docs.select("doc_id", F.col(host).alias("host"), "text"), _measure, schema)
 
 
 def rules() -> dict[str, Column]:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import blocks, fresh_path, partitions, stored
+from fleetlens.llm.tables import blocks, fresh_path, map_texts, partitions, stored
 from fleetlens.llm.tokens import encoder
 
 MAGIC, FOOTER = b"FLTB", struct.Struct("<4sHHIQQQ")
@@ -149,7 +149,7 @@ def _write(tokenizer: str, folder: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, out = encoder(tokenizer), TaskContext.get().partitionId(), None
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        for batch, texts in blocks(batches, limit=8 << 20):
+        for batch, texts in blocks(batches):
             out = out or Writer(uri, coder.vocabulary, block_ids)
             ids, at = coder.encode(texts, end_id)
             doc_ids = batch.column("doc_id").cast(pa.int64())
@@ -169,7 +169,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 1,
     """
     n = shards or partitions(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(_write(tokenizer, folder, end_id, block_ids), MANIFEST), "ids-manifest")
+    return stored(map_texts(ordered, _write(tokenizer, folder, end_id, block_ids), MANIFEST), "ids-manifest")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

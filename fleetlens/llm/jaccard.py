@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import blocks, bytes_of, mixed, stored
+from fleetlens.llm.tables import blocks, bytes_of, map_texts, mixed, stored
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Members and shingles that one side of a block comparison holds, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
+#: Text bytes that are hashed at once.
+BLOCK_TEXT = 2 << 20
 #: Most ids of a member filter.
 FILTER_IDS = 1 << 24
 
@@ -131,7 +133,7 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 def _sketch(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=BLOCK_TEXT):
             sets = shingle_sets(texts, n)
             keys = band_keys(sets, bands, rows)
             filled = np.array([len(s) > 0 for s in sets])
@@ -151,7 +153,7 @@ def _sketch(n: int, bands: int, rows: int):
 
 def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = "doc_id bigint, row_id bigint, set_key string, n_shingles bigint, bands array<bigint>"
-    return docs.select("doc_id", row_id().alias("row_id"), "text").mapInArrow(_sketch(n, bands, rows), schema)
+    return map_texts(docs.select("doc_id", row_id().alias("row_id"), "text"), _sketch(n, bands, rows), schema)
 
 
 @dataclass
@@ -196,7 +198,7 @@ def _sets(n: int, wanted: Members | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if wanted is not None:
             batches = (b.filter(pa.array(wanted.probably(b.column("rep").to_numpy()))) for b in batches)
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=BLOCK_TEXT):
             sets = shingle_sets(texts, n)
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "set_key": pa.array(map(set_key, sets), pa.string()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
@@ -315,7 +317,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         chosen = _sets(n, member_filter(wanted, count))
     else:
         texts, chosen = texts.join(wanted, "rep", "left_semi"), _sets(n, None)
-    return texts.mapInArrow(chosen, "rep bigint, set_key string, shingles binary")
+    return map_texts(texts, chosen, "rep bigint, set_key string, shingles binary")
 
 
 def join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import blocks, mixed
+from fleetlens.llm.tables import blocks, map_texts, mixed
 
 UNKNOWN = "und"
 _LETTERS: np.ndarray | None = None
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, *, train: Column, train_docs: int = 1500, grams: int =
     for r in sizes:
         share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, train_docs / r["count"]))).otherwise(share)
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share * float(1 << 30))
-    counted = sample.mapInArrow(_count(languages), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_texts(sample, _count(languages), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     place = F.explode(F.array(*[F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit(positions - 1)) for k in range(hashes)]))
     word = F.floor(F.col("lang") / 64).cast("int").alias("word")
@@ -154,4 +154,4 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             names, scores = shared.value.predict(texts.to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": names, "score": pa.array(scores, pa.float64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id bigint, lang_pred string, score double")

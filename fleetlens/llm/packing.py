@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import blocks, stored
+from fleetlens.llm.tables import blocks, map_texts, stored
 from fleetlens.llm.tokens import encoder
 
 #: A task of level 0 packs at most about this many pieces together.
@@ -119,7 +119,7 @@ def _local(path: str, capacity: int, end_id: int, slack: int):
             waiting, held, made = [], 0, made + out.num_rows
             return out
 
-        for batch, texts in blocks(batches, limit=8 << 20):
+        for batch, texts in blocks(batches):
             ids, at = coder.encode(texts, end_id)
             doc, number, start, length = cut(np.diff(at), capacity)
             first = at[doc] + start
@@ -154,7 +154,7 @@ def pack(
 ) -> DataFrame:
     """Layout of all documents: one row per piece with ``sequence_id`` and ``offset``."""
     schema = BINS
-    level = stored(docs.select("doc_id", "text").mapInArrow(_local(tokenizer, capacity, end_id, slack), schema), "pack-0")
+    level = stored(map_texts(docs.select("doc_id", "text"), _local(tokenizer, capacity, end_id, slack), schema), "pack-0")
     finished, open_bins = [level.where("done")], level.where("not done")
     for depth in range(1, levels + 1):
         counts = open_bins.agg(F.count("*").alias("n"), F.count_distinct("grp").alias("g"), F.max("grp").alias("top")).first()

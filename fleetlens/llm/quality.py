@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fleetlens.llm.tables import blocks, bytes_of
+from fleetlens.llm.tables import blocks, bytes_of, map_texts
 
 CHUNK, OVERLAP, STRIDE, TRAIN_CHUNKS = 512, 64, 4, 8
 _STEP = CHUNK - OVERLAP
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_fold: Column, train_docs: i
     sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < share * float(1 << 30))
     # about 2 * train_docs narrow rows
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    rows = sorted((r.chunks, r.quality) for r in joined.mapInArrow(_train_rows, "quality int, chunks binary").collect())
+    rows = sorted((r.chunks, r.quality) for r in map_texts(joined, _train_rows, "quality int, chunks binary").collect())
     if len({q for _, q in rows}) < 2:
         return constant(counts[1] / total)
     chunks = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c, _ in rows]
@@ -190,4 +190,4 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             scores = pa.array(shared.value.scores(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return map_texts(kept, run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))

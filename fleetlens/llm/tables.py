@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a worker turns into arrays at once. A single longer text is one block.
 BLOCK_BYTES = 4 << 20
+#: Rows of an Arrow batch with texts.
+TEXT_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +54,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over rows with texts, in batches of at most ``TEXT_ROWS`` rows.
+
+    Spark bounds a batch by its rows only, and the default of 10,000 long texts is too much for a worker. The
+    setting stays in the session, since the plan runs later.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -105,6 +118,7 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = B
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), texts.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ def pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]
 class Encoder:
     """Ids of texts by a tokenizer file; remembers at most ``limit`` pieces."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
