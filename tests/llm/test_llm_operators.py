@@ -282,6 +282,23 @@ def test_added_spans_do_not_touch_base_spans(spark):
     assert all(not plain_base(r.text) and r.n_chars == len(r.text) for r in clean)
 
 
+def test_every_added_kind_is_found_beside_the_base_patterns(spark):
+    wanted = {
+        "call (443) 555-5793 now": ("phone_like", "(443) 555-5793"),
+        "reach me under 443-555-5793": ("phone_like", "443-555-5793"),
+        "write to bob at example dot com": ("mail_like", "bob at example dot com"),
+        "the host 2001:db8:0:0:0:ff00:42:8329 is up": ("net_like", "2001:db8:0:0:0:ff00:42:8329"),
+        "amex 378282246310005 please": ("card_like", "378282246310005"),
+    }
+    plain = ["on 2024-01-15 10:30 we met", "version 1.2.3 at 12:30:45", "amex 378282246310006 please", "meet us at the dot com party", "no digits here"]
+    texts = [*wanted, *plain] * 4
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    for r in pii.find(docs, pii.fit(docs)).collect():
+        text = texts[r.doc_id]
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == ([wanted[text]] if text in wanted else []), text
+
+
 def change(spark, op, rows, old=False):
     frame = spark.createDataFrame(rows, "source string, lang string, version string, n long" + (", old_version string, old_n long" if old else ""))
     more = (F.col("old_version"), F.col("old_n")) if old else ()
