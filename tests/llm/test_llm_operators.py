@@ -299,6 +299,30 @@ def test_every_added_kind_is_found_beside_the_base_patterns(spark):
         assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == ([wanted[text]] if text in wanted else []), text
 
 
+def test_values_after_key_words_and_written_addresses_are_proposed_and_found(spark):
+    wanted = {
+        "password: hunter2!": ("secret", "hunter2!"),
+        "key sk_live_abc.def.ghi1234567890": ("secret", "sk_live_abc.def.ghi1234567890"),
+        "the secret: abcdefGHIJklmnop and so on": ("secret", "abcdefGHIJklmnop"),
+        "api_key='abc$def!ghi=1'": ("secret", "abc$def!ghi=1"),
+        "write to bob (at) example.com today": ("mail_like", "bob (at) example.com"),
+        "write to bob[at]example.com today": ("mail_like", "bob[at]example.com"),
+        "server 2001:db8::1 up": ("net_like", "2001:db8::1"),
+        "pay 4111 1111 1111 1111 12/27": ("card_like", "4111 1111 1111 1111"),
+    }
+    plain = ["password: required for all", "password = getpass()", "the key is here", "commit 7c72db563d7f6e50cec00950f7bab1f2223b6afd", "see us at example.com now"]
+    for text, (kind, span) in wanted.items():
+        a = text.index(span)
+        # an unrelated '@' elsewhere changes nothing
+        assert (kind, a, a + len(span)) in pii.candidates(text) and (kind, a, a + len(span)) in pii.candidates(f"{text}\n@ x"), text
+    texts = [*wanted, *plain] * 4
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    for r in pii.find(docs, pii.fit(docs)).collect():
+        text = texts[r.doc_id]
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == ([wanted[text]] if text in wanted else []), text
+
+
 def change(spark, op, rows, old=False):
     frame = spark.createDataFrame(rows, "source string, lang string, version string, n long" + (", old_version string, old_n long" if old else ""))
     more = (F.col("old_version"), F.col("old_n")) if old else ()
