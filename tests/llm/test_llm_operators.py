@@ -323,6 +323,19 @@ def test_values_after_key_words_and_written_addresses_are_proposed_and_found(spa
         assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == ([wanted[text]] if text in wanted else []), text
 
 
+def test_copies_count_once_in_the_fit_of_personal_data(spark):
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"{rng.choice(['token = ', 'commit ', 'password: ', 'id '])}{hexes(rng.randint(16, 40))} and {rng.randint(10**6, 10**12)}" for _ in range(150)]
+    single = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    copies = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts + texts[:1] * 75)])
+    for limits in ({}, {"train_docs": 50, "train_candidates": 60}):
+        one, many = pii.fit(single, **limits), pii.fit(copies, **limits)
+        assert one.thresholds == many.thresholds
+        x = np.array([pii.features("secret", t[-40:], t[:8], "") for t in texts], float)
+        assert (one.probability(np.array(["secret"] * len(x)), x) == many.probability(np.array(["secret"] * len(x)), x)).all()
+
+
 def change(spark, op, rows, old=False):
     frame = spark.createDataFrame(rows, "source string, lang string, version string, n long" + (", old_version string, old_n long" if old else ""))
     more = (F.col("old_version"), F.col("old_n")) if old else ()
