@@ -6,7 +6,8 @@ room) and marks bins with at most ``slack`` free tokens as finished. Only the un
 they are the items of the next level, where the bins of ``fan_in`` neighbouring groups meet in one
 task and are packed again. The fan-in follows from the counted underfull bins, so that a task never
 gets more than about ``group_bins`` of them; the tree ends at one group, or when a level joins less
-than one bin in a hundred (then no two of the rest fit together).
+than one bin in a hundred. Best fit leaves at most one bin per group that is at most half full; where
+several groups are left, these bins are packed together once more, so that at most one of them stays.
 
 What moves between tasks is the layout (48 bytes a piece), never the tokens. Every level is a table
 in the shared folder, so a lost executor repeats one level at most.
@@ -154,6 +155,7 @@ def pack(
 ) -> DataFrame:
     """Layout of all documents: one row per piece with ``sequence_id`` and ``offset``."""
     schema = BINS
+    counts = None
     level = stored(map_texts(docs.select("doc_id", "text"), _local(tokenizer, capacity, end_id, slack), schema), "pack-0")
     finished, open_bins = [level.where("done")], level.where("not done")
     for depth in range(1, levels + 1):
@@ -168,6 +170,11 @@ def pack(
         level = stored(merged.groupBy("grp").applyInArrow(_merge(depth, capacity, slack), schema), f"pack-{depth}")
         finished.append(level.where("done"))
         open_bins = level.where("not done")
+    if counts and counts.g > 1:
+        half = F.col("used") * 2 <= capacity
+        finished.append(open_bins.where(~half))
+        last = open_bins.where(half).withColumn("grp", F.lit(0).cast("bigint"))
+        open_bins = stored(last.groupBy("grp").applyInArrow(_merge(levels + 1, capacity, slack), schema), "pack-last")
     everything = open_bins
     for part in finished:
         everything = everything.unionByName(part)

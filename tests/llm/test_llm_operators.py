@@ -12,7 +12,7 @@ from test_llm_texts import plain_base, plain_measures, words_of
 from tokenizers import Tokenizer
 
 from fleetlens.llm import fingerprint, hostrules, idfiles, jaccard, language, mixing, packing, pii, quality, rollup
-from fleetlens.llm.tables import fresh_path, held_out, join_stats
+from fleetlens.llm.tables import fresh_path, held_out, join_stats, stored
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -336,6 +336,14 @@ def test_copies_count_once_in_the_fit_of_personal_data(spark):
         assert (one.probability(np.array(["secret"] * len(x)), x) == many.probability(np.array(["secret"] * len(x)), x)).all()
 
 
+def test_no_two_half_full_sequences_stay(spark):
+    docs = table(spark, [(i, "word " * (94 if i % 50 else 4), "en", "s") for i in range(700)], parts=12)
+    layout = stored(packing.pack(docs, BYTES, capacity=100, slack=0, group_bins=8), "layout")
+    used = [r.used for r in layout.groupBy("sequence_id").agg(F.sum("length").alias("used")).collect()]
+    assert layout.count() == 700 and layout.select("doc_id").distinct().count() == 700 and max(used) <= 100
+    assert sum(2 * u <= 100 for u in used) <= 1, sorted(used)[:20]
+
+
 def change(spark, op, rows, old=False):
     frame = spark.createDataFrame(rows, "source string, lang string, version string, n long" + (", old_version string, old_n long" if old else ""))
     more = (F.col("old_version"), F.col("old_n")) if old else ()
