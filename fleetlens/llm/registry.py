@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, pii, quality, rollup
+from fleetlens.llm import dialogue, fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, periodic, pii, quality, rollup
 from fleetlens.llm.tables import documents, fresh_path, held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,43 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.apply("drop-copies", rollup.changes(copies, "delete", version, tokens))
     ledger.apply("revise-en", revision)
     return ledger.totals()
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after a damage that is decided by hashes."""
+    turns = dialogue.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    gone = F.col("gone")
+    return dialogue.digest(turns, dialogue.plan(turns, gone=gone), gone=gone)
+
+
+def with_loop(text: Column, doc_id: Column) -> Column:
+    """Texts in which one document in ten goes on periodically from some word to its end, by a hash of its id."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def loop(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.get(w, (a + (i - a) % p).cast("int"))).otherwise(x)), " ")
+
+    looped = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, loop(w)).otherwise("")), F.lit(0))
+    return F.when(h % 10 == 0, looped).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, one in ten of them made periodic."""
+    docs = documents(spark, sf_dir)
+    found = periodic.find_runs(docs, text=with_loop(F.col("text"), F.col("doc_id")))
+    best = periodic.longest()
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(periodic.listed(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
