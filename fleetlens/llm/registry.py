@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import dialogue, fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, periodic, pii, quality, rollup
+from fleetlens.llm import dialogue, fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, periodic, pii, quality, rollup, toxicity
 from fleetlens.llm.tables import documents, fresh_path, held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,14 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+@query
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, train_fold=~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, after a damage that is decided by hashes."""

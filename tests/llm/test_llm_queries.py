@@ -21,7 +21,7 @@ from fleetlens.llm.tables import documents, held_out, stored
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF_DIR}/{name}.parquet')")
     return con
 
@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_operator_has_one_query():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     import __spark_entry__
 
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
