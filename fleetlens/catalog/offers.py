@@ -94,14 +94,12 @@ def top_k_offers(v):
 
 @query("assign_offers", "offers", "units", oracle=f""", u AS (SELECT unit_key, CASE shard_id % 4 WHEN 0 THEN 'RTX_3090' WHEN 1 THEN 'RTX_4090' WHEN 2 THEN 'RTX_5090' ELSE 'A100' END AS gpu_type FROM v_units WHERE status = 'pending'),
  un AS (SELECT *, row_number() OVER (PARTITION BY gpu_type ORDER BY unit_key) AS r FROM u),
- o AS (SELECT {CANON} AS gpu_type, offer_id, machine_id, row_number() OVER (PARTITION BY gpu_name ORDER BY dph_total, offer_id, machine_id) AS rank FROM v_offers WHERE {PASSING} {{where}}),
+ o AS (SELECT {CANON} AS gpu_type, offer_id, machine_id, row_number() OVER (PARTITION BY gpu_name ORDER BY dph_total, offer_id, machine_id) AS rank FROM v_offers WHERE {PASSING}),
  d AS (SELECT *, min(rank) FILTER (machine_id = '') OVER (PARTITION BY gpu_type) AS open_rank FROM o QUALIFY row_number() OVER (PARTITION BY gpu_type, machine_id ORDER BY rank) = 1),
  s AS (SELECT *, row_number() OVER (PARTITION BY gpu_type ORDER BY rank) AS slot FROM d WHERE open_rank IS NULL OR rank <= open_rank)
 SELECT un.unit_key, un.gpu_type, s.offer_id, s.machine_id, CASE WHEN s.offer_id IS NOT NULL THEN '' WHEN un.gpu_type NOT IN (SELECT gpu_type FROM o) THEN 'No GPU offers available' ELSE 'no unclaimed offer' END AS error
-FROM un LEFT JOIN s ON s.gpu_type = un.gpu_type AND (s.slot = un.r OR (s.rank = s.open_rank AND un.r > s.slot))""".replace("{where}", "AND (machine_id <> '' OR gpu_name = 'RTX 5090')"))
+FROM un LEFT JOIN s ON s.gpu_type = un.gpu_type AND (s.slot = un.r OR (s.rank = s.open_rank AND un.r > s.slot))""")
 def assign_offers(v):
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("shard_id") % 4 + 1).cast("int"))
     units = v.units.where("status = 'pending'").select("unit_key", kind.alias("gpu_type"))
-    # Two of the types have named machines only, so that every unit needs one of its own.
-    offers = v.offers.where((F.col("machine_id") != "") | (F.col("gpu_name") == "RTX 5090"))
-    return market.assign(units, market.quality_filter(offers))
+    return market.assign(units, market.quality_filter(v.offers))

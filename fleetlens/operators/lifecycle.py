@@ -14,7 +14,7 @@ from fleetlens import constants as C
 from fleetlens.functions import json_values as J
 from fleetlens.functions import prefixes as P
 from fleetlens.functions.text import strip
-from fleetlens.operators.ordered import Running, hashed_rank, running
+from fleetlens.operators.ordered import Running, hash_slice, running
 
 RULE = ("bucket", "pos", "id", "status", "prefix", "days", "extra")
 RULES_PER_SLICE = 1024
@@ -246,15 +246,18 @@ def lifecycle_plan(rules: DataFrame, policies: DataFrame, *, operation: str = "a
     )
 
 
-def renumbered(rules: DataFrame) -> DataFrame:
-    """Rules with gapless positions in their order."""
+def renumbered(rules: DataFrame, *, appended: Column | None = None) -> DataFrame:
+    """Rules with gapless positions in their order; those that are ``appended`` come last, by the hash of their prefix."""
+    last = F.lit(0) if appended is None else F.when(appended, 1).otherwise(0)
+    place = F.when(last == 1, hash_slice(F.col("prefix"))).otherwise(F.lit(""))
+    name = F.when(last == 1, F.col("prefix")).otherwise(F.col("id"))
     ranked = running(
-        rules,
+        rules.withColumns({"_last": last, "_hash": place, "_name": name}),
         ["bucket"],
-        "pos",
-        ["id"],
+        "_last",
+        ["pos", "_hash", "_name"],
         [Running("_rank", "sum", F.lit(1), include_current=False)],
-        slice_by=F.floor(F.col("pos") / RULES_PER_SLICE),
+        slice_by=F.struct("_last", F.floor(F.col("pos") / RULES_PER_SLICE).alias("pos"), "_hash"),
     )
     return ranked.withColumn("pos", F.col("_rank").cast("int")).select(*RULE)
 
@@ -265,21 +268,18 @@ def rules_after(rules: DataFrame, policies: DataFrame, *, operation: str = "appl
     kept = rules.join(wanted.select("bucket", F.col("rule_id").alias("id")), ["bucket", "id"], "left_anti").select(*RULE)
     if operation != "apply":
         return renumbered(kept)
-    last = rules.groupBy("bucket").agg(F.max("pos").alias("_last"))
-    new = (
-        hashed_rank(wanted, ["bucket"], "canonical_prefix", "_rank")
-        .join(last, "bucket", "left")
-        .select(
-            "bucket",
-            (F.coalesce("_last", F.lit(-1)) + F.col("_rank")).cast("int").alias("pos"),
-            F.col("rule_id").alias("id"),
-            F.lit("Enabled").alias("status"),
-            F.col("canonical_prefix").alias("prefix"),
-            F.col("days").cast("int").alias("days"),
-            F.lit("{}").alias("extra"),
-        )
+    new = wanted.select(
+        "bucket",
+        F.lit(None).cast("int").alias("pos"),
+        F.col("rule_id").alias("id"),
+        F.lit("Enabled").alias("status"),
+        F.col("canonical_prefix").alias("prefix"),
+        F.col("days").cast("int").alias("days"),
+        F.lit("{}").alias("extra"),
+        F.lit(True).alias("_new"),
     )
-    return renumbered(kept.unionByName(new))
+    every = kept.withColumn("_new", F.lit(False)).unionByName(new)
+    return renumbered(every, appended=F.col("_new"))
 
 
 def plan_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import basename, chunk_index, parse_key, safe_path
 from fleetlens.operators.ordered import DAY, Running, positions, running
+from fleetlens.session import stored
 
 CHUNKS_PER_SLICE = 4096
 
@@ -119,7 +120,8 @@ def chunk_plan(sizes: DataFrame, *, slice_seconds: int = DAY) -> DataFrame:
         [Running("_before", "max", F.col("size"), include_current=False)],
         slice_seconds=slice_seconds,
     ).withColumn("_before", F.coalesce("_before", F.lit(0)))
-    grown = seen.where(F.col("size") > F.col("_before"))
+    # few rows of the sizes, numbered in a second pass
+    grown = stored(seen.where(F.col("size") > F.col("_before")).select("file_id", "event_id", "ts", "size", "_before"), "grown")
     numbered = running(
         grown,
         ["file_id"],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions import gpu
 from fleetlens.operators.ordered import Running, exact_median, running
+from fleetlens.session import stored
 
 OFFER_ORDER = ("dph_total", "offer_id", "machine_id")
 #: Slices per dollar of the machine ranks, and first characters of a key that make a slice of the unit ranks.
@@ -128,7 +129,7 @@ def assign(units: DataFrame, offers: DataFrame, *, key: str = "unit_key") -> Dat
     the key's first characters), so that no task orders a whole GPU type.
     """
     best = F.min(F.struct(*OFFER_ORDER)).alias("_best")
-    machines = offers.withColumn("machine_id", F.coalesce("machine_id", F.lit(""))).groupBy("gpu_type", "machine_id").agg(best)
+    machines = stored(offers.withColumn("machine_id", F.coalesce("machine_id", F.lit(""))).groupBy("gpu_type", "machine_id").agg(best), "machines")
     open_offer = machines.where(F.col("machine_id") == "").select("gpu_type", F.col("_best").alias("_open"))
     closed = (
         machines.where(F.col("machine_id") != "")
@@ -141,7 +142,7 @@ def assign(units: DataFrame, offers: DataFrame, *, key: str = "unit_key") -> Dat
         closed, ["gpu_type"], "dph_total", OFFER_ORDER[1:], one, slice_by=F.floor(F.col("dph_total") * PRICE_SLICES)
     ).select("gpu_type", "_slot", "offer_id", "machine_id")
     numbered = running(units, ["gpu_type"], key, [], one, slice_by=F.substring(F.col(key).cast("string"), 1, KEY_SLICE))
-    known = offers.select("gpu_type").distinct().withColumn("_listed", F.lit(True))
+    known = machines.select("gpu_type").distinct().withColumn("_listed", F.lit(True))
     placed = (
         numbered.join(slots, ["gpu_type", "_slot"], "left")
         .join(open_offer, "gpu_type", "left")

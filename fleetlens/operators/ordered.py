@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.session import stored
+
 DAY = 86_400
 #: Rows from which a slice is cut again, parts it is cut into at most, and slices that are cut at most.
 #: The slices cut are the largest ones, so a slice left whole holds less than 1 / HEAVY_SLICES of all rows.
@@ -39,38 +41,58 @@ def _combine(kind: str, left: Column, right: Column) -> Column:
     return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
 
 
-def split_heavy(df: DataFrame, slice_keys: Sequence[str], order: Sequence[str], *, rows: int | None = None) -> DataFrame:
-    """Add ``_part``: 0 in most slices, and the place among the quantiles of ``order`` in the heavy ones.
+@dataclass(frozen=True)
+class Sliced:
+    """``rows`` with ``_group`` (keys, ``_slice``, ``_part``), and a stored row of ``totals`` per group with the same fields."""
+
+    rows: DataFrame
+    totals: DataFrame
+
 
-    The heaviest slices are found by counts and a top-k, a hash sample of their rows gives the cuts, and
-    the cuts (at most ``HEAVY_SLICES * HEAVY_PARTS`` tuples) are broadcast, so the rows are not shuffled
-    for this.
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: Sequence[Column], *, rows: int | None = None) -> Sliced:
+    """Cut the slices of ``df`` (column ``_slice``) again where they are heavy, and fold each group.
+
+    The folds of all slices are computed first and stored, so ``df`` is read once for them and once for its rows, however
+    often the totals are used. Only if a slice has more than ``rows`` rows, a sample of its distinct places
+    in the order, each with its count, gives at most ``HEAVY_PARTS`` cuts of it, and the cuts (at most
+    ``HEAVY_SLICES * HEAVY_PARTS`` tuples) are broadcast. A burst of equal rows is one place of the sample, however many rows it has.
+    NULL is a key and a slice like others: groups are structs, whose NULL fields are equal.
     """
     limit = HEAVY_ROWS if rows is None else rows
-    heavy = (
-        df.groupBy(*slice_keys)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *slice_keys)
-        .limit(HEAVY_SLICES)
-    )
-    place = F.struct(*order)
+    names = [*keys, "_slice"]
+    whole = df.withColumn("_whole", F.struct(*names))
+    totals = stored(whole.groupBy("_whole").agg(F.count("*").alias("_rows"), *folds), "slices")
+    heavy = totals.where(F.col("_rows") > limit)
+    if heavy.isEmpty():
+        plain = whole.withColumn("_part", F.lit(0))
+        totals = totals.withColumn("_part", F.lit(0))
+    else:
+        heavy = stored(heavy.select("_whole", "_rows").orderBy(F.desc("_rows"), "_whole").limit(HEAVY_SLICES), "heavy-slices")
+        cuts = F.broadcast(stored(_cuts(whole.join(F.broadcast(heavy), "_whole"), order, limit), "cuts"))
+        part = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.struct(*order)))
+        plain = whole.join(cuts, "_whole", "left").withColumn("_part", part).drop("_cuts")
+        inside = plain.join(F.broadcast(heavy.select("_whole")), "_whole", "left_semi").groupBy("_whole", "_part").agg(F.count("*").alias("_rows"), *folds)
+        others = totals.join(F.broadcast(heavy.select("_whole")), "_whole", "left_anti").withColumn("_part", F.lit(0))
+        totals = others.unionByName(stored(inside, "heavy-totals"))
+    group = F.struct(*[F.col("_whole")[n].alias(n) for n in names], "_part")
+    return Sliced(plain.withColumn("_group", group).drop("_whole", "_slice", "_part"), totals.withColumn("_group", group).drop("_whole", "_part"))
+
+
+def _cuts(heavy: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """Cuts of each heavy slice at quantiles of its places; a place counts by its rows."""
     parts = F.least(F.ceil(F.col("_rows") / limit), F.lit(HEAVY_PARTS))
     every = F.greatest(F.floor(F.col("_rows") / (parts * _PER_CUT)), F.lit(1))
-    sample = (
-        df.select(*slice_keys, *[c for c in order if c not in slice_keys])
-        .join(F.broadcast(heavy), list(slice_keys))
-        .where(F.pmod(F.xxhash64(*order), every) == 0)
-        .groupBy(*slice_keys)
-        .agg(F.sort_array(F.collect_list(place)).alias("_seen"))
-    )
-    cuts = sample.select(*slice_keys, F.filter("_seen", lambda x, i: i % _PER_CUT == _PER_CUT - 1).alias("_cuts"))
-    return (
-        df.join(F.broadcast(cuts), list(slice_keys), "left")
-        .withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0)))
-        .withColumn("_part", F.greatest("_part", F.lit(0)))
-        .drop("_cuts")
-    )
+    places = heavy.groupBy("_whole", "_rows", F.struct(*order).alias("_place")).agg(F.count("*").alias("_n"))
+    # a place with as many rows as stand for a sampled one is always taken, with its weight
+    seen = places.where((F.col("_n") >= every) | (F.pmod(F.xxhash64("_place"), every) == 0)).withColumn("_weight", F.greatest(F.lit(1), F.floor(F.col("_n") / every)))
+    upto = Window.partitionBy("_whole").orderBy("_place")
+    cell = lambda weight: F.floor(weight / _PER_CUT)
+    ends = seen.withColumn("_end", F.sum("_weight").over(upto)).where(cell(F.col("_end")) > cell(F.col("_end") - F.col("_weight")))
+    return ends.groupBy("_whole").agg(F.sort_array(F.collect_list("_place")).alias("_cuts"))
+
+
+def _of_group(keys: Sequence[str]) -> list[Column]:
+    return [F.col("_group")[k] for k in keys]
 
 
 def running(
@@ -84,62 +106,49 @@ def running(
     slice_by: Column | None = None,
     heavy_rows: int | None = None,
 ) -> DataFrame:
-    """Add running values per key, ordered by ``ts`` then ``ties``.
+    """Add running values per key, ordered by ``ts`` then ``ties``, NULLs first; rows that are equal there get their values in any order.
 
-    Keys must not be NULL. The slice window holds one row per key and time
+    NULL is a key like others. The slice window holds one row per key and time
     slice, so its size depends on the time span and not on the row count. For a
-    numeric order give ``slice_by``, a non-decreasing function of it.
+    numeric order give ``slice_by``, a non-decreasing function of it. The totals of the slices are computed at once (``sliced``),
+    the rows when the result is used.
     """
     fold = {"sum": F.sum, "max": F.max}
     if slice_by is None:
         slice_by = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds)
     cut = df.withColumn("_slice", slice_by).select("*", *[s.value.alias(f"_v_{s.name}") for s in specs])
-    cut = split_heavy(cut, [*keys, "_slice"], [ts, *ties], rows=heavy_rows)
-    slices = cut.groupBy(*keys, "_slice", "_part").agg(
-        *[fold[s.kind](f"_v_{s.name}").alias(f"_t_{s.name}") for s in specs]
-    )
-    before = Window.partitionBy(*keys).orderBy("_slice", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slices.select(
-        *keys, "_slice", "_part", *[fold[s.kind](f"_t_{s.name}").over(before).alias(f"_b_{s.name}") for s in specs]
-    )
-    inner = Window.partitionBy(*keys, "_slice", "_part").orderBy(ts, *ties)
-    scanned = cut.join(bases, [*keys, "_slice", "_part"], "left")
+    parts = sliced(cut, keys, [ts, *ties], [fold[s.kind](f"_v_{s.name}").alias(f"_t_{s.name}") for s in specs], rows=heavy_rows)
+    before = Window.partitionBy(*_of_group(keys)).orderBy(*_of_group(["_slice", "_part"])).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.totals.select("_group", *[fold[s.kind](f"_t_{s.name}").over(before).alias(f"_b_{s.name}") for s in specs])
+    inner = Window.partitionBy("_group").orderBy(ts, *ties)
+    scanned = parts.rows.join(bases, "_group", "left")
     out = {}
     for s in specs:
         frame = inner.rowsBetween(Window.unboundedPreceding, 0 if s.include_current else -1)
         out[s.name] = _combine(s.kind, F.col(f"_b_{s.name}"), fold[s.kind](f"_v_{s.name}").over(frame))
-    scratch = ["_slice", "_part", *[f"_v_{s.name}" for s in specs], *[f"_b_{s.name}" for s in specs]]
-    return scanned.withColumns(out).drop(*scratch)
+    return scanned.withColumns(out).drop("_group", *[f"_v_{s.name}" for s in specs], *[f"_b_{s.name}" for s in specs])
 
 
 def hash_slice(value: Column) -> Column:
-    """One of 4096 even slices, from the text's md5."""
-    return F.substring(F.md5(value.cast("string")), 1, 3)
+    """One of 4096 even slices, from the text's md5; NULL has a slice of its own before them."""
+    return F.coalesce(F.substring(F.md5(value.cast("string")), 1, 3), F.lit(""))
 
 
 def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, name: str = "rank") -> DataFrame:
     """Add a 1-based rank per key in the order (hash slice, ident), and the key's row count.
 
     The slices are even whatever the key sizes are, so a key with most of the
-    rows is still ranked by 4096 tasks, and by more where a slice is heavy.
+    rows is still ranked by 4096 tasks, and by more where a slice is heavy. NULL is a key and an ident like others.
     """
-    cut = df.withColumn("_slice", hash_slice(F.col(ident)))
-    cut = split_heavy(cut, [*keys, "_slice"], [ident])
-    slices = cut.groupBy(*keys, "_slice", "_part").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*keys).orderBy("_slice", "_part")
-    bases = slices.select(
-        *keys,
-        "_slice",
-        "_part",
-        F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
-    )
-    inner = Window.partitionBy(*keys, "_slice", "_part").orderBy(ident)
-    return (
-        cut.join(bases, [*keys, "_slice", "_part"])
-        .withColumn(name, F.col("_base") + F.row_number().over(inner))
-        .drop("_slice", "_part", "_base")
+    parts = sliced(df.withColumn("_slice", hash_slice(F.col(ident))), keys, [ident], [])
+    of_key = Window.partitionBy(*_of_group(keys))
+    ordered = of_key.orderBy(*_of_group(["_slice", "_part"])).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.totals.select(
+        "_group", F.coalesce(F.sum("_rows").over(ordered), F.lit(0)).alias("_base"), F.sum("_rows").over(of_key).alias("group_size")
     )
+    inner = Window.partitionBy("_group").orderBy(ident)
+    ranked = parts.rows.join(bases, "_group").withColumn(name, F.col("_base") + F.row_number().over(inner))
+    return ranked.drop("_group", "_base")
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: str, *, ties: Sequence[str] = (), slice_size: int = 4096, name: str = "position") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions import fmt
 from fleetlens.functions.keys import basename
-from fleetlens.operators.ordered import DAY, Running, running, split_heavy
+from fleetlens.operators.ordered import DAY, Running, running, sliced
 
 MICRO_HOUR = 3.6e9
 
@@ -236,28 +236,32 @@ def spend_crossings(
     cut = spend.withColumn("_slice", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_seconds)).withColumn(
         "_money", money
     )
-    cut = split_heavy(cut, [key, "_slice"], ["ts", "event_id"])
+    parts = sliced(cut, [key], ["ts", "event_id"], [F.sum("_money").alias("_sum")])
     limits = {"warning_at": ceiling * C.BUDGET_WARNING_SHARE, "exceeded_at": ceiling}
     marks = {name: F.lit(value).cast("decimal(18,6)") for name, value in limits.items()}
-    upto = Window.partitionBy(key).orderBy("_slice", "_part")
+    owner = F.col("_group")[key]
+    upto = Window.partitionBy(owner).orderBy(F.col("_group._slice"), F.col("_group._part"))
     slices = (
-        cut.groupBy(key, "_slice", "_part")
-        .agg(F.sum("_money").alias("_sum"))
+        parts.totals.withColumn("_sum", F.coalesce("_sum", F.lit(0)))
         .withColumn("_end", F.sum("_sum").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_sum"))
     )
     crosses = F.lit(False)
     for mark in marks.values():
         crosses = crosses | ((F.col("_start") < mark) & (F.col("_end") >= mark))
-    inner = Window.partitionBy(key, "_slice", "_part").orderBy("ts", "event_id")
+    inner = Window.partitionBy("_group").orderBy("ts", "event_id")
+    run = F.col("_start") + F.coalesce(F.sum("_money").over(inner), F.lit(0))
+    firsts = [F.min(F.when(F.col("_run") >= mark, F.col("ts"))).alias(name) for name, mark in marks.items()]
     moments = (
-        cut.join(slices.where(crosses).select(key, "_slice", "_part", "_start"), [key, "_slice", "_part"])
-        .withColumn("_run", F.col("_start") + F.sum("_money").over(inner))
-        .groupBy(key)
-        .agg(*[F.min(F.when(F.col("_run") >= mark, F.col("ts"))).alias(name) for name, mark in marks.items()])
+        parts.rows.join(slices.where(crosses).select("_group", "_start"), "_group")
+        .withColumn("_run", run)
+        .groupBy("_group")
+        .agg(*firsts)
+        .groupBy(owner.alias("_owner"))
+        .agg(*[F.min(name).alias(name) for name in marks])
     )
-    totals = slices.groupBy(key).agg(F.sum("_sum").cast("double").alias("spent"))
-    return totals.join(moments, key, "left")
+    totals = slices.groupBy(owner.alias(key)).agg(F.sum("_sum").cast("double").alias("spent"))
+    return totals.join(moments, F.col(key).eqNullSafe(F.col("_owner")), "left").drop("_owner")
 
 
 # Deployment gates in their order, with the text of a failure.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Shuffle partitions before adaptive execution merges the small ones.
@@ -64,3 +64,10 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
         return f"{tempfile.mkdtemp(prefix='fleetlens-')}/{label}"
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a fresh table in the shared folder and read back: it is computed once and outlives executors."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
