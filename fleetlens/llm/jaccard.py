@@ -374,10 +374,16 @@ def join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float =
 
 
 def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: one per class, whole and with all columns (not ``_row_id``, ``_rows``)."""
+    """The rows of ``docs`` that stand for their class: one per class, whole and with all columns (not ``_row_id``, ``_rows``).
+
+    Where rows share the id of a class, each of their different texts stays, and of rows with an equal text the one with the least hash of
+    all its columns.
+    """
     kept = joined.where(F.col("row_id") == F.col("class_id")).groupBy(F.col("row_id").alias("_row_id")).agg(F.count("*").alias("_rows"))
     kept = stored(kept, "kept")
     rows = docs.withColumn("_row_id", row_id()).join(kept, "_row_id")
     if kept.where("_rows > 1").limit(1).count():
-        rows = rows.dropDuplicates(["_row_id"])
+        own = F.struct(*docs.columns)
+        many = rows.where("_rows > 1").groupBy("_row_id", F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min_by(own, F.xxhash64(own)).alias("_row"))
+        rows = rows.where("_rows = 1").select(*docs.columns).unionByName(many.select("_row.*"))
     return rows.select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import blocks, map_texts, mixed
+from fleetlens.llm.tables import blocks, map_texts, mixed, stored
 
 UNKNOWN = "und"
 _LETTERS: np.ndarray | None = None
@@ -44,8 +44,8 @@ def letters() -> np.ndarray:
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams, the text of each, and whether each text has a letter."""
     lowered = [t.lower() for t in texts]
-    points = np.frombuffer("\0\0\0\0".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) + 4 for t in lowered])
+    points = np.frombuffer("\0\0\0\0".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = 4 + np.cumsum([len(t) + 4 for t in lowered])
     is_letter = letters()[points]
     seen = np.add.reduceat(is_letter, np.concatenate([[0], ends[:-1]])) > 0 if len(points) else np.zeros(len(texts), bool)
     code = np.where(is_letter, points, 0).astype(np.uint64)
@@ -135,11 +135,19 @@ def fit(docs: DataFrame, *, train: Column, train_docs: int = 1500, grams: int =
         share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, train_docs / r["count"]))).otherwise(share)
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share * float(1 << 30))
     counted = map_texts(sample, _count(languages), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    counted = stored(counted, "language-grams")
+    # how many n-grams have each count: few rows per language, so that no task ranks a language's n-grams
+    steps = counted.groupBy("lang", "n").agg(F.count("*").alias("_ties"))
+    above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_above", F.coalesce(F.sum("_ties").over(above), F.lit(0))).where(F.col("_above") < grams)
+    # of the n-grams at the last count a share by their (hashed) value
+    room = (F.lit(grams) - F.col("_above")) / F.col("_ties")
+    value = F.shiftrightunsigned("gram", 12) / F.lit(float(1 << 52))
+    chosen = counted.join(steps, ["lang", "n"]).where(value < room)
     place = F.explode(F.array(*[F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit(positions - 1)) for k in range(hashes)]))
     word = F.floor(F.col("lang") / 64).cast("int").alias("word")
     bit = F.expr("shiftleft(1L, lang % 64)").alias("bit")
-    sliced = ranked.where(F.col("rank") <= grams).select(place.alias("place"), word, bit).groupBy("place", "word").agg(F.bit_or("bit").alias("bits"))
+    sliced = chosen.select(place.alias("place"), word, bit).groupBy("place", "word").agg(F.bit_or("bit").alias("bits"))
     for r in sliced.toLocalIterator():
         rows[r.place, r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
     return Filters(languages, np.array([r["count"] / total for r in sizes]), rows, hashes)

@@ -7,7 +7,9 @@ The document is exploded by its count, and the copies are dealt to random partit
 hash of (document, copy): a global shuffle.
 
 A rate above ``PART`` is split into equal parts with a uniform number each (a sum of Poisson numbers
-is one), so that exp(-rate) never underflows. The source sizes are one partial aggregate; they are
+is one), so that exp(-rate) never underflows. Documents of a source with over ``BLOCK`` parts are dealt to tasks in blocks of
+parts before they are repeated, so that one document of a tiny source is no task's whole work; their copies are numbered by
+running sums over the blocks, a row each. A document has at most 2^31 - 1 copies. The source sizes are one partial aggregate; they are
 broadcast up to a counted bound and joined with salt beyond it.
 
 Edge cases: a NULL source is a source of its own; a NULL or empty text has no characters; a source
@@ -19,13 +21,15 @@ equal counts; a NULL ``doc_id`` hashes like an empty one; further columns are ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.tables import join_stats, partitions, stored
 
 #: Largest rate that is inverted in one go.
 PART = 64.0
+#: Parts of a rate that one row stands for.
+BLOCK = 1024
 #: 52 bits of a hash as a number in [0, 1).
 _UNIT = float(1 << 52)
 
@@ -74,12 +78,32 @@ def mix(
     rate = F.col("_mix_rate")
     pieces = F.greatest(F.ceil(rate / PART).cast("int"), F.lit(1))
     part = rate / pieces
-    counts = F.transform(
-        F.sequence(F.lit(1), pieces), lambda i: poisson_quantile(uniform(F.lit(seed), F.col("doc_id"), i), part)
-    )
-    count = F.when(rate > 0, F.aggregate(counts, F.lit(0), lambda a, c: a + c)).otherwise(F.lit(0))
-    counted = rated.withColumn("_mix_count", count).where(F.col("_mix_count") > 0)
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_count") - 1)))
+
+    def count(first: Column, last: Column) -> Column:
+        counts = F.transform(F.sequence(first, last), lambda i: poisson_quantile(uniform(F.lit(seed), F.col("doc_id"), i), part))
+        return F.when(rate > 0, F.aggregate(counts, F.lit(0), lambda a, c: a + c)).otherwise(F.lit(0))
+
+    def repeated(counted: DataFrame, first: Column) -> DataFrame:
+        copy = F.explode(F.sequence(F.lit(0), F.col("_mix_count") - 1))
+        return counted.where(F.col("_mix_count") > 0).withColumn("copy", copy).withColumn("copy", (first + F.col("copy")).cast("int"))
+
+    highest = by_source.agg(F.max("_mix_rate")).first()[0]
+    if highest is None or highest <= BLOCK * PART:
+        copies = repeated(rated.withColumn("_mix_count", count(F.lit(1), pieces)), F.lit(0))
+    else:
+        usual = rated.where(F.coalesce(rate <= BLOCK * PART, F.lit(True)))
+        block = F.explode(F.sequence(F.lit(1), pieces, F.lit(BLOCK)))
+        last = F.least(F.col("_mix_block") + BLOCK - 1, pieces)
+        # ids, not texts: equal ids of a source have equal counts
+        blocks = rated.where(rate > BLOCK * PART).select("doc_id", "source", "_mix_rate").distinct().withColumn("_mix_block", block)
+        blocks = blocks.repartition(partitions(docs.sparkSession), "doc_id", "_mix_block").withColumn("_mix_count", count(F.col("_mix_block"), last))
+        before = Window.partitionBy("doc_id", "source").orderBy("_mix_block").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.coalesce(F.sum("_mix_count").over(before), F.lit(0)).alias("_mix_first")
+        placed = stored(blocks.select(F.struct("doc_id", "source").alias("_mix_key"), "_mix_block", "_mix_count", first), "mixing-blocks")
+        dealt = rated.where(rate > BLOCK * PART).withColumns({"_mix_key": F.struct("doc_id", "source"), "_mix_block": block})
+        dealt = dealt.repartition(partitions(docs.sparkSession), "_mix_key", "_mix_block").join(placed, ["_mix_key", "_mix_block"])
+        many = repeated(dealt, F.col("_mix_first"))
+        copies = repeated(usual.withColumn("_mix_count", count(F.lit(1), pieces)), F.lit(0)).unionByName(many.select(*docs.columns, "_mix_rate", "_mix_count", "copy"))
     keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")))
     dealt = keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
     return dealt.select(*docs.columns, "copy", "shuffle_key")

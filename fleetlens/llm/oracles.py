@@ -77,17 +77,6 @@ SELECT doc_id, root AS class_id, c.rep AS copy_of, CAST(coalesce(n_docs, 0) + co
 FROM keyed JOIN classes c USING (set_key) JOIN roots ON node = c.rep LEFT JOIN counts ON counts.rep = c.rep
 """
 
-ROLLUP = rf"""
-WITH counted AS (
-  SELECT doc_id, source, lang, coalesce(text, '') AS text, coalesce(lang = 'en', false) AS english FROM documents),
-kept AS (
-  SELECT c.*, doc_id > min(doc_id) OVER (PARTITION BY text) AS later FROM counted c)
-SELECT source, lang, CASE WHEN english THEN 'runs-2' ELSE 'words-1' END AS version, count(*) AS n_docs,
-  CAST(sum(CASE WHEN english THEN len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]'))
-    ELSE len(regexp_extract_all(text, '{WORD}')) END) AS BIGINT) AS n_tokens
-FROM kept WHERE NOT coalesce(later, false) GROUP BY source, lang, english
-"""
-
 #: A table of CRC-32 steps by byte, and the CRC-32 of an ASCII text.
 CRC_TABLE = """crc_steps AS (
   SELECT list(v ORDER BY b) AS t FROM (
@@ -197,7 +186,6 @@ ORACLES = {
     "op3_poisson_mixing": MIXING,
     "op7_host_rules": HOST_RULES,
     "op8_ngram_jaccard": JACCARD,
-    "op10_token_rollup": ROLLUP,
     "op12_conversation_repair": REPAIR,
     "op13_periodic_runs": PERIODIC,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import dialogue, fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, periodic, pii, quality, rollup, toxicity
+from fleetlens.llm import dialogue, fingerprint, hostrules, idfiles, jaccard, language, mixing, oracles, packing, periodic, pii, quality, rollup, tokens, toxicity
 from fleetlens.llm.tables import documents, fresh_path, held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,33 +84,29 @@ def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
-#: Two tokenizer versions that SQL can express: words, and runs of ASCII letters, digits and other visible characters.
-COUNTERS = {"words-1": r"[^\x20\x09-\x0D]+", "runs-2": r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"}
+#: The tokenizer versions of the rollup and their files.
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json", "word_bpe_49k": "word_bpe_49k.json"}
 
 
 @query
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals after four batches over all documents, one of them sent twice.
 
-    All documents arrive counted by words-1; those in English are revised to runs-2; documents whose
+    All documents arrive counted by one tokenizer; those in English are revised to the other; documents whose
     text another document with a lower id has are deleted; the revision is sent again.
     """
     ledger = rollup.Ledger(spark, fresh_path(spark, "rollup"))
-    counts = {v: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)) for v, p in COUNTERS.items()}
-    docs = documents(spark, sf_dir)
-    counted = stored(
-        docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), *[c.alias(f"n_{v[:-2]}") for v, c in counts.items()]),
-        "token-counts",
-    )
-    old, new = map(F.lit, COUNTERS)
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
+    counted = stored(tokens.with_counts(docs, {name: public_tokenizers.path(file) for name, file in VERSIONS.items()}), "token-counts")
+    (old, old_tokens), (new, new_tokens) = ((F.lit(name), F.col(name)) for name in VERSIONS)
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     first = counted.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
     copies = counted.where(F.col("doc_id").isNotNull()).join(first, ["text_key", "doc_id"], "left_anti")
-    revision = rollup.changes(counted.where(english), "revise", new, F.col("n_runs"), old, F.col("n_words"))
-    version, tokens = F.when(english, new).otherwise(old), F.when(english, F.col("n_runs")).otherwise(F.col("n_words"))
-    ledger.apply("load", rollup.changes(counted, "insert", old, F.col("n_words")))
+    revision = rollup.changes(counted.where(english), "revise", new, new_tokens, old, old_tokens)
+    version, tokens_now = F.when(english, new).otherwise(old), F.when(english, new_tokens).otherwise(old_tokens)
+    ledger.apply("load", rollup.changes(counted, "insert", old, old_tokens))
     ledger.apply("revise-en", revision)
-    ledger.apply("drop-copies", rollup.changes(copies, "delete", version, tokens))
+    ledger.apply("drop-copies", rollup.changes(copies, "delete", version, tokens_now))
     ledger.apply("revise-en", revision)
     return ledger.totals()
 

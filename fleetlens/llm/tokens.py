@@ -6,17 +6,25 @@ ids on the other. A block of texts is therefore
 cut there (in numpy, on the UTF-8 bytes), the distinct pieces are encoded by the library, and the
 ids of the texts are gathered from the pieces' ids. A cut is not made where the character before it
 may be white space outside ASCII.
+
+Literals of added tokens (such as ``<|endoftext|>``) in a text are those tokens, as the library has it with ``add_special_tokens=False``: it
+cuts a text around them before anything else, and so does ``pieces``.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from fleetlens.llm.tables import bytes_of
+from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
+
+from fleetlens.llm.tables import blocks, bytes_of, map_texts
 
 #: Classes of bytes: 0 ASCII letter, 1 other visible ASCII, 2 ASCII white space, 3 everything else.
 _CLASS = np.full(256, 3, np.uint8)
@@ -28,8 +36,11 @@ _CUT = np.zeros(16, bool)
 _CUT[[0 * 4 + 1, 0 * 4 + 2, 1 * 4 + 2, 3 * 4 + 2]] = True
 
 
-def pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """Contiguous pieces of the texts, and for each text the number of its first piece (one more at the end)."""
+def pieces(texts: pa.LargeStringArray, literals: re.Pattern[bytes] | None = None) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Contiguous pieces of the texts, and for each text the number of its first piece (one more at the end).
+
+    Matches of ``literals`` are pieces of their own.
+    """
     body, at = bytes_of(texts)
     kind = _CLASS[body]
     flags = np.zeros(len(body) + 1, bool)
@@ -40,6 +51,11 @@ def pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]
         blank = ((second == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((third >= 0xE1) & (third <= 0xE3))
         flags[wide[blank]] = False
     flags[at] = True
+    for match in literals.finditer(body.data) if literals is not None and len(body) else ():
+        first, last = match.span()
+        if np.searchsorted(at, first, "right") == np.searchsorted(at, last, "left"):  # inside one text
+            flags[first + 1 : last] = False
+            flags[[first, last]] = True
     bounds = np.flatnonzero(flags)
     buffer = pa.py_buffer(np.ascontiguousarray(body)) if len(body) else pa.py_buffer(b"")
     segments = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), buffer)
@@ -54,7 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.literals = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.limit = limit
         suffix = self.tokenizer.model.end_of_word_suffix
         self.closes = bool(suffix)
@@ -112,7 +129,7 @@ class Encoder:
 
     def encode(self, texts: pa.LargeStringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after the other, and the texts' offsets; ``end_id`` closes each text."""
-        segments, first = pieces(texts)
+        segments, first = pieces(texts, self.literals)
         coded = segments.dictionary_encode()
         rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         sizes, starts = self.sizes[rows], self.starts[rows]
@@ -128,3 +145,17 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     return Encoder(path)
+
+
+def with_counts(docs: DataFrame, paths: dict[str, str], text: str = "text") -> DataFrame:
+    """``docs`` without ``text`` and with a column of token counts for each name in ``paths``. NULL and empty texts have no tokens."""
+    kept = docs.drop(*paths)
+    fields = StructType([*(f for f in kept.schema.fields if f.name != text), *(StructField(name, LongType()) for name in paths)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, text):
+            counts = [pa.array(np.diff(encoder(path).encode(texts)[1]), pa.int64()) for path in paths.values()]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != text]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], names=fields.names)
+
+    return map_texts(kept, run, fields)

@@ -1,6 +1,6 @@
 """Toxicity classifier, regularised by counterfactuals: swapping identity terms must not change a score.
 
-A text is cut into sentences (at ``.``, ``!``, ``?`` and line ends). A sentence's score is linear in its words and their
+A text is cut into sentences (at ``.``, ``!``, ``?`` and line ends). A sentence's score is linear in its distinct words and their
 beginnings of 4, 5 and 6 bytes, hashed to ``BUCKETS``; a text is as toxic as its worst sentence. ``fit`` learns from labels of texts, so
 the sentence that counts is found along with the weights. Its loss has three parts: the log loss of the texts, a ridge, and
 ``balance`` times the mean squared change of a sentence's score when an identity term in it is swapped for others
@@ -73,7 +73,7 @@ def lowered(body: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of some texts: hashes of the whole words, features, and where sentences and texts begin among them."""
+    """Distinct words of the sentences of some texts: hashes of the whole words, features, and where sentences and texts begin among them."""
 
     whole: np.ndarray  # uint64
     features: np.ndarray  # (words, FEATURES) buckets; 0 is no feature
@@ -106,7 +106,9 @@ def words_of(body: np.ndarray, at: np.ndarray) -> Words:
     edge[at[(at > 0) & (at < len(body))]] |= inside[1:][at[(at > 0) & (at < len(body))]]
     starts = np.flatnonzero(edge[: len(body)] & inside[1:-1])
     # a word ends where the next part begins that is no word, or at the end of its text
-    ends_of = np.flatnonzero((inside[1:-1] & ~inside[2:]) | (inside[1:-1] & np.isin(np.arange(1, len(body) + 1), at))) + 1
+    last = np.zeros(len(body) + 1, bool)
+    last[at] = True
+    ends_of = np.flatnonzero(inside[1:-1] & (~inside[2:] | last[1:])) + 1
     size = ends_of - starts
     eight = np.ndarray((len(low) - 7,), "<u8", buffer=low.tobytes(), strides=(1,))
     mask = _MASKS[np.minimum(size, 8)]
@@ -115,8 +117,28 @@ def words_of(body: np.ndarray, at: np.ndarray) -> Words:
     text = np.searchsorted(at, starts, "right") - 1
     new = np.ones(len(starts), bool)
     new[1:] = (closed[1:] != closed[:-1]) | (text[1:] != text[:-1])
-    sentences = np.flatnonzero(new)
-    return Words(whole, features, sentences, np.searchsorted(text[sentences], np.arange(len(at))))
+    with np.errstate(over="ignore"):
+        _, once = np.unique(mixed(whole + np.cumsum(new).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    once.sort()  # the first of equal words of a sentence
+    sentences = np.flatnonzero(new[once])
+    return Words(whole[once], features[once], sentences, np.searchsorted(text[once][sentences], np.arange(len(at))))
+
+
+def words_of_all(body: np.ndarray, at: np.ndarray) -> Words:
+    """``words_of`` for many texts, some at a time, so that what it needs beside its result is small."""
+    parts, first = [], 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE_BYTES, "right")) - 1)
+        parts.append(words_of(body[at[first] : at[last]], at[first : last + 1] - at[first]))
+        first = last
+    words = np.cumsum([0, *(len(p.whole) for p in parts)])
+    sentences = np.cumsum([0, *(len(p.sentences) for p in parts)])
+    return Words(
+        np.concatenate([p.whole for p in parts]),
+        np.concatenate([p.features for p in parts]),
+        np.concatenate([p.sentences + w for p, w in zip(parts, words)]),
+        np.concatenate([*(p.texts[:-1] + s for p, s in zip(parts, sentences)), sentences[-1:]]),
+    )
 
 
 def pieces(body: np.ndarray, at: np.ndarray, limit: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +159,16 @@ def pieces(body: np.ndarray, at: np.ndarray, limit: int = PIECE_BYTES) -> tuple[
     return np.array(bounds, np.int64), np.array(text, np.int64)
 
 
+def _sums(weights: np.ndarray, features: np.ndarray, sentences: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Sum of the weights of each sentence's words."""
+    if not len(sentences):
+        return np.zeros(0)
+    by_word = np.empty(len(features))
+    for first in range(0, len(features), step):
+        by_word[first : first + step] = weights[features[first : first + step]].sum(axis=1, dtype=np.float64)
+    return np.add.reduceat(by_word, sentences)
+
+
 @dataclass
 class Classifier:
     weights: np.ndarray  # (BUCKETS,)
@@ -144,7 +176,7 @@ class Classifier:
 
     def worst(self, words: Words) -> np.ndarray:
         """For each text the largest sum of a sentence's weights; -inf without words."""
-        sums = np.add.reduceat(self.weights[words.features].sum(axis=1), words.sentences) if len(words.sentences) else np.zeros(0)
+        sums = _sums(self.weights, words.features, words.sentences)
         out = np.full(len(words.texts) - 1, -np.inf)
         full = np.flatnonzero(np.diff(words.texts))
         if len(full):
@@ -203,23 +235,33 @@ def train(words: Words, label: np.ndarray, share: float, *, groups: Sequence[Seq
     texts = len(label)
     full = np.flatnonzero(np.diff(words.texts))
     sentence_text = np.repeat(np.arange(texts), np.diff(words.texts))
-    word_text = np.repeat(sentence_text, np.diff(np.append(words.sentences, len(words.whole))))
     gone, came, _ = swaps(words, groups)
     # only the buckets that occur, numbered; 0 stays 0
-    buckets = np.unique(np.concatenate([[0], words.features.ravel(), came.ravel()]))
-    features, gone, came = (np.searchsorted(buckets, f) for f in (words.features, gone, came))
+    occurs = np.zeros(BUCKETS, bool)
+    occurs[0] = occurs[words.features] = occurs[came] = True
+    number = (np.cumsum(occurs) - 1).astype(np.int32)
+    features, gone, came = number[words.features], number[gone], number[came]
+    buckets = np.flatnonzero(occurs)
     n = len(buckets)
-    seen = np.unique(word_text[:, None].astype(np.int64) * n + features)  # features of texts
-    bad = label[seen // n] == 1
-    ones, zeros = (np.bincount(seen[b] % n, minlength=n) for b in (bad, ~bad))
+    ones, zeros = np.zeros(n), np.zeros(n)
+    ends = np.append(words.sentences[1:], len(words.whole))
+    for first in range(0, texts, 500):  # features of texts, some texts at a time
+        sentences = slice(words.texts[first], words.texts[min(texts, first + 500)])
+        if sentences.start == sentences.stop:
+            continue
+        own = slice(words.sentences[sentences.start], ends[sentences.stop - 1])
+        text = np.repeat(sentence_text[sentences], ends[sentences] - words.sentences[sentences])
+        seen = np.unique(text[:, None] * n + features[own])
+        bad = label[seen // n] == 1
+        ones += np.bincount(seen[bad] % n, minlength=n)
+        zeros += np.bincount(seen[~bad] % n, minlength=n)
     n1, n0 = label.sum(), texts - label.sum()
     odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((zeros + 0.5) / (n0 + 1))
     weights = np.where((ones > 1) & (odds > 1.5), odds / FEATURES, 0.0)
     weights[0] = 0.0
     bias, squares, bias_square = -2.0, np.full(n, 1e-2), 1e-2
-    ends = np.append(words.sentences[1:], len(words.whole))
     for _ in range(epochs):
-        sums = np.add.reduceat(weights[features].sum(axis=1), words.sentences) if len(words.sentences) else np.zeros(0)
+        sums = _sums(weights, features, words.sentences)
         z = np.full(texts, bias)
         top = np.maximum.reduceat(sums, words.texts[full]) if len(full) else np.zeros(0)
         z[full] += top
@@ -256,7 +298,7 @@ def constant(share: float) -> Classifier:
     return Classifier(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_fold: Column, train_docs: int = 3000, **options) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, *, train_fold: Column, train_docs: int = 2500, **options) -> Classifier:
     """Learn from the labelled rows where ``train_fold`` (over ``doc_id``) holds."""
     usable = labels.where(train_fold & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     text = F.coalesce("text", F.lit(""))
@@ -278,7 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_fold: Column, train_docs: i
     if len({y for _, y in rows}) < 2:
         return constant(by_class[1] / total)
     body, at = bytes_of(pa.array([t for t, _ in rows], pa.large_string()))
-    return train(words_of(body, at), np.array([y for _, y in rows], np.float64), by_class[1] / total, **options)
+    label = np.array([y for _, y in rows], np.float64)
+    del rows
+    return train(words_of_all(body, at), label, by_class[1] / total, **options)
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:

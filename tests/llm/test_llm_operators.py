@@ -137,12 +137,28 @@ def test_mixture_reaches_its_weights(spark):
     assert mixing.mix(docs, {"hot": 0.0}, default_weight=0.0).count() == 0
 
 
-def test_mixing_stays_in_the_jvm(spark):
+@pytest.mark.parametrize("budget", [None, 5e7])
+def test_mixing_stays_in_the_jvm(spark, budget):
     docs = table(spark, [(i, "x" * i, "en", f"s{i % 3}") for i in range(50)])
-    plan = mixing.mix(docs, {})._jdf.queryExecution().toString()
+    plan = mixing.mix(docs, {}, budget=budget)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "BroadcastNestedLoop", "Cartesian"))
 
 
+def test_one_document_of_a_tiny_source_is_repeated_by_many_tasks(spark, monkeypatch):
+    rows = [(i, "x" * 20, "en", "big") for i in range(2000)] + [(9000, "y", "en", "tiny"), (None, "z", "en", None)]
+    docs = table(spark, rows)
+    mixed = mixing.mix(docs, {}, budget=3e6)  # a million copies of each of the two
+    counts = {r.source: r for r in mixed.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("last")).collect()}
+    for source in ("tiny", None):
+        r = counts[source]
+        assert abs(r.n / 1e6 - 1) < 0.01 and r.d == r.n == r.last + 1
+    few = mixing.mix(docs, {}, budget=30_000.0)  # rates of 10,000: one block, or many
+    keys = lambda df: sorted(r.shuffle_key for r in df.select("shuffle_key").collect())
+    want = keys(few)
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    assert keys(mixing.mix(docs, {}, budget=30_000.0)) == want
+
+
 def test_neighbours_in_many_ranges(spark):
     rng = random.Random(8)
     rows = [(i * 3, " ".join(rng.choice(["ab", "cde", "f", "ghij"]) for _ in range(rng.randint(0, 60))), "en", "s") for i in range(200)]
@@ -241,6 +257,50 @@ def test_keep_first_with_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in jaccard.keep_first(docs, jaccard.join(docs)).collect()) == ["1", "2", "None"]
 
 
+def test_keep_first_loses_no_text_that_shares_an_id(spark):
+    texts = ["one two three four five six", "quite another text with this id here", "a third one that stands alone today"]
+    docs = table(spark, [(5, texts[0], "en", "s"), (5, texts[1], "en", "s"), (5, texts[1], "fr", "t"), (6, texts[2], "en", "s")])
+    for parts in (1, 4):
+        kept = jaccard.keep_first(docs.repartition(parts), jaccard.join(docs)).collect()
+        assert sorted(r.text for r in kept) == sorted(texts)
+        assert len({tuple(r) for r in kept}) == 3
+    assert len({r.lang for p in (1, 2, 3) for r in jaccard.keep_first(docs.repartition(p), jaccard.join(docs)).collect() if r.text == texts[1]}) == 1
+
+
+def plain_grams(text):
+    """Four characters around each pair of letters, in lower case; other characters count as one mark."""
+    marked = "".join(c if c.isalpha() else "\0" for c in f"\0{text.lower()}\0\0\0")
+    return [marked[i : i + 4] for i in range(len(marked) - 3) if marked[i + 1] != "\0" and marked[i + 2] != "\0"]
+
+
+def test_languages_equal_counts_over_plain_sets(spark):
+    rng = random.Random(12)
+    syllables = {"en": ["the", "ing", "and", "sh"], "fr": ["é", "eau", "tre", "qu"], "de": ["sch", "ung", "ß", "ber"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 40))), lang, "s") for i, lang in enumerate(rng.choices(list(syllables), k=300))]
+    docs = table(spark, rows)
+    sets = {lang: {g for _, t, own, _ in rows if own == lang for g in plain_grams(t)} for lang in syllables}
+    model = language.fit(docs, train=F.lit(True), train_docs=10_000, grams=10**6, positions=1 << 20)
+    wanted = {i: max(syllables, key=lambda lang: sum(g in sets[lang] for g in plain_grams(t))) for i, t, _, _ in rows}
+    found = {i: sorted(sum(g in sets[x] for g in plain_grams(t)) for x in syllables) for i, t, _, _ in rows}
+    tied = {i for i, n in found.items() if n[-1] <= n[-2] * 1.05 + 1}
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert all(got[i] == wanted[i] for i in wanted if i not in tied) and len(tied) < 100
+    hits, n, _ = model.counts([t for _, t, _, _ in rows])
+    for k, (_, t, _, _) in enumerate(rows):
+        own = plain_grams(t)
+        assert n[k] == len(own)
+        for j, lang in enumerate(model.languages):
+            assert 0 <= hits[k, j] - sum(g in sets[lang] for g in own) <= max(2, 0.02 * len(own))  # false positives only
+    # a bound on the n-grams takes the most frequent ones and a share of those at the last count
+    few = language.fit(docs, train=F.lit(True), train_docs=10_000, grams=60, positions=1 << 20)
+    for j, lang in enumerate(few.languages):
+        times = Counter(g for _, t, own, _ in rows if own == lang for g in plain_grams(t))
+        least = sorted(times.values(), reverse=True)[59]
+        probe = [g for g, c in times.items() if c > least]
+        h = np.array([few.counts([g.replace("\0", " ")])[0][0, j] > 0 for g in probe if g[0] != "\0" and g[3] != "\0"])
+        assert h.all()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(0, i) for i in range(1, 50)] + [(300, 200), (200, 250)]
     random.Random(0).shuffle(edges)

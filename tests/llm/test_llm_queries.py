@@ -68,7 +68,6 @@ def test_languages_of_the_held_out_fold(spark, docs):
 
 def tokens(name, texts, end):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     return [np.array(e.ids + [end], np.uint32) for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -123,6 +122,22 @@ def test_ids_of_all_documents(spark, docs):
         start += len(ids)
 
 
+def test_token_totals_of_all_documents(spark, docs):
+    want, least = {}, {}
+    texts = [d["text"] or "" for d in docs]
+    counts = {v: [len(ids) - 1 for ids in tokens(f"{v}.json", texts, 0)] for v in ("byte_bpe_50k", "word_bpe_49k")}
+    for d, text in zip(docs, texts):
+        least[text] = min(least.get(text, d["doc_id"]), d["doc_id"])
+    for i, (d, text) in enumerate(zip(docs, texts)):
+        if d["doc_id"] == least[text]:
+            version = "word_bpe_49k" if d["lang"] == "en" else "byte_bpe_50k"
+            total = want.setdefault((d["source"], d["lang"], version), [0, 0])
+            total[0] += 1
+            total[1] += counts[version][i]
+    rows = QUERIES["op10_token_rollup"](spark, SF_DIR).collect()
+    assert {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens] for r in rows} == want and len(rows) == len(want)
+
+
 def test_personal_data_of_all_documents(spark, docs):
     rows = {r.doc_id: r for r in QUERIES["op9_pii_boosting"](spark, SF_DIR).collect()}
     for d in docs:

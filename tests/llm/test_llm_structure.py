@@ -241,10 +241,9 @@ def plain_score(model, text):
         words = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", sentence)
         if words:
             total = 0.0
-            for w in words:
-                raw = w.encode()
-                size = len(raw)
-                low = re.sub(rb"\xc3[\x80-\x96\x98-\x9e]", lambda m: bytes([0xC3, m[0][1] + 32]), raw.lower())
+            lower = {re.sub(rb"\xc3[\x80-\x96\x98-\x9e]", lambda m: bytes([0xC3, m[0][1] + 32]), w.encode().lower()) for w in words}
+            for low in lower:
+                size = len(low)
                 ends = [np.array([int.from_bytes(p, "little")], np.uint64) for p in (low[:8], low[-8:])]
                 total += sum(float(model.weights[b]) for b in toxicity.word_features(*ends, np.array([size]))[1][0])
             best = total if best is None else max(best, total)
@@ -259,6 +258,9 @@ def test_scores_equal_plain_sums(monkeypatch):
     want = [plain_score(model, t) for t in texts]
     assert np.allclose(model.scores(pa.array(texts, pa.large_string())), want, atol=1e-6)
     monkeypatch.setattr(toxicity, "PIECE_BYTES", 64)
+    raw = [t.encode() for t in texts]
+    whole = [getattr(f(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])), c).tolist() for f in (toxicity.words_of, toxicity.words_of_all) for c in ("whole", "features", "sentences", "texts")]
+    assert whole[:4] == whole[4:]
     long = [". ".join(t.replace(".", "") for t in texts) for _ in range(2)]
     body, at = (lambda t: (np.frombuffer("".join(t).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in t)])))(long)
     bounds, text = toxicity.pieces(body, at, 120)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -32,9 +33,11 @@ def arrow(texts):
 def test_pieces_give_the_ids_of_whole_texts(name):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     coder = Encoder(path, limit=500)  # forgets often
-    texts = odd_texts(3000) + ["The words of a word and words, wordsé é wörter\n" * 5]
+    rng = random.Random(5)
+    literals = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>"]
+    joined = ["".join(rng.choice([*literals, "a", " ", "'s", " 5", "é ", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    texts = odd_texts(3000) + ["The words of a word and words, wordsé é wörter\n" * 5, "a <|endoftext|> b", "x<|endof", "text|> y"] + joined
     for _ in range(2):
         ids, at = coder.encode(arrow(texts))
         got = [ids[a:b].tolist() for a, b in zip(at, at[1:])]
@@ -248,6 +251,19 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == plain_base(t), t
 
 
+def test_base_spans_of_long_digit_runs():
+    long = "7" * 1_000_000
+    begun = time.perf_counter()
+    for text, want in ((long, []), (f"{long}.1.2.3", []), (f"a {long}.1.2.3 9.8.7.6", [("ip", 1_000_009, 1_000_016)]), ("1." * 300_000, None), ("1.2.3 " * 100_000, [])):
+        found = [s for s in pii.base_spans(text) if s[0] == "ip"]
+        assert found == want if want is not None else len(found) == 75_000
+    assert time.perf_counter() - begun < 20
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("0125.a ") for _ in range(rng.randint(0, 30)))
+        assert pii.base_spans(text) == plain_base(text)
+
+
 def test_trees_learn_and_thresholds_hold_their_precision():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
