@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.registry import query
 from fleetlens.catalog.scalars import repository_cte
 from fleetlens.functions import json_values as J
-from fleetlens.operators import cleanup, fleet
+from fleetlens.operators import chains, cleanup, fleet
 from fleetlens.plans.cleanup import cleanup_report
 from fleetlens.plans.sweep import sweep, sweep_totals
 
@@ -61,6 +61,29 @@ def read_instances_paged(v):
     return records.select("listing_id", "page_no", "pos", J.normalize_id(J.field(F.col("record"), "id")).alias("instance_id"))
 
 
+TOKEN_PAGES = """j AS (SELECT DISTINCT listing_id, page_no, coalesce(after_token, '') AS tok, raw, CASE WHEN json_valid(raw) THEN raw::JSON END AS d FROM v_token_pages),
+ o AS (SELECT *, CASE WHEN json_type(d, '$.next_token') = 'VARCHAR' THEN json_extract_string(d, '$.next_token') END AS nt,
+   CASE WHEN coalesce(json_type(d), '') <> 'OBJECT' THEN 'page must be an object' WHEN coalesce(json_type(d, '$.next_token'), 'NULL') NOT IN ('NULL', 'VARCHAR') THEN 'invalid page token' ELSE '' END AS e FROM j),
+ k AS (SELECT *, CASE WHEN listing_id < -1 THEN (-2 - listing_id) % 4 END AS made FROM o),
+ l AS (SELECT *, CASE WHEN made < 3 THEN page_no < 2 WHEN row_number() OVER w = 1 THEN tok = '' ELSE tok IS NOT DISTINCT FROM lag(nt) OVER w END AS link FROM k WINDOW w AS (PARTITION BY listing_id ORDER BY page_no)),
+ c AS (SELECT *, bool_and(link) OVER (PARTITION BY listing_id ORDER BY page_no) AS chained FROM l),
+ v AS (SELECT listing_id, any_value(made) AS made, count(*) AS pages, count_if(chained) AS chained, count_if(chained AND nt IS NULL) AS ends,
+   arg_min(e, {'u': NOT chained, 'n': CASE WHEN chained THEN page_no ELSE 0 END, 'e': e}) FILTER (e <> '') AS fe FROM c GROUP BY listing_id),
+ verdict AS (SELECT listing_id, pages, CAST(chained AS BIGINT) AS chained, CASE WHEN fe IS NOT NULL THEN fe WHEN made IN (0, 2) THEN 'invalid page token' WHEN chained < pages OR ends <> 1 THEN 'broken page chain' ELSE '' END AS error FROM v)"""
+
+
+@query("token_page_chain", "token_pages", oracle=f", {TOKEN_PAGES} SELECT listing_id, pages, chained, error, error = '' AS ok FROM verdict")
+def token_page_chain(v):
+    return chains.token_chain(chains.numbered_pages(v.token_pages.drop("page_no")))
+
+
+@query("token_page_records", "token_pages", oracle=f""", {TOKEN_PAGES}
+SELECT listing_id, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY page_no) - 1 AS BIGINT) AS page_no, CAST(0 AS INT) AS pos, json_extract_string(d, '$.instances[0].id') AS instance_id FROM o JOIN verdict USING (listing_id) WHERE error = ''""")
+def token_page_records(v):
+    records = chains.token_records(chains.numbered_pages(v.token_pages.drop("page_no")))
+    return records.select("listing_id", "page_no", "pos", J.normalize_id(J.field(F.col("record"), "id")).alias("instance_id"))
+
+
 @query("page_concat", "pages_raw", oracle=f""", {PAGES}
 SELECT listing_id, CAST(sum(json_array_length(d, '$.instances')) AS BIGINT) AS records FROM o JOIN verdict USING (listing_id) WHERE error = '' GROUP BY listing_id""")
 def page_concat(v):

@@ -7,6 +7,7 @@ from fleetlens.operators import health
 from fleetlens.operators.workload import run_workload
 from fleetlens.session import scratch_folder
 from fleetlens.sources import readers, writers
+from fleetlens.sources.versions import Conflict
 
 READ = r"""c AS (SELECT *, string_split(trim(csv_line), ',') AS p FROM v_gpu_telemetry),
  t AS (SELECT *, CASE WHEN len(p) >= 2 THEN coalesce(TRY_CAST(CASE WHEN regexp_full_match(trim(p[1]), '\d+') THEN trim(p[1]) END AS BIGINT), 0) END AS temp_c,
@@ -61,6 +62,31 @@ def write_batch_state(v):
     return writers.read_state(v.spark, folder)[0]
 
 
+@query("concurrent_state_writers", "units", oracle="""
+SELECT batch_id, unit_key, CASE WHEN status = 'pending' THEN 'running' ELSE status END || CASE WHEN CAST(substr(batch_id, 2) AS INT) % 3 = 0 THEN '+a' ELSE '' END
+   || CASE WHEN CAST(substr(batch_id, 2) AS INT) % 4 = 0 THEN '+b' ELSE '' END || CASE WHEN CAST(substr(batch_id, 2) AS INT) % 3 = 1 AND CAST(substr(batch_id, 2) AS INT) % 4 = 1 THEN '+c' ELSE '' END AS status,
+ CAST(CASE WHEN CAST(substr(batch_id, 2) AS INT) % 4 = 0 THEN 4 WHEN CAST(substr(batch_id, 2) AS INT) % 3 = 1 AND CAST(substr(batch_id, 2) AS INT) % 4 = 1 THEN 3 WHEN CAST(substr(batch_id, 2) AS INT) % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM v_units""")
+def concurrent_state_writers(v):
+    """Three writers of one version: the second meets no batch of the first, the third does and has to read again."""
+    number = F.substring("batch_id", 2, 9).cast("int")
+    store = writers.state_store(v.spark, scratch_folder(v.spark, "state"), "batch_id string, unit_key string, status string", settle=0.05)
+    started = F.when(F.col("status") == "pending", "running").otherwise(F.col("status"))
+    store.update(lambda _: v.units.select("batch_id", "unit_key", started.alias("status")))
+
+    def marked(rows, mine, mark):
+        return rows.where(mine).withColumn("status", F.concat("status", F.lit(mark))).drop("version")
+
+    mine = {"+a": number % 3 == 0, "+c": (number % 3 == 1) & (number % 4 == 1), "+b": number % 4 == 0}
+    seen = store.read(1)
+    attempts = {mark: store.propose(marked(seen, which, mark)) for mark, which in mine.items()}
+    for mark, attempt in attempts.items():
+        try:
+            store.commit(attempt, 1)
+        except Conflict:
+            store.update(lambda rows, mark=mark: marked(rows, mine[mark], mark))
+    return store.read()
+
+
 @query("read_diagnostics", "diagnostics", oracle=r"""
 , s AS (SELECT path, raw, regexp_extract_all(raw, '## ([^#]+) ##\n((?:[^#]|\n)*?)(?:\n\n|\n$|$)', 1) AS t FROM v_diagnostics)
 SELECT path, regexp_extract(raw, '^# preempt diagnostics for (shard [0-9]+)', 1) AS unit, regexp_extract(raw, '# instance_id: (i[0-9]+)', 1) AS instance_id, '20240101T000000Z' AS captured_at, CAST(i AS INT) AS pos,

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import query
 from fleetlens.operators import lifecycle as L
+from fleetlens.session import scratch_folder
+from fleetlens.sources.writers import rule_store, rule_writes
 
 WANTED = """w AS (SELECT bucket, 'project/batches/' AS canonical_prefix, 'fleetlens-expire-' || substr(sha256(bucket || chr(0) || 'project/batches/'), 1, 12) AS rule_id, CAST(days_json AS INT) AS days FROM v_policies)"""
 TEXT = "CAST(to_json({'id': id, 'status': status, 'prefix': prefix, 'days': CAST(days AS BIGINT), 'extra': extra}) AS VARCHAR)"
@@ -77,9 +79,13 @@ def rules_after(v):
 
 @query("write_lifecycle_rules", "rules", "policies", oracle=f", {WANTED}, {REMOVE} SELECT bucket, (SELECT count(*) FROM af WHERE af.bucket = b.bucket) AS rules, CASE WHEN NOT EXISTS (FROM af WHERE af.bucket = b.bucket) THEN 'delete' ELSE 'put' END AS action FROM (SELECT DISTINCT bucket FROM v_rules) b")
 def write_lifecycle_rules(v):
-    from fleetlens.sources.writers import rule_writes
-
-    return rule_writes(v.rules, L.rules_after(v.rules, policies(v), operation="remove"))
+    """Rule sets before and after as two versions of one store, and what is read back."""
+    store = rule_store(v.spark, scratch_folder(v.spark, "rules"), settle=0.05)
+    first = store.commit(store.propose(v.rules.select(*L.RULE)), 0)
+    before = store.read(first).drop("version")
+    after = L.rules_after(before, policies(v), operation="remove")
+    second = store.commit(store.propose(after, v.rules.select("bucket")), first)
+    return rule_writes(store.read(first), store.read(second))
 
 
 @query("lifecycle_plan_diff", "rules", "policies", oracle=f", {WANTED}, {APPLY}, {DIFF} SELECT * FROM df")

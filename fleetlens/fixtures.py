@@ -73,6 +73,23 @@ UNION ALL SELECT -1 - o_orderkey % 1, CAST(o_orderkey AS INT), CASE WHEN o_order
   concat('{"instances": [{"id": ', CAST(o_orderkey AS STRING), '}], "next_token": ', CASE WHEN o_orderkey = 1199 THEN 'null' ELSE concat('"t', CAST(o_orderkey AS STRING), '"') END, '}')
 FROM {orders} WHERE o_orderkey < 1200"""
 
+# Pages that are known by their tokens; page_no is for the oracle only. One listing has all orders; others have a circle, a fork, a doubled token.
+VIEWS["v_token_pages"] = """
+SELECT o_orderkey - o_orderkey % 5 AS listing_id, CAST(o_orderkey % 5 AS INT) AS page_no,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 331 = 7 THEN 'elsewhere' ELSE concat('t', CAST(o_orderkey - 1 AS STRING)) END AS after_token,
+  CASE WHEN o_orderkey % 211 = 3 THEN '[1, 2]' WHEN o_orderkey % 227 = 5 THEN '{"next_token": "x"' ELSE
+  concat('{"instances": [{"id": ', CAST(o_orderkey * 2 AS STRING), '}], "next_token": ',
+  CASE WHEN o_orderkey % 5 = 4 THEN 'null' WHEN o_orderkey % 233 = 8 THEN '17' ELSE concat('"t', CAST(o_orderkey AS STRING), '"') END, '}') END AS raw
+FROM {orders}
+UNION ALL SELECT -1, CAST(o_orderkey AS INT), CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM {orders}) THEN '' ELSE concat('t', CAST(o_orderkey AS STRING)) END,
+  concat('{"instances": [{"id": ', CAST(o_orderkey AS STRING), '}], "next_token": ', CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM {orders}) THEN 'null' ELSE concat('"t', CAST(lead(o_orderkey) OVER (ORDER BY o_orderkey) AS STRING), '"') END, '}')
+FROM {orders}
+UNION ALL SELECT -2 - s_suppkey, CAST(p AS INT), CASE p WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE CASE s_suppkey % 4 WHEN 1 THEN 'b' ELSE 'c' END END,
+  concat('{"instances": [{"id": ', CAST(p AS STRING), '}], "next_token": ', CASE p WHEN 0 THEN '"a"' WHEN 1 THEN '"b"'
+    WHEN 2 THEN CASE s_suppkey % 4 WHEN 0 THEN '"b"' WHEN 1 THEN 'null' ELSE '"c"' END ELSE CASE s_suppkey % 4 WHEN 2 THEN '"b"' ELSE 'null' END END, '}')
+FROM {supplier} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS numbers
+UNION ALL SELECT -2 - s_suppkey, 0, '', '{"instances": [{"id": 0}], "next_token": "a"}' FROM {supplier} WHERE s_suppkey % 4 = 3"""
+
 VIEWS["v_instances"] = """
 SELECT o_orderkey - o_orderkey % 64 AS listing_id, CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 'runpod' ELSE 'market' END AS provider, CAST(o_orderkey AS STRING) AS instance_id,
   concat(substr('prodstagdevx',CAST(1+4*(o_custkey%3) AS INT),4),'-',substr(md5(CAST(o_custkey%10 AS STRING)),1,12),'-',substr(md5(CAST(o_orderkey AS STRING)),1,12)) AS label,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.fmt import iso_text
+from fleetlens.sources.versions import Versions
 
 
 def timing_lines(timings: DataFrame, as_of: Column, *metrics: str) -> DataFrame:
@@ -30,19 +32,36 @@ def state_snapshot(units: DataFrame, version: int, as_of: Column) -> DataFrame:
     return units.withColumn("updated_at", iso_text(as_of)).withColumn("version", F.lit(version).cast("bigint"))
 
 
+class AlreadyCommitted(RuntimeError):
+    """The version is committed; its readers must not lose it."""
+
+
 def write_state(units: DataFrame, batches: DataFrame, root: str, version: int, as_of: Column) -> None:
     """Write a state version as two tables, then commit it.
 
     Readers see the highest committed version only, so an interrupted write
-    stays invisible and the version before it intact.
+    stays invisible and the version before it intact. A committed version is never written again; writers that
+    may run at the same time use ``versions.Versions`` instead, which tells who was first.
     """
     spark = units.sparkSession
+    if version in committed_versions(spark, root):
+        raise AlreadyCommitted(f"version {version} of {root}")
     state_snapshot(units, version, as_of).write.mode("overwrite").parquet(f"{root}/units/v={version}")
     state_snapshot(batches, version, as_of).write.mode("overwrite").parquet(f"{root}/batches/v={version}")
     commit = spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
     commit.coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
+def committed_versions(spark: SparkSession, root: str) -> set[int]:
+    """Numbers of the committed versions (one row each)."""
+    try:
+        return {r.version for r in spark.read.parquet(f"{root}/commits").collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
 def read_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Units and batches of the highest committed version."""
     version = spark.read.parquet(f"{root}/commits").agg(F.max("version")).first()[0]
@@ -87,6 +106,16 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("pos").isNotNull())
 
 
+def rule_store(spark: SparkSession, root: str, *, settle: float = 1.0) -> Versions:
+    """Rule sets in versions, for several writers: buckets that two of them write at once are a conflict."""
+    return Versions(spark, root, "bucket string, pos int, id string, status string, prefix string, days int, extra string", "bucket", settle)
+
+
+def state_store(spark: SparkSession, root: str, columns: str, *, settle: float = 1.0) -> Versions:
+    """Unit states in versions, for several writers: batches that two of them write at once are a conflict."""
+    return Versions(spark, root, columns, "batch_id", settle)
+
+
 def write_archive(archived: DataFrame, path: str) -> None:
     """Add the units of ``units.split_archived`` to the archive, one folder per archive name."""
     archived.write.mode("append").partitionBy("archive_name").parquet(path)

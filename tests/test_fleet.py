@@ -1,6 +1,7 @@
 """Listings, ownership and cleanup decisions."""
 
 import json
+import random
 
 import pytest
 from conftest import values
@@ -286,3 +287,64 @@ def test_severity_of_every_outcome(spark):
             (None, "credentials_disabled"), (None, "no_credentials"), (None, "odd"), (None, None), ("odd", None)]
     got = spark.createDataFrame(rows, "v string, r string").select(cleanup.severity(F.col("v"), F.col("r")).alias("s")).collect()
     assert [r.s for r in got] == ["error", "warning", "warning", "info", None, "info", "warning", "warning", "error", "error", "error"]
+
+
+def walked(pages):
+    """Page by page from the start, as a client would ask: numbers of the (token, next) pages, by plain Python."""
+    by_token, named = {}, {}
+    for token, after in set(pages):
+        by_token.setdefault(token, []).append(after)
+        if after is not None:
+            named[after] = named.get(after, 0) + 1
+    out, token, n = {}, "", 0
+    while token is not None and len(by_token.get(token, [])) == 1 and named.get(token, 0) == (0 if n == 0 else 1):
+        out[token] = n
+        token, n = by_token[token][0], n + 1
+    return out
+
+
+def test_pages_are_ranked_by_their_tokens_alone(spark):
+    from fleetlens.operators import chains
+
+    rng = random.Random(4)
+    listings = {}
+    for k in range(60):
+        n = rng.choice([1, 2, 3, 9, 40])
+        tokens = ["", *(f"t{i}" for i in range(1, n)), None]
+        pages = list(zip(tokens, tokens[1:]))
+        for _ in range(rng.choice([0, 0, 1, 2])):  # a fork, a circle, a doubled or a lost token
+            pages[rng.randrange(len(pages))] = (rng.choice(tokens[:-1]), rng.choice(tokens[1:]))
+        if rng.random() < 0.2:
+            pages.append(rng.choice(pages))
+        listings[k] = pages
+    rows = [(k, t, a) for k, pages in listings.items() for t, a in pages]
+    rng.shuffle(rows)
+    got = {}
+    for r in chains.rank(spark.createDataFrame(rows, "k int, own string, ahead string"), "k", "own", "ahead").collect():
+        got.setdefault(r.k, {})[r.own] = (r.rank, r.place)
+    for k, pages in listings.items():
+        want = walked(pages)
+        assert set(got[k]) == {t for t, _ in pages}
+        assert {t: rank for t, (rank, place) in got[k].items() if place == "chain"} == want
+        assert all((rank is None) == (place != "chain") for rank, place in got[k].values())
+
+
+def test_a_long_shuffled_listing_is_ranked_in_few_rounds(spark):
+    from fleetlens.operators import chains
+
+    n = 100_000
+    links = spark.range(n).select(
+        F.lit("one").alias("k"), F.when(F.col("id") == 0, "").otherwise(F.md5(F.col("id").cast("string"))).alias("own"),
+        F.when(F.col("id") < n - 1, F.md5((F.col("id") + 1).cast("string"))).alias("ahead"), "id",
+    ).orderBy(F.hash("id"))
+    ranked = chains.rank(links, "k", "own", "ahead")
+    assert ranked.join(links, ["k", "own"]).where("rank = id AND place = 'chain'").count() == n
+
+
+def test_circles_and_what_hangs_on_them(spark):
+    from fleetlens.operators import chains
+
+    rows = [(1, "", "a"), (1, "a", None), (1, "x", "y"), (1, "y", "z"), (1, "z", "x"), (2, "a", "b"), (2, "b", None), (3, "", None), (3, "", None)]
+    got = {(r.k, r.own): r.place for r in chains.rank(spark.createDataFrame(rows, "k int, own string, ahead string"), "k", "own", "ahead").collect()}
+    assert got == {(1, ""): "chain", (1, "a"): "chain", (1, "x"): "circle", (1, "y"): "circle", (1, "z"): "circle", (2, "a"): "loose", (2, "b"): "loose", (3, ""): "chain"}
+    assert chains.token_chain(chains.numbered_pages(spark.createDataFrame([], "listing_id long, after_token string, raw string"))).count() == 0

@@ -2,6 +2,7 @@
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import values
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import lifecycle as L
 from fleetlens.operators import objects, planning, publish
 from fleetlens.sources import readers, writers
+from fleetlens.sources.versions import Conflict
 
 RULE = "bucket string, pos int, id string, status string, prefix string, days int, extra string"
 POLICY = "bucket string, raw_prefix string, days int"
@@ -310,3 +312,62 @@ def test_estimate_report_document(spark, folder):
     doc = json.loads(spark.read.text(f"{folder}/report").first().value)
     assert doc["pricing"] == [{"gpu_type": "RTX_4090", "available_count": 3, "min_price_hr": 0.2, "max_price_hr": 0.4, "median_price_hr": 0.3}]
     assert [(r["cloud_gpus"], r["wall_time_human"], r["cost_display"], r["notes"]) for r in doc["scaling_table"]] == [(0, "10h 00m", "$0.00", "local only"), (4, "2h 00m", "$1.60-$3.20", "")]
+
+
+COUNTS = "batch_id string, unit_key string, n int"
+
+
+def store_of(spark, folder, settle=0.05):
+    return writers.state_store(spark, f"{folder}/store", COUNTS, settle=settle)
+
+
+def content(store, version=None):
+    return sorted(((r.batch_id, r.unit_key, r.n, r.version) for r in store.read(version).collect()), key=repr)
+
+
+def test_of_two_writers_of_one_version_the_second_gets_a_conflict(spark, folder):
+    store = store_of(spark, folder)
+    rows = lambda *r: spark.createDataFrame(list(r), COUNTS)
+    assert store.head() == 0 and content(store) == []
+    assert store.commit(store.propose(rows(("a", "1", 0), ("a", "2", 0), ("b", "1", 0), (None, "1", 5))), 0) == 1
+    # interleaved: both read version 1, both write, then both commit
+    first, second, third = store.propose(rows(("a", "1", 1))), store.propose(rows(("a", "2", 7))), store.propose(rows(("b", "1", 9)))
+    assert content(store) == content(store, 1)  # proposals are invisible
+    assert store.commit(first, 1) == 2
+    with pytest.raises(Conflict):
+        store.commit(second, 1)
+    assert store.commit(third, 1) == 3  # other keys are no conflict
+    assert sorted(content(store), key=repr) == sorted([("a", "1", 1, 2), ("b", "1", 9, 3), (None, "1", 5, 1)], key=repr)
+    assert store.update(lambda r: (r.where("batch_id = 'b'").withColumn("n", F.col("n") + 1), rows((None, "", 0)))) == 4
+    assert content(store) == [("a", "1", 1, 2), ("b", "1", 10, 4)]  # the NULL batch was left without rows
+    assert len(content(store, 1)) == 4  # old versions stay
+
+
+def test_a_writer_that_died_after_its_claim_is_finished_by_the_next(spark, folder):
+    store = store_of(spark, folder)
+    rows = lambda *r: spark.createDataFrame(list(r), COUNTS)
+    dead = store.propose(rows(("a", "1", 1)))
+    store.claim(dead, 0)
+    assert store.head() == 0
+    with pytest.raises(Conflict):
+        store.commit(store.propose(rows(("a", "1", 2))), 0)
+    assert content(store) == [("a", "1", 1, 1)]
+    assert store.commit(dead, 0) == 1  # repeating a commit changes nothing
+    assert store.head() == 1
+
+
+def test_parallel_updates_lose_nothing(spark, folder):
+    store = store_of(spark, folder, settle=0.3)
+    store.update(lambda _: spark.createDataFrame([("a", "1", 0)], COUNTS))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: store.update(lambda r: r.withColumn("n", F.col("n") + 1), tries=30), range(4)))
+    assert content(store) == [("a", "1", 4, 5)]
+
+
+def test_a_committed_state_version_is_not_overwritten(spark, folder, views):
+    units, as_of = views.units.limit(5), F.lit("2024-01-01T00:00:00+00:00")
+    batches = units.select("batch_id").distinct()
+    writers.write_state(units, batches, folder, 1, as_of)
+    with pytest.raises(writers.AlreadyCommitted):
+        writers.write_state(units.limit(1), batches, folder, 1, as_of)
+    assert writers.read_state(spark, folder)[0].count() == 5
