@@ -10,8 +10,9 @@ A claim is judged ``settle`` seconds after it was written: longer than the resol
 the storage's clock, so that no earlier claim can turn up afterwards. A writer that died between claim and version row is finished by
 the next one, whose claim on the same parent comes second. Version rows may be written twice, with the same content.
 
-Everything is a Spark read or write of Parquet; the folders are ``rows/attempt=...``, ``keys/attempt=...``,
-``claims/parent=...`` and ``versions``.
+Everything is a Spark read or write of Parquet, and no two jobs write to one folder, since the first to end would take the
+temporary files of the other: ``rows/attempt=...``, ``keys/attempt=...``, ``claims/parent=.../attempt=...`` and
+``versions/attempt=.../by=...``.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLAIM = "attempt string, parent bigint"
-_VERSION = "version bigint, parent bigint, attempt string"
+_CLAIM = "of bigint, attempt string"
+_VERSION = "version bigint, parent bigint, attempt string, by string"
 
 
 class Conflict(RuntimeError):
@@ -58,7 +59,7 @@ class Versions:
     settle: float = 1.0
 
     def _log(self) -> DataFrame:
-        return _present(self.spark, f"{self.root}/versions", _VERSION).distinct()
+        return _present(self.spark, f"{self.root}/versions", _VERSION).select("version", "parent", "attempt").distinct()
 
     def head(self) -> int:
         """The latest version, 0 before the first."""
@@ -96,13 +97,13 @@ class Versions:
         return attempt
 
     def _confirm(self, parent: int, attempt: str) -> None:
-        row = self.spark.range(1).select(F.lit(parent + 1).cast("bigint").alias("version"), F.lit(parent).cast("bigint").alias("parent"), F.lit(attempt).alias("attempt"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        row = self.spark.range(1).select(F.lit(parent + 1).cast("bigint").alias("version"), F.lit(parent).cast("bigint").alias("parent"))
+        row.coalesce(1).write.parquet(f"{self.root}/versions/attempt={attempt}/by={uuid.uuid4().hex}")
 
     def claim(self, attempt: str, parent: int) -> None:
         """Ask for the place after ``parent``; ``decide`` tells who has it."""
-        row = self.spark.range(1).select(F.lit(attempt).alias("attempt"), F.lit(parent).cast("bigint").alias("parent"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/claims/parent={parent}")
+        row = self.spark.range(1).select(F.lit(parent).cast("bigint").alias("of"))
+        row.coalesce(1).write.parquet(f"{self.root}/claims/parent={parent}/attempt={attempt}")
 
     def decide(self, parent: int) -> str | None:
         """The attempt whose claim on ``parent`` came first; its version row is written if it is missing."""
