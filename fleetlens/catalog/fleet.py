@@ -8,6 +8,9 @@ from fleetlens.functions import json_values as J
 from fleetlens.operators import chains, cleanup, fleet
 from fleetlens.plans.cleanup import cleanup_report
 from fleetlens.plans.sweep import sweep, sweep_totals
+from fleetlens.session import scratch_folder
+from fleetlens.streaming import replay
+from fleetlens.streaming.sweep import start_sweep
 
 SCOPE = "prod-e4da3b7fbbce"
 NORMAL = """n0 AS (SELECT row_id, listing_id, CASE WHEN json_valid(raw_json) THEN raw_json::JSON END AS j FROM v_instances_raw),
@@ -303,13 +306,25 @@ def policy_outcomes(v):
     return outcomes.select("instance_id", "verdict", "refusal")
 
 
-@query("sweep_stream", "instances", "units", "destroy_log", oracle=f""", {dispatch_oracle('available', SWEEP)}
+LISTING_TOTALS = f""", {dispatch_oracle('available', SWEEP)}
 SELECT i.listing_id, count(*) FILTER (verdict = 'destroyed') AS destroyed, count(*) FILTER (verdict = 'already_gone') AS already_gone, count(*) - count(*) FILTER (verdict IN ('destroyed', 'already_gone')) AS unresolved, count(*) AS candidates
-FROM g JOIN v_instances i USING (instance_id) GROUP BY i.listing_id""")
-def sweep_stream(v):
+FROM g JOIN v_instances i USING (instance_id) GROUP BY i.listing_id"""
+
+
+@query("sweep_by_listing", "instances", "units", "destroy_log", oracle=LISTING_TOTALS)
+def sweep_by_listing(v):
     return cleanup.cleanup_totals(sweep_rows(v), ["listing_id"])
 
 
+@query("sweep_stream", "instances", "units", "destroy_log", oracle=LISTING_TOTALS)
+def sweep_stream(v):
+    """Listings come as a stream; every micro-batch is swept on its own."""
+    listings, _ = replay.source(v.instances, "started_at")
+    folder, log, verification = scratch_folder(v.spark, "sweep"), destroy_log(v), judged(v).select("instance_id", "verification")
+    run = start_sweep(listings, lambda df: sweep(df, v.units, log, SCOPE, verification=verification), f"{folder}/runs", checkpoint=f"{folder}/log")
+    return cleanup.cleanup_totals(replay.finished(run, lambda: v.spark.read.parquet(f"{folder}/runs")), ["listing_id"])
+
+
 @query("cleanup_report", "instances_raw", "units", "destroy_log", oracle=f""", {NORMAL}, {DESTROY},
  cand AS (SELECT n.listing_id, n.cid, n.image_uuid, h.malformed FROM n JOIN h USING (listing_id) WHERE reject = '' AND duplicate_ids = 0 AND starts_with(label, 'prod-3f9a1b2c4d5e-') AND cid NOT IN (SELECT instance_id FROM v_units WHERE status IN ('deployed', 'running')))
 SELECT cid AS instance_id, CASE WHEN malformed > 0 OR NOT starts_with(image_uuid, 'myorg/app1:') THEN 'ownership' END AS refusal, CASE WHEN malformed = 0 AND starts_with(image_uuid, 'myorg/app1:') THEN coalesce(dv.verdict, 'unknown') END AS verdict

@@ -8,6 +8,7 @@ from fleetlens.operators.workload import run_workload
 from fleetlens.session import scratch_folder
 from fleetlens.sources import readers, writers
 from fleetlens.sources.versions import Conflict
+from fleetlens.streaming import declarative, replay
 
 READ = r"""c AS (SELECT *, string_split(trim(csv_line), ',') AS p FROM v_gpu_telemetry),
  t AS (SELECT *, CASE WHEN len(p) >= 2 THEN coalesce(TRY_CAST(CASE WHEN regexp_full_match(trim(p[1]), '\d+') THEN trim(p[1]) END AS BIGINT), 0) END AS temp_c,
@@ -25,11 +26,21 @@ def gpu_health(v):
     return health.gpu_health(v.gpu_telemetry, min_memory_mib=12000).select("event_id", "breach", "healthy")
 
 
-@query("gpu_health_stream", "gpu_telemetry", oracle=f", {READ} SELECT instance_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(breach, (ts, event_id)) AS breach FROM h WHERE breach IS NOT NULL GROUP BY instance_id")
-def gpu_health_stream(v):
+FIRST = f", {READ} SELECT instance_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(breach, (ts, event_id)) AS breach FROM h WHERE breach IS NOT NULL GROUP BY instance_id"
+
+
+@query("first_unhealthy", "gpu_telemetry", oracle=FIRST)
+def first_unhealthy(v):
     return health.first_unhealthy(health.gpu_health(v.gpu_telemetry, min_memory_mib=12000))
 
 
+@query("gpu_health_stream", "gpu_telemetry", oracle=FIRST)
+def gpu_health_stream(v):
+    readings, _ = replay.source(v.gpu_telemetry, "ts")
+    found = replay.to_latest(declarative.first_unhealthy_stream(readings, min_memory_mib=12000), "instance_id")
+    return replay.as_before(found, v.gpu_telemetry, "ts")
+
+
 @query("vram_gate", "vram", oracle="""
 , p AS (SELECT event_id, string_split(split_part(raw, chr(10), 1), ',') AS p FROM v_vram), t AS (SELECT event_id, CASE WHEN TRY_CAST(trim(p[1]) AS BIGINT) IS NOT NULL THEN TRY_CAST(trim(p[2]) AS BIGINT) END AS total_mib FROM p)
 SELECT event_id, total_mib, CASE WHEN total_mib IS NULL THEN 'unreadable' WHEN total_mib >= 20000 THEN 'ok' ELSE 'too low' END AS gate FROM t""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.registry import query
 from fleetlens.functions.keys import safe_path
 from fleetlens.operators import objects as O
+from fleetlens.streaming import replay, stateful
 
 ROOT = "project/batches"
 PARSED = r"""p0 AS (SELECT *, substr(key, length('project/batches/') + 1) AS rel FROM v_objects WHERE starts_with(key, 'project/batches/')),
@@ -81,8 +82,8 @@ def chunk_plan(v):
 
 @query("chunk_stream", "file_sizes", oracle=PLAN)
 def chunk_stream(v):
-    """The batch form of ``streaming.stateful.chunk_stream``."""
-    return O.chunk_plan(v.file_sizes)
+    rows, delay = replay.source(v.file_sizes, "ts", tick={"file_id": replay.TICK, "event_id": -1, "size": 0})
+    return replay.to_table(stateful.chunk_stream(rows, delay=delay))
 
 
 def chunks(v):

@@ -1,4 +1,4 @@
-"""Queries over probes, markers and events; the batch form of the streams."""
+"""Queries over probes, markers and events; streams run over them to their end, beside their batch forms."""
 
 from pyspark.sql import functions as F
 
@@ -8,7 +8,8 @@ from fleetlens.functions import json_values as J
 from fleetlens.operators import polling as P
 from fleetlens.operators import units as U
 from fleetlens.plans.poll import poll_cycle
-from fleetlens.streaming import declarative
+from fleetlens.streaming import declarative, replay, stateful
+from fleetlens.streaming.replay import TICK
 
 SNAP = """j AS (SELECT *, raw::JSON AS d FROM v_probes),
  b AS (SELECT *, json_type(d) = 'OBJECT' AND coalesce(CASE json_type(d, '$.complete') WHEN 'BOOLEAN' THEN CAST(json_extract(d, '$.complete') AS BOOLEAN) WHEN 'VARCHAR' THEN json_extract_string(d, '$.complete') <> '' WHEN 'DOUBLE' THEN CAST(json_extract(d, '$.complete') AS DOUBLE) <> 0 END, false) AS complete,
@@ -41,38 +42,90 @@ def unit_actions(v):
     return P.unit_actions(v.probes, v.markers, recheck_seconds=3600)
 
 
-@query("dead_recheck_stream", "probes", "markers", oracle=f""", {SNAP},
+DEAD_RECHECK_STREAM = f""", {SNAP},
  f AS (SELECT b.*, EXISTS (FROM v_markers k WHERE k.unit_key = b.unit_key AND k.marker_ts BETWEEN b.ts AND b.ts + INTERVAL 43200 SECOND) AS found FROM b WHERE worker_dead AND NOT complete)
-SELECT event_id, unit_key, ts, CASE WHEN found THEN 'complete' ELSE 'preempt' END AS action, CASE WHEN NOT found THEN log_tail END AS detail FROM f""")
-def dead_recheck_stream(v):
+SELECT event_id, unit_key, ts, CASE WHEN found THEN 'complete' ELSE 'preempt' END AS action, CASE WHEN NOT found THEN log_tail END AS detail FROM f"""
+
+
+@query("dead_recheck", "probes", "markers", oracle=DEAD_RECHECK_STREAM)
+def dead_recheck(v):
     return P.dead_recheck(v.probes, v.markers, wait_seconds=43200)
 
 
-@query("stuck_unit_stream", "unit_events", oracle="""
-SELECT event_id, unit_key, ts, 'timed out after 43200 seconds' AS reason FROM v_unit_events e WHERE event = 'deployed' AND NOT EXISTS (FROM v_unit_events n WHERE n.unit_key = e.unit_key AND n.ts > e.ts AND n.ts <= e.ts + INTERVAL 43200 SECOND)""")
-def stuck_unit_stream(v):
+@query("dead_recheck_stream", "probes", "markers", oracle=DEAD_RECHECK_STREAM)
+def dead_recheck_stream(v):
+    """Markers arrive beside the probes; both bring a row that moves the watermark."""
+    probes, marks = (df.withColumn("unit_key", F.col("unit_key").cast("string")) for df in (v.probes, v.markers))
+    left, _ = replay.source(probes, "ts", tick={"unit_key": TICK, "raw": "{}", "event_id": -1})
+    right, _ = replay.source(marks, "marker_ts", tick={"unit_key": TICK, "event_id": -1})
+    found = replay.to_table(stateful.dead_recheck_stream(left, right, wait_seconds=43200, delay="400 days"))
+    return replay.as_before(found, v.probes, "unit_key", "ts")
+
+
+STUCK_UNIT_STREAM = """
+SELECT event_id, unit_key, ts, 'timed out after 43200 seconds' AS reason FROM v_unit_events e WHERE event = 'deployed' AND NOT EXISTS (FROM v_unit_events n WHERE n.unit_key = e.unit_key AND n.ts > e.ts AND n.ts <= e.ts + INTERVAL 43200 SECOND)"""
+
+
+@query("stuck_units", "unit_events", oracle=STUCK_UNIT_STREAM)
+def stuck_units(v):
     return P.stuck_units(v.unit_events, timeout_seconds=43200)
 
 
-@query("spend_monitor_stream", "unit_events", oracle="""
+@query("stuck_unit_stream", "unit_events", oracle=STUCK_UNIT_STREAM)
+def stuck_unit_stream(v):
+    events = v.unit_events.select("event_id", F.col("unit_key").cast("string").alias("unit_key"), "ts", "event")
+    rows, delay = replay.source(events, "ts", tick={"unit_key": TICK, "event": "completed", "event_id": -1})
+    return replay.as_before(replay.to_table(stateful.stuck_unit_stream(rows, timeout_seconds=43200, delay=delay)), v.unit_events, "unit_key", "ts")
+
+
+SPEND_MONITOR_STREAM = """
 , w AS (SELECT 'b' || unit_key % 9 AS batch_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS window_start, sum(CAST(cost_per_hour AS DECIMAL(18,6))) AS s FROM v_unit_events GROUP BY ALL),
  t AS (SELECT *, CAST(sum(s) OVER (PARTITION BY batch_id ORDER BY window_start) AS DOUBLE) AS total FROM w)
-SELECT batch_id, window_start, CAST(s AS DOUBLE) AS spent, total, CASE WHEN total >= 250 THEN 'exceeded' WHEN total >= 200 THEN 'warning' ELSE 'ok' END AS status FROM t""")
-def spend_monitor_stream(v):
+SELECT batch_id, window_start, CAST(s AS DOUBLE) AS spent, total, CASE WHEN total >= 250 THEN 'exceeded' WHEN total >= 200 THEN 'warning' ELSE 'ok' END AS status FROM t"""
+
+
+@query("spend_windows", "unit_events", oracle=SPEND_MONITOR_STREAM)
+def spend_windows(v):
     return P.spend_windows(spend(v), 250.0)
 
 
-@query("progress_stream", "markers", oracle="SELECT batch_id, shard_id, count(DISTINCT unit_key) AS completed FROM v_markers GROUP BY batch_id, shard_id")
-def progress_stream(v):
+@query("spend_monitor_stream", "unit_events", oracle=SPEND_MONITOR_STREAM)
+def spend_monitor_stream(v):
+    rows, delay = replay.source(spend(v), "ts", tick={"batch_id": TICK, "event_id": -1, "amount": 0.0})
+    return replay.to_table(stateful.spend_status_stream(rows, 250.0, delay=delay))
+
+
+PROGRESS_STREAM = "SELECT batch_id, shard_id, count(DISTINCT unit_key) AS completed FROM v_markers GROUP BY batch_id, shard_id"
+
+
+@query("marker_progress", "markers", oracle=PROGRESS_STREAM)
+def marker_progress(v):
     return P.marker_progress(v.markers)
 
 
-@query("cycle_summary_stream", "probes", "markers", oracle=f""", {SNAP}, a AS (SELECT b.*, {ACTION.format(wait=0)} AS action FROM b LEFT JOIN m USING (unit_key))
-SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS cycle_start, count(*) FILTER (action = 'complete') AS terminal, count(*) FILTER (action = 'preempt') AS preempted, count(*) FILTER (action <> 'continue') > 0 AS any_progress FROM a GROUP BY 1""")
-def cycle_summary_stream(v):
+@query("progress_stream", "markers", oracle=PROGRESS_STREAM)
+def progress_stream(v):
+    marks, delay = replay.source(v.markers, "marker_ts", tick={"batch_id": TICK, "shard_id": -1, "unit_key": -1, "event_id": -1})
+    per_window = replay.to_table(declarative.progress_stream(marks, delay=delay))
+    return per_window.groupBy("batch_id", "shard_id").agg(F.sum("completed").alias("completed"))
+
+
+CYCLE_SUMMARY_STREAM = f""", {SNAP}, a AS (SELECT b.*, {ACTION.format(wait=0)} AS action FROM b LEFT JOIN m USING (unit_key))
+SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS cycle_start, count(*) FILTER (action = 'complete') AS terminal, count(*) FILTER (action = 'preempt') AS preempted, count(*) FILTER (action <> 'continue') > 0 AS any_progress FROM a GROUP BY 1"""
+
+
+@query("cycle_summary", "probes", "markers", oracle=CYCLE_SUMMARY_STREAM)
+def cycle_summary(v):
     return P.cycle_summary(P.probe_actions(v.probes, v.markers))
 
 
+@query("cycle_summary_stream", "probes", "markers", oracle=CYCLE_SUMMARY_STREAM)
+def cycle_summary_stream(v):
+    actions = P.probe_actions(v.probes, v.markers).select("event_id", "unit_key", "ts", "action")
+    rows, delay = replay.source(actions, "ts", tick={"unit_key": -1, "event_id": -1, "action": "continue"})
+    return replay.to_table(declarative.cycle_summary_stream(rows, delay=delay))
+
+
 @query("unit_verdict", "probes", "markers", oracle=f""", {SNAP}, a AS (SELECT b.*, {ACTION.format(wait=0)} AS action FROM b LEFT JOIN m USING (unit_key))
 SELECT event_id, CASE action WHEN 'continue' THEN 'running' WHEN 'preempt' THEN 'preempted' ELSE CASE WHEN unit_key % 7 = 0 THEN 'failed' ELSE 'completed' END END AS verdict FROM a""")
 def unit_verdict(v):

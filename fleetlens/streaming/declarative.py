@@ -76,6 +76,11 @@ def gpu_health_stream(
     return judged.where(~F.col("healthy")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["instance_id"])
 
 
+def first_unhealthy_stream(telemetry: DataFrame, *, min_memory_mib: int = 0, max_temp_c: int = C.MAX_TEMP_C) -> DataFrame:
+    """The first unhealthy reading per instance by time (update mode): a row again when an earlier one turns up."""
+    return H.first_unhealthy(H.gpu_health(telemetry, min_memory_mib=min_memory_mib, max_temp_c=max_temp_c))
+
+
 def cycle_summary_stream(actions: DataFrame, *, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Terminal and preempted units per poll cycle."""
     return polling.cycle_summary(actions.withWatermark("ts", delay), width=width)

@@ -21,8 +21,8 @@ from fleetlens.operators.polling import with_snapshot
 from fleetlens.operators.units import budget_status
 
 VERDICT_SCHEMA = "event_id long, unit_key string, retries_before long, verdict string, failure_reason string"
-STUCK_SCHEMA = "event_id long, unit_key string, ts timestamp, reason string"
-RECHECK_SCHEMA = "event_id long, unit_key string, ts timestamp, action string, detail string"
+STUCK_SCHEMA = "event_id long, unit_key string, micros long, reason string"
+RECHECK_SCHEMA = "event_id long, unit_key string, micros long, action string, detail string"
 CHUNK_SCHEMA = "file_id string, event_id long, chunk_index long, offset long, length long"
 SPEND_SCHEMA = "batch_id string, window_start timestamp, micros long, total_micros long"
 _STATE = "folded string, waiting string"
@@ -94,6 +94,11 @@ def retry_verdict_stream(
     return _folded(losses, "unit_key", VERDICT_SCHEMA, delay, forget, fold)
 
 
+def _with_time(folded: DataFrame) -> DataFrame:
+    """``micros`` as ``ts``, whatever the session's time zone is."""
+    return folded.select(*[F.timestamp_micros("micros").alias("ts") if c == "micros" else c for c in folded.columns])
+
+
 def _due(timeout_seconds: int) -> Column:
     """Microseconds of the event time and a timeout."""
     return F.unix_micros("ts") + F.lit(timeout_seconds * 1_000_000)
@@ -120,7 +125,7 @@ def stuck_unit_stream(
             {
                 "event_id": rows["event_id"].to_numpy()[is_check][stuck],
                 "unit_key": key,
-                "ts": pd.to_datetime(started[stuck], unit="us"),
+                "micros": started[stuck],
                 "reason": f"timed out after {timeout_seconds} seconds",
             }
         )
@@ -132,7 +137,7 @@ def stuck_unit_stream(
     check = F.struct(_due(timeout_seconds).alias("at"), F.lit(True).alias("check"))
     both = F.when(F.col("event") == event, F.array(own, check)).otherwise(F.array(own))
     rows = source.select("unit_key", "event_id", "ts", F.explode(both).alias("e")).select("unit_key", "event_id", "ts", "e.at", "e.check")
-    return _folded(rows, "unit_key", STUCK_SCHEMA, delay, _YEAR, fold)
+    return _with_time(_folded(rows, "unit_key", STUCK_SCHEMA, delay, _YEAR, fold))
 
 
 def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds: int, delay: str = "10 minutes") -> DataFrame:
@@ -153,7 +158,7 @@ def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds:
             {
                 "event_id": rows["event_id"].to_numpy()[is_probe],
                 "unit_key": key,
-                "ts": pd.to_datetime(started, unit="us"),
+                "micros": started,
                 "action": np.where(found, "complete", "preempt"),
                 "detail": np.where(found, None, rows["log_tail"].to_numpy(object)[is_probe]),
             }
@@ -172,7 +177,7 @@ def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds:
         F.lit(False).alias("check"),
         F.lit(None).cast("string").alias("log_tail"),
     )
-    return _folded(checks.unionByName(marks), "unit_key", RECHECK_SCHEMA, delay, _YEAR, fold)
+    return _with_time(_folded(checks.unionByName(marks), "unit_key", RECHECK_SCHEMA, delay, _YEAR, fold))
 
 
 def chunk_stream(sizes: DataFrame, *, delay: str = "10 minutes", forget: str = _YEAR) -> DataFrame:
