@@ -23,7 +23,7 @@ HEADLINE = (
     "current_spend", "archivable_batches", "unit_current_state", "retry_verdict", "spend_crossings", "deploy_outcome",
     "remaining_items", "expiring_objects", "chunk_plan", "missing_predictions", "upload_unresolved",
     "prediction_status", "overlapping_rules", "lifecycle_plan", "rules_after", "unit_action_stream",
-    "dead_recheck_stream", "cycle_summary_stream", "gpu_health", "run_workload",
+    "dead_recheck", "cycle_summary", "gpu_health", "run_workload",
 )
 
 

@@ -58,8 +58,13 @@ def load_calibration(v):
 @query("append_timing", "unit_events", oracle="""
 SELECT event_id, '{"workload":"' || event || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","event_id":' || event_id || '}' AS line FROM v_unit_events""")
 def append_timing(v):
+    """Timings appended twice, a half each, and read back."""
     rows = v.unit_events.select("event_id", "ts", F.col("event").alias("workload"))
-    return writers.timing_lines(rows, F.col("ts"), "event_id").select("event_id", "line")
+    folder = scratch_folder(v.spark, "timings")
+    for half in (0, 1):
+        writers.append_timing(rows.where(F.col("event_id") % 2 == half), folder, F.col("ts"), "event_id")
+    lines = v.spark.read.text(folder).select(F.col("value").alias("line"))
+    return lines.select(F.get_json_object("line", "$.event_id").cast("bigint").alias("event_id"), "line")
 
 
 @query("write_batch_state", "units", oracle="""
@@ -109,15 +114,24 @@ def read_diagnostics(v):
 
 @query("collect_outputs", "outputs", oracle="SELECT batch_id, CAST(sum(octet_length(encode(rel_path)) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM v_outputs GROUP BY batch_id")
 def collect_outputs(v):
-    """The outputs as files of a folder tree, a folder per batch, collected with their content."""
+    """The outputs as many small files of a folder tree, collected with their content."""
     folder = scratch_folder(v.spark, "outputs")
-    v.outputs.selectExpr("rel_path AS value", "batch_id").write.partitionBy("batch_id").text(folder)
+    shard = F.crc32(F.col("rel_path").cast("binary")) % 25
+    v.outputs.select(F.col("rel_path").alias("value"), "batch_id", shard.alias("shard")).repartition("batch_id").write.partitionBy("batch_id", "shard").text(folder)
     files = readers.collect_outputs(v.spark, folder, "*.txt")
     batch = F.regexp_extract("rel_path", r"\Abatch_id=([^/]*)/", 1).alias("batch_id")
     lines = F.regexp_count(F.decode("content", "UTF-8"), F.lit("\n"))
     return files.groupBy(batch).agg(F.sum("size").alias("bytes"), F.sum(lines).alias("lines"))
 
 
+@query("collect_output_lines", "outputs", oracle="SELECT batch_id, rel_path AS line FROM v_outputs")
+def collect_output_lines(v):
+    """Lines of output files, one file per batch, that are read in ranges."""
+    folder = scratch_folder(v.spark, "outputs")
+    v.outputs.select(F.col("rel_path").alias("value"), "batch_id").repartition("batch_id").write.partitionBy("batch_id").text(folder)
+    return readers.collect_lines(v.spark, folder, "*.txt").select(F.regexp_extract("rel_path", r"\Abatch_id=([^/]*)/", 1).alias("batch_id"), "line")
+
+
 @query("run_workload", "items", oracle="""
 , s AS (SELECT batch_id, CAST(substr(item_id, 2) AS BIGINT) % 8 AS shard_id, item_id FROM v_items)
 SELECT batch_id, shard_id, CASE WHEN shard_id = 3 THEN 1 WHEN shard_id = 5 THEN 3 WHEN bool_or(item_id = 'p17') THEN 1 WHEN bool_or(item_id = 'p23') THEN -9 ELSE 0 END AS exit_code, CASE WHEN shard_id IN (3, 5) THEN 0 ELSE count(*) END AS items,

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.registry import query
 from fleetlens.functions.keys import safe_path
 from fleetlens.operators import objects as O
+from fleetlens.session import scratch_folder
+from fleetlens.sources import writers
 from fleetlens.streaming import replay, stateful
 
 ROOT = "project/batches"
@@ -48,7 +50,11 @@ def batch_cleanup_manifest(v):
 
 @query("mark_done", "markers", oracle="SELECT unit_key, max(marker_ts) AS marker_ts, arg_max(worker_id, (marker_ts, event_id)) AS worker_id, count(*) AS writes FROM v_markers GROUP BY unit_key")
 def mark_done(v):
-    return O.latest_markers(v.markers)
+    """Markers appended in two writes, read back and folded."""
+    folder = scratch_folder(v.spark, "markers")
+    for half in (0, 1):
+        writers.write_markers(v.markers.where(F.col("event_id") % 2 == half), folder)
+    return O.latest_markers(v.spark.read.schema(v.markers.schema).parquet(folder))
 
 
 EXPIRING = "x AS (SELECT o.bucket, o.key, o.size, r.id AS rule_id, r.pos, r.days FROM v_bucket_objects o JOIN v_rules r ON r.bucket = o.bucket AND starts_with(o.key, r.prefix) AND r.status = 'Enabled' AND o.age_days >= r.days)"

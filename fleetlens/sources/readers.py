@@ -109,6 +109,14 @@ def collect_outputs(spark: SparkSession, root: str, glob: str | None = None) ->
     return reader.load(root).select(_relative(F.col("path"), root).alias("rel_path"), F.col("length").alias("size"), "content")
 
 
+def collect_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """Lines of the text files of a folder tree: ``rel_path, line``. A large file is read in ranges by many tasks, and many small ones by one."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.text(root).select(_relative(F.col("_metadata.file_path"), root).alias("rel_path"), F.col("value").alias("line"))
+
+
 def _relative(path: Column, root: str) -> Column:
     """Part of a file path after ``root``, whatever scheme the scan adds in front."""
     base = root.split(":", 1)[-1].strip("/") + "/"
