@@ -89,7 +89,7 @@ def chunk_plan(v):
 @query("chunk_stream", "file_sizes", oracle=PLAN)
 def chunk_stream(v):
     rows, delay = replay.source(v.file_sizes, "ts", tick={"file_id": replay.TICK, "event_id": -1, "size": 0})
-    return replay.to_table(stateful.chunk_stream(rows, delay=delay))
+    return replay.to_table(stateful.chunk_stream(rows, delay=delay, bucket="1 day"))
 
 
 def chunks(v):

@@ -58,7 +58,7 @@ def dead_recheck_stream(v):
     probes, marks = (df.withColumn("unit_key", F.col("unit_key").cast("string")) for df in (v.probes, v.markers))
     left, _ = replay.source(probes, "ts", tick={"unit_key": TICK, "raw": "{}", "event_id": -1})
     right, _ = replay.source(marks, "marker_ts", tick={"unit_key": TICK, "event_id": -1})
-    found = replay.to_table(stateful.dead_recheck_stream(left, right, wait_seconds=43200, delay="400 days"))
+    found = replay.to_table(stateful.dead_recheck_stream(left, right, wait_seconds=43200, delay="400 days", bucket="1 day"))
     return replay.as_before(found, v.probes, "unit_key", "ts")
 
 
@@ -75,7 +75,7 @@ def stuck_units(v):
 def stuck_unit_stream(v):
     events = v.unit_events.select("event_id", F.col("unit_key").cast("string").alias("unit_key"), "ts", "event")
     rows, delay = replay.source(events, "ts", tick={"unit_key": TICK, "event": "completed", "event_id": -1})
-    return replay.as_before(replay.to_table(stateful.stuck_unit_stream(rows, timeout_seconds=43200, delay=delay)), v.unit_events, "unit_key", "ts")
+    return replay.as_before(replay.to_table(stateful.stuck_unit_stream(rows, timeout_seconds=43200, delay=delay, bucket="1 day")), v.unit_events, "unit_key", "ts")
 
 
 SPEND_MONITOR_STREAM = """

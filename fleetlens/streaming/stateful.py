@@ -1,20 +1,25 @@
 """Streams whose state needs code: retries, stuck units, rechecks, chunks and running spend.
 
-Rows of a key wait in its state until the watermark has passed them and are then folded in event order, so
-rows may come in any order within ``delay`` and the result is the batch operator's. A state without waiting
-rows is dropped after ``forget`` of silence; a key that comes back later starts anew.
+Rows of a key wait in its state until the watermark has passed their time bucket and are then folded in event order, so
+rows may come in any order within ``delay`` and the result is the batch operator's. The state is typed
+(``transformWithState``, which needs the RocksDB state store; it is set in the session): a map from (bucket, part) to the
+rows that one batch brought for that bucket, a map of the parts of each bucket, and one value with what was folded. A batch of rows
+is one more part; what waits already is not read or written again until its bucket's event-time timer fires. A wider ``bucket`` means
+fewer timers and a result that comes up to a bucket later. A state without waiting rows is dropped after ``forget`` of silence; a key that comes back
+later starts anew. ``initial`` gives keys a folded state to start from, for example from a batch over older rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from fleetlens import constants as C
 from fleetlens.operators.polling import with_snapshot
@@ -24,59 +29,109 @@ VERDICT_SCHEMA = "event_id long, unit_key string, retries_before long, verdict s
 STUCK_SCHEMA = "event_id long, unit_key string, micros long, reason string"
 RECHECK_SCHEMA = "event_id long, unit_key string, micros long, action string, detail string"
 CHUNK_SCHEMA = "file_id string, event_id long, chunk_index long, offset long, length long"
-SPEND_SCHEMA = "batch_id string, window_start timestamp, micros long, total_micros long"
-_STATE = "folded string, waiting string"
-_YEAR = "365 days"
+SPEND_SCHEMA = "batch_id string, start_ms long, micros long, total_micros long"
+_YEAR, _HOUR = "365 days", "1 hour"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: ``fold(key, rows in event order, state)`` gives output rows and the new state, which may hold the time ``due`` (ms) it can be dropped.
+Fold = Callable[[str, pd.DataFrame, dict[str, Any]], tuple[pd.DataFrame, dict[str, Any]]]
+
+
+def _ms(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+class _Folder(StatefulProcessor):
+    """Waiting rows by time bucket, folded when the bucket's timer fires."""
+
+    def __init__(self, columns: dict[str, str], out: list[str], state: str, fold: Fold, bucket_ms: int, keep_ms: int):
+        self.columns, self.out, self.state, self.fold = columns, out, state, fold
+        self.fields = [c.split()[0] for c in state.split(", ")]
+        self.bucket_ms, self.keep_ms = bucket_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        arrays = ", ".join(f"`{name}` array<{kind}>" for name, kind in self.columns.items())
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", arrays)
+        self.parts = handle.getMapState("parts", "bucket long", "n long")
+        self.folded = handle.getValueState("folded", f"{self.state}, due long")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N803
+        row = initialState.iloc[0]
+        # when it was made is not known, so it waits for the first row of its key
+        self.folded.update((*[v.tolist() if isinstance(v := row[f], (np.generic, np.ndarray)) else v for f in self.fields], 1 << 62))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        # a bucket is named by its end; one that has ended already takes no more rows
+        first = max(0, timerValues.getCurrentWatermarkInMs()) // self.bucket_ms + 1
+        for batch in rows:
+            ends = np.maximum(-(-batch["at"].to_numpy(np.int64) // (1000 * self.bucket_ms)), first)
+            for end in np.unique(ends).tolist():
+                own = batch[ends == end]
+                n = self.parts.getValue((end,))[0] if self.parts.containsKey((end,)) else 0
+                values = (own[c].astype(object).where(own[c].notna(), None).tolist() for c in self.columns)
+                self.waiting.updateValue((end, n), tuple(values))
+                self.parts.updateValue((end,), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer(end * self.bucket_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        end, left = divmod(now, self.bucket_ms)
+        if not left and self.parts.containsKey((end,)):
+            rows = self._taken(end)
+            known = self.folded.get() if self.folded.exists() else None
+            # silence ends a state, also where its timer has not fired yet
+            alive = known is not None and known[-1] >= int(rows["at"].iloc[0]) // 1000
+            before = dict(zip(self.fields, known)) if alive else {}
+            out, after = self.fold(key[0], rows, before)
+            due = after.pop("due", int(rows["at"].iloc[-1]) // 1000 + self.keep_ms)
+            self.folded.update((*[after[f] for f in self.fields], due))
+            self.handle.registerTimer(max(due, now + 1))
+            if len(out):
+                yield out[self.out]
+        elif self.folded.exists() and self.folded.get()[-1] <= now and next(self.parts.keys(), None) is None:
+            self.folded.clear()
+
+    def _taken(self, end: int) -> pd.DataFrame:
+        """The rows of a bucket in event order, which leave the state."""
+        frames = []
+        for part in range(self.parts.getValue((end,))[0]):
+            frames.append(pd.DataFrame(dict(zip(self.columns, self.waiting.getValue((end, part))))))
+            self.waiting.removeKey((end, part))
+        self.parts.removeKey((end,))
+        return pd.concat(frames).sort_values(["at", "event_id"], kind="stable", ignore_index=True)
+
+    def close(self) -> None:
+        pass
 
 
 def _folded(
-    source: DataFrame, key: str, schema: str, delay: str, forget: str, fold: Callable[[str, pd.DataFrame, dict], tuple[pd.DataFrame, dict]]
+    source: DataFrame, key: str, schema: str, delay: str, forget: str, state: str, fold: Fold, bucket: str, initial: DataFrame | None = None
 ) -> DataFrame:
-    """Apply ``fold(key, rows in order, state)`` to the rows the watermark has passed.
+    """Apply ``fold`` to the rows the watermark has passed; ``state`` is the schema of what it keeps.
 
     ``source`` has the key, ``ts``, ``event_id`` and the columns to fold; ``fold`` gets ``at`` (microseconds)
-    in place of ``ts`` and returns output rows and the new state. A source may bring ``at`` itself for rows that
-    are due later than their event time; the watermark follows ``ts`` alone.
+    in place of ``ts``. A source may bring ``at`` itself for rows that
+    are due later than their event time; the watermark follows ``ts`` alone. ``initial`` has the key and the columns of ``state``.
     """
-    keep_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    source.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     timed = source if "at" in source.columns else source.withColumn("at", F.unix_micros("ts"))
     timed = timed.withWatermark("ts", delay)
-    columns = [c for c in timed.columns if c not in (key, "ts")]
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        folded, waiting = (json.loads(x) for x in state.get) if state.exists else ({}, [])
-        frames = [pd.DataFrame(waiting, columns=columns)] if waiting else []
-        if not state.hasTimedOut:
-            frames += [b[columns] for b in batches]
-        rows = pd.concat(frames) if frames else pd.DataFrame(columns=columns)
-        mark = state.getCurrentWatermarkMs()
-        passed = rows["at"].astype("int64") <= mark * 1000
-        out = pd.DataFrame(columns=names)
-        if passed.any():
-            ready = rows[passed].sort_values(["at", "event_id"], kind="stable", ignore_index=True)
-            out, folded = fold(group[0], ready, folded)
-            folded["last"] = max(int(ready["at"].iloc[-1]), folded.get("last", 0))
-        rest = rows[~passed]
-        if len(rest):
-            state.update((json.dumps(folded), rest.to_json(orient="values")))
-            state.setTimeoutTimestamp(max(mark + 1, -(-int(rest["at"].min()) // 1000)))
-        elif folded and folded.get("due", folded["last"] // 1000 + keep_ms) >= mark:
-            state.update((json.dumps(folded), "[]"))
-            state.setTimeoutTimestamp(max(mark + 1, folded.get("due", folded["last"] // 1000 + keep_ms)))
-        elif state.exists:
-            state.remove()
-        yield out[names]
-
-    return timed.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    columns = {f.name: f.dataType.simpleString() for f in timed.schema.fields if f.name not in (key, "ts")}
+    folder = _Folder(columns, [c.split()[0] for c in schema.split(", ")], state, fold, _ms(bucket), _ms(forget))
+    start = initial if initial is None else initial.groupBy(key)
+    return timed.groupBy(key).transformWithStateInPandas(folder, StructType.fromDDL(schema), "append", "EventTime", start)
 
 
 def retry_verdict_stream(
-    events: DataFrame, *, max_retries: int = C.UNIT_RETRIES, fatal_pattern: str | None = None, delay: str = "10 minutes", forget: str = _YEAR
-) -> DataFrame:
+    events: DataFrame, *, max_retries: int = C.UNIT_RETRIES, fatal_pattern: str | None = None, delay: str = "10 minutes", forget: str = _YEAR,
+    bucket: str = _HOUR, initial: DataFrame | None = None,
+) -> DataFrame:
     """Verdict on each instance loss once the watermark has passed it (append mode).
 
-    Reasons that match ``fatal_pattern`` are fatal.
+    Reasons that match ``fatal_pattern`` are fatal. ``initial`` (``unit_key, retries``) has the losses before the stream.
     """
 
     def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
@@ -91,7 +146,7 @@ def retry_verdict_stream(
     losses = events.where(F.col("event").isin("failed", "preempted")).select(
         F.col("unit_key").cast("string").alias("unit_key"), "event_id", "ts", "event", "reason", F.coalesce(fatal, F.lit(False)).alias("fatal")
     )
-    return _folded(losses, "unit_key", VERDICT_SCHEMA, delay, forget, fold)
+    return _folded(losses, "unit_key", VERDICT_SCHEMA, delay, forget, "retries long", fold, bucket, initial)
 
 
 def _with_time(folded: DataFrame) -> DataFrame:
@@ -105,7 +160,7 @@ def _due(timeout_seconds: int) -> Column:
 
 
 def stuck_unit_stream(
-    events: DataFrame, *, timeout_seconds: int = C.BOOT_TIMEOUT_SECONDS, delay: str = "10 minutes", event: str = "deployed"
+    events: DataFrame, *, timeout_seconds: int = C.BOOT_TIMEOUT_SECONDS, delay: str = "10 minutes", event: str = "deployed", bucket: str = _HOUR
 ) -> DataFrame:
     """Deployments that nothing followed within the timeout (append mode).
 
@@ -137,10 +192,10 @@ def stuck_unit_stream(
     check = F.struct(_due(timeout_seconds).alias("at"), F.lit(True).alias("check"))
     both = F.when(F.col("event") == event, F.array(own, check)).otherwise(F.array(own))
     rows = source.select("unit_key", "event_id", "ts", F.explode(both).alias("e")).select("unit_key", "event_id", "ts", "e.at", "e.check")
-    return _with_time(_folded(rows, "unit_key", STUCK_SCHEMA, delay, _YEAR, fold))
+    return _with_time(_folded(rows, "unit_key", STUCK_SCHEMA, delay, _YEAR, "seen array<long>", fold, bucket))
 
 
-def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds: int, delay: str = "10 minutes") -> DataFrame:
+def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds: int, delay: str = "10 minutes", bucket: str = _HOUR) -> DataFrame:
     """Dead probes with ``complete`` when a marker comes within the wait, else ``preempt`` (append mode).
 
     Probes and markers are one stream of rows, a probe due a wait after it was made, so no probe is paired with
@@ -177,10 +232,10 @@ def dead_recheck_stream(probes: DataFrame, markers: DataFrame, *, wait_seconds:
         F.lit(False).alias("check"),
         F.lit(None).cast("string").alias("log_tail"),
     )
-    return _with_time(_folded(checks.unionByName(marks), "unit_key", RECHECK_SCHEMA, delay, _YEAR, fold))
+    return _with_time(_folded(checks.unionByName(marks), "unit_key", RECHECK_SCHEMA, delay, _YEAR, "seen array<long>", fold, bucket))
 
 
-def chunk_stream(sizes: DataFrame, *, delay: str = "10 minutes", forget: str = _YEAR) -> DataFrame:
+def chunk_stream(sizes: DataFrame, *, delay: str = "10 minutes", forget: str = _YEAR, bucket: str = _HOUR) -> DataFrame:
     """Chunks of growing files once the watermark has passed the observed size (append mode)."""
 
     def fold(key: str, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
@@ -193,41 +248,63 @@ def chunk_stream(sizes: DataFrame, *, delay: str = "10 minutes", forget: str = _
         return out, {"offset": int(seen[-1]), "chunks": int(state.get("chunks", 0) + grown.sum())}
 
     source = sizes.select("file_id", "event_id", "ts", F.col("size").alias("bytes"))
-    return _folded(source, "file_id", CHUNK_SCHEMA, delay, forget, fold)
-
-
-def spend_status_stream(spend: DataFrame, ceiling: float, *, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    return _folded(source, "file_id", CHUNK_SCHEMA, delay, forget, "offset long, chunks long", fold, bucket)
+
+
+class _Spending(StatefulProcessor):
+    """A sum per open window and the total of the closed ones."""
+
+    def __init__(self, width_ms: int, keep_ms: int):
+        self.width_ms, self.keep_ms = width_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.windows = handle.getMapState("windows", "ends long", "micros long")
+        self.total = handle.getValueState("total", "micros long, due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        for batch in rows:
+            for end, micros in batch.groupby("end_ms")["micros"].sum().items():
+                known = self.windows.containsKey((int(end),))
+                before = self.windows.getValue((int(end),))[0] if known else 0
+                self.windows.updateValue((int(end),), (before + int(micros),))
+                if not known:
+                    self.handle.registerTimer(int(end))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        if self.windows.containsKey((end,)):
+            micros = self.windows.getValue((end,))[0]
+            known = self.total.get() if self.total.exists() else (0, 0)
+            total = micros + (known[0] if known[1] >= end - self.width_ms else 0)
+            self.windows.removeKey((end,))
+            self.total.update((total, end + self.keep_ms))
+            self.handle.registerTimer(end + self.keep_ms)
+            yield pd.DataFrame({"batch_id": [key[0]], "start_ms": [end - self.width_ms], "micros": [micros], "total_micros": [total]})
+        elif self.total.exists() and self.total.get()[1] <= end and next(self.windows.keys(), None) is None:
+            self.total.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def spend_status_stream(spend: DataFrame, ceiling: float, *, width: str = "1 day", delay: str = "1 hour", forget: str = _YEAR) -> DataFrame:
     """Per batch and closed window: spend, running total and budget status (append mode).
 
-    The state of a batch is its total and one sum per open window, however many rows they get.
+    The state of a batch is its total and one sum per open window, however many rows they get; it is dropped
+    after ``forget`` without spend.
     """
-    width_ms = int(pd.Timedelta(width).total_seconds() * 1000)
-
-    def total(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, open_windows = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
-        for rows in () if state.hasTimedOut else batches:
-            for start, micros in rows.groupby("start_ms")["micros"].sum().items():
-                open_windows[str(start)] = open_windows.get(str(start), 0) + int(micros)
-        mark = state.getCurrentWatermarkMs()
-        closed = sorted(int(w) for w in open_windows if int(w) + width_ms <= mark)
-        sums = np.array([open_windows.pop(str(w)) for w in closed], np.int64)
-        state.update((int(before + sums.sum()), json.dumps(open_windows)))
-        if open_windows:
-            state.setTimeoutTimestamp(max(mark + 1, min(map(int, open_windows)) + width_ms))
-        starts = pd.to_datetime(np.array(closed, np.int64), unit="ms")
-        yield pd.DataFrame({"batch_id": group[0], "window_start": starts, "micros": sums, "total_micros": before + np.cumsum(sums)})
-
+    spend.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    width_ms = _ms(width)
     micros = (F.col("amount").cast("decimal(18,6)") * 1_000_000).cast("bigint").alias("micros")
-    rows = spend.withWatermark("ts", delay).select(
-        "batch_id", "ts", (F.unix_millis("ts") - F.pmod(F.unix_millis("ts"), F.lit(width_ms))).alias("start_ms"), micros
-    )
-    summed = rows.groupBy("batch_id").applyInPandasWithState(
-        total, SPEND_SCHEMA, "total long, windows string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    end = F.unix_millis("ts") - F.pmod(F.unix_millis("ts"), F.lit(width_ms)) + width_ms
+    rows = spend.withWatermark("ts", delay).select("batch_id", "ts", end.alias("end_ms"), micros)
+    summed = rows.groupBy("batch_id").transformWithStateInPandas(_Spending(width_ms, _ms(forget)), StructType.fromDDL(SPEND_SCHEMA), "append", "EventTime")
     whole = F.col("total_micros") / 1e6
     return summed.select(
         "batch_id",
-        F.unix_seconds("window_start").alias("window_start"),
+        F.floor(F.col("start_ms") / 1000).alias("window_start"),
         (F.col("micros") / 1e6).alias("spent"),
         whole.alias("total"),
         budget_status(whole, F.lit(ceiling)).alias("status"),

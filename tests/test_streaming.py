@@ -73,6 +73,31 @@ def test_retry_verdict_stream_equals_batch(spark, views, folder):
     assert values(drain(mixed, folder + "/b", "append", "retries_mixed"), *columns) == values(want, *columns)
 
 
+def test_a_stream_goes_on_from_the_state_of_a_batch(spark, views, folder):
+    """Older losses are counted by a batch, newer ones by the stream: the verdicts are those of all events together."""
+    events = timed(views.unit_events, "ts").withColumn("unit_key", F.col("unit_key").cast("string"))
+    middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    old, new = (events.where(c) for c in (F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle))
+    before = old.where(F.col("event").isin("failed", "preempted")).groupBy("unit_key").agg(F.count("*").alias("retries"))
+    rows = new.unionByName(last_tick(spark, events.schema, unit_key=TICK, ts=far(), event="failed", event_id=-1, reason=""))
+    stream = S.retry_verdict_stream(stream_of(spark, rows, folder, shuffled(rows, -1)), delay="4000 days", bucket="2 days", initial=before)
+    want = units.retry_verdicts(events).where(F.unix_micros("ts") > middle)
+    columns = ("event_id", "retries_before", "verdict", "failure_reason")
+    assert values(drain(stream, folder, "append", "continued"), *columns) == values(want, *columns)
+    assert want.where("retries_before > 0").count() > 0
+
+
+def test_a_silent_key_is_forgotten(spark, folder):
+    import datetime
+
+    at = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)
+    rows = [("f", 1, at(0), 10), ("f", 2, at(1), 30), ("g", 3, at(40), 5), ("f", 4, at(80), 20), ("g", 5, at(81), 9), (TICK, -1, far(), 0)]
+    sizes = spark.createDataFrame(rows, "file_id string, event_id long, ts timestamp, size long")
+    got = drain(S.chunk_stream(stream_of(spark, sizes, folder, "ts", parts=6), forget="30 days"), folder, "append", "forgotten")
+    # after thirty days of silence a file starts anew
+    assert values(got, "file_id", "event_id", "chunk_index", "offset", "length") == [("f", 1, 0, 0, 10), ("f", 2, 1, 10, 20), ("f", 4, 0, 0, 20), ("g", 3, 0, 0, 5), ("g", 5, 0, 0, 9)]
+
+
 def test_dead_recheck_stream_equals_batch(spark, views, folder):
     probes = timed(views.probes, "ts").withColumn("unit_key", F.col("unit_key").cast("string"))
     marks = timed(views.markers, "marker_ts").withColumn("unit_key", F.col("unit_key").cast("string"))
