@@ -31,7 +31,7 @@ def normalized(v):
 
 def own_images(v):
     """Owned images derived from the listing: the plain repository of the first project."""
-    return v.instances.where("image_uuid = 'myorg/app:1.0'").selectExpr("image_uuid AS image").distinct()
+    return v.instances.where("image_uuid = 'lab/fold:3'").selectExpr("image_uuid AS image").distinct()
 
 
 @query("read_instances_list", "offer_json", oracle="""
@@ -161,24 +161,24 @@ def zombie_candidates(v):
     return fleet.zombies(fleet.scope_filter(v.instances, SCOPE), v.units).select("instance_id", "label", "state")
 
 
-@query("owned_instances", "instances", oracle=f", {repository_cte('v_instances', 'image_uuid')} SELECT instance_id, repository = 'myorg/app' AS owned FROM rp")
+@query("owned_instances", "instances", oracle=f", {repository_cte('v_instances', 'image_uuid')} SELECT instance_id, repository = 'lab/fold' AS owned FROM rp")
 def owned_instances(v):
     return fleet.with_ownership(v.instances, own_images(v), key="image_uuid").select("instance_id", "owned")
 
 
 @query("verify_ownership", "instances_raw", "images", oracle=f""", {NORMAL}
-SELECT r.row_id, CASE WHEN r.row_id % 43 = 0 OR h.malformed > 0 OR h.duplicate_ids > 0 THEN 'refused' WHEN n.cid IS NULL THEN 'absent' WHEN starts_with(n.image_uuid, 'myorg/app1:') THEN 'owned' ELSE 'refused' END AS verification
+SELECT r.row_id, CASE WHEN r.row_id % 43 = 0 OR h.malformed > 0 OR h.duplicate_ids > 0 THEN 'refused' WHEN n.cid IS NULL THEN 'absent' WHEN starts_with(n.image_uuid, 'lab/fold1:') THEN 'owned' ELSE 'refused' END AS verification
 FROM (SELECT row_id, row_id - row_id % 16 AS listing_id, CASE WHEN row_id % 5 = 0 THEN row_id + 500000 ELSE row_id END AS want FROM v_images) r LEFT JOIN h USING (listing_id) LEFT JOIN (SELECT listing_id, cid, min(image_uuid) AS image_uuid FROM n GROUP BY ALL) n ON n.listing_id = r.listing_id AND n.cid = CAST(r.want AS VARCHAR)""")
 def verify_ownership(v):
     row = F.col("row_id")
     wanted = F.when(row % 43 == 0, "  ").otherwise(F.concat(F.lit(" "), F.when(row % 5 == 0, row + 500000).otherwise(row).cast("string")))
     requests = v.images.select("row_id", (row - row % 16).alias("listing_id"), wanted.alias("instance_id"))
-    owned = v.images.where(F.col("image").contains("myorg/app1:")).select("image")
+    owned = v.images.where(F.col("image").contains("lab/fold1:")).select("image")
     return fleet.verify_ownership(requests, normalized(v), owned).select("row_id", "verification")
 
 
 @query("fleet_totals", "instances", oracle=f""", {repository_cte('v_instances', 'image_uuid')}
-SELECT CAST(sum(CAST(cost_per_hour AS DECIMAL(12,6))) AS DOUBLE) AS total_per_hour, count(*) FILTER (state = 'running') AS running, count(*) AS instances, count(*) FILTER (repository = 'myorg/app') AS owned FROM rp""")
+SELECT CAST(sum(CAST(cost_per_hour AS DECIMAL(12,6))) AS DOUBLE) AS total_per_hour, count(*) FILTER (state = 'running') AS running, count(*) AS instances, count(*) FILTER (repository = 'lab/fold') AS owned FROM rp""")
 def fleet_totals(v):
     return fleet.fleet_totals(fleet.with_ownership(v.instances, own_images(v), key="image_uuid"))
 
@@ -227,7 +227,7 @@ def dispatch_oracle(credentials, where="true"):
         "absent": "CASE WHEN verification = 'absent' THEN 'already_gone' ELSE 'cli_attempted' END",
     }[credentials]
     return f"""{repository_cte('v_instances', 'image_uuid')}, {DESTROY},
- q AS (SELECT rp.*, dv.verdict, CASE WHEN instance_id % 17 = 0 THEN NULL WHEN instance_id % 9 = 0 THEN 'absent' WHEN repository = 'myorg/app' THEN 'owned' ELSE 'refused' END AS verification FROM (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM rp) rp LEFT JOIN (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM dl) dv USING (instance_id) WHERE {where}),
+ q AS (SELECT rp.*, dv.verdict, CASE WHEN instance_id % 17 = 0 THEN NULL WHEN instance_id % 9 = 0 THEN 'absent' WHEN repository = 'lab/fold' THEN 'owned' ELSE 'refused' END AS verification FROM (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM rp) rp LEFT JOIN (SELECT * REPLACE (CAST(instance_id AS BIGINT) AS instance_id) FROM dl) dv USING (instance_id) WHERE {where}),
  f AS (SELECT CAST(instance_id AS VARCHAR) AS instance_id, CASE WHEN provider IS DISTINCT FROM 'market' THEN 'provider_mismatch' WHEN state IN ('', 'destroyed') THEN 'ineligible_state' WHEN verification IS NULL OR verification = 'refused' THEN 'ownership' END AS refusal, {outcome} AS outcome FROM q),
  g AS (SELECT instance_id, refusal, CASE WHEN refusal IS NULL THEN outcome END AS verdict FROM f)"""
 
@@ -327,9 +327,9 @@ def sweep_stream(v):
 
 @query("cleanup_report", "instances_raw", "units", "destroy_log", oracle=f""", {NORMAL}, {DESTROY},
  cand AS (SELECT n.listing_id, n.cid, n.image_uuid, h.malformed FROM n JOIN h USING (listing_id) WHERE reject = '' AND duplicate_ids = 0 AND starts_with(label, 'prod-3f9a1b2c4d5e-') AND cid NOT IN (SELECT instance_id FROM v_units WHERE status IN ('deployed', 'running')))
-SELECT cid AS instance_id, CASE WHEN malformed > 0 OR NOT starts_with(image_uuid, 'myorg/app1:') THEN 'ownership' END AS refusal, CASE WHEN malformed = 0 AND starts_with(image_uuid, 'myorg/app1:') THEN coalesce(dv.verdict, 'unknown') END AS verdict
+SELECT cid AS instance_id, CASE WHEN malformed > 0 OR NOT starts_with(image_uuid, 'lab/fold1:') THEN 'ownership' END AS refusal, CASE WHEN malformed = 0 AND starts_with(image_uuid, 'lab/fold1:') THEN coalesce(dv.verdict, 'unknown') END AS verdict
 FROM cand LEFT JOIN dl dv ON dv.instance_id = cand.cid""")
 def cleanup_report_query(v):
-    owned = v.images.where(F.col("image").contains("myorg/app1:")).select("image")
+    owned = v.images.where(F.col("image").contains("lab/fold1:")).select("image")
     outcomes = cleanup_report(normalized(v), v.units, destroy_log(v), "prod-3f9a1b2c4d5e", owned=owned)
     return outcomes.select("instance_id", "refusal", "verdict")

@@ -32,12 +32,12 @@ FROM {orders}"""
 VIEWS["v_images"] = """
 SELECT o_orderkey AS row_id, CASE o_orderkey % 24
   WHEN 0 THEN 'solver' WHEN 1 THEN 'library/solver:stable' WHEN 2 THEN concat('solver@sha256:', md5(CAST(o_orderkey AS STRING)), md5(CAST(o_custkey AS STRING)))
-  WHEN 3 THEN concat('solver@sha256:', md5(CAST(o_orderkey AS STRING))) WHEN 4 THEN 'hub.internal:8443/myorg/app:1.0'
-  WHEN 5 THEN 'docker.io/library/solver' WHEN 6 THEN '[::1]:8443/myorg/app:1.0' WHEN 7 THEN 'localhost/team/render:7'
+  WHEN 3 THEN concat('solver@sha256:', md5(CAST(o_orderkey AS STRING))) WHEN 4 THEN 'hub.internal:8443/lab/fold:3'
+  WHEN 5 THEN 'docker.io/library/solver' WHEN 6 THEN '[::1]:8443/lab/fold:3' WHEN 7 THEN 'localhost/team/render:7'
   WHEN 8 THEN 'team/ray__tracer:7' WHEN 9 THEN 'te.am/ray_v3.1-rc:7' WHEN 10 THEN '' WHEN 11 THEN '   '
   WHEN 12 THEN 'worse?name' WHEN 13 THEN 'solver:worse?tag' WHEN 14 THEN 'hub:x1y/team/render' WHEN 15 THEN 'hub:70000/team/render'
   WHEN 16 THEN 'hub..broken/team/render' WHEN 17 THEN '_under/team/render' WHEN 18 THEN 'Team/render'
-  WHEN 19 THEN 'team/render@one@sha256:00' WHEN 20 THEN concat('  myorg/app', CAST(o_custkey % 9 AS STRING), ':2  ')
+  WHEN 19 THEN 'team/render@one@sha256:00' WHEN 20 THEN concat('  lab/fold', CAST(o_custkey % 9 AS STRING), ':2  ')
   WHEN 21 THEN 'solver@SHA512:00' WHEN 22 THEN concat('org/app', CAST(o_custkey AS STRING), '@blake3+b64:Zz-9_=') ELSE 'team//render' END AS image
 FROM {orders}"""
 
@@ -52,7 +52,7 @@ SELECT o_orderkey AS row_id, o_orderkey - o_orderkey % 16 AS listing_id, concat(
     WHEN 3 THEN concat('" ',CAST(o_orderkey AS STRING),' "') WHEN 4 THEN concat(CAST(o_orderkey AS STRING),'.0')
     WHEN 5 THEN '{"id": 1}' WHEN 6 THEN CAST(o_orderkey - o_orderkey % 16 + 9 AS STRING)
     ELSE CAST(o_orderkey AS STRING) END,
-  ', "image_uuid": ', CASE o_orderkey % 23 WHEN 0 THEN 'null' WHEN 1 THEN '7' ELSE concat('"myorg/app', CAST(o_custkey % 3 AS STRING), ':1"') END,
+  ', "image_uuid": ', CASE o_orderkey % 23 WHEN 0 THEN 'null' WHEN 1 THEN '7' ELSE concat('"lab/fold', CAST(o_custkey % 3 AS STRING), ':1"') END,
   ', "gpu_name": "RTX 4090", "label": ', CASE o_orderkey % 13 WHEN 0 THEN 'null' ELSE '"prod-3f9a1b2c4d5e-1"' END,
   ', "actual_status": "running", "dph_total": ', CASE o_orderkey % 17 WHEN 0 THEN 'true' WHEN 1 THEN '-1' WHEN 2 THEN '"x"' ELSE '0.25' END,
   ', "start_date": ', CASE o_orderkey % 19 WHEN 0 THEN 'null' ELSE CAST(o_orderkey * 100 AS STRING) END, '}') AS raw_json
@@ -94,9 +94,9 @@ VIEWS["v_instances"] = """
 SELECT o_orderkey - o_orderkey % 64 AS listing_id, CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 'runpod' ELSE 'market' END AS provider, CAST(o_orderkey AS STRING) AS instance_id,
   concat(substr('prodstagdevx',CAST(1+4*(o_custkey%3) AS INT),4),'-',substr(md5(CAST(o_custkey%10 AS STRING)),1,12),'-',substr(md5(CAST(o_orderkey AS STRING)),1,12)) AS label,
   CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'P' THEN 'loading' ELSE 'destroyed' END AS state,
-  CASE o_orderkey%6 WHEN 0 THEN 'myorg/app:1.0' WHEN 1 THEN 'myorg/app:latest' WHEN 2 THEN 'registry.local:5000/myorg/app:1.0'
-    WHEN 3 THEN 'nginx:bad!tag' WHEN 4 THEN ''
-    ELSE concat('myorg/app@sha256:',md5(CAST(o_orderkey AS STRING)),md5(CAST(o_custkey AS STRING))) END AS image_uuid,
+  CASE o_orderkey%6 WHEN 0 THEN 'lab/fold:3' WHEN 1 THEN 'lab/fold' WHEN 2 THEN 'mirror.lan:9443/lab/fold:3'
+    WHEN 3 THEN 'lab/fold:rc+1' WHEN 4 THEN ''
+    ELSE concat('lab/fold@sha256:',md5(CAST(o_orderkey AS STRING)),md5(CAST(o_custkey AS STRING))) END AS image_uuid,
   CAST(o_orderkey*37%500 AS DOUBLE)/1000 AS cost_per_hour, o_orderdate AS started_at
 FROM {orders}"""
 

@@ -19,7 +19,7 @@ def normalized(spark, listings):
     return fleet.normalize_records(frame, J.parse(F.col("raw")))
 
 
-def record(i, image="myorg/app:1", **fields):
+def record(i, image="lab/fold:1", **fields):
     return {"id": i, "image_uuid": image, "label": "prod-1", "actual_status": "running", "dph_total": 0.5} | fields
 
 
@@ -93,18 +93,20 @@ def owned(spark, *images):
     return spark.createDataFrame([(i,) for i in images], "image string")
 
 
-IMAGES = ["myorg/app:1.0", "myorg/app:latest", "registry.local:5000/myorg/app:1.0", "bad!tag", "", "other/app:1"]
+PINNED = "lab/fold@sha256:" + "5e" * 32
+IMAGES = ["lab/fold:3", "lab/fold", PINNED, "mirror.lan:9443/lab/fold:3", "lab/fold:rc+1", " ", "lab/folder:3"]
 
 
 @pytest.mark.parametrize(
     ("policy", "want"),
     [
-        (["myorg/app:7"], [True, True, False, False, False, False]),
-        (["registry.local:5000/myorg/app"], [False, False, True, False, False, False]),
-        (["bad!tag"], [False] * 6),
-        ([], [False] * 6),
-        (None, [True] * 6),
-        ([f"myorg/app{i}:1" for i in range(1000)] + ["other/app"], [False] * 5 + [True]),
+        (["lab/fold:2024.2"], [True, True, True, False, False, False, False]),
+        ([PINNED], [True, True, True, False, False, False, False]),
+        (["mirror.lan:9443/lab/fold"], [False, False, False, True, False, False, False]),
+        (["lab/fold:rc+1", " "], [False] * 7),
+        ([], [False] * 7),
+        (None, [True] * 7),
+        ([f"farm{i}.lan/lab/fold:{i}" for i in range(300)] + ["lab/folder"], [False] * 6 + [True]),
     ],
 )
 def test_ownership(spark, policy, want):
@@ -123,7 +125,7 @@ def test_verification(spark):
     }
     asks = [(name, i) for name in [*listings, "empty"] for i in (" 1", "2", "3", "  ")]
     requests = spark.createDataFrame(asks, "listing_id string, instance_id string")
-    got = fleet.verify_ownership(requests, normalized(spark, listings), owned(spark, "myorg/app"))
+    got = fleet.verify_ownership(requests, normalized(spark, listings), owned(spark, "lab/fold"))
     table = {}
     for r in got.collect():
         table.setdefault(r.listing_id, {})[r.instance_id.strip()] = r.verification
@@ -139,7 +141,7 @@ def test_judged_instances_agree_with_enumerating_and_verifying(spark):
         "ok": [record(1), record(2, image="other/x:1"), record(3, dph_total=-1)], "image": [record(1), record(2, image=None)],
         "shape": [record(1), '"x"'], "twice": [record(1), record("1"), record(2)],
     }
-    rows, policy = normalized(spark, listings), owned(spark, "myorg/app")
+    rows, policy = normalized(spark, listings), owned(spark, "lab/fold")
     listed = fleet.enumerate_instances(rows)
     for chosen in (policy, None):
         want = fleet.verify_ownership(listed.select("listing_id", "instance_id"), rows, chosen)
@@ -242,7 +244,7 @@ def test_dispatch(spark, credentials, want):
 
 def test_sweep_counts_a_gone_instance_apart(spark):
     instances = spark.createDataFrame(
-        [("market", str(i), "prod-3f9a1b2c4d5e-x" if i < 4 else "prodevil-1", "running", "myorg/app") for i in range(6)],
+        [("market", str(i), "prod-3f9a1b2c4d5e-x" if i < 4 else "prodevil-1", "running", "lab/fold") for i in range(6)],
         "provider string, instance_id string, label string, state string, ownership_key string",
     )
     units = spark.createDataFrame([("shard", "0", "running")], "kind string, instance_id string, status string")
