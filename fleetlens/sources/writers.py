@@ -117,8 +117,13 @@ def state_store(spark: SparkSession, root: str, columns: str, *, settle: float =
 
 
 def write_archive(archived: DataFrame, path: str) -> None:
-    """Add the units of ``units.split_archived`` to the archive, one folder per archive name."""
-    archived.write.mode("append").partitionBy("archive_name").parquet(path)
+    """Add the units of ``units.split_archived`` to the archive.
+
+    Files hold ranges of archive names in their order, so their number follows the rows and not the names, and a reader of one archive
+    passes over the files and row groups without it. A large archive is spread over several files by a hash of its units.
+    """
+    place = ["archive_name", F.xxhash64("unit_key")]
+    archived.repartitionByRange(*place).sortWithinPartitions("archive_name").write.mode("append").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -259,3 +259,17 @@ def test_workload_codes_and_block_size(spark):
     assert values(got, "shard_id", "exit_code", "items", "error", "completed") == [
         (0, 0, 900, "", True), (1, 7, 5, "", False), (2, 1, 0, "GPU unhealthy", False), (3, 3, 0, "preflight gate closed", False), (4, 1, 5, "RuntimeError: no", False),
     ]
+
+
+def test_an_archive_has_files_by_its_rows_and_not_by_its_names(spark, folder):
+    from pathlib import Path
+
+    from fleetlens.sources import writers
+
+    rows = spark.range(3000).select(F.concat(F.lit("b"), F.col("id") % 1000).alias("batch_id"), F.col("id").cast("string").alias("unit_key"), F.concat(F.lit("shard_b"), F.col("id") % 1000).alias("archive_name"))
+    for half in (0, 1):
+        writers.write_archive(rows.where(F.col("unit_key").cast("int") % 2 == half), folder + "/archive")
+    assert values(writers.read_archive(spark, folder + "/archive"), *rows.columns) == values(rows, *rows.columns)
+    assert len(list(Path(folder).rglob("*.parquet"))) < 100
+    writers.write_archive(rows.limit(0), folder + "/none")
+    assert writers.read_archive(spark, folder + "/none").count() == 0
