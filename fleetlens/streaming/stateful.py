@@ -2,9 +2,12 @@
 
 Rows of a key wait in its state until the watermark has passed their time bucket and are then folded in event order, so
 rows may come in any order within ``delay`` and the result is the batch operator's. The state is typed
-(``transformWithState``, which needs the RocksDB state store; it is set in the session): a map from (bucket, part) to the
-rows that one batch brought for that bucket, a map of the parts of each bucket, and one value with what was folded. A batch of rows
-is one more part; what waits already is not read or written again until its bucket's event-time timer fires. A wider ``bucket`` means
+(``transformWithState``, which needs the RocksDB state store; it is set in the session): a map from (cell, part) to the
+rows that one batch brought for that cell, a map of the parts of each cell, and one value with what was folded. A cell holds the waiting
+rows of one or more buckets and is named by the first of them, whose event-time timer opens it: few rows of a batch share one cell, many go to cells that
+double in width with their distance from the watermark. All open cells of a key are read in one go, the rows that are due folded in one go, and the
+rest waits in new cells, so the calls on the state of a key grow with its batches and not with its rows or buckets, and a waiting row is written
+again at most once for each doubling (or, among few, at each opening). A wider ``bucket`` means
 fewer timers and a result that comes up to a bucket later. A state without waiting rows is dropped after ``forget`` of silence; a key that comes back
 later starts anew. ``initial`` gives keys a folded state to start from, for example from a batch over older rows.
 """
@@ -33,6 +36,9 @@ SPEND_SCHEMA = "batch_id string, start_ms long, micros long, total_micros long"
 _YEAR, _HOUR = "365 days", "1 hour"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a key that wait in one cell, however many buckets they are of.
+_FEW = 1000
+
 #: ``fold(key, rows in event order, state)`` gives output rows and the new state, which may hold the time ``due`` (ms) it can be dropped.
 Fold = Callable[[str, pd.DataFrame, dict[str, Any]], tuple[pd.DataFrame, dict[str, Any]]]
 
@@ -41,19 +47,30 @@ def _ms(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
+#: Arrays that need no objects where nothing is NULL.
+_KINDS = {"bigint": np.int64, "boolean": bool}
+
+
+def _objects(values: pd.Series) -> np.ndarray:
+    """Values as they are stored: NULL is None."""
+    if values.dtype == object or values.hasnans:
+        return values.astype(object).where(values.notna(), None).to_numpy()
+    return values.to_numpy()
+
+
 class _Folder(StatefulProcessor):
     """Waiting rows by time bucket, folded when the bucket's timer fires."""
 
     def __init__(self, columns: dict[str, str], out: list[str], state: str, fold: Fold, bucket_ms: int, keep_ms: int):
-        self.columns, self.out, self.state, self.fold = columns, out, state, fold
+        self.columns, self.out, self.state, self.fold = columns | {"_end": "bigint"}, out, state, fold
         self.fields = [c.split()[0] for c in state.split(", ")]
         self.bucket_ms, self.keep_ms = bucket_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         arrays = ", ".join(f"`{name}` array<{kind}>" for name, kind in self.columns.items())
-        self.waiting = handle.getMapState("waiting", "bucket long, part long", arrays)
-        self.parts = handle.getMapState("parts", "bucket long", "n long")
+        self.waiting = handle.getMapState("waiting", "cell long, part long", arrays)
+        self.parts = handle.getMapState("parts", "cell long", "n long")
         self.folded = handle.getValueState("folded", f"{self.state}, due long")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N803
@@ -61,47 +78,86 @@ class _Folder(StatefulProcessor):
         # when it was made is not known, so it waits for the first row of its key
         self.folded.update((*[v.tolist() if isinstance(v := row[f], (np.generic, np.ndarray)) else v for f in self.fields], 1 << 62))
 
+    def _passed(self, timerValues: Any) -> int:  # noqa: N803
+        """The last bucket that has ended; a bucket is named by its end."""
+        return max(0, timerValues.getCurrentWatermarkInMs()) // self.bucket_ms
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
-        # a bucket is named by its end; one that has ended already takes no more rows
-        first = max(0, timerValues.getCurrentWatermarkInMs()) // self.bucket_ms + 1
+        # a bucket that has ended already takes no more rows
+        first = self._passed(timerValues) + 1
         for batch in rows:
             ends = np.maximum(-(-batch["at"].to_numpy(np.int64) // (1000 * self.bucket_ms)), first)
-            for end in np.unique(ends).tolist():
-                own = batch[ends == end]
-                n = self.parts.getValue((end,))[0] if self.parts.containsKey((end,)) else 0
-                values = (own[c].astype(object).where(own[c].notna(), None).tolist() for c in self.columns)
-                self.waiting.updateValue((end, n), tuple(values))
-                self.parts.updateValue((end,), (n + 1,))
-                if n == 0:
-                    self.handle.registerTimer(end * self.bucket_ms)
+            self._wait({c: ends if c == "_end" else _objects(batch[c]) for c in self.columns}, first)
         return iter(())
 
+    def _wait(self, rows: dict[str, np.ndarray], first: int) -> None:
+        """Add rows to the cells of their buckets, of which ``first`` is the next to end."""
+        ends = rows["_end"]
+        cells = np.full(len(ends), ends.min())
+        if len(ends) > _FEW:
+            width = np.int64(1) << (np.frexp(ends - first + 1)[1] - 1).astype(np.int64)
+            cells = ends - ends % width
+        for cell in np.unique(cells).tolist():
+            own = cells == cell
+            known = self.parts.getValue((cell,))
+            n = known[0] if known else 0
+            self.waiting.updateValue((cell, n), tuple(rows[c][own].tolist() for c in self.columns))
+            self.parts.updateValue((cell,), (n + 1,))
+            if n == 0:
+                self.handle.registerTimer(cell * self.bucket_ms)
+
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        end, left = divmod(now, self.bucket_ms)
-        if not left and self.parts.containsKey((end,)):
-            rows = self._taken(end)
-            known = self.folded.get() if self.folded.exists() else None
-            # silence ends a state, also where its timer has not fired yet
-            alive = known is not None and known[-1] >= int(rows["at"].iloc[0]) // 1000
-            before = dict(zip(self.fields, known)) if alive else {}
-            out, after = self.fold(key[0], rows, before)
-            due = after.pop("due", int(rows["at"].iloc[-1]) // 1000 + self.keep_ms)
-            self.folded.update((*[after[f] for f in self.fields], due))
-            self.handle.registerTimer(max(due, now + 1))
+        now, passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._passed(timerValues)
+        cells = {cell: n for (cell,), (n,) in self.parts.iterator()}
+        if opened := sorted(c for c in cells if c <= passed):
+            rows = self._taken([(cell, part) for cell in opened for part in range(cells[cell])])
+            due = int(np.searchsorted(rows["_end"], passed, "right"))
+            later = {c: v[due:] for c, v in rows.items()}
+            if more := len(rows["_end"]) > due:
+                self._wait(later, passed + 1)
+            known = self.folded.get()
+            out, after, ends = self._folds(key[0], {c: v[:due] for c, v in rows.items()}, known)
+            if ends > now or more or len(opened) < len(cells):
+                self.folded.update((*[after[f] for f in self.fields], ends))
+                self.handle.registerTimer(max(ends, now + 1))
+            elif known is not None:
+                self.folded.clear()
             if len(out):
                 yield out[self.out]
-        elif self.folded.exists() and self.folded.get()[-1] <= now and next(self.parts.keys(), None) is None:
+        elif not cells and (known := self.folded.get()) is not None and known[-1] <= now:
             self.folded.clear()
 
-    def _taken(self, end: int) -> pd.DataFrame:
-        """The rows of a bucket in event order, which leave the state."""
-        frames = []
-        for part in range(self.parts.getValue((end,))[0]):
-            frames.append(pd.DataFrame(dict(zip(self.columns, self.waiting.getValue((end, part))))))
-            self.waiting.removeKey((end, part))
-        self.parts.removeKey((end,))
-        return pd.concat(frames).sort_values(["at", "event_id"], kind="stable", ignore_index=True)
+    def _folds(self, key: str, rows: dict[str, np.ndarray], known: tuple | None) -> tuple[pd.DataFrame, dict[str, Any], int]:
+        """Fold rows that are due; at a bucket's begin, silence ends a state also where its timer has not fired yet."""
+        ms, end = rows["at"] // 1000, rows["_end"]
+        silent = np.flatnonzero((end[1:] != end[:-1]) & (ms[1:] > ms[:-1] + self.keep_ms)) + 1
+        outs, after, due = [], {}, 0
+        for begin, stop in zip([0, *silent.tolist()], [*silent.tolist(), len(ms)]):
+            alive = known is not None and known[-1] >= ms[begin]
+            before = dict(zip(self.fields, known)) if alive else {}
+            out, after = self.fold(key, pd.DataFrame({c: v[begin:stop] for c, v in rows.items()}), before)
+            due = after.pop("due", int(ms[stop - 1]) + self.keep_ms)
+            known = (*[after[f] for f in self.fields], due)
+            outs.append(out)
+        return pd.concat(outs) if len(outs) > 1 else outs[0], after, due
+
+    def _taken(self, places: list[tuple[int, int]]) -> dict[str, np.ndarray]:
+        """The rows of cells by bucket, in event order, which leave the state."""
+        parts = []
+        for place in places:
+            parts.append(self.waiting.getValue(place))
+            self.waiting.removeKey(place)
+        for cell in {cell for cell, _ in places}:
+            self.parts.removeKey((cell,))
+        rows = {}
+        for i, (name, kind) in enumerate(self.columns.items()):
+            values = [v for part in parts for v in part[i]]
+            # event ids may be NULL and come last then
+            rows[name] = np.array(values, _KINDS.get(kind, object) if None not in values else object)
+        ids = rows["event_id"]
+        missing = np.array([v is None for v in ids]) if ids.dtype == object else np.zeros(len(ids), bool)
+        order = np.lexsort((np.where(missing, 0, ids).astype(np.int64), missing, rows["at"], rows["_end"]))
+        return {c: v[order] for c, v in rows.items()}
 
     def close(self) -> None:
         pass

@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import drain, stream_of, values
 from pyspark.sql import functions as F
@@ -240,3 +242,90 @@ def test_probe_parse_matches_snapshot_defaults(spark):
     probe = J.parse(F.lit("[1]"))
     row = spark.range(1).select(polling.snapshot(probe).alias("s")).first().s
     assert (row.complete, row.worker_dead, row.log_tail) == (False, False, "")
+
+
+class _States:
+    """Map and value states in memory, with their calls counted."""
+
+    def __init__(self):
+        self.maps, self.value, self.timers, self.calls = {"waiting": {}, "parts": {}}, None, set(), 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        held, calls = self.maps[name], self
+        count = lambda f: lambda *a: (setattr(calls, "calls", calls.calls + 1), f(*a))[1]
+        return SimpleNamespace(
+            getValue=count(held.get), containsKey=count(held.__contains__), updateValue=count(held.__setitem__), removeKey=count(held.pop),
+            iterator=count(lambda: iter(list(held.items()))), keys=count(lambda: iter(list(held))),
+        )
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(get=lambda: self.value, exists=lambda: self.value is not None, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+def _counted(batches, *, hour=3_600_000, keep_ms=10**12):
+    """Rows folded by a stream of one key over ``(watermark, times in microseconds)``, in their order, and the state calls."""
+    handle = _States()
+
+    def fold(key, rows, state):
+        seen = state.get("seen", 0) + np.arange(1, len(rows) + 1)
+        return pd.DataFrame({"event_id": rows["event_id"], "at": rows["at"], "seen": seen}), {"seen": int(seen[-1])}
+
+    folder = S._Folder({"event_id": "bigint", "at": "bigint"}, ["event_id", "at", "seen"], "seen long", fold, hour, keep_ms)
+    folder.init(handle)
+    out, number = [], 0
+    for watermark, times in batches:
+        at = np.array(times, np.int64)
+        rows = pd.DataFrame({"event_id": number + np.arange(len(at)), "at": at})
+        number += len(at)
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w)
+        if len(at):
+            list(folder.handleInputRows(("k",), iter([rows]), now))
+        while due := [t for t in sorted(handle.timers) if t <= watermark]:
+            handle.timers.remove(due[0])
+            out += list(folder.handleExpiredTimer(("k",), now, SimpleNamespace(getExpiryTimeInMs=lambda t=due[0]: t)))
+    return [r for frame in out for r in frame.itertuples(index=False)], handle
+
+
+@pytest.mark.parametrize("rows", [300, 5000])
+def test_the_state_calls_of_a_key_follow_its_batches_and_not_its_rows(rows):
+    times = np.random.default_rng(1).integers(0, 400 * 86_400_000_000, rows)
+    cuts = [0, 100 * 86_400_000, 101 * 86_400_000, 250 * 86_400_000, 500 * 86_400_000]
+    got, handle = _counted(list(zip(cuts, [times, [], [], [], []])))
+    assert [r.at for r in got] == sorted(times.tolist()) and [r.seen for r in got] == list(range(1, rows + 1))
+    assert not any(handle.maps.values()) and handle.calls < 400
+
+
+def test_rows_of_overlapping_cells_are_folded_in_event_order():
+    rng = np.random.default_rng(2)
+    batches = [(day * 86_400_000, rng.integers(day * 86_400_000_000 + 1, (day + 40) * 86_400_000_000, 150)) for day in range(60)]
+    got, handle = _counted([*batches, (10**12, [])])
+    assert [r.at for r in got] == sorted(int(t) for _, times in batches for t in times)
+    assert [r.seen for r in got] == list(range(1, 60 * 150 + 1)) and not any(handle.maps.values())
+
+
+def test_silence_ends_a_state_inside_of_what_is_folded_at_once():
+    day = 86_400_000_000
+    got, handle = _counted([(0, [day, 2 * day, 40 * day, 41 * day, 90 * day]), (200 * 86_400_000, [])], keep_ms=30 * 86_400_000)
+    assert [r.seen for r in got] == [1, 2, 1, 2, 1] and handle.value is None
+
+
+def test_a_table_is_replayed_in_few_micro_batches_whatever_its_files_are(spark):
+    from fleetlens.streaming import replay
+
+    rows = spark.range(4000, numPartitions=24).select("id", F.timestamp_seconds(F.col("id")).alias("ts"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        stream, _ = replay.source(rows, "ts", tick={"id": -1})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda df, n: seen.append(df.count())).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sum(seen) == 4001
+    assert len([n for n in seen if n]) <= 5
