@@ -17,8 +17,10 @@ or a dialling word before the number, valid IPv6 and hardware addresses and IPv4
 issuer's prefix, keys after key words. Every base span is rewritten in its place without '+', '@' or country code, as
 IPv6 or as a shorter card (``rewritten``), a further positive; for each positive a damaged copy in the same context
 (another check digit, a part out of range, letters for digits) is a further negative, so that the trees learn the form
-and not the place. They are fitted on candidates of about ``train_docs`` distinct texts, a hash sample, at most
-``train_candidates`` distinct ones of these, so that copies count once, and on fixed sentences (``primers``), so that each kind has a threshold on every table.
+and not the place. They are fitted on the distinct candidates of all texts, so that copies count once, and on fixed sentences (``primers``),
+so that each kind has a threshold on every table. The candidates stay with the tasks, binned, in blocks: for each level of the trees Spark adds up
+their histograms, and the driver sees these sums, the counts behind the bins' edges and the counts of the calibration fold by probability,
+none of which grows with the table. Slopes are rounded to a power of two, so that sums are exact and the trees do not depend on the order of the rows.
 
 Edge cases: NULL and empty texts have no spans; positions are code points, ends exclusive; equal texts have equal spans; rows with an equal ``doc_id`` are searched each; further columns
 are ignored (``find``) or kept (``redact``).
@@ -31,15 +33,16 @@ import ipaddress
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import map_texts
+from fleetlens.llm.tables import map_texts, stored
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mail_like", "net_like", "card_like", "phone_like", "secret")
@@ -48,6 +51,12 @@ DEPTH = 3
 ROUNDS = 120
 #: Positives of a kind in the calibration fold from which on the primers do not count there.
 OWN_POSITIVES = 50
+#: Bins of a feature, candidates of a block, and trees after which the blocks keep their log odds.
+BINS = 32
+BLOCK_ROWS = 50_000
+SETTLE = 10
+#: Cells of a unit of log odds in the calibration.
+CELLS = 1024
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -369,50 +378,99 @@ class Trees:
     start: float = 0.0
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(self.edges)])
+        """The bins by feature and row."""
+        return np.array([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(self.edges)], np.uint8)
+
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        return settled(self.binned(x), np.full(len(x), self.start), self.trees)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        b, total = self.binned(x), np.full(len(x), self.start)
-        for which, cut, value in self.trees:
-            total += value[_leaf(b, which, cut)]
-        return 1 / (1 + np.exp(-total))
+        return 1 / (1 + np.exp(-self.log_odds(x))) if len(x) else np.zeros(0)
+
+    def split(self, level: int, sums: np.ndarray, rate: float, ridge: float) -> None:
+        """Choose the cuts of a level of the last tree, and after the last level its values."""
+        which, cut, value = self.trees[-1]
+        for place in range(2**level):
+            k, best, (all_g, all_h) = 2**level - 1 + place, 1e-6, sums[:, place, -1]
+            left, first = (all_g, all_h), 0  # without a cut all go left
+            for i, edges in enumerate(self.edges):
+                last = first + len(edges) + 1
+                g, h = np.cumsum(sums[0, place, first:last]), np.cumsum(sums[1, place, first:last])
+                gain = g**2 / (h + ridge) + (all_g - g) ** 2 / (all_h - h + ridge) - all_g**2 / (all_h + ridge)
+                if gain.max() > best:
+                    best, which[k], cut[k] = gain.max(), i, gain.argmax()
+                    left = g[cut[k]], h[cut[k]]
+                first = last
+            if level == DEPTH - 1:
+                value[2 * place] = -rate * left[0] / (left[1] + ridge)
+                value[2 * place + 1] = -rate * (all_g - left[0]) / (all_h - left[1] + ridge)
 
 
-def _leaf(b: np.ndarray, which: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(b), np.int64)
-    for _ in range(DEPTH):
-        node = 2 * node + 1 + (b[np.arange(len(b)), which[node]] > cut[node])
-    return node - (2**DEPTH - 1)
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def boost(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Newton boosting on the log loss with histogram splits."""
-    share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
-    model = Trees([np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[1:-1])) for i in range(x.shape[1])], [], float(np.log(share / (1 - share))))
-    b, total = model.binned(x), np.full(len(y), model.start)
+def _place(b: np.ndarray, tree: Tree, levels: int) -> np.ndarray:
+    """Where the rows stand after so many levels, from the left."""
+    which, cut, _ = tree
+    place = np.zeros(b.shape[1], np.int64)
+    for level in range(levels):
+        nodes = range(2**level - 1, 2 ** (level + 1) - 1)
+        place = 2 * place + np.choose(place, [b[which[k]] > cut[k] for k in nodes])
+    return place
+
+
+def settled(b: np.ndarray, total: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """The log odds of binned rows with those of further trees."""
+    total = total.copy()
+    for tree in trees:
+        total += tree[2][_place(b, tree, DEPTH)]
+    return total
+
+
+def histograms(b: np.ndarray, good: np.ndarray, total: np.ndarray, trees: list[Tree], widths: list[int], level: int) -> np.ndarray:
+    """Sums of slope and bend by node of a level of the last tree and bin of each feature, and at the end over all bins."""
+    p = 1 / (1 + np.exp(-settled(b, total, trees[:-1])))
+    place, scale = _place(b, trees[-1], level), float(1 << 26)
+    out = []
+    for weights in (np.rint((p - good) * scale) / scale, np.rint(p * (1 - p) * scale) / scale):
+        whole = np.bincount(place, weights, 1 << level)[:, None]
+        out.append(np.hstack([*(np.bincount(place * w + b[i], weights, w << level).reshape(-1, w) if w > 1 else whole for i, w in enumerate(widths)), whole]))
+    return np.array(out)
+
+
+def grow(models: dict[str, Trees], sums: Callable[[int], dict[str, np.ndarray]], *, rounds: int, rate: float = 0.2, ridge: float = 1.0) -> Iterator[int]:
+    """Newton boosting on the log loss with histogram splits: ``sums`` gives the histograms of a level by kind. Yields after each tree."""
     inner = 2**DEPTH - 1
-    varying = np.flatnonzero(b.max(0) > b.min(0)).tolist() if len(b) else []
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-total))
-        slope, bend = p - y, p * (1 - p)
-        which, cut = np.zeros(inner, np.int64), np.full(inner, bins + 1)
-        node = np.zeros(len(y), np.int64)
-        for k in range(inner):
-            rows = np.flatnonzero(node == k)
-            best = 1e-6
-            for i in varying if len(rows) else ():
-                g = np.cumsum(np.bincount(b[rows, i], slope[rows], bins + 1))
-                h = np.cumsum(np.bincount(b[rows, i], bend[rows], bins + 1))
-                gain = g**2 / (h + ridge) + (g[-1] - g) ** 2 / (h[-1] - h + ridge) - g[-1] ** 2 / (h[-1] + ridge)
-                if gain.max() > best:
-                    best, which[k], cut[k] = gain.max(), i, gain.argmax()
-            node[rows] = 2 * k + 1 + (b[rows, which[k]] > cut[k])
-        leaf = node - inner
-        value = -rate * np.bincount(leaf, slope, inner + 1) / (np.bincount(leaf, bend, inner + 1) + ridge)
-        model.trees.append((which, cut, value))
-        total += value[leaf]
+    for done in range(rounds):
+        for model in models.values():
+            model.trees.append((np.zeros(inner, np.int64), np.full(inner, BINS + 1), np.zeros(inner + 1)))
+        for level in range(DEPTH):
+            for kind, found in sums(level).items():
+                models[kind].split(level, found, rate, ridge)
+        yield done + 1
+
+
+def edges_of(values: np.ndarray, counts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The distinct inner quantiles, below the last value, of ascending ``values`` that occur ``counts`` times."""
+    at = np.linspace(0, 1, bins + 1)[1:-1] * (counts.sum() - 1)
+    until = np.cumsum(counts)
+    low, high = (values[np.searchsorted(until, f(at), "right")] for f in (np.floor, np.ceil))
+    edges = np.unique(low + (high - low) * (at - np.floor(at)))
+    return edges[edges < values[-1]]
+
+
+def _started(edges: list[np.ndarray], good: float, rows: float) -> Trees:
+    share = np.clip(good / rows, 1e-4, 1 - 1e-4)
+    return Trees(edges, [], float(np.log(share / (1 - share))))
+
+
+def boost(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, rate: float = 0.2, ridge: float = 1.0) -> Trees:
+    """``grow`` over one block."""
+    model = _started([edges_of(*np.unique(x[:, i], return_counts=True)) for i in range(x.shape[1])], y.sum(), len(y))
+    b, total = model.binned(x), np.full(len(y), model.start)
+    widths = [len(e) + 1 for e in model.edges]
+    for _ in grow({"": model}, lambda level: {"": histograms(b, y, total, model.trees, widths, level)}, rounds=rounds, rate=rate, ridge=ridge):
+        pass
     return model
 
 
@@ -450,23 +508,25 @@ class Detector:
         return base, self.added(text, base)
 
 
-def calibrate(kinds: np.ndarray, p: np.ndarray, y: np.ndarray, precision: float) -> dict[str, float]:
+def calibrate(kinds: np.ndarray, p: np.ndarray, y: np.ndarray, precision: float, *, n: np.ndarray | None = None, top: np.ndarray | None = None) -> dict[str, float]:
     """Per kind the lowest threshold from which on the selections have at least ``precision``; kinds without one are absent.
 
     The threshold lies midway between the last selected probability and the next one, as new
-    candidates scatter around those seen here.
+    candidates scatter around those seen here. An entry may stand for ``n`` candidates, ``y`` of them
+    good, with probabilities from ``p`` to ``top``.
     """
+    n, top = np.ones(len(p)) if n is None else n, p if top is None else top
     out = {}
     for kind in ADDED:
         own = kinds == kind
         if not y[own].sum():
             continue
         order = np.argsort(-p[own], kind="stable")
-        ranked, right = p[own][order], np.cumsum(y[own][order])
+        ranked, tops, right, seen = p[own][order], top[own][order], np.cumsum(y[own][order]), np.cumsum(n[own][order])
         last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))  # equal probabilities go together
-        fine = last[right[last] / (last + 1) >= precision]
+        fine = last[right[last] / seen[last] >= precision]
         if len(fine):
-            following = ranked[fine[-1] + 1] if fine[-1] + 1 < len(ranked) else 0.0
+            following = tops[fine[-1] + 1] if fine[-1] + 1 < len(ranked) else 0.0
             out[kind] = float(ranked[fine[-1]] + following) / 2
     return out
 
@@ -527,6 +587,9 @@ def primers() -> list[str]:
     return texts
 
 
+EXAMPLES = "kind string, good int, x array<double>"
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [row for text in batch.column("text").to_pylist() for row in labelled(text or "")]
@@ -535,28 +598,149 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"kind": list(kinds), "good": pa.array(good, pa.int32()), "x": pa.array(x, pa.list_(pa.float64()))})
 
 
-def fit(docs: DataFrame, *, train_docs: int = 20_000, train_candidates: int = 20_000, precision: float = 0.99) -> Detector:
-    """Fit trees and thresholds on a hash sample of the distinct texts."""
-    texts = docs.select(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
-    share = min(1.0, train_docs / texts) if texts else 1.0
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30)) < share * float(1 << 30)).distinct()
-    found = map_texts(sample, _examples, "kind string, good int, x array<double>")
-    taken = found.distinct().withColumn("_h", F.xxhash64("kind", "good", "x")).orderBy("_h", "kind", "good").limit(train_candidates).collect()
-    fixed = [row for text in primers() for row in labelled(text)]
-    kinds = np.array([r.kind for r in taken] + [k for k, _, _ in fixed])
-    y, x = np.array([r.good for r in taken] + [g for _, g, _ in fixed], float), np.array([r.x for r in taken] + [v for _, _, v in fixed], float)
-    fold = np.array([zlib.crc32(f"{r._h}".encode()) % 10 < 3 for r in taken] + [zlib.crc32(f"{row}".encode()) % 10 < 3 for row in fixed])
-    detector = Detector({k: boost(x[~fold & (kinds == k)], y[~fold & (kinds == k)], rounds=ROUNDS) for k in np.unique(kinds).tolist()}, {})
-    p = detector.probability(kinds, x)
-    # thresholds come from the documents alone where these have enough positives
-    own = np.arange(len(y)) < len(taken)
+def _fixed_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The primers' rows and their fold."""
+    for batch in batches:
+        rows = [row for text in batch.column("text").to_pylist() for row in labelled(text)]
+        if rows:
+            kinds, good, x = zip(*rows)
+            fold = [zlib.crc32(f"{row}".encode()) % 10 < 3 for row in rows]
+            yield pa.RecordBatch.from_pydict({"kind": list(kinds), "good": pa.array(good, pa.int32()), "x": pa.array(x, pa.list_(pa.float64())), "fold": fold})
+
+
+def _by_kind(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Kind, features and row numbers of the rows of each kind."""
+    kinds = np.array(batch.column("kind").to_pylist(), object)
+    x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
     for kind in ADDED:
-        if (fold & own & (kinds == kind) & (y > 0)).sum() >= OWN_POSITIVES:
-            fold &= own | (kinds != kind)
-    detector.thresholds = calibrate(kinds[fold], p[fold], y[fold], precision)
+        own = np.flatnonzero(kinds == kind)
+        if len(own):
+            yield kind, x[own], own
+
+
+def _coarse(x: np.ndarray) -> np.ndarray:
+    """Values rounded up to twelve binary digits (whole numbers to 4096 stay), so that few are distinct in any table."""
+    part, power = np.frexp(x)
+    return np.ldexp(np.ceil(part * 4096) / 4096, power)
+
+
+def _value_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each coarse value of a feature occurs; feature -1 is the label."""
+    counts: dict[tuple[str, int, float], int] = {}
+    for batch in batches:
+        good = batch.column("good").to_numpy()
+        for kind, x, own in _by_kind(batch):
+            for i, column in [(-1, good[own].astype(float)), *enumerate(_coarse(x).T)]:
+                for value, n in zip(*(a.tolist() for a in np.unique(column, return_counts=True))):
+                    counts[kind, i, value] = counts.get((kind, i, value), 0) + n
+    if counts:
+        kinds, features_, values = zip(*counts)
+        yield pa.RecordBatch.from_pydict({"kind": list(kinds), "feature": pa.array(features_, pa.int32()), "value": list(values), "n": pa.array(counts.values(), pa.int64())})
+
+
+def fit(docs: DataFrame, *, train_docs: int | None = None, train_candidates: int | None = None, precision: float = 0.99) -> Detector:
+    """Fit trees and thresholds on all distinct candidates, or where a limit is given on a hash sample of about so many texts or of so many candidates."""
+    spark, texts = docs.sparkSession, docs.select("text")
+    if train_docs is not None:
+        distinct = docs.select(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
+        share = min(1.0, train_docs / distinct) if distinct else 1.0
+        texts = texts.where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30)) < share * float(1 << 30))
+    taken = map_texts(texts, _examples, EXAMPLES).distinct().withColumn("_h", F.xxhash64("kind", "good", "x"))
+    if train_candidates is not None:
+        taken = taken.orderBy("_h", "kind", "good").limit(train_candidates)
+    taken = taken.select("kind", "good", "x", (F.crc32(F.col("_h").cast("string").cast("binary")) % 10 < 3).alias("fold"), F.lit(True).alias("own"))
+    fixed = map_texts(spark.createDataFrame([(t,) for t in primers()], "text string"), _fixed_examples, f"{EXAMPLES}, fold boolean")
+    rows = stored(taken.unionByName(fixed.withColumn("own", F.lit(False))), "candidates")
+    models = _grown(rows.where("NOT fold"))
+    detector = Detector(models, {})
+    shared = spark.sparkContext.broadcast(models)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, x, own in _by_kind(batch):
+                if kind in shared.value:
+                    odds = shared.value[kind].log_odds(x)
+                    part = batch.select(["kind", "own", "good"]).take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.floor(odds * CELLS).astype(np.int64)), pa.array(1 / (1 + np.exp(-odds)))], ["kind", "own", "good", "cell", "p"])
+
+    judged = rows.where("fold").mapInArrow(cells, "kind string, own boolean, good int, cell bigint, p double")
+    counted = judged.groupBy("kind", "own", "cell").agg(F.sum("good").alias("good"), F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).collect()
+    # thresholds come from the documents alone where these have enough positives
+    enough = {k for k in ADDED if sum(r.good for r in counted if r.kind == k and r.own) >= OWN_POSITIVES}
+    merged: dict[tuple[str, int], tuple[float, float, int, int]] = {}
+    for r in counted:
+        if r.own or r.kind not in enough:
+            low, high, good, n = merged.get((r.kind, r.cell), (1.0, 0.0, 0, 0))
+            merged[r.kind, r.cell] = min(low, r.low), max(high, r.high), good + r.good, n + r.n
+    if merged:
+        low, high, good, n = np.array(list(merged.values()), float).T
+        detector.thresholds = calibrate(np.array([k for k, _ in merged]), low, good, precision, n=n, top=high)
     return detector
 
 
+def _grown(rows: DataFrame) -> dict[str, Trees]:
+    """The trees of each kind in stored ``rows``; the rows stay in blocks, one task's histograms are added to another's."""
+    counts = rows.mapInArrow(_value_counts, "kind string, feature int, value double, n bigint").groupBy("kind", "feature", "value").agg(F.sum("n").alias("n")).collect()
+    by_feature: dict[tuple[str, int], list[tuple[float, int]]] = {}
+    for r in counts:
+        by_feature.setdefault((r.kind, r.feature), []).append((r.value, r.n))
+    models, total = {}, 0
+    for kind in sorted({k for k, _ in by_feature}):
+        values = [np.array(sorted(by_feature[kind, i])).T for i in range(-1, len(FEATURES))]
+        models[kind] = _started([edges_of(v, n) for v, n in values[1:]], (values[0][0] * values[0][1]).sum(), values[0][1].sum())
+        total += int(values[0][1].sum())
+    widths = {k: [len(e) + 1 for e in m.edges] for k, m in models.items()}
+    shared = rows.sparkSession.sparkContext.broadcast({k: Trees(m.edges, [], m.start) for k, m in models.items()})
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def packed(kind: str) -> pa.RecordBatch:
+            b, good = (np.concatenate(a, axis=-1) for a in zip(*held.pop(kind)))
+            return pa.RecordBatch.from_pydict({"kind": [kind], "bins": pa.array([b.tobytes()], pa.binary()), "good": pa.array([good.tobytes()], pa.binary())})
+
+        for batch in batches:
+            good = batch.column("good").to_numpy().astype(np.uint8)
+            for kind, x, own in _by_kind(batch):
+                held.setdefault(kind, []).append((shared.value[kind].binned(x), good[own]))
+                if sum(len(g) for _, g in held[kind]) >= BLOCK_ROWS:
+                    yield packed(kind)
+        for kind in list(held):
+            yield packed(kind)
+
+    def opened(row) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        good = np.frombuffer(row.good, np.uint8)
+        return row.kind, np.frombuffer(row.bins, np.uint8).reshape(len(FEATURES), len(good)), good, np.full(len(good), shared.value[row.kind].start)
+
+    few = rows.coalesce(max(1, -(-total // BLOCK_ROWS)))
+    parts = few.mapInArrow(blocks, "kind string, bins binary, good binary").rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    begun = 0
+
+    def added(one: dict[str, np.ndarray], other: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {k: one[k] + other[k] if k in one and k in other else one.get(k, other.get(k)) for k in {*one, *other}}
+
+    def sums(level: int) -> dict[str, np.ndarray]:
+        trees = {k: m.trees[begun:] for k, m in models.items()}
+
+        def run(blocks: Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+            out: dict[str, np.ndarray] = {}
+            for kind, b, good, odds in blocks:
+                out = added(out, {kind: histograms(b, good, odds, trees[kind], widths[kind], level)})
+            yield out
+
+        return parts.mapPartitions(run).treeReduce(added)
+
+    for done in grow(models, sums, rounds=ROUNDS):
+        if done % SETTLE == 0 and done < ROUNDS:
+            trees, before = {k: m.trees[begun:] for k, m in models.items()}, parts
+            parts = before.map(lambda r, trees=trees: (*r[:3], settled(r[1], r[3], trees[r[0]]))).persist(StorageLevel.MEMORY_AND_DISK)
+            parts.count()
+            before.unpersist()
+            begun = done
+    parts.unpersist()
+    return models
+
+
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

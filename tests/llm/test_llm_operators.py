@@ -396,6 +396,26 @@ def test_copies_count_once_in_the_fit_of_personal_data(spark):
         assert (one.probability(np.array(["secret"] * len(x)), x) == many.probability(np.array(["secret"] * len(x)), x)).all()
 
 
+def test_the_fit_of_personal_data_sees_every_candidate(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    rng = random.Random(5)
+    texts = [f"{rng.choice(['token = ', 'commit ', 'id '])}{rng.getrandbits(100):x}" for _ in range(22_000)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    plain, whole = pii.fit(docs), pii.fit(docs.repartition(7), train_docs=10**9, train_candidates=200_000)
+    assert plain.thresholds == whole.thresholds
+    assert {k: t.start for k, t in plain.trees.items()} == {k: t.start for k, t in whole.trees.items()}
+    for kind, trees in plain.trees.items():
+        assert all(np.array_equal(a, b) for one, other in zip(trees.trees, whole.trees[kind].trees) for a, b in zip(one, other))
+
+
+def test_edges_from_counts_are_the_quantiles():
+    rng = np.random.default_rng(3)
+    for size, most in ((1, 5), (7, 3), (1000, 12), (1000, 4000)):
+        x = rng.integers(0, most, size).astype(float)
+        want = np.unique(np.quantile(x, np.linspace(0, 1, pii.BINS + 1)[1:-1]))
+        assert np.allclose(pii.edges_of(*np.unique(x, return_counts=True)), want[want < x.max()])
+
+
 def test_no_two_half_full_sequences_stay(spark):
     docs = table(spark, [(i, "word " * (94 if i % 50 else 4), "en", "s") for i in range(700)], parts=12)
     layout = stored(packing.pack(docs, BYTES, capacity=100, slack=0, group_bins=8), "layout")
