@@ -2,7 +2,7 @@
 
 A page was asked for with a token (none for the first page) and names the token of the next one. Every page first points at
 the page before it; in a round each page twice takes over the pointer and the distance of the page it points at, so that after k
-rounds it has seen 4^k pages. Pages that reach a start are done and join no more; in a chain every page is pointed at
+rounds it has seen 3^k pages. Pages that reach a start are done and join no more; in a chain every page is pointed at
 once, so no round has a hot key. What is not done after enough rounds for all pages goes round in a circle. Rounds are written to the
 shared folder, so a lost executor repeats one.
 
@@ -49,8 +49,8 @@ def rank(links: DataFrame, key: str, own: str, following: str) -> DataFrame:
         placed.select("_node", F.when(done, F.col("_node")).otherwise(F.col("_before")).alias("_far"), F.when(done, 0).otherwise(1).cast("bigint").alias("_steps"), "place"),
         "ranks",
     )
-    # a round of two jumps sees four times as far
-    rounds = math.ceil(math.log(max(2, known.count()), 4)) + 1
+    # both jumps of a round go by the pointers of its start, so that it sees three times as far
+    rounds = math.ceil(math.log(max(2, known.count()), 3)) + 1
     for _ in range(rounds):
         if known.where("place IS NULL").isEmpty():
             break
