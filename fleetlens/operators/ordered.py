@@ -157,6 +157,21 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, *, ties: Sequence[
     return placed.withColumn(name, F.col(name).cast("bigint"))
 
 
+def followed(df: DataFrame, value: str, name: str, *, slices: int = 4096) -> DataFrame:
+    """Add the number ``value`` of the next row in its order over all rows, NULLs first; NULL behind the last row.
+
+    The order is cut into ``slices`` of equal width; the next row of the last one of a slice is the first one of the next slice.
+    """
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    width = 1.0 if low is None else max(1.0, (high - low) / slices)
+    parts = sliced(df.withColumn("_slice", F.floor(F.col(value).cast("double") / width)), [], [value], [F.min(value).alias("_first")])
+    firsts = parts.totals.select("_group", F.lead("_first").over(Window.partitionBy().orderBy(*_of_group(["_slice", "_part"]))).alias("_base"))
+    inner = Window.partitionBy("_group").orderBy(value)
+    last = F.lead(F.lit(True)).over(inner).isNull()
+    following = F.when(last, F.col("_base")).otherwise(F.lead(value).over(inner))
+    return parts.rows.join(firsts, "_group").withColumn(name, following).drop("_group", "_base")
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, cells: int = 256) -> DataFrame:
     """Exact ``count, min, max, median`` of a double per key.
 

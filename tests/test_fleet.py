@@ -350,3 +350,98 @@ def test_circles_and_what_hangs_on_them(spark):
     got = {(r.k, r.own): r.place for r in chains.rank(spark.createDataFrame(rows, "k int, own string, ahead string"), "k", "own", "ahead").collect()}
     assert got == {(1, ""): "chain", (1, "a"): "chain", (1, "x"): "circle", (1, "y"): "circle", (1, "z"): "circle", (2, "a"): "loose", (2, "b"): "loose", (3, ""): "chain"}
     assert chains.token_chain(chains.numbered_pages(spark.createDataFrame([], "listing_id long, after_token string, raw string"))).count() == 0
+
+
+def links_written(spark, monkeypatch, n):
+    """Rows written while one shuffled list of ``n`` links is ranked, and how many of them got the right rank."""
+    from fleetlens.operators import chains
+
+    written = []
+
+    def counted(df, label, write=chains.stored):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chains, "stored", counted)
+    links = spark.range(n).select(
+        F.lit("one").alias("k"), F.when(F.col("id") == 0, "").otherwise(F.md5(F.col("id").cast("string"))).alias("own"),
+        F.when(F.col("id") < n - 1, F.md5((F.col("id") + 1).cast("string"))).alias("ahead"), "id",
+    ).orderBy(F.hash("id"))
+    right = chains.rank(links, "k", "own", "ahead").join(links, ["k", "own"]).where("rank = id AND place = 'chain'").count()
+    return sum(written), right
+
+
+def test_ranking_moves_a_few_times_the_links_however_long_the_list(spark, monkeypatch):
+    from fleetlens.operators import chains
+
+    written, right = links_written(spark, monkeypatch, 20_000)
+    assert right == 20_000
+    assert written <= 4 * 20_000
+    monkeypatch.setattr(chains, "TASK_LINKS", 300)
+    written, right = links_written(spark, monkeypatch, 20_000)
+    assert right == 20_000
+    assert written <= 8 * 20_000
+
+
+def test_lists_too_long_for_a_task_are_ranked_like_short_ones(spark, monkeypatch):
+    from fleetlens.operators import chains
+
+    rng = random.Random(7)
+    rows = []
+    for k in (None, 0, 1, 2, 3):
+        tokens = ["", *(f"t{i}" for i in range(1, 400)), None]
+        pages = list(zip(tokens, tokens[1:]))
+        for _ in range(k or 0):  # what follows is cut off
+            at = rng.randrange(len(pages))
+            pages[at] = (pages[at][0], rng.choice(tokens[1:-1]))
+        circles = [(f"c{k}-{i}", f"c{k}-{i + 1 if (i + 1) % 9 else i - 8}") for i in range(90)]
+        pages += [*circles, ("self", "self"), ("x", "y"), ("y", "z"), ("z", None), ("x", "y2"), ("y2", None)]
+        rows += [(k, own, ahead) for own, ahead in pages]
+    rng.shuffle(rows)
+    links = spark.createDataFrame(rows, "k int, own string, ahead string")
+    short = sorted(chains.rank(links, "k", "own", "ahead").collect(), key=repr)
+    monkeypatch.setattr(chains, "TASK_LINKS", 40)
+    assert sorted(chains.rank(links, "k", "own", "ahead").collect(), key=repr) == short
+    assert len(short) == len({(k, own) for k, own, _ in rows})
+    places = {(r.k, r.own): (r.place, r.rank) for r in short}
+    for k in (None, 0, 1, 2, 3):
+        want = walked([(own, ahead) for of, own, ahead in rows if of == k])
+        assert {own: r for (of, own), (place, r) in places.items() if of == k and place == "chain"} == want
+        assert places[k, "self"] == ("circle", None) and places[k, f"c{k}-4"] == ("circle", None)
+        assert [places[k, own][0] for own in ("x", "y", "z", "y2")] == ["fork", "loose", "loose", "loose"]
+
+
+def test_pages_that_share_a_token(spark):
+    from fleetlens.operators import chains
+
+    def page(records, following):
+        return f'{{"instances": {records}, "next_token": {following}}}'
+
+    rows = [
+        (1, None, page("[1]", '"a"')), (1, "", page("[1]", '"a"')), (1, "", page("[ 1]", '"a"')), (1, "a", page("[2]", "null")),  # one page, written twice
+        (2, "", page("[1]", '"a"')), (2, "", page("[3]", '"a"')), (2, "a", page("[2]", "null")),  # other records
+        (3, "", page("[1]", '"a"')), (3, "", page("[1]", '"b"')), (3, "a", page("[2]", "null")),  # another token
+        (4, "", page("[1]", "null")), (None, "", page("[1]", "null")),
+    ]
+    pages = chains.numbered_pages(spark.createDataFrame(rows, "listing_id long, after_token string, raw string"))
+    got = sorted((r.listing_id, r.after_token, r.page_no, r.place) for r in pages.select("listing_id", "after_token", F.coalesce("page_no", F.lit(-1)).alias("page_no"), "place").collect())
+    assert got == [
+        (1, "", 0, "chain"), (1, "", 0, "chain"), (1, "a", 1, "chain"),
+        (2, "", -1, "fork"), (2, "", -1, "fork"), (2, "a", 1, "chain"),
+        (3, "", -1, "fork"), (3, "", -1, "fork"), (3, "a", -1, "loose"), (4, "", 0, "chain"),
+    ]
+
+
+def test_token_pages_are_those_of_the_text_without_a_window_over_all_orders(spark, folder):
+    from fleetlens import fixtures
+    from fleetlens.operators.ordered import followed
+
+    spark.range(500).selectExpr("CASE WHEN id % 50 = 49 THEN NULL WHEN id % 7 = 3 THEN 70 ELSE id * id END AS o_orderkey").write.parquet(f"{folder}/orders.parquet")
+    spark.range(5).selectExpr("id AS s_suppkey").write.parquet(f"{folder}/supplier.parquet")
+    pages = fixtures.Views(spark, folder).token_pages
+    assert sorted(pages.collect(), key=repr) == sorted(spark.sql(fixtures._spark_text("v_token_pages", folder)).collect(), key=repr)
+    keys = spark.createDataFrame([(x,) for x in [None, None, 5, 5, 6, -9, 10**18]], "x long")
+    assert sorted(map(tuple, followed(keys, "x", "y").collect()), key=repr) == sorted([(None, None), (None, -9), (-9, 5), (5, 5), (5, 6), (6, 10**18), (10**18, None)], key=repr)
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_group" in plan and "windowspecdefinition(o_orderkey" not in plan
